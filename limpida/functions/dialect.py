@@ -9,7 +9,7 @@ classes, so the shorthands are spelled out and the flags are set explicitly:
 from __future__ import annotations
 
 # Members of the Unicode-aware ``\s``, to be put inside a character class.
-SPACE_CHARS = r"\t-\r\x1c-\x20\x85\xa0  -     　"
+SPACE_CHARS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACE = f"[{SPACE_CHARS}]"
 
 _WORD = r"[\p{L}\p{N}_]"
