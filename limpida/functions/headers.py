@@ -6,8 +6,9 @@ import re
 from email.header import decode_header
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from limpida.functions.spans import let
 from limpida.functions.text import strip
@@ -38,11 +39,14 @@ def _decode(value: str | None) -> str | None:
         return value
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _decode_values(values: pd.Series) -> pd.Series:
     return values.map(lambda row: [_decode(v) for v in row], na_action="ignore")
 
 
+_decode_values = _decode_values.asNondeterministic()  # see ``text.with_nfc``
+
+
 def header_block(raw: Column) -> Column:
     """Header text of a raw message: everything before the first empty line."""
     text = F.make_valid_utf8(raw.cast("string"))
@@ -71,20 +75,6 @@ def header_fields(block: Column) -> Column:
     )
 
 
-def decoded_fields(block: Column) -> Column:
-    """``header_fields`` with RFC 2047 words decoded. Only blocks that hold such words
-    reach the Python stage; for all others it sees a null."""
-    fields = header_fields(block)
-    values = F.transform(fields, lambda f: f["value"])
-    decoded = _decode_values(F.when(F.contains(block, F.lit("=?")), values))
-    return F.when(
-        F.contains(block, F.lit("=?")),
-        F.zip_with(
-            fields, decoded, lambda f, v: F.struct(f["name"].alias("name"), v.alias("value"))
-        ),
-    ).otherwise(fields)
-
-
 def fields_to_map(fields: Column, duplicates: str = "join") -> Column:
     """Map of the fields. Repeated names are joined by ``"; "``, or the last one wins."""
     names = F.array_distinct(F.transform(fields, lambda f: f["name"]))
@@ -96,10 +86,30 @@ def fields_to_map(fields: Column, duplicates: str = "join") -> Column:
     return F.map_from_arrays(names, F.transform(names, value))
 
 
-def header_map(block: Column, duplicates: str = "join") -> Column:
-    """Header block to map; a block without any field gives null."""
-    found = let(decoded_fields(block), lambda fields: fields_to_map(fields, duplicates))
-    return F.when(F.size(found) > 0, found)
+def with_header_map(
+    df: DataFrame, block: Column, out: str, duplicates: str = "join"
+) -> DataFrame:
+    """Add the map of a header block; a block without any field gives null.
+
+    RFC 2047 words are decoded. Only blocks that hold such words reach the Python
+    stage; for all others it sees a null.
+    """
+    raw, decoded = F.col("__fields_raw"), F.col("__fields_decoded")
+    encoded = F.exists(raw, lambda f: F.contains(f["value"], F.lit("=?")))
+    fields = F.when(
+        decoded.isNotNull(),
+        F.zip_with(raw, decoded, lambda f, v: F.struct(f["name"].alias("name"), v.alias("value"))),
+    ).otherwise(raw)
+    return (
+        df.withColumn("__fields_raw", header_fields(block))
+        .withColumn(
+            "__fields_decoded",
+            _decode_values(F.when(encoded, F.transform(raw, lambda f: f["value"]))),
+        )
+        .withColumn("__fields_raw", fields)
+        .withColumn(out, F.when(F.size(raw) > 0, fields_to_map(raw, duplicates)))
+        .drop("__fields_raw", "__fields_decoded")
+    )
 
 
 def split_addresses(addresses: Column) -> Column:

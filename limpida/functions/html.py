@@ -12,8 +12,9 @@ from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from limpida.functions.spans import let
 from limpida.functions.text import squeeze_blanks, strip
@@ -178,11 +179,14 @@ def _parse(markup: str) -> str:
         return ""
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _parse_batch(markups: pd.Series) -> pd.Series:
     return markups.map(_parse, na_action="ignore")
 
 
+_parse_batch = _parse_batch.asNondeterministic()  # see ``text.with_nfc``
+
+
 def _unescape_native(markup: Column) -> Column:
     decoded = markup
     for name, char in _NATIVE_ENTITIES:
@@ -213,12 +217,13 @@ def native_text(markup: Column) -> Column:
     )
 
 
-def html_to_text(markup: Column, native: Column | None = None) -> Column:
-    """Text of an HTML body; blank or missing markup gives ''.
-
-    ``native`` is ``native_text(markup)`` when the caller has it as a column already.
-    """
-    native = native_text(markup) if native is None else native
-    parsed = _parse_batch(F.when(native.isNull() & markup.isNotNull(), markup))
-    text = F.coalesce(native, parsed, F.lit(""))
-    return strip(squeeze_blanks(text))
+def with_html_text(df: DataFrame, markup: str, out: str) -> DataFrame:
+    """Add the text of an HTML body; blank or missing markup gives ''."""
+    native, parsed, raw = "__html_native", "__html_parsed", F.col(markup)
+    return (
+        df.withColumn(native, native_text(raw))
+        .withColumn(parsed, _parse_batch(F.when(F.isnull(native), raw)))
+        .withColumn(out, F.coalesce(native, parsed, F.lit("")))
+        .drop(native, parsed)
+        .withColumn(out, strip(squeeze_blanks(F.col(out))))
+    )

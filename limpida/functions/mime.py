@@ -8,9 +8,25 @@ from email.parser import BytesParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-PART_TYPE = "struct<part_no:int,content_type:string,is_attachment:boolean,content:string>"
-MESSAGE_TYPE = f"struct<status:string,error:string,parts:array<{PART_TYPE}>>"
+PARTS = T.ArrayType(
+    T.StructType(
+        [
+            T.StructField("part_no", T.IntegerType()),
+            T.StructField("content_type", T.StringType()),
+            T.StructField("is_attachment", T.BooleanType()),
+            T.StructField("content", T.StringType()),
+        ]
+    )
+)
+PARSED = T.StructType(
+    [
+        T.StructField("status", T.StringType()),
+        T.StructField("error", T.StringType()),
+        T.StructField("parts", PARTS),
+    ]
+)
 
 _TEXT_TYPES = ("text/plain", "text/html")
 
@@ -40,7 +56,7 @@ def _leaves(raw: bytes) -> dict:
         return {"status": "failed", "error": f"parse: {problem}", "parts": []}
 
 
-@F.pandas_udf(MESSAGE_TYPE)
+@F.pandas_udf(PARSED)
 def parse_message(raws: pd.Series) -> pd.DataFrame:
     """Leaves of raw messages. One row stays one row, so no shuffle brings them together."""
     rows = [
@@ -51,6 +67,9 @@ def parse_message(raws: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["status", "error", "parts"])
 
 
+parse_message = parse_message.asNondeterministic()  # see ``text.with_nfc``
+
+
 def body_of(parts: Column, content_type: str) -> Column:
     """Contents of one type in walk order, empty and attached parts left out."""
     chosen = F.filter(

@@ -1,4 +1,7 @@
-"""Personal data: detection, merge, redaction, pseudonyms."""
+"""Personal data: detection, merge, redaction, pseudonyms.
+
+``text`` and ``hits`` arguments are SQL expressions, most often column names.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from limpida.functions import spans
-from limpida.functions.patterns import PERSONAL_HEADERS, TITLES, AllowPattern, PiiPattern
+from limpida.functions.patterns import PERSONAL_HEADERS, TITLES, PiiPattern
+from limpida.functions.spans import quote
 from limpida.options import CleaningOptions, PiiMode
 
 # Field order makes the natural order of hits the merge order: by start, then regex
@@ -15,133 +19,121 @@ HIT_TYPE = (
     "struct<span_start:int,rank:int,span_end:int,type:string,value:string,"
     "confidence:double,method:string>"
 )
-NO_HITS = f"array<{HIT_TYPE}>"
+NO_HITS = f"CAST(array() AS array<{HIT_TYPE}>)"
 NAME_RANK = 1000
 
-NAME_CONFIDENCE_BASE, NAME_CONFIDENCE_STEP, NAME_CONFIDENCE_TOP = 0.7, 0.01, 0.9  # fixed values
-MIN_NAME_LENGTH = 3  # fixed value
+# Confidence of a name by its length, and the shortest name.
+NAME_CONFIDENCE_BASE, NAME_CONFIDENCE_STEP, NAME_CONFIDENCE_TOP = 0.7, 0.01, 0.9
+MIN_NAME_LENGTH = 3
+
+_MARKER = "concat('[PII_', {0}.type, ']')"
 
 
-def pseudonym(value: Column, salt: str) -> Column:
+def pseudonym_sql(value: str, salt: str) -> str:
     """Keyed 16-digit pseudonym. The salt is part of the plan, never of a table."""
-    return F.left(F.sha2(F.concat(value, F.lit(salt)), 256), F.lit(16))
+    return f"left(sha2(concat({value}, {quote(salt)}), 256), 16)"
 
 
-def marker(hit: Column) -> Column:
-    return F.concat(F.lit("[PII_"), hit["type"], F.lit("]"))
+def pseudonym(value: str, salt: str) -> Column:
+    return F.expr(pseudonym_sql(value, salt))
 
 
 def no_hits() -> Column:
-    return F.array().cast(NO_HITS)
+    return F.expr(NO_HITS)
 
 
-def pattern_hits(text: Column, pattern: PiiPattern, rank: int) -> Column:
+def _pattern_hits(text: str, pattern: PiiPattern, rank: int) -> str:
     """Hits of one pattern; texts that fail its gate cost one cheap scan."""
-    found = F.transform(
-        spans.match_spans(text, pattern.java),
-        lambda m: F.struct(
-            m["span_start"].alias("span_start"),
-            F.lit(rank).alias("rank"),
-            m["span_end"].alias("span_end"),
-            F.lit(pattern.type).alias("type"),
-            m["value"].alias("value"),
-            F.lit(1.0).alias("confidence"),
-            F.lit("regex").alias("method"),
-        ),
+    gate = f"contains({text}, '@')" if pattern.gate == "@" else f"{text} RLIKE {quote(pattern.gate)}"
+    return f"""CASE WHEN {gate} THEN transform({spans.match_spans(text, pattern.java)}, pat_m ->
+        named_struct('span_start', pat_m.span_start, 'rank', {rank}, 'span_end', pat_m.span_end,
+            'type', {quote(pattern.type)}, 'value', pat_m.value,
+            'confidence', 1.0D, 'method', 'regex')) ELSE {NO_HITS} END"""
+
+
+def regex_hits_sql(text: str, options: CleaningOptions) -> str:
+    """Hits of all patterns less those on business numbers, not yet merged."""
+    if not options.pii_patterns:
+        return NO_HITS
+    hits = ", ".join(_pattern_hits(text, p, r) for r, p in enumerate(options.pii_patterns))
+    if not options.allow_patterns:
+        return f"concat({hits})"
+    allowed = ", ".join(spans.match_spans(text, p.java) for p in options.allow_patterns)
+    kept = spans.bind("alw", f"concat({allowed})", spans.without_overlap("rgx", "alw"))
+    return spans.bind(
+        "rgx", f"concat({hits})", f"CASE WHEN size(rgx) = 0 THEN rgx ELSE {kept} END"
     )
-    gate = F.contains(text, F.lit("@")) if pattern.gate == "@" else text.rlike(pattern.gate)
-    return F.when(gate, found).otherwise(no_hits())
 
 
-def allowed_spans(text: Column, patterns: tuple[AllowPattern, ...]) -> Column:
-    lists = [spans.match_spans(text, p.java) for p in patterns]
-    return F.concat(*lists) if lists else F.array().cast(spans.MATCH_TYPE)
+def name_hits_sql(found: str, options: CleaningOptions) -> str:
+    """Apply the rules for names to raw findings (see ``operators.names``)."""
+    titles = ", ".join(quote(t) for t in TITLES)
+    return f"""coalesce(filter(transform(
+        filter({found}, nam_e -> nam_e.label IN ('PERSON', 'PER', 'NAME', 'ORG')
+            AND length(nam_e.value) >= {MIN_NAME_LENGTH}
+            AND lower(nam_e.value) NOT IN ({titles})),
+        nam_e -> named_struct(
+            'span_start', nam_e.span_start,
+            'rank', CASE WHEN nam_e.label = 'ORG' THEN {NAME_RANK + 1} ELSE {NAME_RANK} END,
+            'span_end', nam_e.span_end,
+            'type', CASE WHEN nam_e.label = 'ORG' THEN 'ORG' ELSE 'NAME' END,
+            'value', nam_e.value,
+            'confidence', least({NAME_CONFIDENCE_TOP}D,
+                {NAME_CONFIDENCE_BASE}D + length(nam_e.value) * {NAME_CONFIDENCE_STEP}D),
+            'method', 'ner')),
+        nam_h -> nam_h.confidence >= {options.effective_threshold}D), {NO_HITS})"""
+
+
+def detect_sql(text: str, options: CleaningOptions, names: str | None = None) -> str:
+    raw = regex_hits_sql(text, options)
+    if names is not None:
+        raw = f"concat({raw}, {names})"
+    return spans.bind("det", raw, spans.merge_overlaps("det", HIT_TYPE))
 
 
-def regex_hits(text: Column, options: CleaningOptions) -> Column:
-    """Hits of all patterns less those on business numbers, not yet merged."""
-    lists = [pattern_hits(text, p, rank) for rank, p in enumerate(options.pii_patterns)]
-    if not lists:
-        return no_hits()
-    return spans.let(
-        F.concat(*lists),
-        lambda hits: F.when(F.size(hits) == 0, hits).otherwise(
-            spans.let(
-                allowed_spans(text, options.allow_patterns),
-                lambda allowed: spans.without_overlap(hits, allowed),
-            )
-        ),
+def detect(text: str, options: CleaningOptions, names: str | None = None) -> Column:
+    """Merged hits of a text, sorted by start. ``names`` are findings to merge in."""
+    return F.expr(
+        detect_sql(text, options, None if names is None else name_hits_sql(names, options))
     )
 
 
-def name_hits(found: Column, options: CleaningOptions) -> Column:
-    """Apply the rules for names to raw findings ``array<struct<label,span_start,span_end,value>>``."""
-    label = F.transform(
-        F.filter(
-            found,
-            lambda e: e["label"].isin("PERSON", "PER", "NAME", "ORG")
-            & (F.length(e["value"]) >= MIN_NAME_LENGTH)
-            & ~F.lower(e["value"]).isin(*TITLES),
-        ),
-        lambda e: F.struct(
-            e["span_start"].cast("int").alias("span_start"),
-            F.when(e["label"] == "ORG", NAME_RANK + 1).otherwise(NAME_RANK).alias("rank"),
-            e["span_end"].cast("int").alias("span_end"),
-            F.when(e["label"] == "ORG", "ORG").otherwise("NAME").alias("type"),
-            e["value"].alias("value"),
-            F.least(
-                F.lit(NAME_CONFIDENCE_TOP),
-                F.lit(NAME_CONFIDENCE_BASE) + F.length(e["value"]) * F.lit(NAME_CONFIDENCE_STEP),
-            ).alias("confidence"),
-            F.lit("ner").alias("method"),
-        ),
-    )
-    return F.coalesce(
-        F.filter(label, lambda h: h["confidence"] >= options.effective_threshold), no_hits()
-    )
+def redact_sql(text: str, hits: str) -> str:
+    return spans.replace_spans(text, hits, _MARKER.format("rep_h"))
 
 
-def detect(text: Column, options: CleaningOptions, names: Column | None = None) -> Column:
-    """Merged hits of a text, sorted by start. ``names`` are further hits to merge in."""
-    raw = regex_hits(text, options)
-    if names is not None:
-        raw = F.concat(raw, names)
-    return spans.let(raw, lambda hits: spans.merge_overlaps(hits, HIT_TYPE))
+def redact(text: str, hits: str) -> Column:
+    return F.expr(redact_sql(text, hits))
 
 
-def redact(text: Column, hits: Column) -> Column:
-    return spans.replace_spans(text, hits, marker)
+def redact_text_sql(text: str, options: CleaningOptions) -> str:
+    """Text with all regex hits replaced, for short fields such as headers and previews."""
+    clean = spans.bind("red", detect_sql(text, options), redact_sql(text, "red"))
+    suspicious = f"contains({text}, '@') OR {text} RLIKE '[0-9]{{3}}|\\\\p{{Nd}}{{10}}'"
+    return f"CASE WHEN {suspicious} THEN {clean} ELSE {text} END"
 
 
-def redact_text(text: Column, options: CleaningOptions) -> Column:
-    """Text with all hits replaced, for short fields such as headers and previews."""
-    suspicious = F.contains(text, F.lit("@")) | text.rlike(r"[0-9]{3}|\p{Nd}{10}")
-    found = spans.let(detect(text, options), lambda hits: redact(text, hits))
-    return F.when(suspicious, found).otherwise(text)
+def redact_text(text: str, options: CleaningOptions) -> Column:
+    return F.expr(redact_text_sql(text, options))
 
 
-def entities(hits: Column, options: CleaningOptions) -> Column:
+def entities(hits: str, options: CleaningOptions) -> Column:
     """Audit records. In detect-only mode ``redacted`` holds the value itself."""
     detect_only = options.pii_mode is PiiMode.DETECT_ONLY
-    return F.transform(
-        hits,
-        lambda h: F.struct(
-            h["type"].alias("type"),
-            pseudonym(h["value"], options.pii_salt).alias("original_hash"),
-            (h["value"] if detect_only else marker(h)).alias("redacted"),
-            h["span_start"].alias("span_start"),
-            h["span_end"].alias("span_end"),
-            h["confidence"].alias("confidence"),
-            h["method"].alias("detection_method"),
-        ),
+    return F.expr(
+        f"""transform({hits}, ent_h -> named_struct(
+            'type', ent_h.type,
+            'original_hash', {pseudonym_sql("ent_h.value", options.pii_salt)},
+            'redacted', {"ent_h.value" if detect_only else _MARKER.format("ent_h")},
+            'span_start', ent_h.span_start, 'span_end', ent_h.span_end,
+            'confidence', ent_h.confidence, 'detection_method', ent_h.method))"""
     )
 
 
-def redact_headers(headers: Column, options: CleaningOptions) -> Column:
+def redact_headers(headers: str, options: CleaningOptions) -> Column:
     """Redact the values of the personal header fields; others pass unchanged."""
-    return F.transform_values(
-        headers,
-        lambda key, value: F.when(
-            key.isin(*PERSONAL_HEADERS), redact_text(value, options)
-        ).otherwise(value),
+    names = ", ".join(quote(n) for n in PERSONAL_HEADERS)
+    return F.expr(
+        f"""transform_values({headers}, (hdr_k, hdr_v) -> CASE WHEN hdr_k IN ({names})
+            THEN {redact_text_sql("hdr_v", options)} ELSE hdr_v END)"""
     )

@@ -1,6 +1,8 @@
 """Spans of matches, and folds over them, as native expressions.
 
-Offsets count code points from zero; the end is exclusive.
+Offsets count code points from zero; the end is exclusive. The builders here take and
+give SQL text: a fold of some hundred nodes is then parsed in one step, while building
+it call by call from Python would cost more time than running it.
 """
 
 from __future__ import annotations
@@ -13,11 +15,21 @@ from pyspark.sql import functions as F
 MATCH_TYPE = "array<struct<span_start:int,span_end:int,value:string>>"
 
 
+def quote(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it several times inside an expression."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def bind(name: str, value: str, body: str) -> str:
+    """``let`` in SQL text: ``body`` refers to ``value`` by ``name``."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
 def matches(text: Column, java_pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(java_pattern), F.lit(0))
 
@@ -27,90 +39,71 @@ def gaps(text: Column, java_pattern: str) -> Column:
     return F.split(text, java_pattern, -1)
 
 
-def locate(found: Column, between: Column) -> Column:
+def locate(found: str, between: str) -> str:
     """Give every match its span: gaps and matches alternate, so lengths add up."""
-    pairs = F.zip_with(
-        found, between, lambda m, g: F.struct(m.alias("value"), F.length(g).alias("gap"))
-    )
-    start = F.struct(
-        F.lit(0).alias("pos"), F.array().cast(MATCH_TYPE).alias("out")
-    )
-
-    def step(acc: Column, pair: Column) -> Column:
-        begin = acc["pos"] + pair["gap"]
-        end = begin + F.coalesce(F.length(pair["value"]), F.lit(0))
-        item = F.struct(
-            begin.alias("span_start"), end.alias("span_end"), pair["value"].alias("value")
-        )
-        return F.struct(
-            end.alias("pos"),
-            F.when(pair["value"].isNull(), acc["out"])
-            .otherwise(F.array_append(acc["out"], item))
-            .alias("out"),
-        )
-
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
-
-
-def match_spans(text: Column, java_pattern: str) -> Column:
+    return f"""aggregate(
+        zip_with({found}, {between}, (loc_m, loc_g) -> struct(loc_m AS value, length(loc_g) AS gap)),
+        named_struct('pos', 0, 'out', CAST(array() AS {MATCH_TYPE})),
+        (loc_acc, loc_p) -> named_struct(
+            'pos', loc_acc.pos + loc_p.gap + coalesce(length(loc_p.value), 0),
+            'out', CASE WHEN loc_p.value IS NULL THEN loc_acc.out ELSE array_append(loc_acc.out,
+                named_struct(
+                    'span_start', loc_acc.pos + loc_p.gap,
+                    'span_end', loc_acc.pos + loc_p.gap + length(loc_p.value),
+                    'value', loc_p.value)) END),
+        loc_acc -> loc_acc.out)"""
+
+
+def match_spans(text: str, java_pattern: str) -> str:
     """All non-overlapping matches with exact spans. The pattern must not match ''."""
-    return locate(matches(text, java_pattern), gaps(text, java_pattern))
-
-
-def overlap(a: Column, b: Column) -> Column:
-    return (a["span_start"] < b["span_end"]) & (b["span_start"] < a["span_end"])
+    pattern = quote(java_pattern)
+    return locate(f"regexp_extract_all({text}, {pattern}, 0)", f"split({text}, {pattern}, -1)")
 
 
-def without_overlap(hits: Column, allowed: Column) -> Column:
+def without_overlap(hits: str, allowed: str) -> str:
     """Hits that touch none of the allowed spans."""
-    return F.filter(hits, lambda h: ~F.exists(allowed, lambda a: overlap(h, a)))
+    return f"""filter({hits}, out_h -> NOT exists({allowed}, out_a ->
+        out_a.span_start < out_h.span_end AND out_h.span_start < out_a.span_end))"""
 
 
-def merge_overlaps(hits: Column, hit_type: str) -> Column:
+def merge_overlaps(hits: str, hit_type: str) -> str:
     """One pass from left to right against the current hit.
 
     A regex hit beats a name hit; between two of one method the longer wins and a tie
     keeps the first. This is no union of intervals: a hit that lost has no say in what
     comes next, so a window over gaps would give other results.
     """
-
-    def length(hit: Column) -> Column:
-        return hit["span_end"] - hit["span_start"]
-
-    def better(cur: Column, new: Column) -> Column:
-        cur_regex, new_regex = cur["method"] == "regex", new["method"] == "regex"
-        takes_over = F.when(cur_regex == new_regex, length(new) > length(cur)).otherwise(new_regex)
-        return F.when(takes_over, new).otherwise(cur)
-
-    def step(acc: Column, new: Column) -> Column:
-        cur = acc["cur"]
-        extend = F.struct(F.array_append(acc["done"], cur).alias("done"), new.alias("cur"))
-        settle = F.struct(acc["done"].alias("done"), better(cur, new).alias("cur"))
-        begin = F.struct(acc["done"].alias("done"), new.alias("cur"))
-        return F.when(cur.isNull(), begin).when(overlap(cur, new), settle).otherwise(extend)
-
-    zero = F.struct(
-        F.array().cast(f"array<{hit_type}>").alias("done"), F.lit(None).cast(hit_type).alias("cur")
-    )
-    merged = F.aggregate(
-        F.array_sort(hits), zero, step, lambda acc: F.array_append(acc["done"], acc["cur"])
+    apart = "(mrg_acc.cur.span_end <= mrg_h.span_start OR mrg_h.span_end <= mrg_acc.cur.span_start)"
+    longer = (
+        "mrg_h.span_end - mrg_h.span_start > mrg_acc.cur.span_end - mrg_acc.cur.span_start"
     )
-    return F.when(F.size(hits) < 2, hits).otherwise(merged)
-
-
-def replace_spans(text: Column, hits: Column, marker: Callable[[Column], Column]) -> Column:
-    """Put ``marker(hit)`` in place of every span; hits are sorted and disjoint."""
-    zero = F.struct(F.array().cast("array<string>").alias("pieces"), F.lit(0).alias("pos"))
-
-    def step(acc: Column, hit: Column) -> Column:
-        kept = F.substring(text, acc["pos"] + 1, hit["span_start"] - acc["pos"])
-        return F.struct(
-            F.concat(acc["pieces"], F.array(kept, marker(hit))).alias("pieces"),
-            hit["span_end"].alias("pos"),
-        )
-
-    def finish(acc: Column) -> Column:
-        rest = F.substring(text, acc["pos"] + 1, F.length(text))
-        return F.array_join(F.array_append(acc["pieces"], rest), "")
-
-    return F.when(F.size(hits) > 0, F.aggregate(hits, zero, step, finish)).otherwise(text)
+    wins = f"""CASE WHEN mrg_h.method = mrg_acc.cur.method THEN {longer}
+        ELSE mrg_h.method = 'regex' END"""
+    return f"""CASE WHEN size({hits}) < 2 THEN {hits} ELSE aggregate(
+        array_sort({hits}),
+        named_struct('done', CAST(array() AS array<{hit_type}>), 'cur', CAST(NULL AS {hit_type})),
+        (mrg_acc, mrg_h) -> CASE
+            WHEN mrg_acc.cur IS NULL THEN named_struct('done', mrg_acc.done, 'cur', mrg_h)
+            WHEN {apart} THEN
+                named_struct('done', array_append(mrg_acc.done, mrg_acc.cur), 'cur', mrg_h)
+            ELSE named_struct(
+                'done', mrg_acc.done, 'cur', CASE WHEN {wins} THEN mrg_h ELSE mrg_acc.cur END)
+            END,
+        mrg_acc -> array_append(mrg_acc.done, mrg_acc.cur)) END"""
+
+
+def replace_spans(text: str, hits: str, marker: str) -> str:
+    """Put a marker in place of every span; hits are sorted and disjoint.
+
+    ``marker`` is SQL text over ``rep_h``, the hit.
+    """
+    return f"""CASE WHEN size({hits}) > 0 THEN aggregate(
+        {hits},
+        named_struct('pieces', CAST(array() AS array<string>), 'pos', 0),
+        (rep_acc, rep_h) -> named_struct(
+            'pieces', concat(rep_acc.pieces, array(
+                substring({text}, rep_acc.pos + 1, rep_h.span_start - rep_acc.pos), {marker})),
+            'pos', rep_h.span_end),
+        rep_acc -> array_join(
+            array_append(rep_acc.pieces, substring({text}, rep_acc.pos + 1)), ''))
+        ELSE {text} END"""

@@ -5,8 +5,9 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from limpida.functions.dialect import SPACE, SPACE_CHARS, java_regex
 
@@ -42,16 +43,26 @@ def unix_line_ends(text: Column) -> Column:
     ).otherwise(text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _compose(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
-def nfc(text: Column) -> Column:
+# Catalyst folds the projections between two Python stages into one and repeats every
+# expression there once per use. Marked so, a Python stage keeps its projections apart.
+_compose = _compose.asNondeterministic()
+
+
+def with_nfc(df: DataFrame, text: str, out: str) -> DataFrame:
     """Canonical composition. Spark has no such function, so the few texts that could
     change go through Arrow; all others reach the Python stage as nulls."""
-    candidate = F.when(~is_ascii(text) & text.rlike(_MAY_CHANGE_UNDER_NFC), text)
-    return F.coalesce(_compose(candidate), text)
+    source = F.col(text)
+    candidate = F.when(~is_ascii(source) & source.rlike(_MAY_CHANGE_UNDER_NFC), source)
+    return (
+        df.withColumn("__composed", _compose(candidate))
+        .withColumn(out, F.coalesce("__composed", source))
+        .drop("__composed")
+    )
 
 
 def plain_spaces(text: Column) -> Column:
@@ -85,10 +96,11 @@ def tidy(text: Column) -> Column:
     return strip(squeeze_blanks(text))
 
 
-def clean_subject(subject: Column) -> Column:
+def with_subject_key(df: DataFrame, subject: str, out: str) -> DataFrame:
     """Thread key of a subject: no reply or forward prefixes, lower case, plain spaces."""
-    bare = F.regexp_replace(nfc(F.coalesce(subject, F.lit(""))), _SUBJECT_PREFIXES, "")
-    return strip(plain_spaces(F.lower(bare)))
+    df = with_nfc(df.withColumn(out, F.coalesce(F.col(subject), F.lit(""))), out, out)
+    df = df.withColumn(out, F.lower(F.regexp_replace(out, _SUBJECT_PREFIXES, "")))
+    return df.withColumn(out, strip(plain_spaces(F.col(out))))
 
 
 def truncate_bytes(text: Column, max_kb: int = 500) -> Column:
