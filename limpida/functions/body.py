@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from limpida.functions.dialect import SPACE
-from limpida.functions.text import strip
+from limpida.functions.text import is_blank
 
 NEW_WORD_SHARE = 0.2  # fixed value
 
@@ -18,10 +18,6 @@ def word_set(text: Column) -> Column:
     )
 
 
-def is_blank(text: Column) -> Column:
-    return strip(text) == ""
-
-
 def merge_bodies(plain: Column, html_text: Column) -> Column:
     """One body out of two: the HTML text joins the plain text only when it adds more
     than a fifth of the plain text's distinct words."""

@@ -15,6 +15,13 @@ SPACE = f"[{SPACE_CHARS}]"
 _WORD = r"[\p{L}\p{N}_]"
 _BOUNDARY = rf"(?:(?<!{_WORD})(?={_WORD})|(?<={_WORD})(?!{_WORD}))"
 
+# Characters that Java's Unicode ``\b`` and ``_BOUNDARY`` take differently: marks,
+# numbers that are no digits, connectors, joiners, circled letters.
+ODD_AT_BOUNDARY = (
+    r"[\p{M}\p{No}\u200c\u200d\u203f\u2040\u2054\ufe33\ufe34\ufe4d-\ufe4f\uff3f"
+    r"\u24b6-\u24e9\x{1f130}-\x{1f189}]"
+)
+
 
 def java_regex(
     pattern: str,
@@ -22,9 +29,15 @@ def java_regex(
     ignore_case: bool = False,
     dot_all: bool = False,
     multi_line: bool = False,
+    own_boundary: bool = False,
 ) -> str:
-    """Return ``pattern`` with Unicode shorthands spelled out and flags in front."""
+    """Return ``pattern`` with Unicode shorthands spelled out and flags in front.
+
+    With ``own_boundary``, Java's Unicode ``\\b`` is kept. It is several times faster and
+    means the same on texts without ``ODD_AT_BOUNDARY``.
+    """
     flags = "d" + ("iu" if ignore_case else "") + ("s" if dot_all else "") + ("m" if multi_line else "")
+    boundary = r"\b" if own_boundary else _BOUNDARY
     out, in_class, chars = [], False, iter(pattern)
     for ch in chars:
         if ch == "\\":
@@ -34,8 +47,8 @@ def java_regex(
             elif ch == r"\d":
                 ch = r"\p{Nd}"
             elif ch == r"\b":
-                ch = _BOUNDARY
+                ch = boundary
         elif ch in "[]":
             in_class = ch == "["
         out.append(ch)
-    return f"(?{flags})" + "".join(out)
+    return f"(?{flags}{'U' if own_boundary else ''})" + "".join(out)

@@ -37,9 +37,8 @@ class PiiPattern(NamedTuple):
     regex: str
     gate: str  # cheap Java expression that every text with a match satisfies
 
-    @property
-    def java(self) -> str:
-        return java_regex(self.regex, ignore_case=True)
+    def java(self, own_boundary: bool = False) -> str:
+        return java_regex(self.regex, ignore_case=True, own_boundary=own_boundary)
 
 
 class AllowPattern(NamedTuple):
@@ -48,9 +47,8 @@ class AllowPattern(NamedTuple):
     type: str
     regex: str
 
-    @property
-    def java(self) -> str:
-        return java_regex(self.regex, ignore_case=True)
+    def java(self, own_boundary: bool = False) -> str:
+        return java_regex(self.regex, ignore_case=True, own_boundary=own_boundary)
 
 
 # Expressions, types, confidences and their order must stay as they are,
@@ -120,7 +118,11 @@ PII_PATTERNS: tuple[PiiPattern, ...] = (
         "[0-9]{6}",
     ),
     PiiPattern("PIVA", r"\b(?:IT\s?)?[0-9]{11}\b", "[0-9]{11}"),
-    PiiPattern("CF", r"\b[A-Z]{6}[0-9]{2}[A-Z][0-9]{2}[A-Z][0-9]{3}[A-Z]\b", "[0-9]{3}"),
+    PiiPattern(
+        "CF",
+        r"\b[A-Z]{6}[0-9]{2}[A-Z][0-9]{2}[A-Z][0-9]{3}[A-Z]\b",
+        "(?iu)[0-9]{2}[A-Z][0-9]{2}[A-Z][0-9]{3}[A-Z]",
+    ),
     PiiPattern("IBAN", r"\bIT\d{2}[A-Z]\d{10}[0-9A-Z]{12}\b", r"\p{Nd}{10}"),
 )
 

@@ -55,9 +55,18 @@ def locate(found: str, between: str) -> str:
 
 
 def match_spans(text: str, java_pattern: str) -> str:
-    """All non-overlapping matches with exact spans. The pattern must not match ''."""
+    """All non-overlapping matches with exact spans. The pattern must not match ''.
+
+    A text without a match is scanned once, one with matches a second time for the gaps.
+    """
     pattern = quote(java_pattern)
-    return locate(f"regexp_extract_all({text}, {pattern}, 0)", f"split({text}, {pattern}, -1)")
+    spans = locate("fnd", f"split({text}, {pattern}, -1)")
+    none = f"CAST(array() AS {MATCH_TYPE})"
+    return bind(
+        "fnd",
+        f"regexp_extract_all({text}, {pattern}, 0)",
+        f"CASE WHEN size(fnd) = 0 THEN {none} ELSE {spans} END",
+    )
 
 
 def without_overlap(hits: str, allowed: str) -> str:

@@ -62,7 +62,6 @@ class CleaningOptions:
     pii_patterns: tuple[PiiPattern, ...] = PII_PATTERNS
     allow_patterns: tuple[AllowPattern, ...] = ALLOW_PATTERNS
     version: PipelineVersion = PipelineVersion()
-    spread_small_inputs: bool = True
 
     def __post_init__(self) -> None:
         object.__setattr__(self, "pii_mode", PiiMode(self.pii_mode))

@@ -10,7 +10,6 @@ from limpida.functions.patterns import PERSONAL_HEADERS
 from limpida.operators import canonical, validate
 from limpida.operators.names import Finder, search_text
 from limpida.options import CleaningOptions, PiiMode
-from limpida.session import spread
 
 UNKNOWN_SENDER = "[PII_EMAIL]"  # fixed value
 NO_BODY = "[BODY UNAVAILABLE]"  # fixed value
@@ -133,10 +132,10 @@ def build_documents(
     ``safe``, messages that lose a stage are kept at a lower ``processing_level`` instead:
     without names, without canonical text, or with no body at all. Every level redacts.
     """
-    df = spread(messages) if options.spread_small_inputs else messages
-    df = validate.with_reject_reason(df) if not safe else df.withColumn(
-        "reject_reason", F.lit(None).cast("string")
-    )
+    if safe:
+        df = messages.withColumn("reject_reason", F.lit(None).cast("string"))
+    else:
+        df = validate.with_reject_reason(messages)
     df = with_merged_body(with_bodies(df))
     df = canonical.canonicalize(
         df,

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from limpida.functions.headers import split_addresses
+from limpida.session import spread
 
 NL = "chr(10)"
 
@@ -76,7 +77,7 @@ def sql(*columns: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def mail(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:

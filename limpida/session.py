@@ -54,14 +54,15 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores when the input has fewer splits than there are cores.
+def spread(scan: DataFrame) -> DataFrame:
+    """Use all cores when a scan has fewer splits than there are cores.
 
     A few large files, or one row group, would otherwise keep most cores idle through
     the costly text expressions. Large inputs have many splits and stay as they are, so
     at scale no shuffle is added. Rows are dealt out in turn: no key can skew them.
+    Only for what a reader gives: counting the splits of a plan with shuffles would run them.
     """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    if scan.isStreaming:
+        return scan
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
