@@ -35,7 +35,7 @@ MARKS = f"""CASE CAST(doc_id % 8 AS INT)
   WHEN 0 THEN 'On Mon, 1 Jan 2026 user' || CAST(doc_id AS STRING) || ' wrote:' || {NL} || text
   WHEN 1 THEN text || {NL} || '__________' || {NL} || 'ufficio'
   WHEN 2 THEN text || {NL} || 'Informativa privacy ai sensi del regolamento GDPR'
-  WHEN 3 THEN text || {NL} || 'P. Rispetta l''ambiente: non stampare questo messaggio'
+  WHEN 3 THEN text || {NL} || 'P. Rispetta l' || chr(39) || 'ambiente: non stampare questo messaggio'
   WHEN 4 THEN text || {NL} || 'Distinti saluti, ' || {NL} || 'Anna'
   WHEN 5 THEN 'intro' || {NL} || '---------- Forwarded message ----------' || {NL} || text
   WHEN 6 THEN 'intro' || {NL} || '----- Messaggio inoltrato -----' || {NL} || text
