@@ -88,7 +88,12 @@ def mail(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 def messages(spark: SparkSession, sf_dir: str, text: str = "body_text") -> DataFrame:
     """The derived mail as a ``messages`` table (without raw bytes)."""
-    rows = mail(spark, sf_dir)
+    return messages_of(table(spark, sf_dir, "documents"), text)
+
+
+def messages_of(documents: DataFrame, text: str = "body_text") -> DataFrame:
+    """The same for a ``documents`` table or stream at hand."""
+    rows = documents.selectExpr(*(f"{e} AS {c}" for c, e in COLUMNS.items()))
     return rows.select(
         "doc_id",
         F.col("doc_id").cast("string").alias("uid"),
