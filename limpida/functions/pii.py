@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from limpida.functions import spans
@@ -119,6 +119,13 @@ def detect(text: str, options: CleaningOptions, names: str | None = None) -> Col
     return F.expr(detect_sql(text, options, found, large=True))
 
 
+def with_hits(
+    df: DataFrame, text: str, options: CleaningOptions, out: str, names: str | None = None
+) -> DataFrame:
+    """Add the merged hits of a text column; filters on them do not repeat the search."""
+    return df.withColumn(out, spans.once(detect(text, options, names)))
+
+
 def redact_sql(text: str, hits: str) -> str:
     return spans.replace_spans(text, hits, _MARKER.format("rep_h"))
 

@@ -25,6 +25,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def once(value: Column) -> Column:
+    """Mark a costly column so that no filter is pushed below its projection.
+
+    A filter on a derived column is normally rewritten in terms of the columns beneath,
+    which runs every expression on the way a second time, and through a chain of
+    projections twice per link. A non-deterministic marker, always true, prevents that.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def bind(name: str, value: str, body: str) -> str:
     """``let`` in SQL text: ``body`` refers to ``value`` by ``name``."""
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"

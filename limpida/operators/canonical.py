@@ -77,7 +77,7 @@ def remove_sections(
                 ),
             }
         )
-    return df.drop(_FOUND, _BETWEEN, *gates)
+    return df.withColumn(cuts, spans.once(F.col(cuts))).drop(_FOUND, _BETWEEN, *gates)
 
 
 def canonicalize(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from limpida.functions import body, headers as hd, html, mime, pii
 from limpida.functions.patterns import PERSONAL_HEADERS
+from limpida.functions.spans import once
 from limpida.operators import canonical, validate
 from limpida.operators.names import Finder, search_text
 from limpida.options import CleaningOptions, PiiMode
@@ -186,7 +187,7 @@ def _with_redacted_body(df: DataFrame, options: CleaningOptions, names: str | No
     found = None
     if names:
         found = f"CASE WHEN processing_level = 'full' THEN {names} END"
-    df = df.withColumn("__hits", pii.detect("__canonical", options, found))
+    df = pii.with_hits(df, "__canonical", options, "__hits", found)
     if options.pii_mode is PiiMode.DETECT_ONLY:
         return df.withColumn("__body", F.col("__canonical"))
     return df.withColumn("__body", pii.redact("__canonical", "__hits"))
@@ -227,8 +228,10 @@ def _assemble(df: DataFrame, options: CleaningOptions) -> DataFrame:
     df = df.withColumns(
         {
             "__headers": kept_headers,
-            "__body": or_error(
-                F.col("__body"), F.concat(F.lit("[PREPROCESSING ERROR: "), reason, F.lit("]"))
+            "__body": once(
+                or_error(
+                    F.col("__body"), F.concat(F.lit("[PREPROCESSING ERROR: "), reason, F.lit("]"))
+                )
             ),
             "__hits": or_error(F.col("__hits"), pii.no_hits()),
         }

@@ -43,6 +43,10 @@ def query(name: str, statement: str | None = None):
     return add
 
 
+def _expr(text: str) -> F.Column:
+    return spans.once(F.expr(text))
+
+
 def digest(column: str) -> F.Column:
     return F.sha2(F.col(column), 256)
 
@@ -278,7 +282,7 @@ def _register_pii(number: int, pattern) -> None:
     def found(spark, sf):
         df = mt.mail(spark, sf, "doc_id", "body_text")
         only = replace(OPTIONS, pii_patterns=(pattern,), allow_patterns=())
-        return _hits_table(df.withColumn("hits", F.expr(pii.regex_hits_sql("body_text", only))))
+        return _hits_table(df.withColumn("hits", _expr(pii.regex_hits_sql("body_text", only))))
 
 
 for _number, _pii in enumerate(PII_PATTERNS):
@@ -291,7 +295,7 @@ for _number, _pii in enumerate(PII_PATTERNS):
 )
 def pii_all_regex(spark, sf):
     df = mt.mail(spark, sf, "doc_id", "body_text")
-    return _hits_table(df.withColumn("hits", F.expr(pii.regex_hits_sql("body_text", OPTIONS))))
+    return _hits_table(df.withColumn("hits", _expr(pii.regex_hits_sql("body_text", OPTIONS))))
 
 
 @query(
@@ -314,7 +318,7 @@ def allowed_numbers(spark, sf):
 
 def _detected(spark, sf, text="body_text", options=OPTIONS):
     df = mt.mail(spark, sf, "doc_id", text)
-    return df.withColumn("hits", pii.detect(text, options))
+    return pii.with_hits(df, text, options, "hits")
 
 
 @query(
@@ -349,7 +353,7 @@ def redacted_text(spark, sf):
       LEFT JOIN counts AS c ON c.doc_id = r.doc_id""",
 )
 def redact_documents(spark, sf):
-    df = mt.table(spark, sf, "documents").withColumn("hits", pii.detect("text", OPTIONS))
+    df = pii.with_hits(mt.table(spark, sf, "documents"), "text", OPTIONS, "hits")
     return df.select(
         "doc_id",
         pii.redact("text", "hits").alias("body"),
@@ -388,7 +392,7 @@ def pseudonyms(spark, sf):
       LEFT JOIN counts AS c ON c.doc_id = r.doc_id""",
 )
 def pii_modes(spark, sf):
-    df = mt.mail(spark, sf, "doc_id", "body_text").withColumn("hits", pii.detect("body_text", OPTIONS))
+    df = _detected(spark, sf)
     return df.select(
         "doc_id",
         F.sha2(pii.redact("body_text", "hits"), 256).alias("redact_digest"),
@@ -486,14 +490,14 @@ _NAMES_SQL = _NAMES_SQL.replace(
 def names_by_literals(spark, sf):
     finder = names.dictionary_finder(_dictionary(spark, sf))
     df = mt.mail(spark, sf, "doc_id", "body_text").withColumn("found", finder(F.col("body_text")))
-    return _hits_table(df.withColumn("hits", F.expr(pii.name_hits_sql("found", OPTIONS))))
+    return _hits_table(df.withColumn("hits", _expr(pii.name_hits_sql("found", OPTIONS))))
 
 
 @query("names_by_join", _NAMES_SQL)
 def names_by_join(spark, sf):
     df = mt.mail(spark, sf, "doc_id", "body_text")
     df = names.find_by_join(df, "doc_id", {"found": "body_text"}, _dictionary(spark, sf))
-    return _hits_table(df.withColumn("hits", F.expr(pii.name_hits_sql("found", OPTIONS))))
+    return _hits_table(df.withColumn("hits", _expr(pii.name_hits_sql("found", OPTIONS))))
 
 
 def _capitals(text: str):
@@ -512,7 +516,7 @@ def _capitals(text: str):
 def names_by_model(spark, sf):
     finder = names.model_finder(_capitals)
     df = mt.mail(spark, sf, "doc_id", "body_text").withColumn("found", finder(F.col("body_text")))
-    return _hits_table(df.withColumn("hits", F.expr(pii.name_hits_sql("found", OPTIONS))))
+    return _hits_table(df.withColumn("hits", _expr(pii.name_hits_sql("found", OPTIONS))))
 
 
 _MASK_SCHEMA = "STRUCT<token: STRING, k: STRING, inner: STRUCT<Password: STRING, note: STRING>>"
