@@ -32,7 +32,7 @@ def once(value: Column) -> Column:
     which runs every expression on the way a second time, and through a chain of
     projections twice per link. A non-deterministic marker, always true, prevents that.
     """
-    return F.when(F.monotonically_increasing_id() >= 0, value)
+    return F.when(F.spark_partition_id() >= 0, value)
 
 
 def bind(name: str, value: str, body: str) -> str:

@@ -132,6 +132,14 @@ def dictionary_finder(dictionary: DataFrame) -> Finder | None:
     )
 
 
+def _labelled(field: str) -> Callable[[Column], Column]:
+    return lambda phrase: F.struct(F.lit(field).alias("field"), phrase.alias("at"))
+
+
+def _belongs_to(field: str) -> Callable[[Column], Column]:
+    return lambda hit: hit["field"] == field
+
+
 def find_by_join(
     df: DataFrame, key: str, texts: dict[str, str], dictionary: DataFrame
 ) -> DataFrame:
@@ -151,7 +159,7 @@ def find_by_join(
                             _cut_up(F.coalesce(F.col(column), F.lit(""))),
                             lambda cut: _phrases(cut["words"], cut["gaps"], MAX_WORDS),
                         ),
-                        lambda p, out=out: F.struct(F.lit(out).alias("field"), p.alias("at")),
+                        _labelled(out),
                     )
                     for out, column in texts.items()
                 )
@@ -182,7 +190,7 @@ def find_by_join(
                 F.col("__names"),
                 F.array().cast("array<struct<field:string,word_no:int,n_words:int,label:string>>"),
             ),
-            lambda h, out=out: h["field"] == out,
+            _belongs_to(out),
         )
         columns[out] = spans.let(
             F.struct(_cut_up(F.coalesce(F.col(column), F.lit(""))).alias("cut"), own.alias("own")),

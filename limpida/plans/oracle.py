@@ -65,23 +65,24 @@ def matches(src: str, regex: str) -> str:
           FROM {src} AS src) AS cut WHERE len(m) > 0) AS numbered)"""
 
 
-def canonical_ctes(src: str, patterns=REMOVAL_PATTERNS) -> str:
-    """CTEs ``s0 … sn`` (text after each stage), ``canon(doc_id, t)`` and ``sections``."""
-    ctes = [f"s0 AS MATERIALIZED (SELECT doc_id, {normalized('t')} AS t FROM {src} AS src)"]
+def canonical_ctes(src: str, patterns=REMOVAL_PATTERNS, tag: str = "") -> str:
+    """CTEs ``s0 … sn`` (text after each stage), ``canon(doc_id, t)`` and ``sections``,
+    all with ``tag`` behind their names."""
+    ctes = [f"s{tag}0 AS MATERIALIZED (SELECT doc_id, {normalized('t')} AS t FROM {src} AS src)"]
     cuts = []
     for i, pattern in enumerate(patterns, 1):
         regex = removal_regex(pattern)
         ctes.append(
-            f"s{i} AS MATERIALIZED (SELECT doc_id, regexp_replace(t, {regex}, chr(10), 'g') AS t"
-            f" FROM s{i - 1})"
+            f"s{tag}{i} AS MATERIALIZED (SELECT doc_id, regexp_replace(t, {regex}, chr(10), 'g') AS t"
+            f" FROM s{tag}{i - 1})"
         )
         cuts.append(
             f"SELECT doc_id, {i} AS stage, {lit(pattern.type)} AS type, span_start, span_end, value,"
             f" CAST({pattern.confidence} AS DOUBLE) AS confidence"
-            f" FROM {matches(f's{i - 1}', regex)} AS m{i}"
+            f" FROM {matches(f's{tag}{i - 1}', regex)} AS m{i}"
         )
-    ctes.append(f"canon AS (SELECT doc_id, {tidied('t')} AS t FROM s{len(patterns)})")
-    ctes.append("sections AS (" + " UNION ALL ".join(cuts) + ")")
+    ctes.append(f"canon{tag} AS (SELECT doc_id, {tidied('t')} AS t FROM s{tag}{len(patterns)})")
+    ctes.append(f"sections{tag} AS (" + " UNION ALL ".join(cuts) + ")")
     return ", ".join(ctes)
 
 

@@ -466,24 +466,19 @@ def _dictionary(spark, sf) -> DataFrame:
     return spark.sql(_DICTIONARY.format("limpida_benchmark"))
 
 
-_NAMES_SQL = rf"""WITH dict AS (SELECT lower(name) AS name, min(label) AS label FROM ({_DICTIONARY.format('benchmark')}) AS d GROUP BY 1),
-  words AS (SELECT doc_id, k, m[k] AS w, CAST(list_sum(list_transform(g[1:k], lambda x: length(x)))
-      + coalesce(list_sum(list_transform(m[1:k-1], lambda x: length(x))), 0) AS BIGINT) AS s
-    FROM (SELECT doc_id, m, g, unnest(list_filter(range(1, len(m) + 1), lambda i: lower(m[i]) IN (SELECT name FROM dict))) AS k
-      FROM (SELECT doc_id, regexp_extract_all(t, '[\p{{L}}\p{{N}}_]+') AS m,
-        string_split_regex(t, '[\p{{L}}\p{{N}}_]+') AS g FROM {sql.source()} AS src) AS a) AS b),
+_NAMES_SQL = rf"""WITH dict AS (
+    SELECT lower(name) AS name, min(label) AS label FROM ({_DICTIONARY.format('benchmark')}) AS d GROUP BY 1),
+  cut AS (SELECT doc_id, (SELECT list(name) FROM dict) AS names, regexp_extract_all(t, '[\p{{L}}\p{{N}}_]+') AS m,
+    string_split_regex(t, '[\p{{L}}\p{{N}}_]+') AS g FROM {sql.source()} AS src),
+  numbered AS (SELECT doc_id, m, g,
+    unnest(list_filter(range(1, len(m) + 1), lambda i: list_contains(names, lower(m[i])))) AS k FROM cut),
+  words AS (SELECT doc_id, m[k] AS w, CAST(list_sum(list_transform(g[1:k], lambda x: length(x)))
+    + coalesce(list_sum(list_transform(m[1:k-1], lambda x: length(x))), 0) AS BIGINT) AS s FROM numbered),
   hits AS (SELECT doc_id, w, s, label, least(0.9, 0.7 + length(w) * 0.01) AS confidence
     FROM words JOIN dict ON dict.name = lower(w)
     WHERE left(w, 1) <> lower(left(w, 1)) AND length(w) >= 3)
   SELECT doc_id, label AS type, s AS span_start, s + length(w) AS span_end, {sql.pseudonym('w')} AS hash
   FROM hits WHERE confidence >= 0.75"""
-# Lists cannot hold a subquery in a lambda everywhere; a join over all words says the same.
-_NAMES_SQL = _NAMES_SQL.replace(
-    "unnest(list_filter(range(1, len(m) + 1), lambda i: lower(m[i]) IN (SELECT name FROM dict))) AS k",
-    "unnest(list_filter(range(1, len(m) + 1), lambda i: list_contains(names, lower(m[i])))) AS k",
-).replace(" FROM (SELECT doc_id, regexp_extract_all(t,", " FROM (SELECT doc_id, (SELECT list(name) FROM dict) AS names, regexp_extract_all(t,").replace(
-    "(SELECT doc_id, m, g, unnest", "(SELECT doc_id, m, g, names, unnest"
-)
 
 
 @query("names_by_literals", _NAMES_SQL)
@@ -1153,7 +1148,7 @@ def determinism(spark, sf):
 
 @query(
     "version_drift",
-    f"""WITH {sql.canonical_ctes(sql.source())}, kept AS (SELECT 1 AS x), {sql.canonical_ctes(sql.source(), _NO_QUOTES).replace('canon AS', 'canon_b AS').replace('sections AS', 'sections_b AS').replace(' s', ' z')}
+    f"""WITH {sql.canonical_ctes(sql.source())}, {sql.canonical_ctes(sql.source(), _NO_QUOTES, "_b")}
     SELECT 'body' AS column_name, count(*) AS n_keys, count(*) FILTER (WHERE a.t <> b.t) AS n_differing
     FROM canon AS a JOIN canon_b AS b ON a.doc_id = b.doc_id
     UNION ALL SELECT 'source', count(*), 0 FROM documents""",

@@ -25,6 +25,7 @@ import hashlib, json, sys
 import duckdb
 sf, out, jobs = sys.argv[1], sys.argv[2], json.load(open(sys.argv[3]))
 con = duckdb.connect()
+con.execute("SET enable_progress_bar = false")
 for t in sys.argv[4].split():
     con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
 
