@@ -1,7 +1,7 @@
 """Writes a portable regular expression in Java's dialect.
 
 The pattern tables hold plain text with ``\\s``, ``\\d`` and ``\\b``. Java reads these as
-ASCII (and ``\\b`` differs between Java releases), while the results to match use Unicode
+ASCII (and a bare ``\\b`` differs between Java releases), while the results to match use Unicode
 classes, so the shorthands are spelled out and the flags are set explicitly:
 ``d`` makes only ``\\n`` a line end, ``iu`` folds case beyond ASCII.
 """
@@ -12,15 +12,14 @@ from __future__ import annotations
 SPACE_CHARS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACE = f"[{SPACE_CHARS}]"
 
-_WORD = r"[\p{L}\p{N}_]"
-_BOUNDARY = rf"(?:(?<!{_WORD})(?={_WORD})|(?<={_WORD})(?!{_WORD}))"
-
-# Characters that Java's Unicode ``\b`` and ``_BOUNDARY`` take differently: marks,
-# numbers that are no digits, connectors, joiners, circled letters.
-ODD_AT_BOUNDARY = (
-    r"[\p{M}\p{No}\u200c\u200d\u203f\u2040\u2054\ufe33\ufe34\ufe4d-\ufe4f\uff3f"
-    r"\u24b6-\u24e9\x{1f130}-\x{1f189}]"
+# Java's Unicode ``\b`` counts some characters as part of a word that the results to match
+# do not, and the other way round. ``fit_boundaries`` puts a stand-in for each of them.
+NUMBERS_NO_DIGITS = r"\p{No}"  # in a word, but not for Java
+MARKS_AND_JOINERS = (  # in no word, but for Java
+    r"[\p{M}\u200c\u200d\u203f\u2040\u2054\ufe33\ufe34\ufe4d-\ufe4f\uff3f\u24b6-\u24e9"
+    r"\x{1f130}-\x{1f149}\x{1f150}-\x{1f169}\x{1f170}-\x{1f189}]"
 )
+WORD_STAND_IN, GAP_STAND_IN = "\xaa", "\xb7"
 
 
 def java_regex(
@@ -29,15 +28,14 @@ def java_regex(
     ignore_case: bool = False,
     dot_all: bool = False,
     multi_line: bool = False,
-    own_boundary: bool = False,
 ) -> str:
     """Return ``pattern`` with Unicode shorthands spelled out and flags in front.
 
-    With ``own_boundary``, Java's Unicode ``\\b`` is kept. It is several times faster and
-    means the same on texts without ``ODD_AT_BOUNDARY``.
+    ``\\b`` stays Java's own, in its Unicode form: it is several times faster than a
+    boundary put together from look-arounds, and reads characters beyond the first plane
+    as a whole, which a look-behind does not.
     """
     flags = "d" + ("iu" if ignore_case else "") + ("s" if dot_all else "") + ("m" if multi_line else "")
-    boundary = r"\b" if own_boundary else _BOUNDARY
     out, in_class, chars = [], False, iter(pattern)
     for ch in chars:
         if ch == "\\":
@@ -47,8 +45,8 @@ def java_regex(
             elif ch == r"\d":
                 ch = r"\p{Nd}"
             elif ch == r"\b":
-                ch = boundary
+                flags = flags.rstrip("U") + "U"
         elif ch in "[]":
             in_class = ch == "["
         out.append(ch)
-    return f"(?{flags}{'U' if own_boundary else ''})" + "".join(out)
+    return f"(?{flags})" + "".join(out)

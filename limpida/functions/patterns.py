@@ -37,8 +37,9 @@ class PiiPattern(NamedTuple):
     regex: str
     gate: str  # cheap Java expression that every text with a match satisfies
 
-    def java(self, own_boundary: bool = False) -> str:
-        return java_regex(self.regex, ignore_case=True, own_boundary=own_boundary)
+    @property
+    def java(self) -> str:
+        return java_regex(self.regex, ignore_case=True)
 
 
 class AllowPattern(NamedTuple):
@@ -47,8 +48,9 @@ class AllowPattern(NamedTuple):
     type: str
     regex: str
 
-    def java(self, own_boundary: bool = False) -> str:
-        return java_regex(self.regex, ignore_case=True, own_boundary=own_boundary)
+    @property
+    def java(self) -> str:
+        return java_regex(self.regex, ignore_case=True)
 
 
 # Expressions, types, confidences and their order must stay as they are,

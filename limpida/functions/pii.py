@@ -9,7 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from limpida.functions import spans
-from limpida.functions.dialect import ODD_AT_BOUNDARY
+from limpida.functions.dialect import (
+    GAP_STAND_IN,
+    MARKS_AND_JOINERS,
+    NUMBERS_NO_DIGITS,
+    WORD_STAND_IN,
+)
 from limpida.functions.patterns import PERSONAL_HEADERS, PII_PATTERNS, TITLES, PiiPattern
 from limpida.functions.spans import quote
 from limpida.options import CleaningOptions, PiiMode
@@ -43,10 +48,10 @@ def no_hits() -> Column:
     return F.expr(NO_HITS)
 
 
-def _pattern_hits(text: str, pattern: PiiPattern, rank: int, fast: bool) -> str:
+def _pattern_hits(text: str, pattern: PiiPattern, rank: int) -> str:
     """Hits of one pattern; texts that fail its gate cost one cheap scan."""
     gate = f"contains({text}, '@')" if pattern.gate == "@" else f"{text} RLIKE {quote(pattern.gate)}"
-    return f"""CASE WHEN {gate} THEN transform({spans.match_spans(text, pattern.java(fast))}, pat_m ->
+    return f"""CASE WHEN {gate} THEN transform({spans.match_spans(text, pattern.java)}, pat_m ->
         named_struct('span_start', pat_m.span_start, 'rank', {rank}, 'span_end', pat_m.span_end,
             'type', {quote(pattern.type)}, 'value', pat_m.value,
             'confidence', 1.0D, 'method', 'regex')) ELSE {NO_HITS} END"""
@@ -62,21 +67,42 @@ def _suspicious(text: str, options: CleaningOptions) -> str:
     )
 
 
-def regex_hits_sql(text: str, options: CleaningOptions, fast: bool = False) -> str:
-    """Hits of all patterns less those on business numbers, not yet merged.
+def fit_boundaries(text: str) -> str:
+    """The text with stand-ins for characters whose place at a word boundary Java sees
+    differently. Lengths stay, so spans stay; almost every text passes unchanged."""
+    odd = quote(f"{NUMBERS_NO_DIGITS}|{MARKS_AND_JOINERS}")
+    words = f"regexp_replace({text}, {quote(NUMBERS_NO_DIGITS)}, {quote(WORD_STAND_IN)})"
+    fitted = f"regexp_replace({words}, {quote(MARKS_AND_JOINERS)}, {quote(GAP_STAND_IN)})"
+    plain = f"octet_length({text}) = length({text}) OR NOT {text} RLIKE {odd}"
+    return f"CASE WHEN {plain} THEN {text} ELSE {fitted} END"
+
+
+def _original_values(hits: str, text: str) -> str:
+    """Hits with their values cut from ``text`` again."""
+    return f"""transform({hits}, org -> named_struct('span_start', org.span_start, 'rank', org.rank,
+        'span_end', org.span_end, 'type', org.type,
+        'value', substring({text}, org.span_start + 1, org.span_end - org.span_start),
+        'confidence', org.confidence, 'method', org.method))"""
+
 
-    ``fast`` uses Java's own word boundary, for texts where it is known to be right.
-    """
+def regex_hits_sql(text: str, options: CleaningOptions) -> str:
+    """Hits of all patterns less those on business numbers, not yet merged."""
     if not options.pii_patterns:
         return NO_HITS
-    hits = "concat({})".format(
-        ", ".join(_pattern_hits(text, p, r, fast) for r, p in enumerate(options.pii_patterns))
+    lists = (_pattern_hits("fit", p, r) for r, p in enumerate(options.pii_patterns))
+    hits = "concat({})".format(", ".join(lists))
+    if options.allow_patterns:
+        allowed = ", ".join(spans.match_spans("fit", p.java) for p in options.allow_patterns)
+        kept = spans.bind("alw", f"concat({allowed})", spans.without_overlap("rgx", "alw"))
+        hits = spans.bind("rgx", hits, f"CASE WHEN size(rgx) = 0 THEN rgx ELSE {kept} END")
+    restored = spans.bind(
+        "fnd_all",
+        hits,
+        f"CASE WHEN fit = {text} OR size(fnd_all) = 0 THEN fnd_all"
+        f" ELSE {_original_values('fnd_all', text)} END",
     )
-    if not options.allow_patterns:
-        return hits
-    allowed = ", ".join(spans.match_spans(text, p.java(fast)) for p in options.allow_patterns)
-    kept = spans.bind("alw", f"concat({allowed})", spans.without_overlap("rgx", "alw"))
-    return spans.bind("rgx", hits, f"CASE WHEN size(rgx) = 0 THEN rgx ELSE {kept} END")
+    found = spans.bind("fit", fit_boundaries(text), restored)
+    return f"CASE WHEN {_suspicious(text, options)} THEN {found} ELSE {NO_HITS} END"
 
 
 def name_hits_sql(found: str, options: CleaningOptions) -> str:
@@ -98,16 +124,8 @@ def name_hits_sql(found: str, options: CleaningOptions) -> str:
         nam_h -> nam_h.confidence >= {options.effective_threshold}D), {NO_HITS})"""
 
 
-def detect_sql(
-    text: str, options: CleaningOptions, names: str | None = None, large: bool = False
-) -> str:
-    """``large`` adds a faster way for texts without odd characters, at the price of a
-    plan twice the size: right for bodies, not for headers."""
-    raw = f"CASE WHEN NOT {_suspicious(text, options)} THEN {NO_HITS} "
-    if large:
-        plain = f"octet_length({text}) = length({text}) OR NOT {text} RLIKE {quote(ODD_AT_BOUNDARY)}"
-        raw += f"WHEN {plain} THEN {regex_hits_sql(text, options, fast=True)} "
-    raw += f"ELSE {regex_hits_sql(text, options)} END"
+def detect_sql(text: str, options: CleaningOptions, names: str | None = None) -> str:
+    raw = regex_hits_sql(text, options)
     if names is not None:
         raw = f"concat({raw}, {names})"
     return spans.bind("det", raw, spans.merge_overlaps("det", HIT_TYPE))
@@ -116,7 +134,7 @@ def detect_sql(
 def detect(text: str, options: CleaningOptions, names: str | None = None) -> Column:
     """Merged hits of a text, sorted by start. ``names`` are findings to merge in."""
     found = None if names is None else name_hits_sql(names, options)
-    return F.expr(detect_sql(text, options, found, large=True))
+    return F.expr(detect_sql(text, options, found))
 
 
 def with_hits(

@@ -309,7 +309,7 @@ def pii_all_regex(spark, sf):
 def allowed_numbers(spark, sf):
     df = mt.mail(spark, sf, "doc_id", "marked_text")
     lists = (
-        f"transform({spans.match_spans('marked_text', p.java())}, m -> named_struct('type', {spans.quote(p.type)},"
+        f"transform({spans.match_spans('marked_text', p.java)}, m -> named_struct('type', {spans.quote(p.type)},"
         " 'value', m.value, 'span_start', CAST(m.span_start AS BIGINT), 'span_end', CAST(m.span_end AS BIGINT)))"
         for p in ALLOW_PATTERNS
     )
