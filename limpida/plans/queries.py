@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from limpida.functions import body, headers as hd, html, mime, pii, spans, text as tx
@@ -43,11 +43,11 @@ def query(name: str, statement: str | None = None):
     return add
 
 
-def _expr(text: str) -> F.Column:
+def _expr(text: str) -> Column:
     return spans.once(F.expr(text))
 
 
-def digest(column: str) -> F.Column:
+def digest(column: str) -> Column:
     return F.sha2(F.col(column), 256)
 
 
@@ -575,21 +575,22 @@ def merged_bodies(spark, sf):
     return df.select("doc_id", "merged_body")
 
 
+_COMMON = "'the of and in is that de la le les un der die und den el los que'"
+
+
 @query(
     "word_sets",
-    r"""SELECT doc_id, count(DISTINCT w) AS n_words,
-      (SELECT count(DISTINCT x) FROM (SELECT unnest(string_split_regex(lower(d.text), '\s+')) AS x) AS u
-        WHERE x <> '' AND NOT list_contains(string_split_regex(lower(left(d.text, 200)), '\s+'), x)) AS n_new
-    FROM (SELECT doc_id, text, unnest(string_split_regex(lower(text), '\s+')) AS w FROM documents) AS d
-    WHERE w <> '' GROUP BY doc_id, text""",
+    rf"""SELECT doc_id, count(DISTINCT w) AS n_words,
+      count(DISTINCT w) FILTER (WHERE NOT list_contains(string_split({_COMMON}, ' '), w)) AS n_uncommon
+    FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '\s+')) AS w FROM documents) AS d
+    WHERE w <> '' GROUP BY doc_id""",
 )
 def word_sets(spark, sf):
-    df = mt.table(spark, sf, "documents")
-    words, first = body.word_set(F.col("text")), body.word_set(F.left("text", F.lit(200)))
-    return df.select(
+    words, common = body.word_set(F.col("text")), body.word_set(F.expr(_COMMON))
+    return mt.table(spark, sf, "documents").select(
         "doc_id",
         F.size(words).cast("long").alias("n_words"),
-        F.size(F.array_except(words, first)).cast("long").alias("n_new"),
+        F.size(F.array_except(words, common)).cast("long").alias("n_uncommon"),
     )
 
 
