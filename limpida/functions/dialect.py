@@ -1,16 +1,15 @@
 """Writes a portable regular expression in Java's dialect.
 
-The pattern tables hold plain text with ``\\s``, ``\\d`` and ``\\b``. Java reads these as
-ASCII (and a bare ``\\b`` differs between Java releases), while the results to match use Unicode
-classes, so the shorthands are spelled out and the flags are set explicitly:
-``d`` makes only ``\\n`` a line end, ``iu`` folds case beyond ASCII.
+The pattern tables hold plain text with ``\\s``, ``\\d`` and ``\\b``, and the results to match
+use their Unicode meaning. The flags say so: ``U`` gives the shorthands that meaning, ``d``
+makes only ``\\n`` a line end, ``iu`` folds case beyond ASCII.
 """
 
 from __future__ import annotations
 
-# Members of the Unicode-aware ``\s``, to be put inside a character class.
-SPACE_CHARS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-SPACE = f"[{SPACE_CHARS}]"
+# Members of a class of blanks, under the flag U; Java leaves the four separators out.
+SPACE_CHARS = r"\s\x1c-\x1f"
+SPACE = f"(?U)[{SPACE_CHARS}]"
 
 # Java's Unicode ``\b`` counts some characters as part of a word that the results to match
 # do not, and the other way round. ``fit_boundaries`` puts a stand-in for each of them.
@@ -29,23 +28,14 @@ def java_regex(
     dot_all: bool = False,
     multi_line: bool = False,
 ) -> str:
-    """Return ``pattern`` with Unicode shorthands spelled out and flags in front.
-
-    ``\\b`` stays Java's own, in its Unicode form: it is several times faster than a
-    boundary put together from look-arounds, and reads characters beyond the first plane
-    as a whole, which a look-behind does not.
-    """
-    flags = "d" + ("iu" if ignore_case else "") + ("s" if dot_all else "") + ("m" if multi_line else "")
+    """Return ``pattern`` with its flags in front and the blanks made complete."""
+    flags = "dU" + ("iu" if ignore_case else "") + ("s" if dot_all else "") + ("m" if multi_line else "")
     out, in_class, chars = [], False, iter(pattern)
     for ch in chars:
         if ch == "\\":
             ch += next(chars)
             if ch == r"\s":
-                ch = SPACE_CHARS if in_class else SPACE
-            elif ch == r"\d":
-                ch = r"\p{Nd}"
-            elif ch == r"\b":
-                flags = flags.rstrip("U") + "U"
+                ch = SPACE_CHARS if in_class else f"[{SPACE_CHARS}]"
         elif ch in "[]":
             in_class = ch == "["
         out.append(ch)

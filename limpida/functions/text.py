@@ -87,7 +87,7 @@ def strip(text: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return ~text.rlike(f"[^{SPACE_CHARS}]")
+    return ~text.rlike(f"(?U)[^{SPACE_CHARS}]")
 
 
 def tidy(text: Column) -> Column:
