@@ -20,14 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from limpida.llm.words import Words, chunks, mix, split_words, word_hashes
+from limpida.llm.words import Words, chunks, mix, shingles, split_words, word_hashes
 
 #: About so many rows train the scorer.
 TRAIN_ROWS = 16_000
 #: The lexicon is learned from about so many labelled rows.
 LABELLED_ROWS = 16_000
-#: Toxic rows that must have an entry, and how many times likelier it must be among them.
-LEXICON_ROWS, LEXICON_ODDS = 5, 20.0
+#: Share of the toxic rows that must have an entry (and rows at least), and how many times likelier
+#: it must be among them. Near copies, told by their least shingle, count as one row.
+LEXICON_SHARE, LEXICON_ROWS, LEXICON_ODDS = 0.02, 3, 50.0
+#: How much more readily a labeller objects to bad texts, at least.
+BETTER = 200.0
 _BEGINNINGS = (4, 5, 6)
 DIMENSIONS = 1 << 18
 #: Rows of the sample that must have a word for it to count.
@@ -128,7 +131,7 @@ def votes_and_features(texts: pa.Array, lexicon: np.ndarray) -> tuple[np.ndarray
             _vote(kind[5] / per_word, 0.3, n_words),
             _vote(kind[2] / np.maximum(1, letters), 0.3, n_words),
             _vote(kind[7] / per_word, 0.3, n_words),
-            _vote(word_sum(same) / per_word, 0.15, n_words * (n_words > 4)),
+            _vote(word_sum(same) / per_word, 0.15, n_words * (n_words > 15)),
             _vote(kind[6] / per_word, 0.12, n_words),
             _vote(1 - distinct / per_word, 0.8, n_words * (n_words > 30) * (n_words < 600)),
             hits > 0,
@@ -158,8 +161,9 @@ def _slots(votes: np.ndarray, hashes: np.ndarray, bounds: np.ndarray) -> tuple[n
 def fit_labellers(pattern: np.ndarray, count: np.ndarray, rounds: int = 60) -> np.ndarray:
     """The posterior of "good" for each pattern, by expectation-maximisation.
 
-    The start says: bad where any labeller objects. A little smoothing keeps estimates off 0 and 1, on
-    the side of labellers being better than chance.
+    The start says: bad where any labeller objects. A labeller is held to object to a bad text at least
+    ``BETTER`` times as readily as to a good one, so that no kind of bad text that few labellers see
+    can be taken for good.
     """
     votes = pattern[:, None] // 2 ** np.arange(len(LABELLERS)) % 2
     good = np.where(votes.any(1), 0.1, 0.95)
@@ -167,9 +171,10 @@ def fit_labellers(pattern: np.ndarray, count: np.ndarray, rounds: int = 60) -> n
         weight = np.stack([count * (1 - good), count * good])
         log = np.log((weight.sum(1) + 1) / (weight.sum() + 2))[:, None] + np.zeros((2, len(pattern)))
         for k in range(len(LABELLERS)):
-            for c in range(2):
-                table = np.bincount(votes[:, k], weight[c], 2) + ((1.0, 2.0), (2.0, 1.0))[c]
-                log[c] += np.log(table / table.sum())[votes[:, k]]
+            objects = [(np.sum(w * votes[:, k]) + 1) / (w.sum() + 2) for w in weight]
+            objects[1] = min(objects[1], objects[0] / BETTER)
+            for c, p in enumerate(objects):
+                log[c] += np.where(votes[:, k] == 1, np.log(p), np.log1p(-p))
         good = 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50)))
     return good
 
@@ -221,12 +226,19 @@ def _drawn(part: float):
 
 
 def _lexicon_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each lexicon entry of the texts: in how many toxic rows, in how many others."""
+    """Each lexicon entry of the texts: in how many toxic rows, in how many others.
+
+    Texts of one batch with the same least shingle and label count as one.
+    """
     for batch in chunks(batches, "text"):
         bare = _bare_words(split_words(batch.column("text")))
         hashes, doc = word_hashes(bare), bare.doc()
         toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(bool)
+        least, bounds = shingles(hashes, bare.first, 5)
+        least = np.array([least[a:b].min() if b > a else 0 for a, b in zip(bounds[:-1], bounds[1:], strict=True)], np.uint64)
+        _, alone = np.unique(np.stack([least, toxic.astype(np.uint64)]), axis=1, return_index=True)
         pick, _ = _distinct(hashes, doc, len(toxic))
+        pick = pick[np.isin(doc[pick], alone)]
         keys = [np.unique(np.stack([e.view(np.int64), doc[pick]]), axis=1) for e in _entries(bare, hashes, pick)]
         entry, row = np.concatenate(keys, axis=1)
         entry, at = np.unique(entry, return_inverse=True)
@@ -248,7 +260,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     found = (
         rows.select("text", "toxic").mapInArrow(_lexicon_rows, "entry long, bad long, good long")
         .groupBy("entry").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-        .where((F.col("bad") >= LEXICON_ROWS) & (odds >= LEXICON_ODDS) & (F.col("entry") != 0))
+        .where((F.col("bad") >= max(LEXICON_ROWS, LEXICON_SHARE * of.bad)) & (odds >= LEXICON_ODDS) & (F.col("entry") != 0))
         .select("entry").toPandas()
     )
     return np.sort(found["entry"].to_numpy(np.int64).view(np.uint64))
