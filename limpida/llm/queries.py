@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from limpida.llm import byte_bpe, exact_dedup, language_id, quality, secrets
+from limpida.llm import byte_bpe, decontaminate, exact_dedup, language_id, near_dedup, quality, secrets
 from limpida.llm.tables import table
 from limpida.session import ship_package
 
@@ -62,3 +62,28 @@ def op8(spark, sf_dir):
 @query("op9_bloom_language")
 def op9(spark, sf_dir):
     return language_id.language_id(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op4_containment_decontamination",
+    r"""
+    WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                      'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    i AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                      'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark),
+    ds AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3),
+                      lambda k: array_to_string(w[k:k + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d),
+    s AS (SELECT DISTINCT item_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3),
+                      lambda k: array_to_string(w[k:k + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM i),
+    n AS (SELECT item_id, count(*) AS n_item_shingles FROM s GROUP BY item_id)
+    SELECT doc_id, item_id, n_item_shingles, count(*) AS n_shared, count(*) / n_item_shingles AS containment
+    FROM ds JOIN s USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id, n_item_shingles
+    HAVING count(*) * 100 >= n_item_shingles * 75""",
+)
+def op4(spark, sf_dir):
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op1_odd_sketch_dedup")
+def op1(spark, sf_dir):
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
