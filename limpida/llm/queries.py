@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from limpida.llm import byte_bpe, decontaminate, exact_dedup, language_id, near_dedup, quality, secrets
+from limpida.llm import byte_bpe, decontaminate, exact_dedup, language_id, near_dedup, quality, secrets, substring_dedup, suffix_tree, surrogates
 from limpida.llm.tables import table
 from limpida.session import ship_package
 
+#: Key of the registered query; a real run brings its own.
+KEY = b"registered-query-key"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -87,3 +90,18 @@ def op4(spark, sf_dir):
 @query("op1_odd_sketch_dedup")
 def op1(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op10_suffix_automata")
+def op10(spark, sf_dir):
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), fixed_order=True).drop("kept_text")
+
+
+@query("op3_suffix_tree")
+def op3(spark, sf_dir):
+    return suffix_tree.score_texts(table(spark, sf_dir, "documents"), fixed_order=True)
+
+
+@query("op5_surrogates")
+def op5(spark, sf_dir):
+    return surrogates.replace_entities(table(spark, sf_dir, "documents"), KEY)
