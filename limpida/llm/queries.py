@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from limpida.llm import byte_bpe, decontaminate, exact_dedup, language_id, near_dedup, quality, secrets, substring_dedup, suffix_tree, surrogates
+from limpida.llm import byte_bpe, decontaminate, exact_dedup, language_id, near_dedup, quality, secret_scan, substring_dedup, suffix_tree, surrogates
 from limpida.llm.tables import table
 from limpida.session import ship_package
 
@@ -59,7 +59,7 @@ def op7(spark, sf_dir):
 
 @query("op8_owned_secrets")
 def op8(spark, sf_dir):
-    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+    return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
 
 
 @query("op9_bloom_language")
