@@ -189,18 +189,11 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows that stay, with all their columns.
+    """The rows that stay, with all their columns; of a row given several times, one.
 
-    Rows that share the id of the row that stays and its content stay together only if they are
-    the same row given twice; one of them is kept.
+    Id and digest deal the texts out once; the last step finds equal rows side by side.
     """
-    keep = content_groups(docs).select(
-        F.col("keep_id").alias("__keep_id"), F.col("digest").alias("__digest"), F.col("n_points").alias("__points")
-    )
-    digest = F.unhex(F.sha2(normalised(F.col("text")), 256))
-    same = (
-        F.col("doc_id").eqNullSafe(F.col("__keep_id"))
-        & (digest == F.col("__digest"))
-        & (F.coalesce(F.length("text"), F.lit(0)) == F.col("__points"))
-    )
-    return docs.join(keep, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    id_key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))
+    keep = content_groups(docs).select(F.coalesce("keep_id", F.lit(-1)).alias("__id"), F.lower(F.hex("digest")).alias("__digest"))
+    keyed = docs.withColumns({"__id": id_key, "__digest": F.sha2(normalised(F.col("text")), 256)})
+    return keyed.join(keep, ["__id", "__digest"], "left_semi").dropDuplicates(["__id", "__digest"]).select(*docs.columns)

@@ -250,7 +250,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row of each group (the least id), with all its columns; rows that repeat an id count as one row."""
+    """The rows of the least id of each group, with all their columns."""
     gone = near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("__gone"))
-    rows = docs.where(F.col("doc_id").isNull()).unionByName(docs.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]))
-    return rows.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")

@@ -1,20 +1,25 @@
 """Language-model scores by a probabilistic suffix tree (operator 3).
 
-Symbols are the bytes of a text's tokens, each word followed by one blank and the whole by an end mark.
-Contexts of up to ``DEPTH`` bytes are counted over all learning texts. A context enters the tree if its
-share of all symbols is at least ``MIN_SHARE`` - so there are at most 1 / MIN_SHARE per length, whatever the
-corpus - and if its next-symbol distribution diverges from that of its longest suffix by more than a
-description of it costs. Distributions are smoothed towards the suffix's, down to the root. Scoring walks
-an automaton over the retained contexts whose state is the longest suffix of what was read, over all
-texts of a chunk at once. A token's probability is the mean of the tree's and of the smoothed token
-frequency's; both are distributions over tokens, and so is the mean.
+Symbols are tokens: the words of a text and its end. A context is a run of 2 to ``LONGEST`` words whose
+first two words are a starter, which a hash picks from all pairs of words (one in ``SAMPLED``); a copied
+passage soon meets one. A context enters the tree if its share of all learning tokens is at least
+``MIN_SHARE`` - so there are at most 1 / MIN_SHARE per length, whatever the corpus - and if its next-token
+distribution diverges from that of the empty context by more than ``COST`` nats a next token. Next tokens
+rarer than ``NEXT_SHARE`` of their context are left to smoothing, so a context has at most 1 / NEXT_SHARE
+of them. The tree therefore has a bounded size and goes to all workers. At each token the longest
+retained context that ends there is the state; with n occurrences and k next tokens kept in it, the
+token's probability is (count + (n - sum of counts + k) * base) / (n + k), base being the smoothed
+frequency of the token, (c + 1) / (N + V + 1).
+
+Contexts are found in two countings over all learning texts: starters first, then what follows those
+that are frequent enough. Both are partial per task and summed by key.
 
 Token frequencies may be too many to send anywhere: each block of ``BLOCK`` rows contributes its distinct
 tokens once, they are summed by token, and return to the block, where they meet its texts.
 
-Defined results: null, empty and blank texts have the end as their only token. NUL bytes count as byte 1.
-A row without id is never held out. Repeated rows count as often as they come. Without any learning
-text all tokens are unknown. An empty table gives an empty result. Other columns are not read.
+Defined results: null, empty and blank texts have the end as their only token. A row without id is
+never held out. Repeated rows count as often as they come. Without any learning text all tokens are
+unknown. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,168 +28,159 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from limpida.llm.grams import Counts, windows
+from limpida.llm.grams import Counts
 from limpida.llm.tables import stored
-from limpida.llm.words import Words, chunks, split_words, word_hashes
-
-DEPTH = 5
-MIN_SHARE = 3e-6
+from limpida.llm.words import chunks, mix, split_words, word_hashes
+
+SAMPLED = 8
+LONGEST = 12
+MIN_SHARE = 2e-6
+#: A context is never retained with fewer occurrences.
+MIN_TIMES = 2
+NEXT_SHARE = 0.02
+COST = 2.0
 #: Rows whose tokens are looked up together.
 BLOCK = 4096
-TREE_WEIGHT = 0.5
-_SEGMENT = 512
-_END = 0
+_END = np.uint64(0x656E64)
+_SEED = np.uint64(2)
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(7)) == 2, F.lit(False))
 
 
-def _stream(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of all texts, each behind DEPTH end marks; where each token starts; where each text starts."""
-    size = words.ends - words.starts
-    docs = len(words.first) - 1
-    doc = words.doc()
-    spans = np.append(size, 0) + 1
-    # Before word i come the words before it with their blanks, and what surrounds the texts.
-    before = np.cumsum(spans[:-1]) - spans[:-1] + (DEPTH + 1) * doc + DEPTH if len(size) else np.zeros(0, np.int64)
-    total = int(size.sum()) + len(size) + docs * (DEPTH + 1)
-    out = np.zeros(total + 8, np.uint8)
-    where = np.repeat(before - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-    source = np.repeat(words.starts - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-    out[where] = np.maximum(words.data[source], 1)
-    out[before + size] = 32
-    length = np.append(0, np.cumsum(spans[:-1]))[words.first]
-    begin = length[:-1] + (DEPTH + 1) * np.arange(docs)
-    ends = length[1:] + (DEPTH + 1) * np.arange(docs) + DEPTH  # each text's end mark
-    tokens = np.sort(np.concatenate([before, ends]))
-    return out, tokens, begin
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens, each text's end included, and the bounds of each text's part."""
+    words = split_words(texts, lower=True)
+    bounds = words.first + np.arange(len(words.first))
+    out = np.full(bounds[-1], _END, np.uint64)
+    is_word = np.ones(bounds[-1], bool)
+    is_word[bounds[1:] - 1] = False
+    out[is_word] = word_hashes(words)
+    return out, bounds
+
+
+def _starters(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where starters begin, where their texts end, and their hashes. A starter has a token after it."""
+    ends = np.repeat(bounds[1:], np.diff(bounds))
+    n = max(0, len(tokens) - 2)
+    pair = mix(mix(np.full(n, _SEED), tokens[:n]), tokens[1 : n + 1])
+    at = np.flatnonzero((pair % np.uint64(SAMPLED) == 0) & (np.arange(n) + 2 < ends[:n]))
+    return at, ends[at], pair[at]
+
+
+def _among(values: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which values are in the ordered array, and where."""
+    if not len(ordered):
+        return np.zeros(len(values), bool), np.zeros(len(values), np.int64)
+    at = np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)
+    return ordered[at] == values, at
+
+
+def _contexts(tokens: np.ndarray, bounds: np.ndarray, frequent: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Contexts after frequent starters, by length: position of the next token, hash."""
+    at, ends, chain = _starters(tokens, bounds)
+    good, _ = _among(chain, frequent)
+    at, ends, chain = at[good], ends[good], chain[good]
+    for length in range(2, LONGEST + 1):
+        going = at + length < ends
+        at, ends, chain = at[going], ends[going], chain[going]
+        yield at + length, chain
+        chain = mix(chain, tokens[at + length])
+
+
+def _count_starters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = Counts()
 
     def out(everything: bool) -> Iterator[pa.RecordBatch]:
         for keys, n in counts.drain(everything):
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["starter", "n"])
 
     for batch in chunks(batches, "text"):
-        stream, tokens, begin = _stream(split_words(batch.column("text"), lower=True))
-        n = len(stream) - 8
-        keys = windows(stream, n, DEPTH + 1).byteswap() >> np.uint64(8 * (7 - DEPTH))
-        scored = np.ones(n, bool)
-        scored[(begin[:, None] + np.arange(DEPTH)[None, :]).ravel()] = False
-        counts.add(keys[: max(0, n - DEPTH)][scored[DEPTH:]])
+        counts.add(_starters(*_tokens(batch.column("text")))[2])
         yield from out(False)
     yield from out(True)
 
 
+def _count_next(frequent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text"):
+            tokens, bounds = _tokens(batch.column("text"))
+            found = list(_contexts(tokens, bounds, frequent.value))
+            context = np.concatenate([c for _, c in found])
+            token = np.concatenate([tokens[at] for at, _ in found])
+            _, one, n = np.unique(mix(context, token), return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(context[one].view(np.int64)), pa.array(token[one].view(np.int64)), pa.array(n)], ["context", "token", "n"]
+            )
+
+    return run
+
+
 @dataclass
 class Tree:
-    """An automaton over byte classes; ``log10[context[state], class]`` is a symbol's log-probability."""
-
-    classes: np.ndarray
-    step: np.ndarray
-    context: np.ndarray
-    log10: np.ndarray
-
-    def symbols(self, stream: np.ndarray) -> np.ndarray:
-        """Log-probability of each symbol, given up to DEPTH symbols before it."""
-        n, width = len(stream), self.step.shape[1]
-        parts = max(1, -(-n // _SEGMENT))
-        symbols = np.zeros(parts * _SEGMENT + DEPTH, np.int64)
-        symbols[:DEPTH] = self.classes[_END]
-        symbols[DEPTH : DEPTH + n] = self.classes[stream]
-        step, log10 = self.step.ravel(), self.log10.ravel()
-        out = np.zeros((_SEGMENT, parts), np.float32)
-        base = np.arange(parts) * _SEGMENT
-        state = np.zeros(parts, np.int64)
-        for t in range(_SEGMENT + DEPTH):
-            symbol = symbols[base + t]
-            if t >= DEPTH:
-                out[t - DEPTH] = log10[self.context[state] * width + symbol]
-            state = step[state * width + symbol]
-        return out.T.ravel()[:n]
-
-
-def build_tree(pairs: pd.DataFrame, total: int) -> Tree:
-    """From depth, pair (context and next symbol) and n of the frequent contexts."""
-    root = pairs[pairs["depth"] == 0]
-    symbols = np.unique(root["pair"].to_numpy(np.int64))
-    classes = np.full(256, len(symbols), np.int64)  # the last class: never seen
-    classes[symbols] = np.arange(len(symbols))
-    width = len(symbols) + 1
-    first = np.bincount(classes[root["pair"].to_numpy(np.int64)], root["n"].to_numpy(float), width)
-    chance = (first + 1) / (total + 257)
-    retained: list[dict[int, int]] = [{0: 0}]
-    rows = [chance]
-    for depth in range(1, DEPTH + 1):
-        level = pairs[pairs["depth"] == depth].sort_values("pair")
-        pair, n = level["pair"].to_numpy(np.int64), level["n"].to_numpy(float)
-        context = pair >> 8
-        found: dict[int, int] = {}
-        edges = np.append(np.flatnonzero(np.append(True, context[1:] != context[:-1])), len(context)) if len(context) else np.zeros(1, np.int64)
-        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            key = int(context[lo])
-            suffix = retained[depth - 1].get(key & ((1 << (8 * (depth - 1))) - 1))
-            if suffix is None:
-                continue
-            count, symbol = n[lo:hi], classes[pair[lo:hi] & 255]
-            held = count.sum()
-            gain = np.sum(count * np.log(count / held / rows[suffix][symbol]))
-            if gain <= 0.5 * (hi - lo) * np.log(held):
-                continue
-            smoothed = (hi - lo) * rows[suffix]
-            smoothed[symbol] += count
-            found[key] = len(rows)
-            rows.append(smoothed / (held + hi - lo))
-        retained.append(found)
-    return _automaton(classes, width, retained, np.log10(np.array(rows)).astype(np.float32))
-
-
-def _automaton(classes: np.ndarray, width: int, retained: list[dict[int, int]], log10: np.ndarray) -> Tree:
-    """States are all beginnings of retained contexts; each knows its longest retained suffix."""
-    levels: list[set[int]] = [set() for _ in range(DEPTH + 1)]
-    for depth in range(DEPTH, 0, -1):
-        levels[depth] |= retained[depth].keys()
-        levels[depth - 1] |= {key >> 8 for key in levels[depth]}
-    number = {(0, 0): 0}
-    for depth in range(1, DEPTH + 1):
-        for key in sorted(levels[depth]):
-            number[depth, key] = len(number)
-    step = np.zeros((len(number), width), np.int32)
-    context = np.zeros(len(number), np.int64)
-    fall = np.zeros(len(number), np.int64)
-    for depth in range(DEPTH + 1):
-        if depth:
-            for key in sorted(levels[depth]):
-                state, above, symbol = number[depth, key], number[depth - 1, key >> 8], classes[key & 255]
-                fall[state] = step[fall[above], symbol] if depth > 1 else 0
-                context[state] = retained[depth].get(key, context[fall[state]])
-            for key in sorted(levels[depth]):
-                state = number[depth, key]
-                step[number[depth - 1, key >> 8], classes[key & 255]] = state
-                step[state] = step[fall[state]]
-    return Tree(classes, step, context, log10)
-
-
-def learn_tree(learning: DataFrame) -> Tree:
-    counts = stored(learning.select("text").mapInArrow(_count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "contexts")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    if not total:
-        return build_tree(pd.DataFrame({"depth": [], "pair": [], "n": []}), 0)
-    masks = F.array(*[F.struct(F.lit(d).alias("depth"), F.lit((1 << (8 * (d + 1))) - 1).alias("mask")) for d in range(DEPTH + 1)])
-    cut = counts.select("key", "n", F.explode(masks).alias("m")).select("m.depth", F.col("key").bitwiseAND(F.col("m.mask")).alias("pair"), "n")
-    pairs = cut.groupBy("depth", "pair").agg(F.sum("n").alias("n")).withColumn("context", F.shiftright("pair", 8))
-    # A context has at most 256 next symbols, so these groups are small.
-    held = F.expr("sum(n) OVER (PARTITION BY depth, context)")
-    frequent = pairs.withColumn("held", held).where(F.col("held") >= MIN_SHARE * total)
-    return build_tree(frequent.select("depth", "pair", "n").toPandas(), total)
+    """Retained contexts in order with their occurrences and escape weights; kept next tokens with counts."""
+
+    frequent: np.ndarray
+    contexts: np.ndarray
+    times: np.ndarray
+    escape: np.ndarray
+    pairs: np.ndarray
+    counts: np.ndarray
+
+    def score(self, tokens: np.ndarray, bounds: np.ndarray, base: np.ndarray) -> np.ndarray:
+        """Each token's probability in its longest retained context, given its base probability."""
+        out, open_ = base.copy(), np.ones(len(tokens), bool)
+        for at, context in reversed(list(_contexts(tokens, bounds, self.frequent))):
+            held, where = _among(context, self.contexts)
+            held &= open_[at]
+            at, where, context = at[held], where[held], context[held]
+            open_[at] = False
+            known, pair = _among(mix(context, tokens[at]), self.pairs)
+            count = np.where(known, self.counts[pair], 0) if len(self.pairs) else np.zeros(len(at))
+            out[at] = (count + self.escape[where] * base[at]) / self.times[where]
+        return out
+
+
+def learn_tree(learning: DataFrame, tokens: DataFrame, n_train: int, n_distinct: int, n_ends: int) -> Tree:
+    """``tokens``: the distinct learning tokens (word, n) without the end."""
+    spark = learning.sparkSession
+    least = max(MIN_TIMES, MIN_SHARE * n_train)
+    starters = learning.select("text").mapInArrow(_count_starters, "starter long, n long").groupBy("starter").agg(F.sum("n").alias("n"))
+    frequent = np.sort(starters.where(F.col("n") >= least).select("starter").toPandas()["starter"].to_numpy(np.int64).view(np.uint64))
+    shared = spark.sparkContext.broadcast(frequent)
+    follows = learning.select("text").mapInArrow(_count_next(shared), "context long, token long, n long")
+    follows = follows.groupBy("context", "token").agg(F.sum("n").alias("n"))
+    often = stored(follows.withColumn("times", F.expr("sum(n) OVER (PARTITION BY context)")).where(F.col("times") >= least), "contexts")
+    kept = often.where(F.col("n") >= F.col("times") * NEXT_SHARE)
+    # At most LONGEST / MIN_SHARE contexts with 1 / NEXT_SHARE next tokens each, and in fact far fewer.
+    base = tokens.join(F.broadcast(kept.select(F.col("token").alias("word")).distinct()), "word").select("word", F.col("n").alias("c"))
+    rows = kept.toPandas()
+    of = base.toPandas().set_index("word")["c"].to_dict()
+    of[int(_END.view(np.int64))] = n_ends
+    chance = np.array([of.get(w, 0) + 1 for w in rows["token"]], float) / (n_train + n_distinct + 1)
+    context, n, times = rows["context"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(float), rows["times"].to_numpy(float)
+    names, at = np.unique(context, return_inverse=True)
+    gain = np.bincount(at, n * np.log(n / np.maximum(times, 1) / chance), len(names))
+    number = np.bincount(at, minlength=len(names))
+    stays = gain > COST * number
+    of_context = np.zeros(len(names))
+    of_context[at] = times
+    kept_sum = np.bincount(at, n, len(names))
+    pair = mix(context, rows["token"].to_numpy(np.int64).view(np.uint64))[stays[at]]
+    order = np.argsort(pair)
+    return Tree(
+        frequent,
+        names[stays],
+        (of_context + number)[stays],
+        (of_context - kept_sum + number)[stays],
+        pair[order],
+        n[stays[at]][order],
+    )
 
 
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,24 +237,17 @@ def _scorer(tree, n_train: int, n_distinct: int, n_ends: int):
                     yield score(part, words[0], counts[0])
 
     def score(part: pa.RecordBatch, known: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        words = split_words(part.column("text"), lower=True)
-        hashes = word_hashes(words).view(np.int64)
-        at = np.searchsorted(known, hashes)
-        if len(hashes) and (at.max() >= len(known) or (known[at] != hashes).any()):
-            raise ValueError("the rows came in another order than before; pass fixed_order=False")
-        stream, tokens, begin = _stream(words)
-        docs = len(words.first) - 1
-        n_tokens = np.diff(words.first) + 1
-        bounds = np.append(0, np.cumsum(n_tokens))
-        count = np.full(bounds[-1], n_ends, np.int64)
-        is_word = np.ones(bounds[-1], bool)
+        tokens, bounds = _tokens(part.column("text"))
+        docs = len(bounds) - 1
+        is_word = np.ones(len(tokens), bool)
         is_word[bounds[1:] - 1] = False
-        count[is_word] = counts[at]
+        found, at = _among(tokens[is_word].view(np.int64), known)
+        if not found.all():
+            raise ValueError("the rows came in another order than before; pass fixed_order=False")
+        count = np.full(len(tokens), n_ends, np.int64)
+        count[is_word] = counts[at] if len(counts) else 0
         frequency = (count + 1) / (n_train + n_distinct + 1)
-        symbols = tree.value.symbols(stream[:-8]).astype(np.float64)
-        symbols[(begin[:, None] + np.arange(DEPTH)[None, :]).ravel()] = 0
-        of_tree = np.add.reduceat(symbols, tokens) if len(tokens) else np.zeros(0)
-        mixed = np.log10((1 - TREE_WEIGHT) * frequency + TREE_WEIGHT * np.power(10.0, of_tree))
+        scored = np.log10(tree.value.score(tokens, bounds, frequency))
 
         def sums(x: np.ndarray) -> np.ndarray:
             return np.add.reduceat(x, bounds[:-1]) if docs else x[:0]
@@ -267,11 +256,11 @@ def _scorer(tree, n_train: int, n_distinct: int, n_ends: int):
             [
                 part.column("doc_id"),
                 part.column("held_out"),
-                pa.array(n_tokens.astype(np.int64)),
+                pa.array(np.diff(bounds).astype(np.int64)),
                 pa.array(sums((count > 0).astype(np.int64))),
                 pa.array(np.full(docs, n_train, np.int64)),
                 pa.array(sums(np.log10(frequency))),
-                pa.array(sums(mixed)),
+                pa.array(sums(scored)),
             ],
             [f.split()[0] for f in RESULT.split(", ")],
         )
@@ -289,20 +278,21 @@ def score_texts(docs: DataFrame, fixed_order: bool = False) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id")).alias("held_out"))
     docs = docs.withColumn("block", F.expr(f"monotonically_increasing_id() DIV {BLOCK}"))
     docs = docs if fixed_order else stored(docs, "documents")
-    learning = docs.where("NOT held_out")
-    tree = spark.sparkContext.broadcast(learn_tree(learning))
     own = docs.select("block", "text", "held_out").mapInArrow(_vocabulary, "block long, word long, n long")
     # A token has one row per block that has it.
     summed = own.selectExpr(
         "block", "word", "sum(n) OVER (PARTITION BY word) AS n", "block = min(block) OVER (PARTITION BY word) AS once"
     )
     tokens = stored(summed, "tokens")
+    learning = docs.where("NOT held_out")
     ends = learning.count()
     of = tokens.where("once").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("distinct")).first()
+    numbers = (of.n + ends, of.distinct + (ends > 0), ends)
+    tree = spark.sparkContext.broadcast(learn_tree(learning, tokens.where("once AND n > 0").select("word", "n"), *numbers))
     null = F.lit(None)
     lookups = tokens.select(
         "block", F.lit(0).alias("is_text"), "word", "n", null.cast("long").alias("doc_id"), null.cast("boolean").alias("held_out"), null.cast("string").alias("text")
     )
     texts = docs.select("block", F.lit(1).alias("is_text"), null.cast("long").alias("word"), null.cast("long").alias("n"), "doc_id", "held_out", "text")
     met = lookups.union(texts).repartition("block").sortWithinPartitions("block", "is_text", "word")
-    return met.mapInArrow(_scorer(tree, of.n + ends, of.distinct + (ends > 0), ends), RESULT)
+    return met.mapInArrow(_scorer(tree, *numbers), RESULT)

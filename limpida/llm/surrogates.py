@@ -57,7 +57,7 @@ ENTITY = re.compile(
     |(?<![\w.])(?P<iban>[A-Z]{{2}}\d\d(?:\x20?[A-Z0-9]{{4}}){{2,7}}(?:\x20?[A-Z0-9]{{1,3}})?)(?!\w)
     |(?<![\w.])(?P<ip>(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){{3}})(?![\w]|\.\d)
     |(?<![\w.-])(?P<ssn>\d{{3}}-\d\d-\d{{4}})(?![\w-])
-    |(?<![\w.])(?P<card>[3-6]\d{{3}}(?:[\x20-]?\d{{4}}){{2}}[\x20-]?\d{{1,7}})(?!\w)
+    |(?<![\w.])(?P<card>[2-6]\d{{3}}(?:[\x20-]?\d{{4}}){{2}}[\x20-]?\d{{1,7}})(?!\w)
     |(?<![\w.])(?P<phone>(?:\+\d{{1,3}}[\x20.-]?)?(?:\(\d{{2,5}}\)|\d{{2,5}})(?:[\x20./-]\d{{2,5}}){{1,4}}|\+\d{{8,15}})(?!\w)
     |(?<!\w)(?P<title>{_TITLE})\.?\x20+(?P<name>{_NAME}(?:\x20{_NAME}){{0,2}})""",
     re.X,
