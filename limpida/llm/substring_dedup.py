@@ -34,11 +34,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from limpida.llm.tables import stored
-from limpida.llm.words import Words, chunks, run_hashes, split_words, word_hashes
+from limpida.llm.words import chunks, run_hashes, split_words, word_hashes
 from limpida.session import scratch_dir
 
 LENGTH = 20
@@ -131,44 +132,47 @@ def repeated_anchors(docs: DataFrame) -> DataFrame:
     return stored(known.select("anchor", "row", "windows", F.when(F.col("times") > 0, F.col("total")).otherwise(0).alias("times")), "anchors")
 
 
-_RUNS = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("row", pa.int64()), ("start", pa.int32()), ("number", pa.int32()), ("run", pa.string())])
-RUNS = "key long, doc long, row long, start int, number int, run string"
-
-
-def _joined(words: Words, lo: int, hi: int) -> bytes:
-    """Words lo to hi with single blanks between them."""
-    return b" ".join([words.data[a:b].tobytes() for a, b in zip(words.starts[lo:hi].tolist(), words.ends[lo:hi].tolist(), strict=True)])
+_RUNS = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("row", pa.int64()), ("start", pa.int32()), ("number", pa.int32()), ("run", pa.binary())])
+RUNS = "key long, doc long, row long, start int, number int, run binary"
 
 
 def _runs(hot: frozenset[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         out: list[tuple] = []
+
+        def known(text: bytes) -> tuple[bool, bytes]:
+            """Whether an equal run was there before, so that all its windows repeat."""
+            digest = hashlib.blake2b(text, digest_size=12).digest()
+            again = digest in seen
+            seen.add(digest)
+            return again, digest
+
         for whole in batches:
             for batch in chunks(iter([whole]), "text"):
-                words = split_words(batch.column("text"))
-                hashes = word_hashes(words)
-                docs, rows = batch.column("doc").to_pylist(), batch.column("row").to_pylist()
-                found = batch.column("found").to_pylist()
-                for t, list_of in enumerate(found):
-                    base = int(words.first[t])
-                    for item in sorted(list_of or (), key=lambda x: x["windows"]):
-                        start, number = item["windows"] >> 8, item["windows"] & 255
-                        parts = [(start, number)]
-                        if item["anchor"] in hot:
-                            parts = [(start + n, 1) for n in range(number)]
-                        for lo, n in parts:
-                            text = _joined(words, base + lo, base + lo + n - 1 + LENGTH)
-                            digest = hashlib.blake2b(text, digest_size=12).digest()
-                            again = digest in seen
-                            seen.add(digest)
-                            if item["anchor"] in hot:
-                                key = int(run_hashes(hashes[base + lo : base + lo + LENGTH], LENGTH).view(np.int64)[0])
-                            else:
-                                key = item["anchor"]
-                            if again:  # an equal run was there before, so all its windows repeat
-                                key = int.from_bytes(digest[:7], "little") ^ rows[t]
-                            out.append((key, docs[t], rows[t], lo, n, None if again else text.decode("utf-8", "surrogatepass")))
+                found = batch.column("found")
+                bounds = np.append(0, np.cumsum(pc.list_value_length(found).to_numpy(zero_copy_only=False))).tolist()
+                items = found.flatten()
+                windows, anchors = items.field("windows").to_numpy(), items.field("anchor").to_numpy()
+                docs, rows, texts = (batch.column(c).to_pylist() for c in ("doc", "row", "text"))
+                for t, text in enumerate(texts):
+                    words = text.encode().split()  # bytes are split at the same six blanks
+                    doc, row, part = docs[t], rows[t], slice(bounds[t], bounds[t + 1])
+                    order = np.argsort(windows[part])
+                    for window, anchor in zip(windows[part][order].tolist(), anchors[part][order].tolist(), strict=True):
+                        start, number = window >> 8, window & 255
+                        joined = b" ".join(words[start : start + number - 1 + LENGTH])
+                        again, digest = known(joined)
+                        if again:
+                            out.append((int.from_bytes(digest[:7], "little") ^ row, doc, row, start, number, None))
+                        elif anchor not in hot:
+                            out.append((anchor, doc, row, start, number, joined))
+                        else:
+                            for at in range(start, start + number):
+                                joined = b" ".join(words[at : at + LENGTH])
+                                again, digest = known(joined) if number > 1 else (False, digest)
+                                key = int.from_bytes(digest[:8], "little", signed=True)
+                                out.append((key ^ row if again else key, doc, row, at, 1, None if again else joined))
                 if len(out) > 20_000:
                     yield _batch(out)
                     out.clear()
@@ -200,15 +204,15 @@ class SuffixAutomaton:
         self.first.append(first)
         return len(self.next) - 1
 
-    def _clone(self, p: int, q: int, word: str) -> int:
-        copy = self._new(dict(self.next[q]), self.link[q], self.length[p] + 1, (_LAST, _LAST, 0))
+    def _clone(self, p: int, q: int, word: bytes) -> int:
+        copy = self._new(self.next[q].copy(), self.link[q], self.length[p] + 1, (_LAST, _LAST, 0))
         while p >= 0 and self.next[p].get(word) == q:
             self.next[p][word] = copy
             p = self.link[p]
         self.link[q] = copy
         return copy
 
-    def add(self, words: list[str], doc: int, row: int, start: int) -> None:
+    def add(self, words: list[bytes], doc: int, row: int, start: int) -> None:
         last = 0
         for end, word in enumerate(words, start + 1):
             here = (doc, row, end)
@@ -237,7 +241,7 @@ class SuffixAutomaton:
             if self.first[state] < self.first[up]:
                 self.first[up] = self.first[state]
 
-    def repeats(self, words: list[str], doc: int, row: int, start: int) -> list[int]:
+    def repeats(self, words: list[bytes], doc: int, row: int, start: int) -> list[int]:
         """Starts of the windows of ``words`` whose earliest occurrence is before this one."""
         state, size, out = 0, 0, []
         for end, word in enumerate(words, start + 1):
@@ -263,7 +267,7 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def work() -> None:
         automaton = SuffixAutomaton()
-        split = [(r[5].split(" "), r[1], r[2], r[3]) for r in shard]
+        split = [(r[5].split(b" "), r[1], r[2], r[3]) for r in shard]
         for item in split:
             automaton.add(*item)
         automaton.finish()
