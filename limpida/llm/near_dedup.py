@@ -12,8 +12,8 @@ confirmed on the full shingle sets.
    it shares most buckets with: one link per class, confirmed on full texts. That settles nearly all.
 3. Buckets whose members are still in different components are compared in blocks of bounded size, by
    sketches, in whole arrays; a large bucket is split into pairs of blocks, so no group is gathered in
-   one task and no pairs are emitted but those that the sketches call similar. They are confirmed
-   too: first the best per class and foreign component, then whatever is still apart.
+   one task. Members with a similar partner meet again in their blocks with their texts; there pairs
+   are confirmed on full sets, and only links that connect two components are handed on.
 
 With 32 bands of 4 a pair at similarity 0.75 is missed with probability 5e-6, and less above; the
 sketch bound lies five standard deviations below 0.75.
@@ -94,13 +94,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def estimate(differing: Column) -> Column:
-    """Similarity from the number of differing bits of two odd sketches."""
-    left = F.greatest(F.lit(1e-9), 1 - 2 * differing / SKETCH_BITS)
-    return 1 + SKETCH_BITS / (4 * MINHASHES) * F.log(left)
-
-
-#: Differing bits at the sketch bound.
+#: Differing bits at the sketch bound: d samples differ in 2d pairs, which leave n / 2 (1 - exp(-4d / n)) odd bits.
 MOST_BITS = int(SKETCH_BITS / 2 * (1 - np.exp((SKETCH_FROM - 1) * 4 * MINHASHES / SKETCH_BITS)))
 
 
@@ -108,22 +102,25 @@ def _differing(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose full sets are similar enough."""
+def _sets(texts: pa.Array) -> list[np.ndarray]:
+    words = split_words(texts, lower=True)
+    values, bounds = shingles(word_hashes(words), words.first, SHINGLE)
+    return [np.unique(values[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
-    def sets(texts: pa.Array) -> list[np.ndarray]:
-        words = split_words(texts, lower=True)
-        values, bounds = shingles(word_hashes(words), words.first, SHINGLE)
-        return [np.unique(values[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
+def _alike(x: np.ndarray, y: np.ndarray) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both > 0 and 100 * both >= AT_LEAST * (len(x) + len(y) - both)
+
+
+def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose full sets are similar enough."""
     for whole in batches:
         for batch in chunks(iter([whole]), "text_a"):
             for lo in range(0, batch.num_rows, 200):
                 part = batch.slice(lo, 200)
-                good = []
-                for x, y in zip(sets(part.column("text_a")), sets(part.column("text_b")), strict=True):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    good.append(100 * both >= AT_LEAST * (len(x) + len(y) - both) and both > 0)
+                sets = zip(_sets(part.column("text_a")), _sets(part.column("text_b")), strict=True)
+                good = [_alike(x, y) for x, y in sets]
                 yield part.select(["a", "b"]).filter(pa.array(good))
 
 
@@ -135,51 +132,69 @@ def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return stored(second.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long"), "confirmed-links")
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Similar pairs of each (bucket, i, j) of rows sorted by it: within a block if i = j, else between two."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each (bucket, i, j), from rows sorted by it."""
     rest: pa.Table | None = None
-
-    def pairs(group: pa.Table) -> pa.RecordBatch:
-        get = lambda c: group.column(c).to_numpy()
-        ids, comp, size, own = get("id"), get("component"), get("n"), get("block")
-        sketch = group.column("sketch").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-        x = np.flatnonzero(own == group.column("i")[0].as_py())
-        y = np.flatnonzero(own == group.column("j")[0].as_py())
-        out = [np.zeros((3, 0), np.int64)]
-        for at in x:
-            other = y[(comp[y] != comp[at]) & (ids[y] != ids[at])]
-            other = other[(100 * np.minimum(size[other], size[at]) >= AT_LEAST * np.maximum(size[other], size[at]))]
-            bits = np.bitwise_count(sketch[other] ^ sketch[at]).sum(1, dtype=np.int64)
-            near = bits <= MOST_BITS
-            out.append(np.stack([np.full(near.sum(), ids[at]), ids[other[near]], bits[near]]))
-        a, b, bits = np.concatenate(out, axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(bits)], ["a", "b", "bits"])
-
-    def cut(table: pa.Table, last: bool) -> Iterator[pa.RecordBatch | pa.Table]:
-        keys = np.stack([table.column(c).to_numpy() for c in ("bucket", "i", "j")])
-        edges = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist()]
-        ends = [*edges[1:], table.num_rows]
-        for lo, hi in list(zip(edges, ends, strict=True))[: None if last else -1]:
-            yield pairs(table.slice(lo, hi - lo))
-        if not last:
-            yield table.slice(edges[-1])
-
     for batch in batches:
         table = pa.Table.from_batches([batch])
         table = pa.concat_tables([rest, table]) if rest is not None else table
         if not table.num_rows:
             continue
-        for out in cut(table, False):
-            if isinstance(out, pa.Table):
-                rest = out
-            else:
-                yield out
-    if rest is not None and rest.num_rows:
-        yield from cut(rest, True)
-
-
-def _similar_apart(members: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a, b, bits) that share a bucket, are in different components, and whose sketches are similar."""
+        keys = np.stack([table.column(c).to_numpy() for c in ("bucket", "i", "j")])
+        edges = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist()]
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            yield table.slice(lo, hi - lo)
+        rest = table.slice(edges[-1])
+    if rest is not None:
+        yield rest
+
+
+def _similar(group: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of block i, each with the rows of block j in other components with a similar sketch."""
+    ids, comp, size, own = (group.column(c).to_numpy() for c in ("id", "component", "n", "block"))
+    sketch = group.column("sketch").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+    y = np.flatnonzero(own == group.column("j")[0].as_py())
+    for at in np.flatnonzero(own == group.column("i")[0].as_py()):
+        other = y[(comp[y] != comp[at]) & (100 * np.minimum(size[y], size[at]) >= AT_LEAST * np.maximum(size[y], size[at]))]
+        near = other[np.bitwise_count(sketch[other] ^ sketch[at]).sum(1, dtype=np.int64) <= MOST_BITS]
+        if len(near):
+            yield at, near
+
+
+def _with_partner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows that have a similar partner in their pair of blocks."""
+    for group in _groups(batches):
+        found = [np.append(near, at) for at, near in _similar(group)]
+        if found:
+            yield from group.take(np.unique(np.concatenate(found))).combine_chunks().to_batches()
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links that full sets confirm, of each pair of blocks no more than connect its components."""
+    for group in _groups(batches):
+        ids, comp = group.column("id").to_numpy(), group.column("component").to_numpy()
+        sets = _sets(group.column("text").combine_chunks())
+        root = {c: c for c in comp.tolist()}
+
+        def find(c: int) -> int:
+            while root[c] != c:  # noqa: B023
+                root[c] = c = root[root[c]]  # noqa: B023
+            return c
+
+        a, b = [], []
+        for at, near in _similar(group):
+            for other in near.tolist():
+                x, y = find(int(comp[at])), find(int(comp[other]))
+                if x != y and _alike(sets[at], sets[other]):
+                    root[x] = y
+                    a.append(max(ids[at], ids[other]))
+                    b.append(min(ids[at], ids[other]))
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _apart(docs: DataFrame, members: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Confirmed links (a, b) between members of a bucket that are in different components yet."""
     known = members.join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
     apart = known.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).where("x <> y")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
@@ -193,7 +208,10 @@ def _similar_apart(members: DataFrame, nodes: DataFrame, labels: DataFrame) -> D
         "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "n", "sketch"
     )
     met = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return met.mapInArrow(_compare, "a long, b long, bits long").groupBy("a", "b").agg(F.first("bits").alias("bits"))
+    paired = stored(met.mapInArrow(_with_partner, dealt.schema), "paired")
+    texts = docs.select(F.col("doc_id").alias("id"), "text")
+    met = paired.join(texts, "id").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return stored(met.mapInArrow(_linked, "a long, b long").distinct(), "confirmed-links")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -218,25 +236,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         first.join(sketches.toDF("a", "sketch_a"), "a").join(sketches.toDF("b", "sketch_b"), "b")
         .where(_differing("sketch_a", "sketch_b") <= MOST_BITS).select("a", "b")
     )
-    tested = stored(similar, "candidates")
-    links = confirmed(docs, tested)
+    links = confirmed(docs, similar)
     labels = components(links)
-    for best_only in (True, False):
-        apart = stored(_similar_apart(members.select("bucket", "id"), nodes, labels).join(tested, ["a", "b"], "left_anti"), "candidates")
-        if best_only:
-            side = F.coalesce("component", "b").alias("foreign")
-            apart = (
-                apart.join(labels.withColumnRenamed("id", "b"), "b", "left").groupBy("a", side)
-                .agg(F.min(F.struct("bits", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-            )
-        new = stored(apart.select("a", "b"), "candidates")
-        if new.isEmpty():
-            break
-        tested = tested.union(new)
-        found = confirmed(docs, new)
-        if not found.isEmpty():
-            links = links.union(found)
-            labels = components(links)
+    more = _apart(docs, members.select("bucket", "id"), nodes, labels)
+    if not more.isEmpty():
+        labels = components(links.union(more))
 
     classed = signed.select("doc_id", "n_shingles", "set_digest").join(classes, "set_digest", "left")
     own = F.coalesce("component", "class_id", "doc_id")
