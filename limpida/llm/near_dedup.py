@@ -219,7 +219,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stored(docs.mapInArrow(_signatures, SIGNATURE), "minhash")
     some = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = some.groupBy("set_digest").agg(F.min("doc_id").alias("class_id"))
+    classes = stored(some.groupBy("set_digest").agg(F.min("doc_id").alias("class_id")), "classes")
     nodes = (
         some.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")
         .select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch", "bands")
