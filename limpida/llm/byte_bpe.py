@@ -27,8 +27,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 #: Deterministic states, and whole pieces of text, that a worker remembers before it begins anew.
-MAX_STATES = 100_000
-MAX_PIECES = 300_000
+MAX_STATES = 200_000
+MAX_PIECES = 500_000
+
+_NEVER = 1 << 60
 
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -46,6 +48,7 @@ class Transducer:
         self.step_of: dict[int, int] = {}
         self.token_at = [-1]
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.edges: dict[int, tuple[list, list]] = {}
         for token, rank in ranks.items():
             if len(token) == 1 or self._merged(token) == [rank]:
                 node = 0
@@ -56,6 +59,7 @@ class Transducer:
                         node = self.step_of[key] = len(self.token_at)
                         self.token_at.append(-1)
                 self.token_at[node] = rank
+        self.inner = {key >> 8 for key in self.step_of}
         self._forget()
 
     def _forget(self) -> None:
@@ -70,44 +74,91 @@ class Transducer:
             self.states.append(pairs)
         return self.number[pairs]
 
-    def _merged(self, data: bytes) -> list[int]:
-        """Merging by rank, for the compilation: the lowest rank first, ties from the left."""
+    def _merged(self, data: bytes, lefts: list | None = None, rights: list | None = None) -> list[int]:
+        """Merging by rank, for the compilation: the lowest rank first, ties from the left.
+
+        ``lefts`` and ``rights`` get each first and last part with the rank at which it was merged away.
+        """
         parts = [data[i : i + 1] for i in range(len(data))]
         while len(parts) > 1:
-            ranked = [(self.ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False))]
-            rank, i = min(ranked)
-            if rank == 1 << 60:
+            rank, i = min((self.ranks.get(a + b, _NEVER), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+            if rank == _NEVER:
                 break
+            if lefts is not None and i == 0:
+                lefts.append((parts[0], rank))
+            if rights is not None and i == len(parts) - 2:
+                rights.append((parts[-1], rank))
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        if lefts is not None and rights is not None:
+            lefts.append((parts[0], _NEVER))
+            rights.append((parts[-1], _NEVER))
         return [self.ranks[p] for p in parts]
 
+    def _edges(self, token: int) -> tuple[list, list]:
+        """What a token's first and last part are while it is merged, each until which rank."""
+        if token not in self.edges:
+            lefts: list = []
+            rights: list = []
+            self._merged(self.bytes_of[token], lefts, rights)
+            self.edges[token] = lefts, rights
+        return self.edges[token]
+
     def _may_follow(self, a: int, b: int) -> bool:
+        """Whether no merge crosses from a to b before either is whole.
+
+        Ranks only grow while a text is merged, so rank is time: the last part of a and the first of b
+        meet if both are there at once, and merge if that comes before each is merged inside its token.
+        Equal ranks go from the left: a's own merge before the crossing one, that before b's.
+        """
         key = (a, b)
-        if key not in self.pairs:
-            if len(self.pairs) > 20 * MAX_STATES:
+        known = self.pairs.get(key)
+        if known is None:
+            if len(self.pairs) > 10 * MAX_STATES:
                 self.pairs.clear()
-            self.pairs[key] = self._merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
-        return self.pairs[key]
+            known, since_a, ranks = True, -1, self.ranks
+            for last, until_a in self._edges(a)[1]:
+                since_b = -1
+                for first, until_b in self._edges(b)[0]:
+                    if since_a <= until_b and since_b <= until_a:
+                        rank = ranks.get(last + first, _NEVER)
+                        if rank < until_a and rank <= until_b and rank != _NEVER:
+                            known = False
+                    since_b = until_b
+                since_a = until_a
+            self.pairs[key] = known
+        return known
 
     def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """The next deterministic state, and the tokens that are certain now."""
+        """The next deterministic state, and the tokens that are certain now.
+
+        Pairs stand in the order in which their begun tokens start, so equal sets are equal tuples. The
+        bytes so far have one encoding, so at most one pair completes a token that may follow its last.
+        """
         alive = []
+        whole = None
+        get, token_at = self.step_of.get, self.token_at
         for last, node, held in self.states[state]:
-            to = self.step_of.get(node << 8 | byte)
+            to = get(node << 8 | byte)
             if to is None:
                 continue
-            alive.append((last, to, held))
-            token = self.token_at[to]
-            if token >= 0 and (last < 0 or self._may_follow(last, token)):
-                alive.append((token, 0, (*held, token)))
-        agreed = 0
+            if to in self.inner:
+                alive.append((last, to, held))
+            if whole is None and (token := token_at[to]) >= 0 and (last < 0 or self._may_follow(last, token)):
+                whole = (token, 0, (*held, token))
+        if whole is not None:
+            alive.append(whole)
         first = alive[0][2]
-        if all(held for _, _, held in alive):
-            shortest = min(len(held) for _, _, held in alive)
-            while agreed < shortest and all(held[agreed] == first[agreed] for _, _, held in alive):
-                agreed += 1
-        out = first[:agreed]
-        return self._state(tuple(sorted((a, b, held[agreed:]) for a, b, held in alive))), out
+        agreed = len(first)
+        for _, _, held in alive:
+            if not agreed:
+                break
+            if held[:agreed] != first[:agreed]:
+                agreed = min(agreed, len(held))
+                while held[:agreed] != first[:agreed]:
+                    agreed -= 1
+        if not agreed:
+            return self._state(tuple(alive)), ()
+        return self._state(tuple([(a, b, held[agreed:]) for a, b, held in alive])), first[:agreed]
 
     def encode(self, data: bytes) -> list[int]:
         """The ids of one piece of text."""
