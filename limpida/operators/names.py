@@ -16,11 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from limpida.functions import spans
-from limpida.functions.text import truncate_chars
-from limpida.options import CleaningOptions
 
 FOUND_TYPE = "array<struct<label:string,span_start:int,span_end:int,value:string>>"
-MAX_WORDS = 3
 MAX_LITERAL_NAMES = 20_000
 SALTS = 16
 
@@ -83,6 +80,7 @@ def _cut_up(text: Column) -> Column:
 def literal_finder(names: Sequence[str], organisations: Sequence[str]) -> Finder:
     """Finder for a dictionary small enough to be part of the plan (a hash set per task)."""
     people, firms = list(names), list(organisations)
+    longest = max((n.count(" ") + 1 for n in people + firms), default=1)
 
     def label(phrase: Column) -> Column:
         result = F.when(F.lit(False), F.lit(None).cast("string"))
@@ -95,7 +93,7 @@ def literal_finder(names: Sequence[str], organisations: Sequence[str]) -> Finder
     def find(text: Column) -> Column:
         def hits(cut: Column) -> Column:
             labelled = F.transform(
-                _phrases(cut["words"], cut["gaps"], MAX_WORDS),
+                _phrases(cut["words"], cut["gaps"], longest),
                 lambda p: F.struct(
                     p["word_no"].alias("word_no"),
                     p["n_words"].alias("n_words"),
@@ -112,11 +110,11 @@ def literal_finder(names: Sequence[str], organisations: Sequence[str]) -> Finder
     return find
 
 
-def dictionary_finder(dictionary: DataFrame) -> Finder | None:
-    """A literal finder when the dictionary is proven small, else None.
+def dictionary_finder(dictionary: DataFrame) -> Finder:
+    """A literal finder when the dictionary is proven small, else an error.
 
-    At most ``MAX_LITERAL_NAMES`` + 1 rows come to the driver; a larger dictionary goes
-    through ``find_by_join``.
+    At most ``MAX_LITERAL_NAMES`` + 1 rows come to the driver; for a larger dictionary use
+    ``find_by_join``.
     """
     rows = (
         dictionary.select(F.lower("name").alias("name"), "label")
@@ -125,7 +123,7 @@ def dictionary_finder(dictionary: DataFrame) -> Finder | None:
         .collect()
     )
     if len(rows) > MAX_LITERAL_NAMES:
-        return None
+        raise ValueError(f"more than {MAX_LITERAL_NAMES} names: use find_by_join")
     return literal_finder(
         sorted(r["name"] for r in rows if r["label"] == "NAME"),
         sorted(r["name"] for r in rows if r["label"] == "ORG"),
@@ -146,9 +144,11 @@ def find_by_join(
     """Find dictionary names of any number by a join, several text columns at once.
 
     ``texts`` maps output columns to text columns; ``key`` is unique per row. Only short
-    phrases are shuffled, never texts. A name in a third of all phrases does not pile up
+    phrases are shuffled; texts are, for the last join. A name in a third of all phrases does not pile up
     in one task: phrases carry a salt and the dictionary is repeated once per salt.
     """
+    words = F.size(F.split(F.col("name"), " "))
+    longest = dictionary.agg(F.max(words)).first()[0] or 1
     phrases = df.select(
         key,
         F.explode(
@@ -157,7 +157,7 @@ def find_by_join(
                     F.transform(
                         spans.let(
                             _cut_up(F.coalesce(F.col(column), F.lit(""))),
-                            lambda cut: _phrases(cut["words"], cut["gaps"], MAX_WORDS),
+                            lambda cut: _phrases(cut["words"], cut["gaps"], longest),
                         ),
                         _labelled(out),
                     )
@@ -234,8 +234,3 @@ def model_finder(find: Callable[[str], Sequence[tuple[str, int, int]]]) -> Finde
         )
 
     return finder
-
-
-def search_text(text: Column, options: CleaningOptions) -> Column:
-    """The part of a text that names are searched in (a fixed bound, by characters)."""
-    return truncate_chars(text, options.max_body_chars)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from limpida.functions import body, headers as hd, html, mime, pii
 from limpida.functions.patterns import PERSONAL_HEADERS
 from limpida.functions.spans import once
 from limpida.operators import canonical, validate
-from limpida.operators.names import Finder, search_text
+from limpida.operators.names import Finder
 from limpida.options import CleaningOptions, PiiMode
 
 UNKNOWN_SENDER = "[PII_EMAIL]"  # fixed value
@@ -17,6 +19,11 @@ NO_BODY = "[BODY UNAVAILABLE]"  # fixed value
 ERROR_MARK = "[ERROR]"  # fixed value
 
 
+#: Stands in for a header field in which names could not be looked for.
+WITHHELD = "[PII_UNCHECKED]"
+NAMES_FAILED = "pii: name detection failed"
+
+
 def with_bodies(messages: DataFrame) -> DataFrame:
     """Add ``plain_body``, ``html_body`` and ``body_source``.
 
@@ -66,7 +73,10 @@ def with_merged_body(messages: DataFrame) -> DataFrame:
 def with_redacted_headers(
     messages: DataFrame, options: CleaningOptions, out: str, finder: Finder | None = None
 ) -> DataFrame:
-    """Redact the personal header fields; in the other modes headers pass unchanged."""
+    """Redact the personal header fields; in the other modes headers pass unchanged.
+
+    A field that the finder fails on is withheld, and ``<out>_failed`` is true for its row.
+    """
     if options.pii_mode is not PiiMode.REDACT:
         return messages.withColumn(out, F.col("headers"))
     if finder is None:
@@ -86,9 +96,9 @@ def with_redacted_headers(
         new = F
         for name in PERSONAL_HEADERS:
             column = f"__header_{name}"
-            new = new.when(
-                key == name, pii.redact(f"`{column}`", f"`{column}_hits`")
-            )
+            failed = F.col(f"`{column}_found`").isNull()
+            redacted = pii.redact(f"`{column}`", f"`{column}_hits`")
+            new = new.when(key == name, F.when(failed, F.lit(WITHHELD)).otherwise(redacted))
         return F.coalesce(new.otherwise(old), old)
 
     return (
@@ -96,10 +106,15 @@ def with_redacted_headers(
         .withColumns(found)
         .withColumns(hits)
         .withColumn(out, F.transform_values(F.col("headers"), value))
+        .withColumn(f"{out}_failed", _any(*(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}_found`").isNull() for c in values)))
         .drop(*values, *found, *hits)
     )
 
 
+def _any(*conditions: Column) -> Column:
+    return reduce(lambda a, b: a | b, conditions)
+
+
 def _version(options: CleaningOptions) -> Column:
     names = (
         "parser_version",
@@ -129,8 +144,8 @@ def build_documents(
 ) -> DataFrame:
     """Clean every message. Rows stay rows: no shuffle, and nothing is lost.
 
-    Messages that fail validation become error documents (``status`` = 'rejected'). With
-    ``safe``, messages that lose a stage are kept at a lower ``processing_level`` instead:
+    Messages that fail validation become error documents (``status`` = 'rejected'); those on
+    which the finder fails, in the body or a header, are withheld ('quarantined'). With ``safe``, messages that lose a stage are kept at a lower ``processing_level`` instead:
     without names, without canonical text, or with no body at all. Every level redacts.
     """
     if safe:
@@ -150,6 +165,12 @@ def build_documents(
     df = _with_level(df) if safe else df.withColumn("processing_level", F.lit("full"))
     df = _with_redacted_body(df, options, names)
     df = with_redacted_headers(df, options, "__headers", finder)
+    if finder is not None and not safe and options.pii_mode is not PiiMode.DISABLED:
+        failed = F.col("ner_status") == "failed"
+        if "__headers_failed" in df.columns:
+            failed = failed | F.col("__headers_failed")
+        reason = F.when(failed, F.lit(NAMES_FAILED))
+        df = df.withColumn("reject_reason", F.coalesce("reject_reason", reason))
     return _assemble(df, options)
 
 
@@ -158,7 +179,7 @@ def _with_names(
 ) -> tuple[str | None, DataFrame]:
     if finder is None or options.pii_mode is PiiMode.DISABLED:
         return None, df.withColumn("ner_status", F.lit("off"))
-    df = df.withColumn("__found", finder(search_text(F.col("__canonical"), options)))
+    df = df.withColumn("__found", finder(F.col("__canonical")))
     return "__found", df.withColumn(
         "ner_status", F.when(F.col("__found").isNull(), "failed").otherwise("ok")
     )
@@ -168,7 +189,8 @@ def _with_level(df: DataFrame) -> DataFrame:
     """Choose the level, and with it the text that is searched for personal data."""
     df = df.withColumn("processing_level", _level())
     full, minimal = F.col("processing_level") == "full", F.col("processing_level") == "minimal"
-    given = F.coalesce(F.col("body_text"), F.lit(""))
+    # A message that came raw has its body only there.
+    given = F.coalesce(F.when(F.col("body_text") != "", F.col("body_text")), F.col("merged_body"), F.lit(""))
     return df.withColumns(
         {
             "__canonical": F.when(full, F.col("__canonical"))
@@ -263,7 +285,7 @@ def _assemble(df: DataFrame, options: CleaningOptions) -> DataFrame:
         F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias(
             "processing_timestamp"
         ),
-        F.when(good, "ok").otherwise("rejected").alias("status"),
+        F.when(good, "ok").when(reason == NAMES_FAILED, "quarantined").otherwise("rejected").alias("status"),
         reason.alias("error"),
         "processing_level",
         "body_source",

@@ -44,12 +44,14 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new folder for tables that cut lineage and for stream checkpoints.
 
     On a cluster it lies under the shared folder of ``spark.checkpoint.dir``; only where
-    that is unset, as in tests, a temporary folder stands in.
+    that is unset on one machine, as in tests, a temporary folder stands in.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="limpida-")
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

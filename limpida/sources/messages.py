@@ -45,9 +45,7 @@ def files_to_messages(files: DataFrame) -> DataFrame:
             hd.split_addresses(hd.header(fields, "to")).alias("to_addrs"),
             hd.header(fields, "subject", DEFAULT_SUBJECT).alias("subject"),
             hd.header(fields, "date").alias("date"),
-            F.left(
-                F.coalesce(F.get(whole, F.lit(0))["content"], F.lit("")), F.lit(TEXT_CUT)
-            ).alias("body_text"),
+            F.coalesce(F.get(whole, F.lit(0))["content"], F.lit("")).alias("body_text"),
             F.lit("").alias("body_html"),
             F.col("length").alias("size"),
             fields.alias("headers"),

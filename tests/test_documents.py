@@ -81,6 +81,19 @@ def test_safe_levels(messages, options):
     assert rows["4"].body_text_canonical == "[BODY UNAVAILABLE]"
 
 
+def test_failed_names_are_withheld(messages, options):
+    def model(text):
+        raise MemoryError
+
+    named = messages.withColumn("body_text", F.lit("caro Mario Rossi"))
+    for rows in (by_uid(docs.build_documents(named, options, names.model_finder(model))),):
+        assert {r.status for r in rows.values()} <= {"quarantined", "rejected"}
+        assert rows["1"].status == "quarantined" and rows["1"].error == "pii: name detection failed"
+        assert not [r for r in rows.values() if "Mario" in str(r)]
+    safe = by_uid(docs.build_documents(messages, options, names.model_finder(model), safe=True))
+    assert not [r for r in safe.values() if "Mario" in str(r.headers_canonical) + r.from_addr_redacted]
+
+
 def test_write_read_and_quarantine(spark, messages, options, tmp_path):
     sinks.write_documents(docs.build_documents(messages, options), str(tmp_path / "d"))
     assert sinks.read_documents(spark, str(tmp_path / "d")).count() == 3

@@ -71,7 +71,7 @@ def test_message_files(spark, tmp_path):
     rows = {r.subject: r for r in src.read_message_files(spark, str(tmp_path)).collect()}
     assert set(rows) == {"città bella", "x"}
     assert rows["città bella"].to_addrs == ["a@x.it", "b@x.it"] and rows["città bella"].body_text.strip() == "perché"
-    assert len(rows["x"].body_text) == 2000 and rows["x"].message_id == "<unknown>" and rows["x"].size == 3012
+    assert len(rows["x"].body_text) == 3000 and rows["x"].message_id == "<unknown>" and rows["x"].size == 3012
 
 
 def test_ingestion_json(spark, tmp_path):

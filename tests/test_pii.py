@@ -1,6 +1,7 @@
 import hashlib
 from dataclasses import replace
 
+import pytest
 from pyspark.sql import functions as F
 
 import brute
@@ -86,7 +87,16 @@ def test_names_by_literals_join_and_model(spark, texts, options):
 def test_large_dictionary_is_not_collected(spark, monkeypatch):
     monkeypatch.setattr(names, "MAX_LITERAL_NAMES", 3)
     big = spark.range(5).selectExpr("concat('Nome', id) AS name", "'NAME' AS label")
-    assert names.dictionary_finder(big) is None
+    with pytest.raises(ValueError, match="find_by_join"):
+        names.dictionary_finder(big)
+
+
+def test_names_of_many_words(spark, texts):
+    dictionary = spark.createDataFrame([("maria grazia de santis", "NAME")], "name STRING, label STRING")
+    df = texts(["ciao Maria Grazia De Santis"])
+    literal = rows(df.withColumn("f", names.dictionary_finder(dictionary)(F.col("t"))), "f")[0][0]
+    joined = rows(names.find_by_join(df, "n", {"f": "t"}, dictionary), "f")[0][0]
+    assert [h.value for h in literal] == [h.value for h in joined] == ["Maria Grazia De Santis"]
 
 
 def test_name_confidence(texts, options):
