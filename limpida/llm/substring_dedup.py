@@ -359,6 +359,7 @@ def remove_repeats(docs: DataFrame, fixed_order: bool = False) -> DataFrame:
     runs = (
         texts.where("found IS NOT NULL")
         .select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), "row", "text", "found")
+        .sortWithinPartitions("doc", "row")  # of equal runs in a task, the first is the earliest
         .mapInArrow(_runs(hot), RUNS)
     )
     met = runs.repartition("key").sortWithinPartitions("key")
