@@ -27,8 +27,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 #: Deterministic states, and whole pieces of text, that a worker remembers before it begins anew.
-MAX_STATES = 200_000
-MAX_PIECES = 500_000
+MAX_STATES = 300_000
+MAX_PIECES = 800_000
 
 _NEVER = 1 << 60
 
