@@ -79,10 +79,12 @@ def fit_boundaries(text: str) -> str:
 
 def _original_values(hits: str, text: str) -> str:
     """Hits with their values cut from ``text`` again."""
-    return f"""transform({hits}, org -> named_struct('span_start', org.span_start, 'rank', org.rank,
+    value = spans.piece("org_wide", "org.span_start", "org.span_end - org.span_start")
+    cut = f"""transform({hits}, org -> named_struct('span_start', org.span_start, 'rank', org.rank,
         'span_end', org.span_end, 'type', org.type,
-        'value', substring({text}, org.span_start + 1, org.span_end - org.span_start),
+        'value', {value},
         'confidence', org.confidence, 'method', org.method))"""
+    return spans.bind("org_wide", spans.wide(text), cut)
 
 
 def regex_hits_sql(text: str, options: CleaningOptions) -> str:

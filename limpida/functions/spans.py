@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Items whose results are collected in one list, see ``fold``.
+BLOCK = 256
 MATCH_TYPE = "array<struct<span_start:int,span_end:int,value:string>>"
 
 
@@ -49,19 +51,47 @@ def gaps(text: Column, java_pattern: str) -> Column:
     return F.split(text, java_pattern, -1)
 
 
+def fold(tag: str, items: str, out_type: str, state: str, step: str, finish: str) -> str:
+    """Left fold that collects a list, in time linear in the number of items.
+
+    Appending copies the list, so one list would cost the square of its length. Blocks of
+    ``BLOCK`` items collect their own lists, which are joined at the end.
+
+    ``step`` is SQL text over ``{tag}_acc`` (fields ``out`` and ``state``) and ``{tag}_h``, the
+    item; ``finish`` is over ``{tag}_all`` (fields ``parts``, a list of lists, and ``state``).
+    """
+    block = f"""transform(
+        sequence({tag}_no * {BLOCK}, least(({tag}_no + 1) * {BLOCK}, size({tag}_items)) - 1),
+        {tag}_j -> get({tag}_items, {tag}_j))"""
+    body = f"""aggregate(
+        sequence(0, (size({tag}_items) - 1) div {BLOCK}),
+        named_struct('parts', CAST(array() AS array<array<{out_type}>>), 'state', {state}),
+        ({tag}_all, {tag}_no) -> aggregate(
+            {block},
+            named_struct('out', CAST(array() AS array<{out_type}>), 'state', {tag}_all.state),
+            ({tag}_acc, {tag}_h) -> {step},
+            {tag}_end -> named_struct(
+                'parts', array_append({tag}_all.parts, {tag}_end.out), 'state', {tag}_end.state)),
+        {tag}_all -> {finish})"""
+    return bind(f"{tag}_items", items, f"CASE WHEN size({tag}_items) > 0 THEN {body} END")
+
+
 def locate(found: str, between: str) -> str:
     """Give every match its span: gaps and matches alternate, so lengths add up."""
-    return f"""aggregate(
-        zip_with({found}, {between}, (loc_m, loc_g) -> struct(loc_m AS value, length(loc_g) AS gap)),
-        named_struct('pos', 0, 'out', CAST(array() AS {MATCH_TYPE})),
-        (loc_acc, loc_p) -> named_struct(
-            'pos', loc_acc.pos + loc_p.gap + coalesce(length(loc_p.value), 0),
-            'out', CASE WHEN loc_p.value IS NULL THEN loc_acc.out ELSE array_append(loc_acc.out,
+    return fold(
+        "loc",
+        f"zip_with({found}, {between}, (loc_m, loc_g) -> struct(loc_m AS value, length(loc_g) AS gap))",
+        "struct<span_start:int,span_end:int,value:string>",
+        "0",
+        """named_struct(
+            'out', CASE WHEN loc_h.value IS NULL THEN loc_acc.out ELSE array_append(loc_acc.out,
                 named_struct(
-                    'span_start', loc_acc.pos + loc_p.gap,
-                    'span_end', loc_acc.pos + loc_p.gap + length(loc_p.value),
-                    'value', loc_p.value)) END),
-        loc_acc -> loc_acc.out)"""
+                    'span_start', loc_acc.state + loc_h.gap,
+                    'span_end', loc_acc.state + loc_h.gap + length(loc_h.value),
+                    'value', loc_h.value)) END,
+            'state', loc_acc.state + loc_h.gap + coalesce(length(loc_h.value), 0))""",
+        "flatten(loc_all.parts)",
+    )
 
 
 def match_spans(text: str, java_pattern: str) -> str:
@@ -92,23 +122,40 @@ def merge_overlaps(hits: str, hit_type: str) -> str:
     keeps the first. This is no union of intervals: a hit that lost has no say in what
     comes next, so a window over gaps would give other results.
     """
-    apart = "(mrg_acc.cur.span_end <= mrg_h.span_start OR mrg_h.span_end <= mrg_acc.cur.span_start)"
+    apart = "(mrg_acc.state.span_end <= mrg_h.span_start OR mrg_h.span_end <= mrg_acc.state.span_start)"
     longer = (
-        "mrg_h.span_end - mrg_h.span_start > mrg_acc.cur.span_end - mrg_acc.cur.span_start"
+        "mrg_h.span_end - mrg_h.span_start > mrg_acc.state.span_end - mrg_acc.state.span_start"
     )
-    wins = f"""CASE WHEN mrg_h.method = mrg_acc.cur.method THEN {longer}
+    wins = f"""CASE WHEN mrg_h.method = mrg_acc.state.method THEN {longer}
         ELSE mrg_h.method = 'regex' END"""
-    return f"""CASE WHEN size({hits}) < 2 THEN {hits} ELSE aggregate(
-        array_sort({hits}),
-        named_struct('done', CAST(array() AS array<{hit_type}>), 'cur', CAST(NULL AS {hit_type})),
-        (mrg_acc, mrg_h) -> CASE
-            WHEN mrg_acc.cur IS NULL THEN named_struct('done', mrg_acc.done, 'cur', mrg_h)
+    merged = fold(
+        "mrg",
+        f"array_sort({hits})",
+        hit_type,
+        f"CAST(NULL AS {hit_type})",
+        f"""CASE
+            WHEN mrg_acc.state IS NULL THEN named_struct('out', mrg_acc.out, 'state', mrg_h)
             WHEN {apart} THEN
-                named_struct('done', array_append(mrg_acc.done, mrg_acc.cur), 'cur', mrg_h)
+                named_struct('out', array_append(mrg_acc.out, mrg_acc.state), 'state', mrg_h)
             ELSE named_struct(
-                'done', mrg_acc.done, 'cur', CASE WHEN {wins} THEN mrg_h ELSE mrg_acc.cur END)
-            END,
-        mrg_acc -> array_append(mrg_acc.done, mrg_acc.cur)) END"""
+                'out', mrg_acc.out, 'state', CASE WHEN {wins} THEN mrg_h ELSE mrg_acc.state END)
+            END""",
+        "array_append(flatten(mrg_all.parts), mrg_all.state)",
+    )
+    return f"CASE WHEN size({hits}) < 2 THEN {hits} ELSE {merged} END"
+
+
+def wide(text: str) -> str:
+    """Text in a coding with four bytes a character: cutting the text itself would walk from
+    its start for every piece."""
+    return f"encode({text}, 'UTF-32')"
+
+
+def piece(wide_text: str, start: str, length: str | None = None) -> str:
+    """Cut from ``wide`` text, to its end without ``length``. The mark put in front keeps the
+    piece's own first character from being read as one."""
+    size = "" if length is None else f", 4 * ({length})"
+    return f"decode(concat(X'0000FEFF', substring({wide_text}, 4 * ({start}) + 1{size})), 'UTF-32')"
 
 
 def replace_spans(text: str, hits: str, marker: str) -> str:
@@ -116,13 +163,10 @@ def replace_spans(text: str, hits: str, marker: str) -> str:
 
     ``marker`` is SQL text over ``rep_h``, the hit.
     """
-    return f"""CASE WHEN size({hits}) > 0 THEN aggregate(
-        {hits},
-        named_struct('pieces', CAST(array() AS array<string>), 'pos', 0),
-        (rep_acc, rep_h) -> named_struct(
-            'pieces', concat(rep_acc.pieces, array(
-                substring({text}, rep_acc.pos + 1, rep_h.span_start - rep_acc.pos), {marker})),
-            'pos', rep_h.span_end),
-        rep_acc -> array_join(
-            array_append(rep_acc.pieces, substring({text}, rep_acc.pos + 1)), ''))
-        ELSE {text} END"""
+    end = "coalesce(get(rep_hits, rep_i - 1).span_end, 0)"
+    pieces = f"""flatten(transform(rep_hits, (rep_h, rep_i) -> array(
+        {piece("rep_wide", end, f"rep_h.span_start - {end}")}, {marker})))"""
+    last = piece("rep_wide", "element_at(rep_hits, -1).span_end")
+    joined = bind("rep_hits", hits, f"array_join(array_append({pieces}, {last}), '')")
+    replaced = bind("rep_wide", wide(text), joined)
+    return f"CASE WHEN size({hits}) > 0 THEN {replaced} ELSE {text} END"

@@ -23,11 +23,17 @@ def _comparable(df: DataFrame, name: str) -> Column:
 
 
 def differing_rows(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows that do not occur equally often on both sides, with both counts."""
+    """Rows that do not occur equally often on both sides, with both counts.
+
+    ``columns`` are the key first, then what is compared; of these only a digest is shuffled
+    and returned, as column ``digest``.
+    """
+    key, *compared = columns
 
     def side(df: DataFrame, name: str) -> DataFrame:
         return df.select(
-            *(_comparable(df, c).alias(c) for c in columns),
+            key,
+            F.sha2(F.to_json(F.struct(*(_comparable(df, c).alias(c) for c in compared))), 256).alias("digest"),
             F.lit(int(name == "left")).alias("l"),
             F.lit(int(name == "right")).alias("r"),
         )
@@ -35,7 +41,7 @@ def differing_rows(left: DataFrame, right: DataFrame, columns: list[str]) -> Dat
     return (
         side(left, "left")
         .unionAll(side(right, "right"))
-        .groupBy(*columns)
+        .groupBy(key, "digest")
         .agg(F.sum("l").alias("n_left"), F.sum("r").alias("n_right"))
         .filter(F.col("n_left") != F.col("n_right"))
     )

@@ -19,7 +19,8 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def deduplicate_documents(documents: DataFrame) -> DataFrame:
     """First message per digest of the cleaned body. Run it on documents read back from a
-    table, so that cleaning is not part of the shuffle's lineage."""
+    table, so that cleaning is not part of the shuffle's lineage, and select before it the
+    columns that are needed: all columns given go through its sorts and its shuffle."""
     return keep_first(
         documents.filter(F.col("body_original_hash") != ""),
         ["body_original_hash"],

@@ -9,7 +9,8 @@ words, blind to case, with single spaces between; the text must start with a cap
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import uuid
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,6 +21,8 @@ from limpida.functions import spans
 FOUND_TYPE = "array<struct<label:string,span_start:int,span_end:int,value:string>>"
 MAX_LITERAL_NAMES = 20_000
 SALTS = 16
+#: Words whose lengths are added up at once, see ``_cut_up``.
+BLOCK = 256
 
 _WORD = r"[\p{L}\p{N}_]+"
 
@@ -57,12 +60,20 @@ def _phrases(words: Column, gaps: Column, max_words: int) -> Column:
     return F.flatten(F.transform(capitals, from_word))
 
 
-def _place(words: Column, gaps: Column, hit: Column) -> Column:
-    """Span and surface text of a phrase, from the lengths of what comes before it."""
-    before = F.length(F.array_join(F.slice(words, F.lit(1), hit["word_no"]), "")) + F.length(
-        F.array_join(F.slice(gaps, F.lit(1), hit["word_no"] + 1), "")
+def _place(cut: Column, hit: Column) -> Column:
+    """Span and surface text of a phrase: the length of the blocks before its own, then of the
+    words and gaps inside it."""
+    words, gaps, at = cut["words"], cut["gaps"], hit["word_no"]
+    block = F.floor(at / BLOCK).cast("int")
+    inside = F.when(at > block * BLOCK, F.sequence(block * BLOCK, at - 1)).otherwise(
+        F.array().cast("array<int>")
+    )
+    before = (
+        F.get(cut["starts"], block) + _total_length(words, gaps, inside) + F.length(F.get(gaps, at))
+    )
+    value = F.array_join(
+        F.transform(F.sequence(at, at + hit["n_words"] - 1), lambda i: F.get(words, i)), " "
     )
-    value = F.array_join(F.slice(words, hit["word_no"] + 1, hit["n_words"]), " ")
     return F.struct(
         hit["label"].alias("label"),
         before.alias("span_start"),
@@ -71,10 +82,44 @@ def _place(words: Column, gaps: Column, hit: Column) -> Column:
     )
 
 
+def _total_length(words: Column, gaps: Column, numbers: Column) -> Column:
+    """Characters of the words with these numbers and the gaps before them."""
+    return F.aggregate(
+        numbers,
+        F.lit(0),
+        lambda n, i: n + F.length(F.get(gaps, i)) + F.length(F.get(words, i)),
+    )
+
+
 def _cut_up(text: Column) -> Column:
-    return F.struct(
+    """Words, the gaps around them, and where every block of ``BLOCK`` words starts."""
+
+    def starts(words: Column, gaps: Column) -> Column:
+        def block(no: Column) -> Column:
+            last = F.least((no + 1) * BLOCK, F.size(words)) - 1
+            return _total_length(words, gaps, F.sequence(no * BLOCK, last))
+
+        numbers = F.sequence(F.lit(0), F.floor((F.size(words) - 1) / BLOCK).cast("int"))
+        return F.when(
+            F.size(words) > 0,
+            F.aggregate(
+                F.transform(numbers, block),
+                F.array(F.lit(0)),
+                lambda found, n: F.array_append(found, F.element_at(found, -1) + n),
+            ),
+        )
+
+    parts = F.struct(
         spans.matches(text, _WORD).alias("words"), spans.gaps(text, _WORD).alias("gaps")
     )
+    return spans.let(
+        parts,
+        lambda p: F.struct(
+            p["words"].alias("words"),
+            p["gaps"].alias("gaps"),
+            starts(p["words"], p["gaps"]).alias("starts"),
+        ),
+    )
 
 
 def literal_finder(names: Sequence[str], organisations: Sequence[str]) -> Finder:
@@ -102,7 +147,7 @@ def literal_finder(names: Sequence[str], organisations: Sequence[str]) -> Finder
             )
             return F.transform(
                 F.filter(labelled, lambda p: p["label"].isNotNull()),
-                lambda p: _place(cut["words"], cut["gaps"], p),
+                lambda p: _place(cut, p),
             )
 
         return spans.let(_cut_up(text), hits)
@@ -196,27 +241,68 @@ def find_by_join(
             F.struct(_cut_up(F.coalesce(F.col(column), F.lit(""))).alias("cut"), own.alias("own")),
             lambda x: F.transform(
                 F.array_sort(x["own"]),
-                lambda h: _place(x["cut"]["words"], x["cut"]["gaps"], h),
+                lambda h: _place(x["cut"], h),
             ),
         )
     return joined.withColumns(columns).drop("__names")
 
 
-def model_finder(find: Callable[[str], Sequence[tuple[str, int, int]]]) -> Finder:
-    """Finder around a model: ``find(text)`` gives ``(label, start, end)`` triples.
+Triples = Sequence[tuple[str, int, int]]
+
+#: Models of this Python worker by the key of their finder.
+_models: dict[str, Callable[[Sequence[str]], Sequence[Triples]]] = {}
 
-    A text the model fails on gives null, which the job records as a failed stage.
+
+def _model(key: str, load: Callable[[], Callable[[Sequence[str]], Sequence[Triples]]]):
+    if key not in _models:
+        _models[key] = load()
+    return _models[key]
+
+
+def model_finder(find: Callable[[str], Triples]) -> Finder:
+    """Finder around a small function: ``find(text)`` gives ``(label, start, end)`` triples.
+
+    A text it fails on gives null, which the job records as a failed stage.
+    """
+    return loaded_finder(lambda: lambda texts: [find(t) for t in texts])
+
+
+def loaded_finder(load: Callable[[], Callable[[Sequence[str]], Sequence[Triples]]]) -> Finder:
+    """Finder around a model that ``load()`` brings up, once per Python worker.
+
+    The model takes a batch of texts and gives one list of triples per text. If it fails on a
+    batch, the texts are tried one by one, so that only those it fails on give null. A model
+    that cannot be loaded fails the job.
     """
+    key = uuid.uuid4().hex
+
+    def plain(found: Triples) -> list:
+        return [(str(lb), int(s), int(e)) for lb, s, e in found]
 
-    def one(text: str) -> list | None:
+    def one(model, text: str) -> list | None:
         try:
-            return [(str(lb), int(s), int(e)) for lb, s, e in find(text)]
+            return plain(model([text])[0])
         except Exception:
             return None
 
+    def batch(model, texts: list[str]) -> list:
+        try:
+            found = [plain(f) for f in model(texts)]
+            if len(found) == len(texts):
+                return found
+        except Exception:
+            pass
+        return [one(model, t) for t in texts]
+
     @F.pandas_udf("array<struct<label:string,span_start:int,span_end:int>>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(one, na_action="ignore")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = _model(key, load)
+        for texts in batches:
+            out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
+            given = [i for i, t in enumerate(texts) if t is not None]
+            for i, found in zip(given, batch(model, [texts.iloc[i] for i in given]) if given else []):
+                out.iat[i] = found
+            yield out
 
     run = run.asNondeterministic()  # see ``text.with_nfc``
 

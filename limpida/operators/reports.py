@@ -57,6 +57,17 @@ def approximate_distinct(entities: DataFrame, relative_error: float = 0.02) -> D
     )
 
 
+def sketch_quality(entities: DataFrame, relative_error: float = 0.02) -> DataFrame:
+    """Exact distinct pseudonyms per type, and whether the sketch lies within three standard
+    errors of them."""
+    both = entities.groupBy("type").agg(
+        F.count_distinct("original_hash").alias("n_values"),
+        F.approx_count_distinct("original_hash", relative_error).alias("approx"),
+    )
+    near = F.abs(F.col("approx") - F.col("n_values")) <= 3 * relative_error * F.col("n_values") + 1
+    return both.select("type", "n_values", near.alias("near"))
+
+
 def section_report(sections: DataFrame) -> DataFrame:
     """Number, total and largest length of removed sections by type."""
     length = F.col("span_end") - F.col("span_start")

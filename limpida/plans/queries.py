@@ -1081,7 +1081,8 @@ def record_rules(spark, sf):
       (PARTITION BY body_hash ORDER BY fetched_at, message_id) AS rn FROM flat) AS x WHERE rn = 1""",
 )
 def first_per_body(spark, sf):
-    kept = dedup.deduplicate_documents(stored(_documents(spark, sf), "documents"))
+    needed = ["body_original_hash", "fetched_at", "message_id", "mailbox", "uidvalidity", "uid"]
+    kept = dedup.deduplicate_documents(stored(_documents(spark, sf).select(*needed), "documents"))
     return kept.select("message_id", F.col("body_original_hash").alias("body_hash"))
 
 
@@ -1096,9 +1097,13 @@ def pii_report(spark, sf):
     return reports.pii_report(found)
 
 
-@query("pii_distinct_sketch")
+@query(
+    "pii_distinct_sketch",
+    f"""WITH RECURSIVE {sql.document_ctes()}
+    SELECT type, count(DISTINCT value) AS n_values, TRUE AS near FROM merged GROUP BY type""",
+)
 def pii_distinct_sketch(spark, sf):
-    return reports.approximate_distinct(_documents(spark, sf).select(F.inline("pii_entities")))
+    return reports.sketch_quality(_documents(spark, sf).select(F.inline("pii_entities")))
 
 
 @query(
@@ -1140,11 +1145,29 @@ def latency_report(spark, sf):
 # ---------------------------------------------------------------- runs compared
 
 
-@query("determinism", "SELECT CAST(NULL AS STRING) AS message_id, CAST(0 AS BIGINT) AS n_left, CAST(0 AS BIGINT) AS n_right WHERE FALSE")
+@query(
+    "determinism",
+    f"""WITH m AS ({mt.sql('message_id', 'doc_id')}),
+      changed AS (SELECT message_id FROM m WHERE doc_id % 7 = 3)
+    SELECT 'changed' AS pair, message_id, 1 AS n_left, 0 AS n_right FROM changed
+    UNION ALL SELECT 'changed', message_id, 0, 1 FROM changed
+    UNION ALL SELECT 'equal', 'rows', count(*), count(*) FROM m""",
+)
 def determinism(spark, sf):
+    """Two runs that must agree, and one over texts of which a known part was changed."""
     columns = ["message_id", "body_text_canonical", "headers_canonical", "body_original_hash", "pii_entities"]
     runs = [stored(_documents(spark, sf).select(*columns), f"run{i}") for i in (1, 2)]
-    return compare.differing_rows(*runs, columns).select("message_id", "n_left", "n_right")
+    texts = mt.table(spark, sf, "documents").withColumn("text", F.expr("IF(doc_id % 7 = 3, 'parola ' || text, text)"))
+    other = stored(docs.build_documents(mt.messages_of(texts), OPTIONS).select(*columns), "run3")
+    changed = compare.differing_rows(runs[0], other, columns)
+    equal = compare.differing_rows(*runs, columns)
+    sides = [r.select(F.lit(int(r is runs[0])).alias("l"), F.lit(int(r is runs[1])).alias("r")) for r in runs]
+    totals = sides[0].unionAll(sides[1]).agg(F.sum("l").alias("n_left"), F.sum("r").alias("n_right"))
+    return (
+        changed.select(F.lit("changed").alias("pair"), "message_id", "n_left", "n_right")
+        .unionAll(equal.select(F.lit("equal"), "message_id", "n_left", "n_right"))
+        .unionAll(totals.select(F.lit("equal"), F.lit("rows"), "n_left", "n_right"))
+    )
 
 
 @query(
@@ -1253,6 +1276,20 @@ def spikes(spark, sf):
     return _plain_times(jobs.spikes(counts), "hour")
 
 
+@query(
+    "stream_spikes",
+    f"""WITH c AS (SELECT date_trunc('hour', ts) AS hour, event_type AS type, count(*) AS n FROM events GROUP BY 1, 2
+      HAVING hour + INTERVAL 1 HOUR <= {_CLOSED})
+    SELECT a.hour, a.type, a.n, b.n AS n_day_before FROM c AS a JOIN c AS b
+      ON b.type = a.type AND b.hour = a.hour - INTERVAL 24 HOURS WHERE a.n > 2 * b.n""",
+)
+def stream_spikes(spark, sf):
+    findings = _event_stream(spark, sf).withColumnRenamed("event_type", "type")
+    counts, found, state = (scratch_dir(spark, name) for name in ("counts", "spikes", "spikes-state"))
+    jobs.watch_spikes(jobs.hourly_counts(findings), counts, found, state, availableNow=True).awaitTermination()
+    return _plain_times(jobs.read_spikes(spark, found), "hour")
+
+
 @query("stream_distinct", "SELECT DISTINCT user_id, event_type FROM events")
 def stream_distinct(spark, sf):
     first = jobs.distinct_messages(_event_stream(spark, sf), ["user_id", "event_type"], late="60 days")

@@ -27,16 +27,27 @@ def with_ingest_date(documents: DataFrame) -> DataFrame:
 
 
 def write_documents(
-    documents: DataFrame, path: str, mode: str = "errorifexists", fmt: str = "parquet"
+    documents: DataFrame,
+    path: str,
+    mode: str = "errorifexists",
+    fmt: str = "parquet",
+    files_per_day: int | None = None,
 ) -> None:
     """Write good documents and the quarantine, partitioned by day of ingestion.
 
     All rows are written once, with the status as the outer partition: splitting the
     DataFrame in two writes would clean every message twice.
+
+    Without ``files_per_day`` every task writes a file for each day it holds, and nothing is
+    shuffled: right for input that comes by day. With it the rows are shuffled first, so that a
+    day and status has at most that many files; choose its rows divided by those of a good file.
     """
+    dated = with_ingest_date(documents)
+    if files_per_day is not None:
+        part = F.pmod(F.xxhash64("message_id", "uid"), F.lit(files_per_day))
+        dated = dated.repartition("status", "ingest_date", part)
     (
-        with_ingest_date(documents)
-        .write.mode(mode)
+        dated.write.mode(mode)
         .partitionBy("status", "ingest_date")
         .format(fmt)
         .save(path)

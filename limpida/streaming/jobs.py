@@ -90,18 +90,56 @@ def hourly_counts(
     )
 
 
-def spikes(counts: DataFrame, kind: str = "type", factor: float = 2.0) -> DataFrame:
+_SPIKE_KEYS = "hour TIMESTAMP, type STRING"
+
+
+def spikes(
+    counts: DataFrame, of: DataFrame | None = None, kind: str = "type", factor: float = 2.0
+) -> DataFrame:
     """Hours with more than ``factor`` times the findings of the same hour the day before.
 
     ``counts`` is a table of ``hourly_counts``: one row per hour and type, small whatever
     the number of messages. Hours without a day before have no yardstick and do not show.
+    ``of`` are the counts to look for spikes in, by default all.
     """
+    later = counts if of is None else of
     before = counts.select(
         (F.col("hour") + F.expr("INTERVAL 24 HOURS")).alias("hour"),
         kind,
         F.col("n").alias("n_day_before"),
     )
-    return counts.join(before, ["hour", kind]).filter(F.col("n") > factor * F.col("n_day_before"))
+    return later.join(before, ["hour", kind]).filter(F.col("n") > factor * F.col("n_day_before"))
+
+
+def watch_spikes(
+    counts: DataFrame, counts_path: str, spikes_path: str, checkpoint: str, **trigger
+) -> StreamingQuery:
+    """Compare the hours that a stream of ``hourly_counts`` closes with the stored ones.
+
+    Each batch first stores its counts, then compares its own hours with everything stored; an
+    hour closes after the one a day before it, so no spike is missed. A batch that is run again
+    overwrites its own folder in both tables.
+    """
+
+    def handle(closed: DataFrame, batch: int) -> None:
+        spark = closed.sparkSession
+        closed.write.mode("overwrite").parquet(f"{counts_path}/batch={batch}")
+        known = spark.read.schema(f"{_SPIKE_KEYS}, n BIGINT, batch BIGINT").option("basePath", counts_path).parquet(counts_path)
+        found = spikes(known.drop("batch"), known.filter(F.col("batch") == batch).drop("batch"))
+        found.write.mode("overwrite").parquet(f"{spikes_path}/batch={batch}")
+
+    return (
+        counts.writeStream.foreachBatch(handle)
+        .option("checkpointLocation", checkpoint)
+        .outputMode("append")
+        .trigger(**trigger)
+        .start()
+    )
+
+
+def read_spikes(spark: SparkSession, path: str) -> DataFrame:
+    schema = f"{_SPIKE_KEYS}, n BIGINT, n_day_before BIGINT"
+    return spark.read.schema(schema).parquet(f"{path}/batch=*")
 
 
 def distinct_messages(

@@ -127,6 +127,22 @@ def test_windows_and_spikes(spark, tmp_path):
     assert first.count() == 2
 
 
+def test_spikes_of_a_stream(spark, tmp_path):
+    """Two runs of one stream: the second finds the spike against the hour that the first stored."""
+    schema = "ts TIMESTAMP, type STRING"
+    folder, out = str(tmp_path / "in"), [str(tmp_path / n) for n in ("counts", "spikes", "state")]
+
+    def arrive(day, n):
+        rows = f"SELECT TIMESTAMP'2026-02-{day} 10:00:00' AS ts, 'mail' AS type FROM range({n}) UNION ALL SELECT TIMESTAMP'2026-02-{day} 12:00:00', 'mail'"
+        spark.sql(rows).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(schema).parquet(folder)
+        jobs.watch_spikes(jobs.hourly_counts(stream), *out, availableNow=True).awaitTermination()
+        return [(str(r.hour), r.type, r.n, r.n_day_before) for r in jobs.read_spikes(spark, out[1]).collect()]
+
+    assert arrive(10, 3) == []
+    assert arrive(11, 7) == [("2026-02-11 10:00:00", "mail", 7, 3)]
+
+
 def test_first_per_key_survives_a_hot_key(spark):
     df = spark.range(30_000).selectExpr("IF(id % 3 = 0, 'hot', CAST(id AS STRING)) AS k", "30000 - id AS o", "id AS v", "map('a', id) AS m")
     kept = dedup.keep_first(df, ["k"], ["o"])

@@ -84,6 +84,45 @@ def test_names_by_literals_join_and_model(spark, texts, options):
     assert got[0][0][0].value == "Mario" and got[1][0] == [] and got[3][0] is None
 
 
+def test_model_is_loaded_once_and_fails_alone(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def load():
+        import os, uuid
+
+        open(f"{folder}/{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+
+        def model(batch):
+            if any("bad" in t for t in batch):
+                raise ValueError
+            return [[("PERSON", 0, 3)] for _ in batch]
+
+        return model
+
+    df = spark.range(400).selectExpr("id AS n", "IF(id % 50 = 7, 'bad', IF(id = 3, NULL, 'Ada si')) AS t").repartition(16)
+    got = rows(df.withColumn("f", names.loaded_finder(load)(F.col("t"))), "t", "f")
+    assert sum(f is None for _, f in got) == 8 + 1 and all(f is None for t, f in got if t != "Ada si")
+    loads = list(tmp_path.iterdir())
+    assert len(loads) == len({p.name.split("-")[0] for p in loads})
+
+
+def test_many_hits_of_one_document(texts, options):
+    """Blocks of a fold end inside these texts; characters of one to four bytes come before each hit."""
+    for n in (1, 255, 256, 257, 700):
+        text = "".join(f"\ufeffà😀 user{i}@example.it, " for i in range(n))
+        df = pii.with_hits(texts([text]), "t", options, "h").withColumn("r", pii.redact("t", "h"))
+        hits, redacted = rows(df, "h", "r")[0]
+        assert [h.value for h in hits] == [f"user{i}@example.it" for i in range(n)]
+        assert all(text[h.span_start:h.span_end] == h.value for h in hits)
+        assert redacted == "\ufeffà😀 [PII_EMAIL], " * n
+
+
+def test_place_of_names_in_a_long_text(texts):
+    text = "".join(f"w{i}, " for i in range(255)) + "Ada e Ada " * 300
+    found = rows(texts([text]).withColumn("f", names.literal_finder(["ada"], [])(F.col("t"))), "f")[0][0]
+    assert len(found) == 600 and all(text[h.span_start:h.span_end] == "Ada" for h in found)
+
+
 def test_large_dictionary_is_not_collected(spark, monkeypatch):
     monkeypatch.setattr(names, "MAX_LITERAL_NAMES", 3)
     big = spark.range(5).selectExpr("concat('Nome', id) AS name", "'NAME' AS label")
