@@ -7,8 +7,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 from limpida import CleaningOptions  # noqa: E402
 from limpida.session import local_session  # noqa: E402
-
-SALT = "unit-test-salt-0123456789"
+from samples import SALT  # noqa: E402
 
 
 @pytest.fixture(scope="session")

@@ -4,12 +4,12 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SALT
 from limpida import CleaningOptions, PiiMode
 from limpida.operators import compare, dedup, masking, names, reports, validate
 from limpida.plans import documents as docs
 from limpida.sources import sinks
 from limpida.streaming import jobs
+from samples import SALT
 
 SCHEMA = (
     "uid STRING, uidvalidity STRING, mailbox STRING, message_id STRING, fetched_at STRING, size BIGINT,"

@@ -5,11 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
-from conftest import SALT
 from limpida import PiiMode
 from limpida.functions import pii
 from limpida.functions.patterns import PiiPattern
 from limpida.operators import names
+from samples import SALT
 
 
 def rows(df, *columns):
