@@ -53,7 +53,8 @@ def _leaves(raw: bytes) -> dict:
             parts.append((number, kind, attached, text))
         return {"status": "ok", "error": None, "parts": parts}
     except Exception as problem:
-        return {"status": "failed", "error": f"parse: {problem}", "parts": []}
+        # The message of the exception may quote the mail.
+        return {"status": "failed", "error": f"parse: {type(problem).__name__}", "parts": []}
 
 
 @F.pandas_udf(PARSED)

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from limpida.functions import spans
+from limpida.session import stored
 
 FOUND_TYPE = "array<struct<label:string,span_start:int,span_end:int,value:string>>"
 MAX_LITERAL_NAMES = 20_000
@@ -158,8 +159,8 @@ def literal_finder(names: Sequence[str], organisations: Sequence[str]) -> Finder
 def dictionary_finder(dictionary: DataFrame) -> Finder:
     """A literal finder when the dictionary is proven small, else an error.
 
-    At most ``MAX_LITERAL_NAMES`` + 1 rows come to the driver; for a larger dictionary use
-    ``find_by_join``.
+    At most ``MAX_LITERAL_NAMES`` + 1 rows come to the driver; a larger dictionary is given to the
+    job as a table (``with_found``).
     """
     rows = (
         dictionary.select(F.lower("name").alias("name"), "label")
@@ -175,6 +176,20 @@ def dictionary_finder(dictionary: DataFrame) -> Finder:
     )
 
 
+def with_found(df: DataFrame, texts: dict[str, str], finder: Finder | DataFrame) -> DataFrame:
+    """Add what ``finder`` finds in several text columns; ``texts`` maps output to text columns.
+
+    A dictionary of any size may stand for the finder. Its names are joined: the rows so far are
+    written once, under a number of their own, and read for phrases and for the join back.
+    """
+    if not isinstance(finder, DataFrame):
+        return df.withColumns({out: finder(F.col(f"`{column}`")) for out, column in texts.items()})
+    if df.isStreaming:
+        raise ValueError("a dictionary table cannot be joined here to a stream: give a finder")
+    numbered = stored(df.withColumn("__row", F.monotonically_increasing_id()), "before-names")
+    return find_by_join(numbered, "__row", texts, finder).drop("__row")
+
+
 def _labelled(field: str) -> Callable[[Column], Column]:
     return lambda phrase: F.struct(F.lit(field).alias("field"), phrase.alias("at"))
 
@@ -184,13 +199,13 @@ def _belongs_to(field: str) -> Callable[[Column], Column]:
 
 
 def find_by_join(
-    df: DataFrame, key: str, texts: dict[str, str], dictionary: DataFrame
+    df: DataFrame, key: str, texts: dict[str, str], dictionary: DataFrame, salts: int = SALTS
 ) -> DataFrame:
     """Find dictionary names of any number by a join, several text columns at once.
 
     ``texts`` maps output columns to text columns; ``key`` is unique per row. Only short
     phrases are shuffled; texts are, for the last join. A name in a third of all phrases does not pile up
-    in one task: phrases carry a salt and the dictionary is repeated once per salt.
+    in one task: phrases carry one of ``salts`` salts and the dictionary is repeated once per salt.
     """
     words = F.size(F.split(F.col("name"), " "))
     longest = dictionary.agg(F.max(words)).first()[0] or 1
@@ -214,12 +229,12 @@ def find_by_join(
         key,
         "p.field",
         "p.at.*",
-        F.pmod(F.xxhash64(key, "p.at.word_no"), F.lit(SALTS)).alias("salt"),
+        F.pmod(F.xxhash64(key, "p.at.word_no"), F.lit(salts)).alias("salt"),
     )
     entries = (
         dictionary.groupBy(F.lower("name").alias("phrase"))
         .agg(F.min("label").alias("label"))  # NAME before ORG
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         .withColumn("salt", F.col("salt").cast("long"))
     )
     found = (

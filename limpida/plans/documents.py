@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from limpida.functions import body, headers as hd, html, mime, pii
 from limpida.functions.patterns import PERSONAL_HEADERS
 from limpida.functions.spans import once
-from limpida.operators import canonical, validate
+from limpida.operators import canonical, names as nm, validate
 from limpida.operators.names import Finder
 from limpida.options import CleaningOptions, PiiMode
 
@@ -22,12 +22,15 @@ ERROR_MARK = "[ERROR]"  # fixed value
 #: Stands in for a header field in which names could not be looked for.
 WITHHELD = "[PII_UNCHECKED]"
 NAMES_FAILED = "pii: name detection failed"
+#: How errors of failed stages begin; their rows are withheld.
+STAGES = ("pii:", "parse:")
 
 
 def with_bodies(messages: DataFrame) -> DataFrame:
-    """Add ``plain_body``, ``html_body`` and ``body_source``.
+    """Add ``plain_body``, ``html_body``, ``body_source`` and ``parse_error``.
 
-    Raw bytes win over the given bodies. Parts are read inside the row, so choosing and
+    Raw bytes win over the given bodies; ``parsed`` holds their parts where the reader has split
+    them already. Parts are read inside the row, so choosing and
     joining them needs neither a join nor a shuffle.
     """
     columns = messages.columns
@@ -36,14 +39,15 @@ def with_bodies(messages: DataFrame) -> DataFrame:
     given = F.lit("given")
     if "body_truncated" in columns:
         given = F.when(F.col("body_truncated"), "truncated").otherwise("given")
-    if "raw_bytes" not in columns:
+    if "raw_bytes" not in columns and "parsed" not in columns:
         return messages.withColumns(
-            {"plain_body": plain, "html_body": markup, "body_source": given}
+            {"plain_body": plain, "html_body": markup, "body_source": given, "parse_error": F.lit(None).cast("string")}
         )
-    parsed, status = F.col("__parsed"), F.col("__parsed.status")
+    parsed, status = F.col("parsed"), F.col("parsed.status")
+    if "parsed" not in columns:
+        messages = messages.withColumn("parsed", mime.parse_message(F.col("raw_bytes")))
     return (
-        messages.withColumn("__parsed", mime.parse_message(F.col("raw_bytes")))
-        .withColumns(
+        messages.withColumns(
             {
                 "plain_body": F.when(
                     status == "ok", mime.body_of(parsed["parts"], "text/plain")
@@ -54,9 +58,10 @@ def with_bodies(messages: DataFrame) -> DataFrame:
                 "body_source": F.when(status == "ok", "raw")
                 .when(status == "failed", "fallback")
                 .otherwise(given),
+                "parse_error": F.when(status == "failed", F.coalesce(parsed["error"], F.lit("parse: failed"))),
             }
         )
-        .drop("__parsed")
+        .drop("parsed")
     )
 
 
@@ -71,7 +76,7 @@ def with_merged_body(messages: DataFrame) -> DataFrame:
 
 
 def with_redacted_headers(
-    messages: DataFrame, options: CleaningOptions, out: str, finder: Finder | None = None
+    messages: DataFrame, options: CleaningOptions, out: str, finder: Finder | DataFrame | None = None
 ) -> DataFrame:
     """Redact the personal header fields; in the other modes headers pass unchanged.
 
@@ -81,12 +86,23 @@ def with_redacted_headers(
         return messages.withColumn(out, F.col("headers"))
     if finder is None:
         return messages.withColumn(out, pii.redact_headers("headers", options))
-    # A finder may be a Python stage, which no lambda can hold: one column per field.
-    values = {
+    values = header_values()
+    found = {f"{c}_found": c for c in values}
+    return _with_headers_of(nm.with_found(messages.withColumns(values), found, finder), options, out)
+
+
+def header_values() -> dict[str, Column]:
+    """Columns of the personal header fields: a finder may be a Python stage, which no lambda can hold."""
+    return {
         f"__header_{name}": F.try_element_at(F.col("headers"), F.lit(name))
         for name in PERSONAL_HEADERS
     }
-    found = {f"{c}_found": finder(F.col(f"`{c}`")) for c in values}
+
+
+def _with_headers_of(messages: DataFrame, options: CleaningOptions, out: str) -> DataFrame:
+    """The redacted headers, where ``header_values`` and what was found in them are columns."""
+    values = header_values()
+    found = [f"{c}_found" for c in values]
     hits = {
         f"{c}_hits": pii.detect(f"`{c}`", options, f"`{c}_found`")
         for c in values
@@ -102,9 +118,7 @@ def with_redacted_headers(
         return F.coalesce(new.otherwise(old), old)
 
     return (
-        messages.withColumns(values)
-        .withColumns(found)
-        .withColumns(hits)
+        messages.withColumns(hits)
         .withColumn(out, F.transform_values(F.col("headers"), value))
         .withColumn(f"{out}_failed", _any(*(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}_found`").isNull() for c in values)))
         .drop(*values, *found, *hits)
@@ -139,19 +153,25 @@ def _level() -> Column:
 def build_documents(
     messages: DataFrame,
     options: CleaningOptions,
-    finder: Finder | None = None,
+    finder: Finder | DataFrame | None = None,
     safe: bool = False,
 ) -> DataFrame:
     """Clean every message. Rows stay rows: no shuffle, and nothing is lost.
 
-    Messages that fail validation become error documents (``status`` = 'rejected'); those on
-    which the finder fails, in the body or a header, are withheld ('quarantined'). With ``safe``, messages that lose a stage are kept at a lower ``processing_level`` instead:
-    without names, without canonical text, or with no body at all. Every level redacts.
+    ``finder`` looks for names: a function of a text column, or a dictionary table ``(name, label)``
+    of any size, which is joined (the only case with a shuffle).
+
+    Messages that fail validation become error documents (``status`` = 'rejected') and skip the other
+    stages; those whose raw bytes cannot be parsed, or on which the finder fails in the body or a
+    header, are withheld ('quarantined'). ``pii_status`` is 'failed' where names could not be looked
+    for, 'off' where the mode says so, else 'ok'. With ``safe``, messages that lose a stage are kept at
+    a lower ``processing_level`` instead: without names, without canonical text, or with no body at
+    all. Every level redacts.
     """
     if safe:
         df = messages.withColumn("reject_reason", F.lit(None).cast("string"))
     else:
-        df = validate.with_reject_reason(messages)
+        df = _without_rejected_input(validate.with_reject_reason(messages))
     df = with_merged_body(with_bodies(df))
     df = canonical.canonicalize(
         df,
@@ -164,22 +184,38 @@ def build_documents(
     names, df = _with_names(df, options, finder)
     df = _with_level(df) if safe else df.withColumn("processing_level", F.lit("full"))
     df = _with_redacted_body(df, options, names)
-    df = with_redacted_headers(df, options, "__headers", finder)
-    if finder is not None and not safe and options.pii_mode is not PiiMode.DISABLED:
-        failed = F.col("ner_status") == "failed"
-        if "__headers_failed" in df.columns:
-            failed = failed | F.col("__headers_failed")
-        reason = F.when(failed, F.lit(NAMES_FAILED))
-        df = df.withColumn("reject_reason", F.coalesce("reject_reason", reason))
+    if names and options.pii_mode is PiiMode.REDACT:
+        df = _with_headers_of(df, options, "__headers")
+    else:
+        df = with_redacted_headers(df, options, "__headers")
+    failed = F.col("ner_status") == "failed"
+    if "__headers_failed" in df.columns:
+        failed = failed | F.col("__headers_failed")
+    status = F.when(F.lit(options.pii_mode is PiiMode.DISABLED), "off").when(failed, "failed").otherwise("ok")
+    df = df.withColumn("pii_status", status)
+    if not safe:
+        reason = F.when(F.col("pii_status") == "failed", F.lit(NAMES_FAILED))
+        df = df.withColumn("reject_reason", F.coalesce("reject_reason", "parse_error", reason))
     return _assemble(df, options)
 
 
+def _without_rejected_input(df: DataFrame) -> DataFrame:
+    """Rejected messages have nothing for the later stages to work on."""
+    inputs = [c for c in ("body_text", "body_html", "raw_bytes", "parsed", "headers") if c in df.columns]
+    return df.withColumns({c: F.when(F.col("reject_reason").isNull(), F.col(c)) for c in inputs})
+
+
 def _with_names(
-    df: DataFrame, options: CleaningOptions, finder: Finder | None
+    df: DataFrame, options: CleaningOptions, finder: Finder | DataFrame | None
 ) -> tuple[str | None, DataFrame]:
+    """Add what is found in the body and, where they are redacted, in the header fields."""
     if finder is None or options.pii_mode is PiiMode.DISABLED:
         return None, df.withColumn("ner_status", F.lit("off"))
-    df = df.withColumn("__found", finder(F.col("__canonical")))
+    texts = {"__found": "__canonical"}
+    if options.pii_mode is PiiMode.REDACT:
+        df = df.withColumns(header_values())
+        texts |= {f"{c}_found": c for c in header_values()}
+    df = nm.with_found(df, texts, finder)
     return "__found", df.withColumn(
         "ner_status", F.when(F.col("__found").isNull(), "failed").otherwise("ok")
     )
@@ -285,8 +321,12 @@ def _assemble(df: DataFrame, options: CleaningOptions) -> DataFrame:
         F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias(
             "processing_timestamp"
         ),
-        F.when(good, "ok").when(reason == NAMES_FAILED, "quarantined").otherwise("rejected").alias("status"),
+        F.when(good, "ok")
+        .when(_any(*(reason.startswith(s) for s in STAGES)), "quarantined")
+        .otherwise("rejected")
+        .alias("status"),
         reason.alias("error"),
+        "pii_status",
         "processing_level",
         "body_source",
         F.sha2(F.col("merged_body"), 256).alias("merged_body_hash"),

@@ -15,7 +15,7 @@ from limpida.options import CleaningOptions, PiiMode
 from limpida.plans import documents as docs
 from limpida.plans import mail_tables as mt
 from limpida.plans import oracle as sql
-from limpida.session import scratch_dir, ship_package
+from limpida.session import scratch_dir, ship_package, stored
 from limpida.sources import messages as src
 from limpida.sources import sinks
 from limpida.streaming import jobs
@@ -51,14 +51,6 @@ def digest(column: str) -> Column:
     return F.sha2(F.col(column), 256)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared scratch folder and read it back: costly work is done
-    once, and a lost executor costs a read, not a recomputation."""
-    path = scratch_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 # ---------------------------------------------------------------- text functions
 
 
@@ -1018,6 +1010,85 @@ def degradation_levels(spark, sf):
     )
 
 
+# Stages that fail: the model on a body or on a header, and bytes that cannot be parsed.
+_FAILED = f"CASE {_FLAW} WHEN 3 THEN 'pii: name detection failed' WHEN 4 THEN 'pii: name detection failed' WHEN 5 THEN 'parse: IndexError' END"
+
+
+def _model_of_one_name(text: str):
+    found = text.find("Mario Rossi")
+    if "confidenziale" in text or text.startswith("Da:"):
+        raise ValueError("model failed")
+    return [("PER", found, found + 11)] if found >= 0 else []
+
+
+@query(
+    "failed_stages",
+    f"""SELECT doc_id, CASE WHEN {_FLAW} BETWEEN 3 AND 5 THEN 'quarantined' ELSE 'ok' END AS status, {_FAILED} AS error,
+      CASE WHEN {_FLAW} IN (3, 4) THEN 'failed' ELSE 'ok' END AS pii_status,
+      CASE WHEN {_FLAW} BETWEEN 3 AND 5 THEN 'high' END AS severity, FALSE AS name_left FROM documents""",
+)
+def failed_stages(spark, sf):
+    flaw = F.expr(_FLAW)
+    broken = F.encode(F.concat(F.lit("Content-Type: text/plain; a*1*\r\n\r\n"), "body_text"), "UTF-8")
+    sender = F.when(flaw == 4, "Da: Mario Rossi <m@example.com>").otherwise("Mario Rossi <m@example.com>")
+    m = mt.messages(spark, sf)
+    m = m.withColumns(
+        {
+            "body_text": F.concat(F.when(flaw == 3, "confidenziale ").otherwise(""), F.lit("Mario Rossi\n"), "body_text"),
+            "headers": F.map_concat(F.map_filter("headers", lambda k, v: k != "from"), F.create_map(F.lit("from"), sender)),
+            "raw_bytes": F.when(flaw == 5, broken),
+        }
+    )
+    built = docs.build_documents(m, OPTIONS, names.model_finder(_model_of_one_name))
+    texts = F.concat_ws(" ", "body_text_canonical", "from_addr_redacted", F.map_values("headers_canonical"))
+    failed = F.col("status") != "ok"
+    return built.select(
+        F.col("uid").cast("long").alias("doc_id"),
+        "status",
+        "error",
+        "pii_status",
+        F.when(failed, validate.severity(F.col("error"))).alias("severity"),
+        F.contains(texts, F.lit("Mario Rossi")).alias("name_left"),
+    )
+
+
+# A dictionary table of names of one to five words, one of them in every body and sender.
+_LONG_NAMES = r"""SELECT DISTINCT item_id, lower(regexp_extract(text, '^([A-Za-z]+( [A-Za-z]+){0,' || CAST(item_id % 5 AS STRING) || '})', 1)) AS name,
+  'NAME' AS label FROM limpida_benchmark"""
+
+
+@query(
+    "documents_with_names",
+    """SELECT doc_id, '[PII_NAME] <[PII_EMAIL]>' AS sender, 'Caro [PII_NAME],' AS first_line, 'ok' AS status, 'ok' AS pii_status
+    FROM documents""",
+)
+def documents_with_names(spark, sf):
+    mt.table(spark, sf, "benchmark").createOrReplaceTempView("limpida_benchmark")
+    found = spark.sql(_LONG_NAMES).where("length(name) >= 5")
+    extra = spark.sql("SELECT -1L AS item_id, 'maria grazia de santis' AS name, 'NAME' AS label")
+    dictionary = found.unionByName(extra)
+    # Every document gets the name of the item that has its number, or the one that is always there.
+    name = F.initcap(F.coalesce("name", F.lit("maria grazia de santis")))
+    m = mt.messages(spark, sf).join(found.select(F.col("item_id").cast("string").alias("uid"), "name"), "uid", "left")
+    m = m.withColumns(
+        {
+            "body_text": F.concat(F.lit("Caro "), name, F.lit(",\n"), "body_text"),
+            "headers": F.map_concat(
+                F.map_filter("headers", lambda k, v: k != "from"),
+                F.create_map(F.lit("from"), F.concat(name, F.lit(" <n@example.com>"))),
+            ),
+        }
+    ).drop("name")
+    built = docs.build_documents(m, OPTIONS, dictionary.select("name", "label"))
+    return built.select(
+        F.col("uid").cast("long").alias("doc_id"),
+        F.col("from_addr_redacted").alias("sender"),
+        F.substring_index("body_text_canonical", "\n", 1).alias("first_line"),
+        "status",
+        "pii_status",
+    )
+
+
 _MESSAGE = """CASE CAST(event_id % 7 AS INT) WHEN 0 THEN 'Out of MEMORY at ' || event_type WHEN 1 THEN 'worker killed'
   WHEN 2 THEN 'PII stage: ' || event_type WHEN 3 THEN 'cannot parse' WHEN 4 THEN 'Regex timeout'
   WHEN 5 THEN 'validation of ' || event_type ELSE event_type END"""

@@ -29,7 +29,10 @@ def read_message_files(spark: SparkSession, path: str, glob: str = "*.eml") -> D
 
 
 def files_to_messages(files: DataFrame) -> DataFrame:
-    """Messages from ``(path, modificationTime, length, content)``, Spark's binary files."""
+    """Messages from ``(path, modificationTime, length, content)``, Spark's binary files.
+
+    Parts stay in the row as ``parsed``, so that the cleaning job does not read the bytes again.
+    """
     parts = F.col("__parsed.parts")
     plain = F.filter(parts, lambda p: p["content_type"] == "text/plain")
     whole = F.when(F.size(parts) == 1, parts).otherwise(plain)
@@ -53,6 +56,7 @@ def files_to_messages(files: DataFrame) -> DataFrame:
             F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("fetched_at"),
             F.col("content").alias("raw_bytes"),
             F.lit(False).alias("body_truncated"),
+            F.col("__parsed").alias("parsed"),
         )
     )
 

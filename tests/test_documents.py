@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from limpida import CleaningOptions, PiiMode
 from limpida.operators import compare, dedup, masking, names, reports, validate
 from limpida.plans import documents as docs
-from limpida.sources import sinks
+from limpida.sources import messages as src, sinks
 from limpida.streaming import jobs
 from samples import SALT
 
@@ -94,6 +94,55 @@ def test_failed_names_are_withheld(messages, options):
     assert not [r for r in safe.values() if "Mario" in str(r.headers_canonical) + r.from_addr_redacted]
 
 
+BROKEN = bytearray(b"Content-Type: text/plain; a*1*\r\n\r\nMario Rossi")
+
+
+def test_bytes_that_cannot_be_parsed(messages, options):
+    broken = messages.withColumn("raw_bytes", F.lit(bytes(BROKEN))).withColumn("body_text", F.lit("ciao m@x.it"))
+    rows = by_uid(docs.build_documents(broken, options))
+    assert (rows["1"].status, rows["1"].error, rows["1"].pii_status) == ("quarantined", "parse: IndexError", "ok")
+    assert rows["3"].status == "rejected" and {r.severity for r in docs.quarantine(docs.build_documents(broken, options)).collect()} == {"high", "low"}
+    safe = by_uid(docs.build_documents(broken, options, safe=True))
+    assert safe["1"].status == "ok" and safe["1"].body_source == "fallback" and safe["1"].body_text_canonical == "ciao [PII_EMAIL]"
+
+
+def test_raw_mail_keeps_its_body_without_names(messages, options):
+    def model(text):
+        raise MemoryError
+
+    raw = messages.withColumn("body_text", F.lit("")).withColumn("raw_bytes", F.lit(bytes(RAW)))
+    one = by_uid(docs.build_documents(raw, options, names.model_finder(model), safe=True))["1"]
+    assert (one.processing_level, one.body_text_canonical, one.pii_status) == ("regex_only", "from raw [PII_PIVA]", "failed")
+
+
+def test_dictionary_table_of_any_size(spark, messages, options, monkeypatch):
+    monkeypatch.setattr(names, "MAX_LITERAL_NAMES", 2)
+    people = ["mario", "maria grazia de santis", "ugo x", "ada"]
+    table = spark.createDataFrame([(n, "NAME") for n in people], "name STRING, label STRING")
+    far = "x " * 300_000
+    named = messages.withColumn("body_text", F.lit(f"ciao Maria Grazia De Santis {far}Mario"))
+    named = named.unionByName(named.where("uid = '1'"))
+    rows = docs.build_documents(named, options, table).where("status = 'ok'").collect()
+    assert sorted(r.uid for r in rows) == ["1", "1", "2", "4", "6"]
+    for r in rows:
+        if r.uid != "2":
+            assert r.body_text_canonical.startswith("ciao [PII_NAME] x") and "x [PII_NAME]" in r.body_text_canonical
+            assert r.uid == "6" or r.from_addr_redacted == "[PII_NAME] <[PII_EMAIL]>"
+    detected = docs.build_documents(messages, replace(options, pii_mode=PiiMode.DETECT_ONLY), table)
+    assert by_uid(detected)["1"].from_addr_redacted == "Mario <m@x.it>"
+
+
+def test_message_files_are_parsed_once(spark, options):
+    files = spark.createDataFrame([("f", RAW)], "path STRING, content BINARY").selectExpr(
+        "path", "current_timestamp() AS modificationTime", "length(content) AS length", "content"
+    )
+    read = src.files_to_messages(files.withColumn("content", F.concat(F.lit(b"Message-ID: <1>\r\nFrom: a@x.it\r\n"), "content")))
+    built = docs.build_documents(read, options)
+    assert built.head().body_text_canonical == "from raw [PII_PIVA]" and built.head().status == "ok"
+    plan = built._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython [parse_message") == 1
+
+
 def test_write_read_and_quarantine(spark, messages, options, tmp_path):
     sinks.write_documents(docs.build_documents(messages, options), str(tmp_path / "d"))
     assert sinks.read_documents(spark, str(tmp_path / "d")).count() == 3
