@@ -1,21 +1,21 @@
 """Language-model scores by a probabilistic suffix tree (operator 3).
 
-Symbols are tokens: the words of a text and its end. A context is a run of 2 to ``LONGEST`` words whose
-first two words are a starter, which a hash picks from all pairs of words (one in ``SAMPLED``); a copied
-passage soon meets one. A context enters the tree if its share of all learning tokens is at least
-``MIN_SHARE`` - so there are at most 1 / MIN_SHARE per length, whatever the corpus - and if its next-token
-distribution diverges from that of the empty context by more than ``COST`` nats a next token. Next tokens
-rarer than ``NEXT_SHARE`` of their context are left to smoothing, so a context has at most 1 / NEXT_SHARE
-of them. The tree therefore has a bounded size and goes to all workers. At each token the longest
-retained context that ends there is the state; with n occurrences and k next tokens kept in it, the
-token's probability is (count + (n - sum of counts + k) * base) / (n + k), base being the smoothed
-frequency of the token, (c + 1) / (N + V + 1).
-
-Contexts are found in two countings over all learning texts: starters first, then what follows those
-that are frequent enough. Both are partial per task and summed by key.
-
-Token frequencies may be too many to send anywhere: each block of ``BLOCK`` rows contributes its distinct
-tokens once, they are summed by token, and return to the block, where they meet its texts.
+Symbols are tokens: the words of a text and its end. A context is any run of 1 to ``LONGEST`` words before
+a token. It is retained if it occurs at least ``MIN_TIMES`` times in the learning texts, whatever their
+size, and if its next tokens diverge from those of its parent, the context without the first word, by more
+than ``COST`` nats a distinct next token; the parent of a single word is the empty context. At each token
+the longest retained context that ends there is the state; with n occurrences and k distinct next tokens
+the token's probability is (count + k * base) / (n + k), base being the smoothed frequency of the token,
+(c + 1) / (N + V + 1).
+
+Contexts are counted in ``STEPS`` of lengths. Only open contexts are extended: those with ``MIN_TIMES``
+occurrences and two next tokens at least. An extension of any other occurs less often or has the next token
+of its parent alone, so it cannot be retained. Which are open goes to the workers as a bit per hash value, in
+a table of fixed size (``BITS``). Where two contexts share a bit some are counted in vain; they fail the exact
+tests like others, so the tree does not depend on the bits.
+
+The tree and the token frequencies may be too many to send anywhere: each block of ``BLOCK`` rows contributes
+its distinct tokens, contexts and pairs of both once, they meet the counts by key, and return to the block.
 
 Defined results: null, empty and blank texts have the end as their only token. A row without id is
 never held out. Repeated rows count as often as they come. Without any learning text all tokens are
@@ -25,24 +25,23 @@ unknown. An empty table gives an empty result. Other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from limpida.llm.grams import Counts
 from limpida.llm.tables import stored
 from limpida.llm.words import chunks, mix, split_words, word_hashes
 
-SAMPLED = 8
 LONGEST = 12
-MIN_SHARE = 2e-6
+#: Lengths of contexts that are counted in one pass over the texts.
+STEPS = ((1,), (2,), (3,), (4, 5, 6), tuple(range(7, LONGEST + 1)))
 #: A context is never retained with fewer occurrences.
 MIN_TIMES = 2
-NEXT_SHARE = 0.02
 COST = 2.0
+#: Bits of a hash by which open and retained contexts are told.
+BITS = 27
 #: Rows whose tokens are looked up together.
 BLOCK = 4096
 _END = np.uint64(0x656E64)
@@ -64,15 +63,6 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, bounds
 
 
-def _starters(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where starters begin, where their texts end, and their hashes. A starter has a token after it."""
-    ends = np.repeat(bounds[1:], np.diff(bounds))
-    n = max(0, len(tokens) - 2)
-    pair = mix(mix(np.full(n, _SEED), tokens[:n]), tokens[1 : n + 1])
-    at = np.flatnonzero((pair % np.uint64(SAMPLED) == 0) & (np.arange(n) + 2 < ends[:n]))
-    return at, ends[at], pair[at]
-
-
 def _among(values: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which values are in the ordered array, and where."""
     if not len(ordered):
@@ -81,106 +71,142 @@ def _among(values: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, np.ndar
     return ordered[at] == values, at
 
 
-def _contexts(tokens: np.ndarray, bounds: np.ndarray, frequent: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Contexts after frequent starters, by length: position of the next token, hash."""
-    at, ends, chain = _starters(tokens, bounds)
-    good, _ = _among(chain, frequent)
-    at, ends, chain = at[good], ends[good], chain[good]
-    for length in range(2, LONGEST + 1):
-        going = at + length < ends
-        at, ends, chain = at[going], ends[going], chain[going]
-        yield at + length, chain
-        chain = mix(chain, tokens[at + length])
+def _pair(context: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """Key of a context and its next token; not the hash of a longer context."""
+    return mix(~context, token)
+
 
+def _marked(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    slot = hashes >> np.uint64(64 - BITS)
+    return (bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
 
-def _count_starters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = Counts()
 
-    def out(everything: bool) -> Iterator[pa.RecordBatch]:
-        for keys, n in counts.drain(everything):
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["starter", "n"])
+def _bits(contexts: DataFrame) -> np.ndarray:
+    """A bit for each context; at most 2 ** (BITS - 6) rows come to the driver, whatever the corpus."""
+    slot = F.shiftrightunsigned("context", 64 - BITS)
+    words = contexts.groupBy(F.shiftrightunsigned(slot, 6).alias("at")).agg(F.expr(f"bit_or(shiftleft(1L, CAST(shiftrightunsigned(context, {64 - BITS}) & 63 AS INT)))").alias("bits"))
+    rows = words.toPandas()
+    out = np.zeros(1 << (BITS - 6), np.uint64)
+    out[rows["at"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
 
-    for batch in chunks(batches, "text"):
-        counts.add(_starters(*_tokens(batch.column("text")))[2])
-        yield from out(False)
-    yield from out(True)
 
+def _contexts(tokens: np.ndarray, bounds: np.ndarray, open_: dict[int, np.ndarray], last: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Contexts by length: length, position of the next token, hash, hash of the parent."""
+    starts = np.repeat(bounds[:-1], np.diff(bounds))
+    at, chain = np.arange(len(tokens)), np.full(len(tokens), _SEED)
+    for length in range(1, last + 1):
+        inside = at - length >= starts[at]
+        at, parent = at[inside], chain[inside]
+        chain = mix(parent, tokens[at - length])
+        yield length, at, chain, parent
+        if length in open_:
+            going = _marked(chain, open_[length])
+            at, chain = at[going], chain[going]
 
-def _count_next(frequent):
+
+def _count_next(lengths: tuple[int, ...], shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = {k: bits.value for k, bits in shared.items()}
         for batch in chunks(batches, "text"):
             tokens, bounds = _tokens(batch.column("text"))
-            found = list(_contexts(tokens, bounds, frequent.value))
-            context = np.concatenate([c for _, c in found])
-            token = np.concatenate([tokens[at] for at, _ in found])
-            _, one, n = np.unique(mix(context, token), return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(context[one].view(np.int64)), pa.array(token[one].view(np.int64)), pa.array(n)], ["context", "token", "n"]
-            )
+            for length, at, context, parent in _contexts(tokens, bounds, open_, lengths[-1]):
+                if length not in lengths or not len(at):
+                    continue
+                token = tokens[at]
+                _, one, n = np.unique(_pair(context, token), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(x[one].view(np.int64)) for x in (context, token, parent)), pa.array(n)], ["context", "token", "parent", "n"]
+                )
 
     return run
 
 
-@dataclass
-class Tree:
-    """Retained contexts in order with their occurrences and escape weights; kept next tokens with counts."""
-
-    frequent: np.ndarray
-    contexts: np.ndarray
-    times: np.ndarray
-    escape: np.ndarray
-    pairs: np.ndarray
-    counts: np.ndarray
-
-    def score(self, tokens: np.ndarray, bounds: np.ndarray, base: np.ndarray) -> np.ndarray:
-        """Each token's probability in its longest retained context, given its base probability."""
-        out, open_ = base.copy(), np.ones(len(tokens), bool)
-        for at, context in reversed(list(_contexts(tokens, bounds, self.frequent))):
-            held, where = _among(context, self.contexts)
-            held &= open_[at]
-            at, where, context = at[held], where[held], context[held]
-            open_[at] = False
-            known, pair = _among(mix(context, tokens[at]), self.pairs)
-            count = np.where(known, self.counts[pair], 0) if len(self.pairs) else np.zeros(len(at))
-            out[at] = (count + self.escape[where] * base[at]) / self.times[where]
-        return out
-
-
-def learn_tree(learning: DataFrame, tokens: DataFrame, n_train: int, n_distinct: int, n_ends: int) -> Tree:
-    """``tokens``: the distinct learning tokens (word, n) without the end."""
+def learn_tree(learning: DataFrame, tokens: DataFrame, n_train: int, n_ends: int) -> tuple[DataFrame, dict]:
+    """Rows (key, x, y) of the retained contexts, and the bits of open contexts by length.
+
+    A context has a row (its hash, occurrences, number of next tokens) and one for each next token
+    (hash of both, count, null). ``tokens``: the distinct learning tokens (word, n) without the end.
+    """
     spark = learning.sparkSession
-    least = max(MIN_TIMES, MIN_SHARE * n_train)
-    starters = learning.select("text").mapInArrow(_count_starters, "starter long, n long").groupBy("starter").agg(F.sum("n").alias("n"))
-    frequent = np.sort(starters.where(F.col("n") >= least).select("starter").toPandas()["starter"].to_numpy(np.int64).view(np.uint64))
-    shared = spark.sparkContext.broadcast(frequent)
-    follows = learning.select("text").mapInArrow(_count_next(shared), "context long, token long, n long")
-    follows = follows.groupBy("context", "token").agg(F.sum("n").alias("n"))
-    often = stored(follows.withColumn("times", F.expr("sum(n) OVER (PARTITION BY context)")).where(F.col("times") >= least), "contexts")
-    kept = often.where(F.col("n") >= F.col("times") * NEXT_SHARE)
-    # At most LONGEST / MIN_SHARE contexts with 1 / NEXT_SHARE next tokens each, and in fact far fewer.
-    base = tokens.join(F.broadcast(kept.select(F.col("token").alias("word")).distinct()), "word").select("word", F.col("n").alias("c"))
-    rows = kept.toPandas()
-    of = base.toPandas().set_index("word")["c"].to_dict()
-    of[int(_END.view(np.int64))] = n_ends
-    chance = np.array([of.get(w, 0) + 1 for w in rows["token"]], float) / (n_train + n_distinct + 1)
-    context, n, times = rows["context"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(float), rows["times"].to_numpy(float)
-    names, at = np.unique(context, return_inverse=True)
-    gain = np.bincount(at, n * np.log(n / np.maximum(times, 1) / chance), len(names))
-    number = np.bincount(at, minlength=len(names))
-    stays = gain > COST * number
-    of_context = np.zeros(len(names))
-    of_context[at] = times
-    kept_sum = np.bincount(at, n, len(names))
-    pair = mix(context, rows["token"].to_numpy(np.int64).view(np.uint64))[stays[at]]
-    order = np.argsort(pair)
-    return Tree(
-        frequent,
-        names[stays],
-        (of_context + number)[stays],
-        (of_context - kept_sum + number)[stays],
-        pair[order],
-        n[stays[at]][order],
-    )
+    seed, end = int(_SEED), int(_END)
+    pair = "context long, token long, parent long, n long"
+    ends = spark.range(1).select(F.lit(end).alias("token"), F.lit(n_ends).cast("long").alias("n"))
+    empty = tokens.select(F.col("word").alias("token"), "n").union(ends).where("n > 0")
+    parents = empty.select(F.lit(seed).cast("long").alias("context"), "token", "n", F.lit(max(1, n_train)).cast("long").alias("times"))
+    open_, counted = {}, None
+    for lengths in STEPS:
+        rows = learning.select("text").mapInArrow(_count_next(lengths, open_), pair)
+        rows = rows.groupBy("context", "token").agg(F.sum("n").alias("n"), F.min("parent").alias("parent"))
+        rows = rows.withColumns({"times": F.expr("sum(n) OVER (PARTITION BY context)"), "kinds": F.expr("count(*) OVER (PARTITION BY context)")})
+        rows = stored(rows.where(F.col("times") >= MIN_TIMES), "contexts")
+        counted = rows if counted is None else counted.union(rows)
+        going = _bits(rows.where("kinds > 1").select("context"))
+        if lengths[-1] == LONGEST or not going.any():
+            break
+        open_[lengths[-1]] = spark.sparkContext.broadcast(going)
+    parents = parents.union(counted.select("context", "token", "n", "times"))
+    parents = parents.select(F.col("context").alias("parent"), "token", F.log(F.col("n") / F.col("times")).alias("before"))
+    met = counted.join(parents, ["parent", "token"]).withColumn("gain", F.col("n") * (F.log(F.col("n") / F.col("times")) - F.col("before")))
+    kept = met.withColumn("gain", F.expr("sum(gain) OVER (PARTITION BY context)")).where(F.col("gain") > COST * F.col("kinds"))
+    return stored(kept.select("context", "token", "n", "times", "kinds").mapInArrow(_keyed, "key long, x long, y long"), "tree"), open_
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each pair's key and count; with them the contexts' own rows, once a batch."""
+    for batch in batches:
+        context, token, n, times, kinds = (c.to_numpy() for c in batch.columns)
+        _, one = np.unique(context, return_index=True)
+        key = np.concatenate([_pair(context.view(np.uint64), token.view(np.uint64)).view(np.int64), context[one]])
+        y = np.concatenate([np.zeros(len(n), np.int64), kinds[one]])
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.append(n, times[one])), pa.array(y, mask=y == 0)], ["key", "x", "y"])
+
+
+def _wanted(open_: dict, retained):
+    """Each block's distinct keys: contexts that may be retained, and their pairs with next tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = {k: b.value for k, b in open_.items()}
+        block, parts = None, []
+
+        def hand_on() -> Iterator[pa.RecordBatch]:
+            keys = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+            parts.clear()
+            for lo in range(0, len(keys), 200_000):
+                k = keys[lo : lo + 200_000].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), block)), pa.array(k)], ["block", "key"])
+
+        for batch in chunks(batches, "text"):
+            of = batch.column("block").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if of[lo] != block:
+                    yield from hand_on()
+                    block = of[lo]
+                tokens, bounds = _tokens(batch.column("text").slice(lo, hi - lo))
+                for _, at, context, _ in _contexts(tokens, bounds, bits, max(bits, default=0) and LONGEST or 1):
+                    may = _marked(context, retained.value)
+                    context = context[may]
+                    parts.append(np.unique(np.concatenate([context, _pair(context, tokens[at[may]])])))
+        yield from hand_on()
+
+    return run
+
+
+def _in_tree(tokens: np.ndarray, bounds: np.ndarray, base: np.ndarray, open_: dict, retained: np.ndarray, tree: tuple) -> np.ndarray:
+    """Each token's probability in its longest retained context, given its base probability."""
+    keys, x, y = tree
+    out = base.copy()
+    for _, at, context, _ in _contexts(tokens, bounds, open_, max(open_, default=0) and LONGEST or 1):
+        may = _marked(context, retained)
+        at, context = at[may], context[may]
+        held, where = _among(context, keys)
+        at, where, context = at[held], where[held], context[held]
+        if not len(at):
+            continue
+        known, pair = _among(_pair(context, tokens[at]), keys)
+        out[at] = (np.where(known, x[pair], 0) + y[where] * base[at]) / (x[where] + y[where])
+    return out
 
 
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,27 +242,32 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _scorer(tree, n_train: int, n_distinct: int, n_ends: int):
+def _scorer(open_: dict, retained, n_train: int, n_distinct: int, n_ends: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, words, counts = None, [], []
+        block, parts, known = None, {0: [], 1: []}, {}
+        bits = {k: b.value for k, b in open_.items()}
         for whole in batches:
             for batch in chunks(iter([whole]), "text"):
-                of, is_text = batch.column("block").to_numpy(), batch.column("is_text").to_numpy()
-                cuts = [0, *(np.flatnonzero((np.diff(of) != 0) | (np.diff(is_text) != 0)) + 1).tolist(), len(of)]
+                of, kind = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
+                cuts = [0, *(np.flatnonzero((np.diff(of) != 0) | (np.diff(kind) != 0)) + 1).tolist(), len(of)]
                 for lo, hi in zip(cuts, cuts[1:], strict=False):
                     part = batch.slice(lo, hi - lo)
                     if of[lo] != block:
-                        block, words, counts = of[lo], [], []
-                    if not is_text[lo]:
-                        words.append(part.column("word").to_numpy())
-                        counts.append(part.column("n").to_numpy())
+                        block, parts, known = of[lo], {0: [], 1: []}, {}
+                    if kind[lo] < 2:
+                        parts[kind[lo]].append([part.column(c).fill_null(0).to_numpy() for c in ("key", "x", "y")])
                         continue
-                    if len(words) != 1:
-                        words = [np.concatenate(words) if words else np.zeros(0, np.int64)]
-                        counts = [np.concatenate(counts) if counts else np.zeros(0, np.int64)]
-                    yield score(part, words[0], counts[0])
-
-    def score(part: pa.RecordBatch, known: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+                    for k in (0, 1):
+                        if k not in known:
+                            known[k] = tuple(np.concatenate([p[c] for p in parts[k]]) if parts[k] else np.zeros(0, np.int64) for c in range(3))
+                            parts[k] = []
+                            if k == 1:
+                                keys, x, y = known[k]
+                                order = np.argsort(keys.view(np.uint64), kind="stable")
+                                known[k] = keys.view(np.uint64)[order], np.append(x[order], 0), np.append(y[order], 0)
+                    yield score(part, known[0][0], known[0][1], bits, known[1])
+
+    def score(part: pa.RecordBatch, known: np.ndarray, counts: np.ndarray, bits: dict, tree: tuple) -> pa.RecordBatch:
         tokens, bounds = _tokens(part.column("text"))
         docs = len(bounds) - 1
         is_word = np.ones(len(tokens), bool)
@@ -247,7 +278,7 @@ def _scorer(tree, n_train: int, n_distinct: int, n_ends: int):
         count = np.full(len(tokens), n_ends, np.int64)
         count[is_word] = counts[at] if len(counts) else 0
         frequency = (count + 1) / (n_train + n_distinct + 1)
-        scored = np.log10(tree.value.score(tokens, bounds, frequency))
+        scored = np.log10(_in_tree(tokens, bounds, frequency, bits, retained.value, tree))
 
         def sums(x: np.ndarray) -> np.ndarray:
             return np.add.reduceat(x, bounds[:-1]) if docs else x[:0]
@@ -288,11 +319,15 @@ def score_texts(docs: DataFrame, fixed_order: bool = False) -> DataFrame:
     ends = learning.count()
     of = tokens.where("once").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("distinct")).first()
     numbers = (of.n + ends, of.distinct + (ends > 0), ends)
-    tree = spark.sparkContext.broadcast(learn_tree(learning, tokens.where("once AND n > 0").select("word", "n"), *numbers))
+    tree, open_ = learn_tree(learning, tokens.where("once AND n > 0").select("word", "n"), numbers[0], ends)
+    retained = spark.sparkContext.broadcast(_bits(tree.where("y IS NOT NULL").select(F.col("key").alias("context"))))
+    wanted = docs.select("block", "text").mapInArrow(_wanted(open_, retained), "block long, key long")
+    # A context may have one row per batch of the tree's writer.
+    found = wanted.join(tree.groupBy("key").agg(F.max("x").alias("x"), F.max("y").alias("y")), "key")
     null = F.lit(None)
-    lookups = tokens.select(
-        "block", F.lit(0).alias("is_text"), "word", "n", null.cast("long").alias("doc_id"), null.cast("boolean").alias("held_out"), null.cast("string").alias("text")
-    )
-    texts = docs.select("block", F.lit(1).alias("is_text"), null.cast("long").alias("word"), null.cast("long").alias("n"), "doc_id", "held_out", "text")
-    met = lookups.union(texts).repartition("block").sortWithinPartitions("block", "is_text", "word")
-    return met.mapInArrow(_scorer(tree, *numbers), RESULT)
+    none = [null.cast("long").alias("doc_id"), null.cast("boolean").alias("held_out"), null.cast("string").alias("text")]
+    words = tokens.select("block", F.lit(0).alias("kind"), F.col("word").alias("key"), F.col("n").alias("x"), null.cast("long").alias("y"), *none)
+    contexts = found.select("block", F.lit(1).alias("kind"), "key", "x", "y", *none)
+    texts = docs.select("block", F.lit(2).alias("kind"), *(null.cast("long").alias(c) for c in ("key", "x", "y")), "doc_id", "held_out", "text")
+    met = words.union(contexts).union(texts).repartition("block").sortWithinPartitions("block", "kind", "key")
+    return met.mapInArrow(_scorer(open_, retained, *numbers), RESULT)

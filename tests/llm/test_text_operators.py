@@ -32,6 +32,40 @@ def test_suffix_tree(docs_of):
     assert suffix_tree.score_texts(docs_of(["x"]).where("false")).isEmpty()
 
 
+def test_suffix_tree_learns_rare_copies_in_large_corpora(docs_of):
+    passage = " ".join(f"rare{n}" for n in range(12))
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
+    learned = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 != 2][:2]
+    texts = [passage if i in (*learned, held) else "of " * 20_000 for i in range(100)]
+    row = suffix_tree.score_texts(docs_of(texts)).where(f"doc_id = {held}").first()
+    assert row.train_tokens > 1_500_000 and row.n_known == 13 and row.score > row.base_score + 12
+
+
+def test_suffix_tree_counts_all_contexts(docs_of):
+    pick = random.Random(8)
+    some = [" ".join(pick.choice("abcdefg") for _ in range(pick.randint(1, 40))) for _ in range(60)] + ["a b c d e f g h i j k l m n o p q r s t u v"] * 3
+    texts = TEXTS + some
+    tokens = [words(t, lower=True) + ["\0"] for t in texts]
+    learn = [t for i, t in enumerate(tokens) if zlib.crc32(str(i).encode()) % 7 != 2]
+    base, follows = Counter(w for t in learn for w in t), {}
+    for t in learn:
+        for i, w in enumerate(t):
+            for k in range(min(i, suffix_tree.LONGEST) + 1):
+                follows.setdefault(tuple(t[i - k : i]), Counter())[w] += 1
+    n, v = sum(base.values()), len(base)
+    of = {c: sum(f.values()) for c, f in follows.items()}
+    kept = {c for c, f in follows.items() if c and of[c] >= 2 and sum(x * math.log(x / of[c] / (follows[c[1:]][w] / of[c[1:]])) for w, x in f.items()) > 2 * len(f) + 1e-9}
+    assert {len(c) for c in kept} >= {1, 2, 3}
+    rows = {r.doc_id: r for r in suffix_tree.score_texts(docs_of(texts)).collect()}
+    for i, t in enumerate(tokens):
+        want = 0.0
+        for j, w in enumerate(t):
+            p = (base[w] + 1) / (n + v + 1)
+            state = next((c for k in range(min(j, 12), 0, -1) if (c := tuple(t[j - k : j])) in kept), None)
+            want += math.log10((follows[state][w] + len(follows[state]) * p) / (of[state] + len(follows[state])) if state else p)
+        assert math.isclose(rows[i].score, want, rel_tol=1e-9)
+
+
 def test_decontamination(spark, docs_of):
     items = [(0, TEXTS[-12]), (1, None), (2, ""), (3, "one"), (4, " ".join(words(TEXTS[16])[5:60])), (5, "nowhere to be found at all"), (6, TEXTS[-12])]
     table = spark.createDataFrame(items, "item_id LONG, text STRING")
