@@ -4,7 +4,12 @@ Detected entities get replacements that depend on a key and on the entity alone,
 same surrogate wherever it occurs. Surrogates keep the type and the form: digits stay digits in the same
 places, card numbers that pass the check digit still do, addresses stay addresses, letters keep case
 and script, names keep the gender that their title shows. Names are replaced part by part, so "Mrs Anna
-Berg" and "Mrs Berg" still belong together.
+Berg" and "Mrs Berg" still belong together. A given name after a neutral title has the gender that other
+mentions show in the corpus, if that is one gender; else it is an entity of its own.
+
+Names are found after a title, and without one where a given name of the dictionary (``GIVEN`` and a
+table of the caller) stands before a capitalised word. Other mentions of the parts found in a text are
+replaced in the same text too, whatever they stand for there.
 
 Two entities must not get the same surrogate, and no surrogate may be another entity of the corpus. Both
 are checked over the table of distinct entities: of those that want the same surrogate one gets it, the
@@ -18,6 +23,7 @@ in numbers, capitals in mail addresses) are one entity. An empty table gives an
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import hmac
 import re
@@ -65,14 +71,18 @@ ENTITY = re.compile(
 _MAY_HOLD = re.compile(rf"[0-9@]|\b(?:{_TITLE})\b")
 KINDS = ("email", "iban", "ip", "ssn", "card", "phone", "name")
 _DIGITS = "0123456789"
+_WORD = re.compile(rf"(?<!\w){_NAME}(?!\w)")
+_RUN = re.compile(rf"(?<!\w){_NAME}(?:\x20{_NAME})+(?!\w)")
+#: Names of a caller's table, which go to all workers.
+MOST_NAMES = 20_000
+NAMES = {name.casefold(): gender for (_, gender), names in GIVEN.items() for name in names}
 
 
 def _script(part: str) -> str:
     return unicodedata.name(part[0], "LATIN").split()[0]
 
 
-def entities(text: str) -> Iterator[tuple[int, int, str, str, str]]:
-    """(start, end, kind, entity, kind counted as): what has one surrogate, in the order of the text."""
+def _titled(text: str) -> Iterator[tuple[int, int, str, str, str]]:
     if not _MAY_HOLD.search(text):
         return
     for m in ENTITY.finditer(text):
@@ -93,6 +103,48 @@ def entities(text: str) -> Iterator[tuple[int, int, str, str, str]]:
             yield m.start(), m.end(), kind, canon, kind
 
 
+def _pairs(text: str, names: dict[str, str]) -> Iterator[tuple[int, int, str, str, str]]:
+    """Untitled names: given names of the dictionary and the capitalised word after them."""
+    for run in _RUN.finditer(text):
+        words = [(run.start() + m.start(), run.start() + m.end(), m[0].casefold()) for m in re.finditer(r"\S+", run[0])]
+        n = 0
+        while n + 1 < len(words):
+            if words[n][2] not in names:
+                n += 1
+                continue
+            while n + 1 < len(words) and (words[n][2] in names):
+                yield *words[n][:2], f"given{names[words[n][2]]}", words[n][2], "name"
+                n += 1
+            yield *words[n][:2], "family", words[n][2], "name"
+            n += 1
+
+
+def entities(text: str, names: dict[str, str] = NAMES) -> list[tuple[int, int, str, str, str]]:
+    """(start, end, kind, entity, kind counted as): what has one surrogate, in the order of the text."""
+    found = list(_titled(text))
+
+    def add(more) -> None:
+        starts = [f[0] for f in found]
+        for one in more:
+            k = bisect.bisect(starts, one[0])
+            if (not k or found[k - 1][1] <= one[0]) and (k == len(starts) or one[1] <= starts[k]):
+                new.append(one)
+        found.extend(new)
+        found.sort()
+
+    new: list = []
+    add(_pairs(text, names))
+    kinds: dict[str, str] = {}
+    for _, _, kind, canon, counted in found:
+        # A part that was a given name with a gender somewhere is that name.
+        if counted == "name" and (canon not in kinds or kinds[canon] == "given" and kind.startswith("given")):
+            kinds[canon] = kind
+    if kinds:
+        new = []
+        add((m.start(), m.end(), kinds[m[0].casefold()], m[0].casefold(), "name") for m in _WORD.finditer(text) if m[0].casefold() in kinds)
+    return found
+
+
 def luhn(digits: str) -> int:
     """The sum of the check; 0 if the number passes."""
     total = 0
@@ -174,12 +226,15 @@ def shaped(text: str, made: str, kind: str) -> str:
     return made.upper() if text.isupper() and len(text) > 1 else "-".join(p[:1].upper() + p[1:] for p in made.split("-"))
 
 
-def _detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = {(i, kind, canon) for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) if text for _, _, kind, canon, _ in entities(text)}
-        rows = sorted(found, key=lambda x: (x[0] is None, x[0] or 0, x[1:]))
-        columns = list(zip(*rows, strict=True)) or [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())], ["doc_id", "kind", "entity"])
+def _detect(names: dict[str, str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {(i, kind, canon) for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) if text for _, _, kind, canon, _ in entities(text, names)}
+            rows = sorted(found, key=lambda x: (x[0] is None, x[0] or 0, x[1:]))
+            columns = list(zip(*rows, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())], ["doc_id", "kind", "entity"])
+
+    return run
 
 
 def _asking(key: bytes, attempt: int):
@@ -216,37 +271,64 @@ def assign(found: DataFrame, key: bytes, ask: Callable[[bytes, int], Callable] =
 RESULT = "doc_id long, text string, n_entities long, " + ", ".join(f"n_{k} long" for k in KINDS)
 
 
-def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for lo in range(0, whole.num_rows, 500):
-            batch = whole.slice(lo, 500)
-            texts, counts = [], []
-            for text, known in zip(batch.column("text").to_pylist(), batch.column("known").to_pylist(), strict=True):
-                number = dict.fromkeys(KINDS, 0)
-                if known and text:
-                    made = {(k["kind"], k["entity"]): k["surrogate"] for k in known}
-                    out, at = [], 0
-                    for start, end, kind, canon, counted in entities(text):
-                        out += [text[at:start], shaped(text[start:end], made[kind, canon], kind)]
-                        at = end
-                        number[counted] += 1
-                    text = "".join([*out, text[at:]])
-                texts.append(text)
-                counts.append([sum(number.values()), *number.values()])
-            columns = list(zip(*counts, strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(texts, pa.string()), *[pa.array(c, pa.int64()) for c in columns]],
-                [f.split()[0] for f in RESULT.split(", ")],
-            )
-
-
-def replace_entities(docs: DataFrame, key: bytes) -> DataFrame:
-    """Every row: doc_id, text with surrogates, and how many entities of each kind it had."""
+def _apply(names: dict[str, str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 500):
+                batch = whole.slice(lo, 500)
+                texts, counts = [], []
+                for text, known in zip(batch.column("text").to_pylist(), batch.column("known").to_pylist(), strict=True):
+                    number = dict.fromkeys(KINDS, 0)
+                    if known and text:
+                        made = {(k["kind"], k["entity"]): k["surrogate"] for k in known}
+                        out, at = [], 0
+                        for start, end, kind, canon, counted in entities(text, names):
+                            out += [text[at:start], shaped(text[start:end], made[kind, canon], kind)]
+                            at = end
+                            number[counted] += 1
+                        text = "".join([*out, text[at:]])
+                    texts.append(text)
+                    counts.append([sum(number.values()), *number.values()])
+                columns = list(zip(*counts, strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), pa.array(texts, pa.string()), *[pa.array(c, pa.int64()) for c in columns]],
+                    [f.split()[0] for f in RESULT.split(", ")],
+                )
+
+    return run
+
+
+def _dictionary(table: DataFrame | None) -> dict[str, str]:
+    if table is None:
+        return NAMES
+    rows = table.select("name", "gender").limit(MOST_NAMES + 1).collect()
+    if len(rows) > MOST_NAMES:
+        raise ValueError(f"more than {MOST_NAMES} given names")
+    return NAMES | {r.name.casefold(): r.gender or "" for r in rows if r.name}
+
+
+def _resolved(distinct: DataFrame) -> DataFrame:
+    """(kind, entity, settled): a given name without gender gets the one gender that the corpus shows for it."""
+    given = distinct.where(F.col("kind").startswith("given"))
+    seen = given.groupBy("entity").agg(F.bool_or(F.col("kind") == "givenm").alias("m"), F.bool_or(F.col("kind") == "givenf").alias("f"))
+    kind = F.when(F.col("m") & ~F.col("f"), "givenm").when(F.col("f") & ~F.col("m"), "givenf").otherwise("given")
+    settled = given.join(seen, "entity").select("kind", "entity", F.when(F.col("kind") == "given", kind).otherwise(F.col("kind")).alias("settled"))
+    return settled.union(distinct.where(~F.col("kind").startswith("given")).select("kind", "entity", F.col("kind").alias("settled")))
+
+
+def replace_entities(docs: DataFrame, key: bytes, given_names: DataFrame | None = None) -> DataFrame:
+    """Every row: doc_id, text with surrogates, and how many entities of each kind it had.
+
+    ``given_names``: a table (name, gender: m, f or empty) of at most ``MOST_NAMES`` rows beside ``GIVEN``.
+    """
+    names = _dictionary(given_names)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = stored(docs.mapInArrow(_detect, "doc_id long, kind string, entity string"), "entities")
-    assigned = assign(stored(found.select("kind", "entity").distinct(), "distinct-entities"), key)
+    found = stored(docs.mapInArrow(_detect(names), "doc_id long, kind string, entity string"), "entities")
+    resolved = stored(_resolved(found.select("kind", "entity").distinct()), "distinct-entities")
+    assigned = assign(resolved.select(F.col("settled").alias("kind"), "entity").distinct(), key)
+    assigned = resolved.join(assigned.withColumnRenamed("kind", "settled"), ["settled", "entity"]).select("kind", "entity", "surrogate")
     known = (
         found.distinct().join(assigned, ["kind", "entity"])
         .groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("kind", "entity", "surrogate")).alias("known"))
     )
-    return docs.join(known, F.col("doc_id").eqNullSafe(F.col("of")), "left").select("doc_id", "text", "known").mapInArrow(_apply, RESULT)
+    return docs.join(known, F.col("doc_id").eqNullSafe(F.col("of")), "left").select("doc_id", "text", "known").mapInArrow(_apply(names), RESULT)

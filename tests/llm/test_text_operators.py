@@ -100,6 +100,24 @@ def test_surrogates(docs_of):
     assert (rows[0].n_email, rows[0].n_card, rows[0].n_phone, rows[1].n_ip, rows[1].n_ssn, rows[1].n_name) == (2, 1, 1, 1, 1, 5)
 
 
+def test_surrogates_of_untitled_names(spark, docs_of):
+    lines = ["Mrs Anna Berg wrote. Anna Berg called, Berg left", "Then Greta Lind and Zora Holm spoke; Lind agreed.", "Quiet Hills and Rivers"]
+    names = spark.createDataFrame([("Zora", "f")], "name STRING, gender STRING")
+    rows = {r.doc_id: r for r in surrogates.replace_entities(docs_of(lines), b"k", names).collect()}
+    given, family = rows[0].text.split()[1:3]
+    assert rows[0].text == f"Mrs {given} {family} wrote. {given} {family} called, {family} left" and {given, family}.isdisjoint({"Anna", "Berg"})
+    made = rows[1].text.replace(";", "").split()
+    assert made[0] == "Then" and made[2] == made[7] and {"Greta", "Lind", "Zora", "Holm"}.isdisjoint(made)
+    assert (rows[0].n_name, rows[1].n_name, rows[2].text) == (5, 5, lines[2])
+
+
+def test_surrogates_of_neutral_titles(docs_of):
+    lines = ["Dr Hanna Berg came", "Mrs Hanna Berg left", "Dr Kim Lund", "Mr Kim Lund", "Mrs Kim Lund"]
+    rows = {r.doc_id: r.text.split()[1] for r in surrogates.replace_entities(docs_of(lines), b"k").collect()}
+    women = {p for n in surrogates.GIVEN["LATIN", "f"] for p in [n]}
+    assert rows[0] == rows[1] and set(rows[0].split("-")) <= women and len({rows[2], rows[3], rows[4]}) == 3
+
+
 def test_surrogates_stay_distinct(spark):
     found = spark.createDataFrame([("ip", f"1.1.{n // 200}.{n % 200}") for n in range(300)] + [("family", f"name{n}") for n in range(200)], "kind STRING, entity STRING")
     made = surrogates.assign(found, b"k").collect()
