@@ -172,6 +172,15 @@ def test_secrets(docs_of):
     assert {(r.n_copied, r.n_live, r.spans) for r in copied} == {(1, 0, "")}
 
 
+def test_secrets_copied_inside_one_owner(docs_of):
+    token = "key qX7vRk2LmP9sTz4WbN8c here"
+    texts = [token if i % 3 == 0 else f"plain {i}" for i in range(36)]
+    rows = {r.doc_id: r for r in secret_scan.scan_secrets(docs_of(texts)).collect()}
+    assert {(rows[i].n_copied, rows[i].n_live, rows[i].spans, rows[i].max_repositories) for i in range(0, 36, 3)} == {(1, 0, "", 12)}
+    few = [token if i in (0, 3, 6) else f"plain {i}" for i in range(36)]
+    assert {(r.n_copied, r.n_live) for r in secret_scan.scan_secrets(docs_of(few)).where("doc_id IN (0, 3, 6)").collect()} == {(0, 1)}
+
+
 def test_language(docs_of):
     pick = random.Random(2)
     pools = {"en": "the river and the hills were quiet that evening while people walked home".split(),
