@@ -3,8 +3,9 @@
 Overlapping heuristics each object to a text or let it pass. Expectation-maximisation over the
 counts of vote patterns (at most 2^12 of them, aggregated over all rows) estimates how often
 each labeller objects to texts of either class, and so a posterior for each pattern. The posteriors
-label a bounded sample (``TRAIN_ROWS``, picked by a hash of the id), on which a linear scorer over
-hashed features is trained; the scorer decides on every row.
+label a bounded sample (``TRAIN_ROWS``), on which a linear scorer over hashed features is trained; the
+scorer decides on every row. Equal rows (id and text) are one group of the sample, which counts as often as
+its share of the rows says, so neither missing nor repeated ids can fill or empty the sample.
 
 Defined results: no labeller objects to null and empty texts; they are scored by that and the intercept. Labels without an id or a toxic value are not used. Ties and repeated rows: each row is scored by
 its text alone, so equal texts get equal scores. An empty table gives an empty result. Extra columns stay in ``keep_good`` and are ignored in ``score_quality``.
@@ -20,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from limpida.llm.tables import stored
 from limpida.llm.words import Words, chunks, mix, shingles, split_words, word_hashes
 
 #: About so many rows train the scorer.
@@ -221,29 +223,46 @@ def _train(words: list[np.ndarray], flags: np.ndarray, label: np.ndarray, lexico
     return Scorer(weights.astype(np.float32), b, lexicon)
 
 
-def _drawn(part: float):
-    return F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(min(1.0, part) * 1_000_000)
+def _drawn(part: float, *columns: str):
+    return F.pmod(F.xxhash64(*columns), F.lit(1_000_000)) < int(min(1.0, part) * 1_000_000)
 
 
-def _lexicon_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each lexicon entry of the texts: in how many toxic rows, in how many others.
+def training_rows(docs: DataFrame, n: float) -> DataFrame:
+    """(text, times) of the sample: a group of c equal rows comes c * TRAIN_ROWS / n times, its fraction drawn by a hash."""
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("row"), "text")
+    part = F.col("c") * min(1.0, TRAIN_ROWS / n)
+    chance = F.pmod(F.xxhash64(F.col("row"), F.lit(7)), F.lit(1_000_000)) / 1e6
+    groups = rows.groupBy("row").agg(F.count("*").alias("c"))
+    groups = groups.select("row", (F.floor(part) + (chance < part - F.floor(part)).cast("long")).alias("times")).where("times > 0")
+    groups = stored(groups, "sample")
+    held = groups.count()
+    if held > 2 * TRAIN_ROWS:
+        raise ValueError(f"{held} rows in the training sample")
+    return rows.join(F.broadcast(groups), "row").groupBy("row").agg(F.any_value("text").alias("text"), F.max("times").alias("times")).select("text", "times")
 
-    Texts of one batch with the same least shingle and label count as one.
-    """
-    for batch in chunks(batches, "text"):
-        bare = _bare_words(split_words(batch.column("text")))
-        hashes, doc = word_hashes(bare), bare.doc()
-        toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(bool)
-        least, bounds = shingles(hashes, bare.first, 5)
-        least = np.array([least[a:b].min() if b > a else 0 for a, b in zip(bounds[:-1], bounds[1:], strict=True)], np.uint64)
-        _, alone = np.unique(np.stack([least, toxic.astype(np.uint64)]), axis=1, return_index=True)
-        pick, _ = _distinct(hashes, doc, len(toxic))
-        pick = pick[np.isin(doc[pick], alone)]
-        keys = [np.unique(np.stack([e.view(np.int64), doc[pick]]), axis=1) for e in _entries(bare, hashes, pick)]
-        entry, row = np.concatenate(keys, axis=1)
-        entry, at = np.unique(entry, return_inverse=True)
-        bad = np.bincount(at, toxic[row], len(entry)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(entry), pa.array(bad), pa.array(np.bincount(at, minlength=len(entry)) - bad)], ["entry", "bad", "good"])
+
+def _lexicon_rows(among: np.ndarray | None = None):
+    """Distinct pairs of a lexicon entry and the least shingle of a text that has it; all entries, or those among some."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text"):
+            bare = _bare_words(split_words(batch.column("text")))
+            hashes, doc = word_hashes(bare), bare.doc()
+            least, bounds = shingles(hashes, bare.first, 5)
+            least = np.array([least[a:b].min() if b > a else 0 for a, b in zip(bounds[:-1], bounds[1:], strict=True)], np.uint64)
+            pick, _ = _distinct(hashes, doc, batch.num_rows)
+            entry = np.concatenate(_entries(bare, hashes, pick))
+            of = np.tile(least[doc[pick]], 1 + len(_BEGINNINGS))
+            keep = entry != 0 if among is None else np.isin(entry, among)
+            entry, of = np.unique(np.stack([entry[keep], of[keep]]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(entry.view(np.int64)), pa.array(of.view(np.int64))], ["entry", "least"])
+
+    return run
+
+
+def _rows_with(rows: DataFrame, among: np.ndarray | None = None) -> DataFrame:
+    """In how many texts each entry is, near copies counted once over the whole sample."""
+    return rows.select("text").mapInArrow(_lexicon_rows(among), "entry long, least long").distinct().groupBy("entry").agg(F.count("*").alias("n"))
 
 
 def learn_lexicon(docs: DataFrame, labels: DataFrame) -> np.ndarray:
@@ -252,18 +271,23 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     n = labels.count()
     if not n:
         return np.zeros(0, np.uint64)
-    part = _drawn(LABELLED_ROWS / n)
+    part = _drawn(LABELLED_ROWS / n, "doc_id")
     drawn = labels.where(part).dropDuplicates(["doc_id"])
     rows = docs.where(part).select("doc_id", "text").join(drawn, "doc_id")
     of = drawn.agg(F.count_if("toxic").alias("bad"), F.count_if(~F.col("toxic")).alias("good")).first()
-    odds = (F.col("bad") + 0.5) / (of.bad + 1) / ((F.col("good") + 0.5) / (of.good + 1))
-    found = (
-        rows.select("text", "toxic").mapInArrow(_lexicon_rows, "entry long, bad long, good long")
-        .groupBy("entry").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-        .where((F.col("bad") >= max(LEXICON_ROWS, LEXICON_SHARE * of.bad)) & (odds >= LEXICON_ODDS) & (F.col("entry") != 0))
-        .select("entry").toPandas()
-    )
-    return np.sort(found["entry"].to_numpy(np.int64).view(np.uint64))
+    matched = rows.count()
+    if matched > 2 * LABELLED_ROWS:  # an id with many texts
+        rows = rows.where(_drawn(LABELLED_ROWS / matched, "doc_id", "text"))
+    # At most 1 / LEXICON_SHARE times the entries of one text on average; only these are counted in the other rows.
+    bad = _rows_with(rows.where("toxic")).where(F.col("n") >= max(LEXICON_ROWS, LEXICON_SHARE * of.bad)).toPandas()
+    entry = bad["entry"].to_numpy(np.int64)
+    order = np.argsort(entry)
+    entry, n_bad, n_good = entry[order], bad["n"].to_numpy(float)[order], np.zeros(len(entry))
+    if len(entry):
+        good = _rows_with(rows.where("NOT toxic"), entry.view(np.uint64)).toPandas()
+        n_good[np.searchsorted(entry, good["entry"].to_numpy(np.int64))] = good["n"]
+    odds = (n_bad + 0.5) / (of.bad + 1) / ((n_good + 0.5) / (of.good + 1))
+    return np.sort(entry[odds >= LEXICON_ODDS].view(np.uint64))
 
 
 def fit(docs: DataFrame, labels: DataFrame | None = None) -> Scorer:
@@ -281,16 +305,16 @@ def fit(docs: DataFrame, labels: DataFrame | None = None) -> Scorer:
             votes, hashes, bounds = votes_and_features(batch.column("text"), lexicon)
             words, _ = _slots(votes, hashes, bounds)
             rows = [words[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(patterns(votes)), pa.array(rows, pa.binary())], ["pattern", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(patterns(votes)), pa.array(rows, pa.binary()), batch.column("times")], ["pattern", "words", "times"])
 
     seen = docs.select("text").mapInArrow(look, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).toPandas()
     if not len(seen):
         return Scorer(np.zeros(DIMENSIONS, np.float32), 1.0, lexicon)
     posterior = dict(zip(seen["pattern"], fit_labellers(seen["pattern"].to_numpy(), seen["n"].to_numpy(float)), strict=True))
-    rows = docs.where(_drawn(TRAIN_ROWS / float(seen["n"].sum()))).select("text").mapInArrow(sample, "pattern long, words binary").toPandas()
+    rows = training_rows(docs, float(seen["n"].sum())).mapInArrow(sample, "pattern long, words binary, times long").toPandas()
     if not len(rows):
         return Scorer(np.zeros(DIMENSIONS, np.float32), 1.0, lexicon)
-    rows = rows.sort_values(["pattern", "words"], ignore_index=True)
+    rows = rows.loc[rows.index.repeat(rows["times"])].sort_values(["pattern", "words"], ignore_index=True)
     pattern = rows["pattern"].to_numpy()
     votes = pattern[:, None] // 2 ** np.arange(len(LABELLERS)) % 2
     _, flags = _slots(votes, np.zeros(0, np.uint64), np.zeros(1, np.int64))
