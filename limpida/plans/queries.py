@@ -915,9 +915,10 @@ _FLAW = "CAST(doc_id % 10 AS INT)"
 
 def _flawed(spark, sf) -> DataFrame:
     flaw = F.expr(_FLAW)
-    m = mt.messages(spark, sf).drop("body_html")
+    m = mt.messages(spark, sf)
     return m.withColumns(
         {
+            "body_html": F.when(flaw != 1, F.col("body_html")).otherwise(""),
             "message_id": F.when(flaw != 0, F.col("message_id")),
             "body_text": F.when(flaw != 1, F.col("body_text")).otherwise(""),
             "headers": F.when(flaw != 2, F.col("headers")),
@@ -979,9 +980,10 @@ def _failing_model(text: str):
 
 def _degraded(spark, sf) -> DataFrame:
     flaw = F.expr(_FLAW)
-    m = mt.messages(spark, sf).drop("body_html")
+    m = mt.messages(spark, sf)
     return m.withColumns(
         {
+            "body_html": F.when(flaw != 1, F.col("body_html")).otherwise(""),
             "body_text": F.when(flaw == 1, F.lit(None)).otherwise(
                 F.when(flaw == 3, F.concat(F.lit("confidenziale tel. 055 1234567\n"), "body_text")).otherwise(
                     F.col("body_text")
