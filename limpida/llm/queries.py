@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from limpida.llm import byte_bpe, decontaminate, exact_dedup, language_id, near_dedup, quality, secret_scan, substring_dedup, suffix_tree, surrogates
+from limpida.llm import byte_bpe, conversation_repair, decontaminate, exact_dedup, language_id, near_dedup, quality, secret_scan, substring_dedup, suffix_tree, surrogates
 from limpida.llm.tables import table
 from limpida.session import ship_package
 
@@ -105,3 +105,8 @@ def op3(spark, sf_dir):
 @query("op5_surrogates")
 def op5(spark, sf_dir):
     return surrogates.replace_entities(table(spark, sf_dir, "documents"), KEY)
+
+
+@query("op12_audit_repair")
+def op12(spark, sf_dir):
+    return conversation_repair.repair_conversations(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
