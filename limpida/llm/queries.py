@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from limpida.llm import byte_bpe, conversation_repair, decontaminate, exact_dedup, language_id, near_dedup, quality, secret_scan, substring_dedup, suffix_tree, surrogates
+from limpida.llm import byte_bpe, conversation_repair, decontaminate, exact_dedup, language_id, near_dedup, quality, ranked_search, secret_scan, substring_dedup, suffix_tree, surrogates
 from limpida.llm.tables import table
 from limpida.session import ship_package
 
@@ -110,3 +110,25 @@ def op5(spark, sf_dir):
 @query("op12_audit_repair")
 def op12(spark, sf_dir):
     return conversation_repair.repair_conversations(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+@query(
+    "op13_shared_search",
+    r"""
+    WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                      'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+    i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                      'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+    s AS (SELECT count(*) AS n_all, sum(len(w))::BIGINT AS l_all FROM d WHERE len(w) > 0),
+    t AS (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM d),
+    f AS (SELECT r, doc_id, n, term, count(*) AS tf FROM t GROUP BY ALL),
+    v AS (SELECT term, floor(1000 * ln((2 * (SELECT n_all FROM s) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM f GROUP BY term),
+    g AS (SELECT item_id, r, doc_id,
+                 sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * n_all) // l_all)))))::BIGINT AS score
+          FROM i JOIN f USING (term) JOIN v USING (term), s GROUP BY ALL),
+    k AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank
+          FROM g WHERE score > 0)
+    SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 50""",
+)
+def op13(spark, sf_dir):
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
