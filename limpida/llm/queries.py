@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from limpida.llm import byte_bpe, conversation_repair, decontaminate, exact_dedup, language_id, near_dedup, quality, ranked_search, secret_scan, substring_dedup, suffix_tree, surrogates
+from limpida.llm import byte_bpe, conversation_repair, decontaminate, exact_dedup, jaccard_join, language_id, near_dedup, quality, ranked_search, secret_scan, substring_dedup, suffix_tree, surrogates
 from limpida.llm.tables import table
 from limpida.session import ship_package
 
@@ -132,3 +132,22 @@ def op12(spark, sf_dir):
 )
 def op13(spark, sf_dir):
     return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query(
+    "op11_metric_join",
+    r"""
+    WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                      'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3),
+                      lambda k: array_to_string(w[k:k + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b USING (s) JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+          GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 180 * count(*) >= 80 * (na.n + nb.n)),
+    r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+    c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id
+    FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)""",
+)
+def op11(spark, sf_dir):
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents")).drop("class_id")
