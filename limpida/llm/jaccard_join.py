@@ -14,8 +14,9 @@ distance 1 from each other, where the triangle inequality says nothing, so pivot
    nearest, their Voronoi cell; a node within twice the radius of being nearest to another pivot is copied there too,
    and nodes near no pivot form a cell of their own with a window of the same kind. Cells are cut again until they are
    small or one component. One that does not shrink, a ball which no pivot can cut, is dealt out in pairs of blocks.
-5. Small regions are joined exactly. An upper bound of the intersection, from the prefixes alone, leaves few nodes;
-   these meet with their texts and are compared on full sets. No pair inside one component is compared or handed on.
+5. Small regions are joined exactly. Each node brings the counts of its shingles in n / 6 or more hash buckets; the sum
+   of the lesser counts bounds the intersection of two nodes from above, which leaves few. These meet with their texts
+   and are compared on full sets. No pair inside one component is compared or handed on.
 
 Nothing is lost: each step keeps every pair of linked nodes together or has joined them.
 
@@ -53,6 +54,8 @@ SHRINKS = 0.7
 #: Documents of a chunk that make a shingle frequent, and how many frequent shingles are told apart. Order only.
 FREQUENT_FROM = 8
 MOST_FREQUENT = 200_000
+#: Shingles a bucket holds at most on average, and the least number of buckets.
+FILL, LEAST_WIDTH = 6, 8
 #: Keys of frequent shingles are above those of all others.
 _FREQUENT = np.uint64(1 << 62)
 #: Nodes of a token up to which its pairs are listed.
@@ -79,7 +82,16 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(tokens[some].view(np.int64)), pa.array(n[some])], ["token", "n"])
 
 
-SIGNATURE = "doc_id long, n_shingles long, set_digest binary, central long, prefix array<long>"
+def _buckets(s: np.ndarray) -> bytes | None:
+    """How many shingles fall into each of a power of two of buckets, as bytes; none where a byte is too small."""
+    width = LEAST_WIDTH
+    while width * FILL < len(s):
+        width *= 2
+    counts = np.bincount((s & np.uint64(width - 1)).view(np.int64), minlength=width)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+SIGNATURE = "doc_id long, n_shingles long, set_digest binary, central long, prefix array<long>, buckets binary"
 
 
 def _signatures(frequent):
@@ -108,8 +120,9 @@ def _signatures(frequent):
                     pa.array([_digest(s) for s in sets], pa.binary()),
                     pa.array(central, pa.int64()),
                     pa.array(prefixes, pa.list_(pa.int64())),
+                    pa.array([_buckets(s) for s in sets], pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "set_digest", "central", "prefix"],
+                ["doc_id", "n_shingles", "set_digest", "central", "prefix", "buckets"],
             )
 
     return run
@@ -182,22 +195,38 @@ def _apart(group: pa.Table) -> np.ndarray:
     return (component[:, None] != component) & (side >= 1)[:, None] & (side != 1) & (no[:, None] != no)
 
 
+def _most_common(buckets: list[np.ndarray], pairs: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """An upper bound of the intersection of each of ``pairs``, which are of similar size; 0 for all others."""
+    width = np.array([len(b) for b in buckets])
+    most = np.zeros(pairs.shape, np.int64)
+    folded: dict[int, np.ndarray] = {}
+    for w in sorted({int(w) for w in width[pairs.any(1)] if w}, reverse=True):
+        folded[w] = np.zeros((len(buckets), w), np.uint16)
+        for k in np.flatnonzero(width >= w):
+            folded[w][k] = buckets[k].reshape(-1, w).sum(0) if width[k] <= 4 * w else 0
+    for a in np.flatnonzero(pairs.any(1)):
+        for w in folded:
+            b = np.flatnonzero(pairs[a] & (np.minimum(width, width[a]) == w))
+            if len(b):
+                most[a, b] = np.minimum(folded[w][b], folded[w][a]).sum(1, dtype=np.int64)
+    unknown = pairs & ((width == 0)[:, None] | (width == 0))
+    return np.where(unknown, np.minimum(n[:, None], n), most)
+
+
 def _could_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of a group with a partner whose prefix leaves room for a link."""
+    """The rows of a group with a partner with which their buckets leave room for a link."""
     for group in _runs(batches, ["region", "i", "j"]):
         if group.num_rows < 2:
             continue
         n = group.column("n").to_numpy()
-        flat = group.column("prefix").combine_chunks()
-        prefix = np.split(flat.flatten().to_numpy(), np.cumsum(flat.value_lengths().to_numpy())[:-1])
-        last = np.array([p[-1] for p in prefix])
-        seen = np.stack([np.searchsorted(p, last, side="right") for p in prefix])
-        counts = common_counts(prefix)
-        most = counts + np.minimum(n[:, None] - seen, n - seen.T)
-        good = _apart(group) & (counts > 0) & ((100 + AT_LEAST) * most >= AT_LEAST * (n[:, None] + n))
+        pairs = _apart(group) & (100 * np.minimum(n[:, None], n) >= AT_LEAST * np.maximum(n[:, None], n))
+        if not pairs.any():
+            continue
+        buckets = [np.frombuffer(b, np.uint8).astype(np.uint16) for b in group.column("buckets").to_pylist()]
+        good = pairs & ((100 + AT_LEAST) * _most_common(buckets, pairs, n) >= AT_LEAST * (n[:, None] + n))
         some = good.any(0) | good.any(1)
         if some.any():
-            yield from group.filter(pa.array(some)).drop_columns(["prefix"]).combine_chunks().to_batches()
+            yield from group.filter(pa.array(some)).drop_columns(["buckets"]).combine_chunks().to_batches()
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,23 +340,23 @@ def _compare(docs: DataFrame, nodes: DataFrame, apart: DataFrame) -> DataFrame:
     """Links between components of each region, all nodes outside the largest component against all nodes."""
     out = F.col("m") - F.col("most")
     blocks, left = F.ceil(F.col("m") / BLOCK).cast("int"), F.ceil(out / BLOCK).cast("int")
-    base = apart.join(nodes.select("no", "n", "prefix", "set_digest"), "no").withColumns({"blocks": blocks, "left": left, "outside": F.col("component") != F.col("largest")})
+    base = apart.join(nodes.select("no", "n", "buckets"), "no").withColumns({"blocks": blocks, "left": left, "outside": F.col("component") != F.col("largest")})
     own = F.pmod(F.xxhash64("no"), F.col("blocks")).cast("int")
     own_left = F.pmod(F.xxhash64("no"), F.col("left")).cast("int")
-    keep = ["region", "no", "component", "n", "prefix"]
+    keep = ["region", "no", "component", "n", "buckets"]
     one = base.where("blocks = 1").select(*keep, F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side"))
     large = base.where("blocks > 1")
     lefts = large.where("outside").select(*keep, own_left.alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(1).alias("side"))
     rights = large.select(*keep, F.explode(F.sequence(F.lit(0), F.col("left") - 1)).alias("i"), own.alias("j"), F.lit(0).alias("side"))
     dealt = one.union(lefts).union(rights)
     met = dealt.repartition("region", "i", "j").sortWithinPartitions("region", "i", "j")
-    close = stored(met.mapInArrow(_could_link, dealt.drop("prefix").schema), "close")
+    close = stored(met.mapInArrow(_could_link, dealt.drop("buckets").schema), "close")
     met = _with_text(close, docs, nodes).repartition("region", "i", "j").sortWithinPartitions("region", "i", "j")
     return met.mapInArrow(_linked, "a long, b long").distinct()
 
 
 def join_components(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Nodes (no, id, n, set_digest, prefix) that have links: id (their number), component (least number)."""
+    """Nodes (no, id, n, set_digest, prefix, buckets) that have links: id (their number), component (least number)."""
     rows = nodes.select("no", F.explode("prefix").alias("token"))
     shared = rows.groupBy("token").agg(F.min("no").alias("region"), F.max("no").alias("last")).where("region <> last")
     members = stored(rows.join(shared.select("token", "region"), "token").groupBy("region", "no").agg(F.count("*").alias("shared")), "regions")
@@ -373,7 +402,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     signed = signatures(docs)
     some = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = stored(some.groupBy("set_digest").agg(F.min("doc_id").alias("class_id"), F.min("no").alias("no")), "classes")
-    nodes = some.join(classes.select("no"), "no", "left_semi").select("no", F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "set_digest", "prefix")
+    nodes = some.join(classes.select("no"), "no", "left_semi").select("no", F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "set_digest", "prefix", "buckets")
     labels = join_components(docs, nodes).select(F.col("id").alias("no"), "component")
     # The least node of a component has no row of its own there.
     labels = labels.union(labels.select("component", "component").distinct())

@@ -65,6 +65,17 @@ def test_common_counts():
             assert counts[a, b] == counts[b, a] == len(np.intersect1d(sets[a], sets[b]))
 
 
+def test_buckets_bound_intersections():
+    pick = np.random.default_rng(4)
+    base = pick.integers(0, 1 << 63, 400, dtype=np.uint64)
+    sets = [np.unique(pick.choice(base, n)) for n in (3, 40, 47, 55, 300, 380, 390, 460, 500)] + [np.arange(0, 400 * 4096, 4096, dtype=np.uint64)] * 2
+    n = np.array([len(s) for s in sets])
+    pairs = 100 * np.minimum(n[:, None], n) >= 80 * np.maximum(n[:, None], n)
+    most = jaccard_join._most_common([np.frombuffer(jaccard_join._buckets(s), np.uint8).astype(np.uint16) for s in sets], pairs, n)
+    counts = jaccard_join.common_counts(sets) + np.diag(n)
+    assert (most[pairs] >= counts[pairs]).all() and (most <= np.minimum(n[:, None], n)).all() and not most[~pairs].any()
+
+
 def test_hot_group_of_near_copies(docs_of, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 16)
     pick = random.Random(9)
