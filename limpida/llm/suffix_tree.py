@@ -11,8 +11,9 @@ the token's probability is (count + k * base) / (n + k), base being the smoothed
 Contexts are counted in ``STEPS`` of lengths. Only open contexts are extended: those with ``MIN_TIMES``
 occurrences and two next tokens at least. An extension of any other occurs less often or has the next token
 of its parent alone, so it cannot be retained. Which are open goes to the workers as a bit per hash value, in
-a table of fixed size (``BITS``). Where two contexts share a bit some are counted in vain; they fail the exact
-tests like others, so the tree does not depend on the bits.
+a table. Where two contexts share a bit some are counted in vain; they fail the exact
+tests like others, so the tree does not depend on the bits. The table has ``BITS_EACH`` bits for each context, counted
+before, and ``MOST_BITS`` (a power of two: 16 MB) at most; above some ten million open contexts more are counted in vain.
 
 The tree and the token frequencies may be too many to send anywhere: each block of ``BLOCK`` rows contributes
 its distinct tokens, contexts and pairs of both once, they meet the counts by key, and return to the block.
@@ -40,8 +41,9 @@ STEPS = ((1,), (2,), (3,), (4, 5, 6), tuple(range(7, LONGEST + 1)))
 #: A context is never retained with fewer occurrences.
 MIN_TIMES = 2
 COST = 2.0
-#: Bits of a hash by which open and retained contexts are told.
-BITS = 27
+#: Bits of a table by which open and retained contexts are told, for each context, and powers of two of the whole table.
+BITS_EACH = 16
+LEAST_BITS, MOST_BITS = 12, 27
 #: Rows whose tokens are looked up together.
 BLOCK = 4096
 _END = np.uint64(0x656E64)
@@ -77,16 +79,17 @@ def _pair(context: np.ndarray, token: np.ndarray) -> np.ndarray:
 
 
 def _marked(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    slot = hashes >> np.uint64(64 - BITS)
+    slot = hashes >> np.uint64(64 - 6 - (len(bits).bit_length() - 1))
     return (bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
 
 
 def _bits(contexts: DataFrame) -> np.ndarray:
-    """A bit for each context; at most 2 ** (BITS - 6) rows come to the driver, whatever the corpus."""
-    slot = F.shiftrightunsigned("context", 64 - BITS)
-    words = contexts.groupBy(F.shiftrightunsigned(slot, 6).alias("at")).agg(F.expr(f"bit_or(shiftleft(1L, CAST(shiftrightunsigned(context, {64 - BITS}) & 63 AS INT)))").alias("bits"))
-    rows = words.toPandas()
-    out = np.zeros(1 << (BITS - 6), np.uint64)
+    """A bit for each row of ``contexts``; at most 2 ** (MOST_BITS - 6) rows come to the driver, whatever the corpus."""
+    power = min(MOST_BITS, max(LEAST_BITS, (BITS_EACH * contexts.count()).bit_length()))
+    slot = F.shiftrightunsigned("context", 64 - power)
+    bit = f"bit_or(shiftleft(1L, CAST(shiftrightunsigned(context, {64 - power}) & 63 AS INT)))"
+    rows = contexts.groupBy(F.shiftrightunsigned(slot, 6).alias("at")).agg(F.expr(bit).alias("bits")).toPandas()
+    out = np.zeros(1 << (power - 6), np.uint64)
     out[rows["at"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
     return out
 
@@ -141,7 +144,7 @@ def learn_tree(learning: DataFrame, tokens: DataFrame, n_train: int, n_ends: int
         rows = rows.withColumns({"times": F.expr("sum(n) OVER (PARTITION BY context)"), "kinds": F.expr("count(*) OVER (PARTITION BY context)")})
         rows = stored(rows.where(F.col("times") >= MIN_TIMES), "contexts")
         counted = rows if counted is None else counted.union(rows)
-        going = _bits(rows.where("kinds > 1").select("context"))
+        going = _bits(rows.where("kinds > 1").select("context").distinct())
         if lengths[-1] == LONGEST or not going.any():
             break
         open_[lengths[-1]] = spark.sparkContext.broadcast(going)
@@ -320,7 +323,7 @@ def score_texts(docs: DataFrame, fixed_order: bool = False) -> DataFrame:
     of = tokens.where("once").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("distinct")).first()
     numbers = (of.n + ends, of.distinct + (ends > 0), ends)
     tree, open_ = learn_tree(learning, tokens.where("once AND n > 0").select("word", "n"), numbers[0], ends)
-    retained = spark.sparkContext.broadcast(_bits(tree.where("y IS NOT NULL").select(F.col("key").alias("context"))))
+    retained = spark.sparkContext.broadcast(_bits(tree.where("y IS NOT NULL").select(F.col("key").alias("context")).distinct()))
     wanted = docs.select("block", "text").mapInArrow(_wanted(open_, retained), "block long, key long")
     # A context may have one row per batch of the tree's writer.
     found = wanted.join(tree.groupBy("key").agg(F.max("x").alias("x"), F.max("y").alias("y")), "key")
