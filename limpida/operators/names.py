@@ -21,7 +21,8 @@ from limpida.session import stored
 
 FOUND_TYPE = "array<struct<label:string,span_start:int,span_end:int,value:string>>"
 MAX_LITERAL_NAMES = 20_000
-SALTS = 16
+#: A phrase with more than one part in so many of all phrases is salted.
+HOT_PARTS = 1000
 #: Words whose lengths are added up at once, see ``_cut_up``.
 BLOCK = 256
 
@@ -35,30 +36,45 @@ def _starts_with_capital(word: Column) -> Column:
     return first != F.lower(first)
 
 
-def _phrases(words: Column, gaps: Column, max_words: int) -> Column:
-    """Phrases of one to ``max_words`` words that start with a capital.
+def _phrases(words: Column, gaps: Column, lengths: Sequence[int]) -> Column:
+    """Phrases of ``lengths`` words, in lower case, that start with a capital.
 
-    Word ``i`` is followed by gap ``i + 1``; out of range gives null, and null phrases drop out.
+    Words with single spaces between form runs; a phrase lies inside one. So a long name costs
+    something only where a run is as long. Gap ``i`` is the one before word ``i``.
     """
-
-    def from_word(i: Column) -> Column:
-        phrase, phrases = F.lower(F.get(words, i)), []
-        for n in range(1, max_words + 1):
-            if n > 1:
-                phrase = F.when(
-                    F.get(gaps, i + (n - 1)) == " ",
-                    F.concat(phrase, F.lit(" "), F.lower(F.get(words, i + (n - 1)))),
+    size = F.size(words)
+    numbers = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
+    starts = F.filter(numbers, lambda i: (i == 0) | (F.get(gaps, i) != " "))
+    counts = F.array(*(F.lit(n) for n in lengths))
+
+    def of_run(first: Column, end: Column) -> Column:
+        def at(low: Column) -> Column:
+            capitals = F.filter(
+                F.sequence(F.lit(0), F.size(low) - 1),
+                lambda i: _starts_with_capital(F.get(words, first + i)),
+            )
+            return F.flatten(
+                F.transform(
+                    capitals,
+                    lambda i: F.transform(
+                        F.filter(counts, lambda n: i + n <= F.size(low)),
+                        lambda n: F.struct(
+                            (first + i).alias("word_no"),
+                            n.alias("n_words"),
+                            F.array_join(F.slice(low, i + 1, n), " ").alias("phrase"),
+                        ),
+                    ),
                 )
-            phrases.append(
-                F.struct(i.alias("word_no"), F.lit(n).alias("n_words"), phrase.alias("phrase"))
             )
-        return F.filter(F.array(*phrases), lambda p: p["phrase"].isNotNull())
 
-    numbers = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1)).otherwise(
-        F.array().cast("array<int>")
-    )
-    capitals = F.filter(numbers, lambda i: _starts_with_capital(F.get(words, i)))
-    return F.flatten(F.transform(capitals, from_word))
+        return spans.let(F.transform(F.slice(words, first + 1, end - first), F.lower), at)
+
+    def of_runs(first: Column) -> Column:
+        ends = F.array_append(F.slice(first, 2, F.greatest(F.size(first), F.lit(1))), size)
+        runs = F.zip_with(first, ends, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        return F.flatten(F.transform(F.filter(runs, lambda r: r["a"].isNotNull()), lambda r: of_run(r["a"], r["b"])))
+
+    return spans.let(starts, of_runs)
 
 
 def _place(cut: Column, hit: Column) -> Column:
@@ -126,7 +142,7 @@ def _cut_up(text: Column) -> Column:
 def literal_finder(names: Sequence[str], organisations: Sequence[str]) -> Finder:
     """Finder for a dictionary small enough to be part of the plan (a hash set per task)."""
     people, firms = list(names), list(organisations)
-    longest = max((n.count(" ") + 1 for n in people + firms), default=1)
+    lengths = sorted({n.count(" ") + 1 for n in people + firms}) or [1]
 
     def label(phrase: Column) -> Column:
         result = F.when(F.lit(False), F.lit(None).cast("string"))
@@ -139,7 +155,7 @@ def literal_finder(names: Sequence[str], organisations: Sequence[str]) -> Finder
     def find(text: Column) -> Column:
         def hits(cut: Column) -> Column:
             labelled = F.transform(
-                _phrases(cut["words"], cut["gaps"], longest),
+                _phrases(cut["words"], cut["gaps"], lengths),
                 lambda p: F.struct(
                     p["word_no"].alias("word_no"),
                     p["n_words"].alias("n_words"),
@@ -180,7 +196,8 @@ def with_found(df: DataFrame, texts: dict[str, str], finder: Finder | DataFrame)
     """Add what ``finder`` finds in several text columns; ``texts`` maps output to text columns.
 
     A dictionary of any size may stand for the finder. Its names are joined: the rows so far are
-    written once, under a number of their own, and read for phrases and for the join back.
+    written once, under a number of their own, and read for phrases and for the join back. They hold
+    texts not yet redacted: ``limpida.session.remove_scratch`` removes them once the result is written.
     """
     if not isinstance(finder, DataFrame):
         return df.withColumns({out: finder(F.col(f"`{column}`")) for out, column in texts.items()})
@@ -190,78 +207,79 @@ def with_found(df: DataFrame, texts: dict[str, str], finder: Finder | DataFrame)
     return find_by_join(numbered, "__row", texts, finder).drop("__row")
 
 
-def _labelled(field: str) -> Callable[[Column], Column]:
-    return lambda phrase: F.struct(F.lit(field).alias("field"), phrase.alias("at"))
-
-
 def _belongs_to(field: str) -> Callable[[Column], Column]:
     return lambda hit: hit["field"] == field
 
 
-def find_by_join(
-    df: DataFrame, key: str, texts: dict[str, str], dictionary: DataFrame, salts: int = SALTS
-) -> DataFrame:
-    """Find dictionary names of any number by a join, several text columns at once.
+def find_by_join(df: DataFrame, key: str, texts: dict[str, str], dictionary: DataFrame) -> DataFrame:
+    """Find dictionary names of any number and length by a join, several text columns at once.
 
-    ``texts`` maps output columns to text columns; ``key`` is unique per row. Only short
-    phrases are shuffled; texts are, for the last join. A name in a third of all phrases does not pile up
-    in one task: phrases carry one of ``salts`` salts and the dictionary is repeated once per salt.
+    ``texts`` maps output columns to text columns; ``key`` is unique per row. A phrase goes to
+    the join as a hash, whatever its length, and texts move once, for the join back, where each
+    name is compared with its place in the text. Phrases are counted first: those that make up
+    more than 1 / ``HOT_PARTS`` of all, at most that many, are dealt out by as many salts as their
+    share asks for, so that no name piles up in one task.
     """
-    words = F.size(F.split(F.col("name"), " "))
-    longest = dictionary.agg(F.max(words)).first()[0] or 1
-    phrases = df.select(
-        key,
-        F.explode(
-            F.concat(
-                *(
-                    F.transform(
-                        spans.let(
-                            _cut_up(F.coalesce(F.col(column), F.lit(""))),
-                            lambda cut: _phrases(cut["words"], cut["gaps"], longest),
-                        ),
-                        _labelled(out),
-                    )
-                    for out, column in texts.items()
-                )
-            )
-        ).alias("p"),
-    ).select(
-        key,
-        "p.field",
-        "p.at.*",
-        F.pmod(F.xxhash64(key, "p.at.word_no"), F.lit(salts)).alias("salt"),
-    )
     entries = (
-        dictionary.groupBy(F.lower("name").alias("phrase"))
+        dictionary.groupBy(F.lower("name").alias("name"))
         .agg(F.min("label").alias("label"))  # NAME before ORG
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        .withColumn("salt", F.col("salt").cast("long"))
+        .where("name <> ''")
+        .select("name", "label", F.size(F.split("name", " ")).alias("n_words"), F.xxhash64("name").alias("hash"))
     )
+    lengths = sorted(r["n_words"] for r in entries.select("n_words").distinct().collect()) or [1]
+
+    def phrases_of(out: str, column: str) -> Column:
+        found = spans.let(
+            _cut_up(F.coalesce(F.col(f"`{column}`"), F.lit(""))),
+            lambda cut: _phrases(cut["words"], cut["gaps"], lengths),
+        )
+        return F.transform(
+            found,
+            lambda p: F.struct(
+                F.lit(out).alias("field"),
+                p["word_no"].alias("word_no"),
+                F.xxhash64(p["phrase"]).alias("hash"),
+            ),
+        )
+
+    each = F.explode(F.concat(*(phrases_of(out, column) for out, column in texts.items()))).alias("p")
+    phrases = stored(df.select(F.col(key).alias("__key"), each).select("__key", "p.*"), "phrases")
+    counted = phrases.groupBy("hash").agg(F.count("*").alias("times"))
+    known = stored(entries.join(counted, "hash"), "known-names")
+    share = F.col("times") * HOT_PARTS / F.lit(max(1, phrases.count()))
+    hot = F.broadcast(known.where(share > 1).select("hash", F.ceil(share).cast("int").alias("salts")).distinct())
+    salts = F.coalesce("salts", F.lit(1))
     found = (
-        phrases.join(entries, ["phrase", "salt"])
-        .groupBy(key)
-        .agg(F.collect_list(F.struct("field", "word_no", "n_words", "label")).alias("__names"))
+        phrases.join(hot, "hash", "left")
+        .withColumn("salt", F.pmod(F.xxhash64("__key", "word_no"), salts).cast("int"))
+        .join(
+            known.join(hot, "hash", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts"),
+            ["hash", "salt"],
+        )
+        .groupBy("__key")
+        .agg(F.collect_list(F.struct("field", "word_no", "n_words", "label", "name")).alias("__names"))
     )
-    joined = df.join(found, key, "left")
+    joined = df.join(found, df[key] == found["__key"], "left").drop("__key")
+    none = F.array().cast("array<struct<field:string,word_no:int,n_words:int,label:string,name:string>>")
     columns = {}
     for out, column in texts.items():
-        own = F.filter(
-            F.coalesce(
-                F.col("__names"),
-                F.array().cast("array<struct<field:string,word_no:int,n_words:int,label:string>>"),
-            ),
-            _belongs_to(out),
-        )
+        own = F.filter(F.coalesce(F.col("__names"), none), _belongs_to(out))
         columns[out] = spans.let(
-            F.struct(_cut_up(F.coalesce(F.col(column), F.lit(""))).alias("cut"), own.alias("own")),
+            F.struct(_cut_up(F.coalesce(F.col(f"`{column}`"), F.lit(""))).alias("cut"), own.alias("own")),
             lambda x: F.transform(
-                F.array_sort(x["own"]),
+                F.array_sort(F.filter(x["own"], lambda h: _is_there(x["cut"], h))),
                 lambda h: _place(x["cut"], h),
             ),
         )
     return joined.withColumns(columns).drop("__names")
 
 
+def _is_there(cut: Column, hit: Column) -> Column:
+    """Whether the words of a place are the name, and not only of one hash."""
+    here = F.slice(cut["words"], hit["word_no"] + 1, hit["n_words"])
+    return F.array_join(F.transform(here, F.lower), " ") == hit["name"]
+
+
 Triples = Sequence[tuple[str, int, int]]
 
 #: Models of this Python worker by the key of their finder.

@@ -1054,9 +1054,11 @@ def failed_stages(spark, sf):
     )
 
 
-# A dictionary table of names of one to five words, one of them in every body and sender.
+# A dictionary table of one name for each order line, names of one to five words and one of two hundred;
+# one of the latter in every body and sender.
 _LONG_NAMES = r"""SELECT DISTINCT item_id, lower(regexp_extract(text, '^([A-Za-z]+( [A-Za-z]+){0,' || CAST(item_id % 5 AS STRING) || '})', 1)) AS name,
   'NAME' AS label FROM limpida_benchmark"""
+_LONGEST_NAME = " ".join(f"parola{n}" for n in range(200))
 
 
 @query(
@@ -1067,10 +1069,15 @@ _LONG_NAMES = r"""SELECT DISTINCT item_id, lower(regexp_extract(text, '^([A-Za-z
 def documents_with_names(spark, sf):
     mt.table(spark, sf, "benchmark").createOrReplaceTempView("limpida_benchmark")
     found = spark.sql(_LONG_NAMES).where("length(name) >= 5")
-    extra = spark.sql("SELECT -1L AS item_id, 'maria grazia de santis' AS name, 'NAME' AS label")
-    dictionary = found.unionByName(extra)
-    # Every document gets the name of the item that has its number, or the one that is always there.
-    name = F.initcap(F.coalesce("name", F.lit("maria grazia de santis")))
+    usual = "maria grazia de santis"
+    dictionary = found.select("name", "label").union(
+        spark.createDataFrame([(usual, "NAME"), (_LONGEST_NAME, "NAME")], "name STRING, label STRING")
+    )
+    line = F.concat(F.lit("Cliente"), "l_orderkey", F.lit(" riga "), "l_linenumber")
+    dictionary = dictionary.union(mt.table(spark, sf, "lineitem").select(line, F.lit("NAME")))
+    # Every document gets the longest name, that of the item that has its number, or the usual one.
+    longest = F.when(F.col("uid").cast("long") % 7 == 0, F.lit(_LONGEST_NAME))
+    name = F.initcap(F.coalesce(longest, "name", F.lit(usual)))
     m = mt.messages(spark, sf).join(found.select(F.col("item_id").cast("string").alias("uid"), "name"), "uid", "left")
     m = m.withColumns(
         {
@@ -1081,7 +1088,7 @@ def documents_with_names(spark, sf):
             ),
         }
     ).drop("name")
-    built = docs.build_documents(m, OPTIONS, dictionary.select("name", "label"))
+    built = docs.build_documents(m, OPTIONS, dictionary)
     return built.select(
         F.col("uid").cast("long").alias("doc_id"),
         F.col("from_addr_redacted").alias("sender"),

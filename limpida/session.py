@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 import uuid
@@ -40,11 +41,16 @@ def ship_package(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Scratch folders of this process that still exist, with the session that made them.
+_scratch: dict[str, SparkSession] = {}
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new folder for tables that cut lineage and for stream checkpoints.
 
     On a cluster it lies under the shared folder of ``spark.checkpoint.dir``; only where
-    that is unset on one machine, as in tests, a temporary folder stands in.
+    that is unset on one machine, as in tests, a temporary folder stands in. It lives until
+    ``remove_scratch``, or the end of this process.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
@@ -53,7 +59,36 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="limpida-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _scratch[path] = spark
+    return path
+
+
+def scratch_folders() -> list[str]:
+    """Scratch folders that were not removed yet."""
+    return list(_scratch)
+
+
+def remove_scratch(paths: list[str] | None = None) -> None:
+    """Remove scratch tables, by default all: call it when the results that read them are written.
+
+    Folders are removed through Spark's file system, so any store it can write to will do.
+    """
+    for path in list(_scratch) if paths is None else paths:
+        spark = _scratch.pop(path)
+        context = spark.sparkContext
+        if context._jsc is None or context._jsc.sc().isStopped():
+            continue
+        folder = context._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@atexit.register
+def _remove_at_exit() -> None:
+    try:
+        remove_scratch()
+    except Exception:  # the JVM is gone: there is nothing left to remove it with
+        pass
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -138,6 +138,43 @@ def test_names_of_many_words(spark, texts):
     assert [h.value for h in literal] == [h.value for h in joined] == ["Maria Grazia De Santis"]
 
 
+def test_names_of_any_length_by_a_join(spark, texts):
+    """A name of 200 words beside 25 000 others, names inside names, breaks in runs, and a name in most phrases."""
+    import time
+
+    long = " ".join(f"parola{n}" for n in range(200))
+    other = spark.range(25_000).selectExpr("concat('cliente', id, ' rossi') AS name", "'NAME' AS label")
+    given = [(long, "NAME"), ("parola3", "ORG"), ("parola3 parola4", "NAME"), ("ada", "ORG"), ("ADA", "NAME"), ("", "NAME")]
+    dictionary = other.union(spark.createDataFrame(given, "name STRING, label STRING"))
+    title = long.title()
+    values = [f"Caro {title}, ciao", title.replace(" ", "  ", 1), "Cliente77 Rossi e Cliente77. Rossi", "Ada " * 3000, "", None, title[:-1]]
+    began = time.monotonic()
+    df = texts(values)
+    got = rows(names.find_by_join(df, "n", {"f": "t"}, dictionary), "f")
+    assert time.monotonic() - began < 60
+    parts = [("ORG", "Parola3"), ("NAME", "Parola3 Parola4")]
+    hits = [[(h.label, h.value) for h in r[0]] for r in got]
+    assert sorted(hits[0], key=lambda h: len(h[1])) == [*parts, ("NAME", title)] and sorted(hits[1], key=lambda h: len(h[1])) == parts
+    assert hits[2] == [("NAME", "Cliente77 Rossi")] and hits[3] == [("NAME", "Ada")] * 3000 and hits[4:6] == [[], []]
+    assert sorted(hits[6], key=lambda h: len(h[1])) == parts
+    for text, (found,) in zip(values, got, strict=True):
+        assert all(text[h.span_start : h.span_end] == h.value for h in found)
+
+
+def test_scratch_tables_are_removed(spark, texts):
+    import os
+
+    from limpida.session import remove_scratch, scratch_folders
+
+    remove_scratch()
+    dictionary = spark.createDataFrame([("ada", "NAME")], "name STRING, label STRING")
+    assert rows(names.find_by_join(texts(["Ada"]), "n", {"f": "t"}, dictionary), "f")[0][0][0].value == "Ada"
+    made = scratch_folders()
+    assert len(made) == 2 and all(os.listdir(p) for p in made)
+    remove_scratch()
+    assert not scratch_folders() and not any(os.path.exists(p) for p in made)
+
+
 def test_name_confidence(texts, options):
     df = texts(["Luca Marte Ferdinando Bartolomeo"])
     found = names.literal_finder(["luca", "marte", "ferdinando bartolomeo"], [])
