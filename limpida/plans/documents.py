@@ -166,7 +166,7 @@ def build_documents(
     header, are withheld ('quarantined'). ``pii_status`` is 'failed' where names could not be looked
     for, 'off' where the mode says so, else 'ok'. With ``safe``, messages that lose a stage are kept at
     a lower ``processing_level`` instead: without names, without canonical text, or with no body at
-    all. Every level redacts.
+    all. Every level redacts. A column ``ordinal`` (``order.with_ordinal``) is handed through.
     """
     if safe:
         df = messages.withColumn("reject_reason", F.lit(None).cast("string"))
@@ -331,6 +331,7 @@ def _assemble(df: DataFrame, options: CleaningOptions) -> DataFrame:
         "body_source",
         F.sha2(F.col("merged_body"), 256).alias("merged_body_hash"),
         F.try_to_timestamp(given("fetched_at")).alias("fetched_ts"),
+        *(["ordinal"] if "ordinal" in df.columns else []),
     )
 
 

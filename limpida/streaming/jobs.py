@@ -13,6 +13,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from limpida.operators.names import Finder
 from limpida.options import CleaningOptions
 from limpida.plans.documents import build_documents
+from limpida.session import remove_scratch, scratch_folders
 from limpida.sources.sinks import with_ingest_date
 
 
@@ -36,6 +37,57 @@ def clean_stream(
     )
 
 
+def write_names(dictionary: DataFrame, path: str, version: int) -> None:
+    """Store a version of a name dictionary; versions are never changed, only added."""
+    dictionary.select("name", "label").write.parquet(f"{path}/version={version}")
+
+
+def _version_of(spark: SparkSession, dictionary_path: str, path: str, batch: int) -> int:
+    """The dictionary version of a batch: the latest when the batch first runs, and that one ever after."""
+    kept = f"{path}/_versions/batch={batch}"
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{kept}/_SUCCESS")
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        versions = spark.read.option("basePath", dictionary_path).parquet(dictionary_path).agg(F.max("version").cast("long").alias("version"))
+        versions.write.mode("overwrite").parquet(kept)
+    return spark.read.parquet(kept).first()["version"]
+
+
+def clean_stream_with_names(
+    messages: DataFrame,
+    options: CleaningOptions,
+    dictionary_path: str,
+    path: str,
+    checkpoint: str,
+    **trigger,
+) -> StreamingQuery:
+    """``clean_stream`` with a name dictionary of any size (``write_names``), joined to each batch.
+
+    A batch takes the latest version there is when it first runs and notes it, and it writes a folder
+    of its own: a batch that runs again gives the same rows in the same place. A batch's scratch
+    tables, which hold texts not yet redacted, are removed when its documents are written.
+    """
+
+    def handle(batch: DataFrame, number: int) -> None:
+        spark, before = batch.sparkSession, set(scratch_folders())
+        version = _version_of(spark, dictionary_path, path, number)
+        names = spark.read.schema("name STRING, label STRING").parquet(f"{dictionary_path}/version={version}")
+        documents = with_ingest_date(build_documents(batch, options, names))
+        documents.write.mode("overwrite").partitionBy("status", "ingest_date").parquet(f"{path}/batch={number}")
+        remove_scratch([p for p in scratch_folders() if p not in before])
+
+    return (
+        messages.writeStream.foreachBatch(handle)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"processingTime": "1 minute"}))
+        .start()
+    )
+
+
+def read_batches(spark: SparkSession, path: str) -> DataFrame:
+    """The documents of all batches of ``clean_stream_with_names``."""
+    return spark.read.option("basePath", path).parquet(f"{path}/batch=*")
+
+
 def error_rate(
     outcomes: DataFrame,
     ts: str = "ts",
@@ -111,6 +163,28 @@ def spikes(
     return later.join(before, ["hour", kind]).filter(F.col("n") > factor * F.col("n_day_before"))
 
 
+def spikes_in_stream(
+    findings: DataFrame, ts: str = "ts", kind: str = "type", late: str = "10 minutes", factor: float = 2.0
+) -> DataFrame:
+    """``spikes`` of a stream of findings, with a day of hourly counts as its whole state.
+
+    The closed hours are joined with those of the day before, stream with stream: the watermark
+    drops an hour from the state once the same hour of the next day is over, and no older batch
+    is read again.
+    """
+
+    def hours() -> DataFrame:
+        counted = findings.withWatermark(ts, late).groupBy(F.window(ts, "1 hour").alias("w"), kind).agg(F.count("*").alias("n"))
+        return counted.select(F.window_time("w").alias("at"), F.col("w.start").alias("hour"), F.col(kind).alias("type"), "n")
+
+    day = F.expr("INTERVAL 24 HOURS")
+    now, before = hours().alias("now"), hours().alias("before")
+    due = F.col("before.at") + day
+    same = (F.col("now.type") == F.col("before.type")) & (F.col("now.at") >= due) & (F.col("now.at") <= due)
+    found = now.join(before, same).where(F.col("now.n") > factor * F.col("before.n"))
+    return found.select("now.hour", F.col("now.type").alias(kind), "now.n", F.col("before.n").alias("n_day_before"))
+
+
 def watch_spikes(
     counts: DataFrame, counts_path: str, spikes_path: str, checkpoint: str, **trigger
 ) -> StreamingQuery:
