@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from limpida.functions import body, headers as hd, html, mime, pii, spans, text as tx
 from limpida.functions.patterns import ALLOW_PATTERNS, PII_PATTERNS, REMOVAL_PATTERNS
-from limpida.operators import canonical, compare, dedup, masking, names, reports, validate
+from limpida.operators import canonical, compare, dedup, incremental, masking, names, order, reports, validate
 from limpida.options import CleaningOptions, PiiMode
 from limpida.plans import documents as docs
 from limpida.plans import mail_tables as mt
+from limpida.plans import replay
 from limpida.plans import oracle as sql
 from limpida.session import scratch_dir, ship_package, stored
 from limpida.sources import messages as src
@@ -542,6 +543,23 @@ def masked_fields(spark, sf):
     )
 
 
+# JSON of mixed shapes: nested objects, lists, and a text that is cut off.
+_ANY_JSON = """CASE CAST(event_id % 4 AS INT) WHEN 0 THEN '{"Token":' || props || ',"kind":"' || event_type || '"}'
+  WHEN 1 THEN '{"a":{"b":{"password":' || CAST(event_id AS STRING) || ',"n":' || CAST(event_id AS STRING) || '}},"l":[{"token":1}]}'
+  WHEN 2 THEN '[' || CAST(event_id AS STRING) || ',{"secret":"' || event_type || '"}]' ELSE '{"email":"' || event_type END"""
+
+
+@query(
+    "masked_any_json",
+    """SELECT event_id, CASE CAST(event_id % 4 AS INT) WHEN 0 THEN '{"Token":"[REDACTED]","kind":"' || event_type || '"}'
+      WHEN 1 THEN '{"a":{"b":{"n":' || CAST(event_id AS STRING) || ',"password":"[REDACTED]"}},"l":[{"token":1}]}'
+      WHEN 2 THEN '[' || CAST(event_id AS STRING) || ',{"secret":"' || event_type || '"}]' ELSE '"[REDACTED]"' END AS masked FROM events""",
+)
+def masked_any_json(spark, sf):
+    df = mt.table(spark, sf, "events").select("event_id", F.expr(_ANY_JSON).alias("payload"))
+    return masking.with_masked_json(df, "payload", "masked").select("event_id", "masked")
+
+
 # ---------------------------------------------------------------- HTML and bodies
 
 
@@ -985,9 +1003,9 @@ def _degraded(spark, sf) -> DataFrame:
         {
             "body_html": F.when(flaw != 1, F.col("body_html")).otherwise(""),
             "body_text": F.when(flaw == 1, F.lit(None)).otherwise(
-                F.when(flaw == 3, F.concat(F.lit("confidenziale tel. 055 1234567\n"), "body_text")).otherwise(
-                    F.col("body_text")
-                )
+                F.when(flaw == 3, F.concat(F.lit("confidenziale tel. 055 1234567\n"), "body_text"))
+                .when(flaw == 4, F.concat("body_text", F.expr("CAST(X'0AFF' AS STRING)")))
+                .otherwise(F.col("body_text"))
             ),
             "headers": F.when(flaw != 1, F.col("headers")),
         }
@@ -996,8 +1014,8 @@ def _degraded(spark, sf) -> DataFrame:
 
 @query(
     "degradation_levels",
-    f"""SELECT CASE WHEN {_FLAW} = 1 THEN 'minimal' WHEN {_FLAW} = 3 THEN 'regex_only' ELSE 'full' END AS processing_level,
-      count(*) AS n, count(*) FILTER (WHERE {_FLAW} = 1) AS n_without_body,
+    f"""SELECT CASE WHEN {_FLAW} = 1 THEN 'minimal' WHEN {_FLAW} = 3 THEN 'regex_only'
+      WHEN {_FLAW} = 4 THEN 'no_canon' ELSE 'full' END AS processing_level, count(*) AS n, count(*) FILTER (WHERE {_FLAW} = 1) AS n_without_body,
       count(*) FILTER (WHERE {_FLAW} = 3) AS n_phone_redacted FROM documents GROUP BY 1""",
 )
 def degradation_levels(spark, sf):
@@ -1023,24 +1041,28 @@ def _model_of_one_name(text: str):
     return [("PER", found, found + 11)] if found >= 0 else []
 
 
-@query(
-    "failed_stages",
-    f"""SELECT doc_id, CASE WHEN {_FLAW} BETWEEN 3 AND 5 THEN 'quarantined' ELSE 'ok' END AS status, {_FAILED} AS error,
-      CASE WHEN {_FLAW} IN (3, 4) THEN 'failed' ELSE 'ok' END AS pii_status,
-      CASE WHEN {_FLAW} BETWEEN 3 AND 5 THEN 'high' END AS severity, FALSE AS name_left FROM documents""",
-)
-def failed_stages(spark, sf):
+def _failing(spark, sf) -> DataFrame:
     flaw = F.expr(_FLAW)
     broken = F.encode(F.concat(F.lit("Content-Type: text/plain; a*1*\r\n\r\n"), "body_text"), "UTF-8")
     sender = F.when(flaw == 4, "Da: Mario Rossi <m@example.com>").otherwise("Mario Rossi <m@example.com>")
     m = mt.messages(spark, sf)
-    m = m.withColumns(
+    return m.withColumns(
         {
             "body_text": F.concat(F.when(flaw == 3, "confidenziale ").otherwise(""), F.lit("Mario Rossi\n"), "body_text"),
             "headers": F.map_concat(F.map_filter("headers", lambda k, v: k != "from"), F.create_map(F.lit("from"), sender)),
             "raw_bytes": F.when(flaw == 5, broken),
         }
     )
+
+
+@query(
+    "failed_stages",
+    f"""SELECT doc_id, CASE WHEN {_FLAW} BETWEEN 3 AND 5 THEN 'quarantined' ELSE 'ok' END AS status, {_FAILED} AS error,
+      CASE WHEN {_FLAW} IN (3, 4) THEN 'failed' ELSE 'ok' END AS pii_status,
+      CASE WHEN {_FLAW} BETWEEN 3 AND 5 THEN 'high' END AS severity, FALSE AS name_left FROM documents""",
+)
+def failed_stages(spark, sf):
+    m = _failing(spark, sf)
     built = docs.build_documents(m, OPTIONS, names.model_finder(_model_of_one_name))
     texts = F.concat_ws(" ", "body_text_canonical", "from_addr_redacted", F.map_values("headers_canonical"))
     failed = F.col("status") != "ok"
@@ -1054,6 +1076,44 @@ def failed_stages(spark, sf):
     )
 
 
+def _model_that_lacks(word: str):
+    def find(text: str):
+        if word in text:
+            raise ValueError("model failed")
+        return []
+
+    return names.model_finder(find)
+
+
+@query(
+    "replayed",
+    f"""SELECT doc_id, CASE WHEN {_FLAW} = 4 THEN 'quarantined' ELSE 'ok' END AS status,
+      CASE {_FLAW} WHEN 3 THEN 2 WHEN 4 THEN 3 WHEN 5 THEN 3 ELSE 1 END AS attempt,
+      CASE WHEN {_FLAW} = 4 THEN 'pii: name detection failed' END AS error FROM documents""",
+)
+def replayed(spark, sf):
+    """Bodies succeed at the second attempt, bytes that were mended at the third, headers never."""
+    m, path = _failing(spark, sf), scratch_dir(spark, "replayed")
+    bodies, headers = names.model_finder(_failing_model), _model_that_lacks("Da:")
+    replay.write_attempt(docs.build_documents(m, OPTIONS, bodies), path)
+    for attempt in (2, 3):
+        again = m if attempt == 2 else m.withColumn("raw_bytes", F.lit(None).cast("binary"))
+        replay.replay(again, path, lambda due: docs.build_documents(due, OPTIONS, headers), attempt)
+    rows = replay.read_attempts(spark, path)
+    return rows.select(F.col("uid").cast("long").alias("doc_id"), "status", F.col("attempt").cast("int").alias("attempt"), "error")
+
+
+@query(
+    "documents_in_order",
+    f"""SELECT doc_id, row_number() OVER (ORDER BY fetched_at, doc_id) - 1 AS ordinal, 'ok' AS status
+    FROM {sql.mail('doc_id', 'fetched_at')} AS m""",
+)
+def documents_in_order(spark, sf):
+    numbered = order.with_ordinal(mt.messages(spark, sf), ["fetched_at", "doc_id"])
+    built = docs.build_documents(numbered, OPTIONS)
+    return built.select(F.col("uid").cast("long").alias("doc_id"), "ordinal", "status")
+
+
 # A dictionary table of one name for each order line, names of one to five words and one of two hundred;
 # one of the latter in every body and sender.
 _LONG_NAMES = r"""SELECT DISTINCT item_id, lower(regexp_extract(text, '^([A-Za-z]+( [A-Za-z]+){0,' || CAST(item_id % 5 AS STRING) || '})', 1)) AS name,
@@ -1067,6 +1127,12 @@ _LONGEST_NAME = " ".join(f"parola{n}" for n in range(200))
     FROM documents""",
 )
 def documents_with_names(spark, sf):
+    dictionary, m = _named(spark, sf, mt.table(spark, sf, "documents"))
+    return _names_gone(docs.build_documents(m, OPTIONS, dictionary))
+
+
+def _named(spark, sf, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The dictionary, and messages of ``documents`` (table or stream) with a name of it each."""
     mt.table(spark, sf, "benchmark").createOrReplaceTempView("limpida_benchmark")
     found = spark.sql(_LONG_NAMES).where("length(name) >= 5")
     usual = "maria grazia de santis"
@@ -1078,7 +1144,7 @@ def documents_with_names(spark, sf):
     # Every document gets the longest name, that of the item that has its number, or the usual one.
     longest = F.when(F.col("uid").cast("long") % 7 == 0, F.lit(_LONGEST_NAME))
     name = F.initcap(F.coalesce(longest, "name", F.lit(usual)))
-    m = mt.messages(spark, sf).join(found.select(F.col("item_id").cast("string").alias("uid"), "name"), "uid", "left")
+    m = mt.messages_of(documents).join(found.select(F.col("item_id").cast("string").alias("uid"), "name"), "uid", "left")
     m = m.withColumns(
         {
             "body_text": F.concat(F.lit("Caro "), name, F.lit(",\n"), "body_text"),
@@ -1088,7 +1154,10 @@ def documents_with_names(spark, sf):
             ),
         }
     ).drop("name")
-    built = docs.build_documents(m, OPTIONS, dictionary)
+    return dictionary, m
+
+
+def _names_gone(built: DataFrame) -> DataFrame:
     return built.select(
         F.col("uid").cast("long").alias("doc_id"),
         F.col("from_addr_redacted").alias("sender"),
@@ -1186,6 +1255,40 @@ def pii_distinct_sketch(spark, sf):
     return reports.sketch_quality(_documents(spark, sf).select(F.inline("pii_entities")))
 
 
+@query(
+    "distinct_of_days",
+    f"""WITH RECURSIVE {sql.document_ctes()}
+    SELECT type, count(*) AS n, count(DISTINCT value) AS n_values, TRUE AS near FROM merged GROUP BY type""",
+)
+def distinct_of_days(spark, sf):
+    found = _documents(spark, sf).select("fetched_ts", F.inline("pii_entities"))
+    found = stored(found.select(F.to_date("fetched_ts").alias("day"), "type", "original_hash"), "findings")
+    daily = stored(incremental.daily_distinct(found, F.col("day"), "original_hash", "type"), "daily-distinct")
+    exact = found.groupBy("type").agg(F.count_distinct("original_hash").alias("exact"))
+    near = F.abs(F.col("n_values") - F.col("exact")) <= 3 * incremental.HLL_ERROR * F.col("exact")
+    merged = incremental.distinct_of_days(daily, "type").join(exact, "type")
+    return merged.select("type", "n", F.col("exact").alias("n_values"), near.alias("near"))
+
+
+@query(
+    "quantiles_of_days",
+    "SELECT event_type, count(*) AS n, TRUE AS p50_near, TRUE AS p99_near FROM events GROUP BY event_type",
+)
+def quantiles_of_days(spark, sf):
+    """Whether quantiles merged from daily sketches lie within the stated error of their rank."""
+    events = mt.table(spark, sf, "events")
+    daily = stored(incremental.daily_quantiles(events, F.to_date("ts"), "value", "event_type"), "daily-quantiles")
+    merged = incremental.quantiles_of_days(daily, [0.5, 0.99], "event_type")
+
+    def near(column: str, rank: float) -> Column:
+        below, equal = (F.count_if(c) / F.first("n") for c in (F.col("value") < F.col(column), F.col("value") <= F.col(column)))
+        return (below <= rank + incremental.KLL_ERROR) & (equal >= rank - incremental.KLL_ERROR)
+
+    return events.join(merged, "event_type").groupBy("event_type").agg(
+        F.first("n").alias("n"), near("p50", 0.5).alias("p50_near"), near("p99", 0.99).alias("p99_near")
+    )
+
+
 @query(
     "section_report",
     f"""WITH {sql.canonical_ctes(sql.source('marked_text'))}
@@ -1365,9 +1468,7 @@ def spikes(spark, sf):
 )
 def stream_spikes(spark, sf):
     findings = _event_stream(spark, sf).withColumnRenamed("event_type", "type")
-    counts, found, state = (scratch_dir(spark, name) for name in ("counts", "spikes", "spikes-state"))
-    jobs.watch_spikes(jobs.hourly_counts(findings), counts, found, state, availableNow=True).awaitTermination()
-    return _plain_times(jobs.read_spikes(spark, found), "hour")
+    return _plain_times(_run(jobs.spikes_in_stream(findings), "spikes"), "hour")
 
 
 @query("stream_distinct", "SELECT DISTINCT user_id, event_type FROM events")
@@ -1376,6 +1477,21 @@ def stream_distinct(spark, sf):
     return _run(first, "distinct").select("user_id", "event_type")
 
 
+@query(
+    "stream_documents_with_names",
+    """SELECT doc_id, '[PII_NAME] <[PII_EMAIL]>' AS sender, 'Caro [PII_NAME],' AS first_line, 'ok' AS status, 'ok' AS pii_status
+    FROM documents""",
+)
+def stream_documents_with_names(spark, sf):
+    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    dictionary, m = _named(spark, sf, rows)
+    versions, path, state = (scratch_dir(spark, name) for name in ("names", "clean", "clean-state"))
+    jobs.write_names(dictionary, versions, 1)
+    jobs.clean_stream_with_names(m, OPTIONS, versions, path, state, availableNow=True).awaitTermination()
+    return _names_gone(jobs.read_batches(spark, path))
+
+
 @query("stream_documents", f"{_DOCUMENTS_SQL} SELECT message_id, body_hash, n_pii FROM flat")
 def stream_documents(spark, sf):
     schema = spark.read.parquet(f"{sf}/documents.parquet").schema
