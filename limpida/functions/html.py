@@ -222,7 +222,7 @@ def with_html_text(df: DataFrame, markup: str, out: str) -> DataFrame:
     native, parsed, raw = "__html_native", "__html_parsed", F.col(markup)
     return (
         df.withColumn(native, native_text(raw))
-        .withColumn(parsed, _parse_batch(F.when(F.isnull(native), raw)))
+        .withColumn(parsed, _parse_batch(F.when(F.isnull(native), F.make_valid_utf8(raw))))
         .withColumn(out, F.coalesce(native, parsed, F.lit("")))
         .drop(native, parsed)
         .withColumn(out, strip(squeeze_blanks(F.col(out))))

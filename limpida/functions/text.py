@@ -52,9 +52,10 @@ _compose = _compose.asNondeterministic()
 
 def with_nfc(df: DataFrame, text: str, out: str) -> DataFrame:
     """Canonical composition. Spark has no such function, so the few texts that could
-    change go through Arrow; all others reach the Python stage as nulls."""
+    change go through Arrow; all others reach the Python stage as nulls, and so do texts that are
+    no valid UTF-8, which Python cannot read."""
     source = F.col(text)
-    candidate = F.when(~is_ascii(source) & source.rlike(_MAY_CHANGE_UNDER_NFC), source)
+    candidate = F.when(~is_ascii(source) & source.rlike(_MAY_CHANGE_UNDER_NFC) & F.is_valid_utf8(source), source)
     return (
         df.withColumn("__composed", _compose(candidate))
         .withColumn(out, F.coalesce("__composed", source))

@@ -304,8 +304,8 @@ def loaded_finder(load: Callable[[], Callable[[Sequence[str]], Sequence[Triples]
     """Finder around a model that ``load()`` brings up, once per Python worker.
 
     The model takes a batch of texts and gives one list of triples per text. If it fails on a
-    batch, the texts are tried one by one, so that only those it fails on give null. A model
-    that cannot be loaded fails the job.
+    batch, the texts are tried one by one, so that only those it fails on give null, as does a text
+    that is no valid UTF-8. A model that cannot be loaded fails the job.
     """
     key = uuid.uuid4().hex
 
@@ -341,7 +341,7 @@ def loaded_finder(load: Callable[[], Callable[[Sequence[str]], Sequence[Triples]
 
     def finder(text: Column) -> Column:
         return F.transform(
-            run(text),
+            run(F.when(F.is_valid_utf8(text), text)),
             lambda e: F.struct(
                 e["label"].alias("label"),
                 e["span_start"].alias("span_start"),

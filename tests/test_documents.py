@@ -106,6 +106,17 @@ def test_bytes_that_cannot_be_parsed(messages, options):
     assert safe["1"].status == "ok" and safe["1"].body_source == "fallback" and safe["1"].body_text_canonical == "ciao [PII_EMAIL]"
 
 
+def test_texts_that_are_no_utf8(messages, options):
+    """Bytes that no Python stage can read cost the message its canonical text at most, not the job."""
+    broken = messages.where("uid = '1'").withColumn("body_text", F.expr("CAST(concat(CAST('e\u0301 m@x.it ' AS BINARY), X'FF') AS STRING)"))
+    broken = broken.withColumn("body_html", F.expr("CAST(concat(CAST('<p a=\\'>uno due' AS BINARY), X'FE', CAST('</p>' AS BINARY)) AS STRING)"))
+    finder = names.model_finder(lambda t: [])
+    one = docs.build_documents(broken, options, finder, safe=True).select("processing_level", F.contains("body_text_canonical", F.lit("m@x.it")), "status").first()
+    assert tuple(one) == ("no_canon", False, "ok")
+    whole = docs.build_documents(broken, options, finder).select(F.contains("body_text_canonical", F.lit("m@x.it")), "status").first()
+    assert tuple(whole) == (False, "ok")
+
+
 def test_raw_mail_keeps_its_body_without_names(messages, options):
     def model(text):
         raise MemoryError
