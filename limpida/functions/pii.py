@@ -95,7 +95,7 @@ def regex_hits_sql(text: str, options: CleaningOptions) -> str:
     hits = "concat({})".format(", ".join(lists))
     if options.allow_patterns:
         allowed = ", ".join(spans.match_spans("fit", p.java) for p in options.allow_patterns)
-        kept = spans.bind("alw", f"concat({allowed})", spans.without_overlap("rgx", "alw"))
+        kept = spans.bind("alw", f"concat({allowed})", spans.without_overlap("rgx", "alw", HIT_TYPE))
         hits = spans.bind("rgx", hits, f"CASE WHEN size(rgx) = 0 THEN rgx ELSE {kept} END")
     restored = spans.bind(
         "fnd_all",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import brute
 from limpida import PiiMode
-from limpida.functions import pii
+from limpida.functions import pii, spans
 from limpida.functions.patterns import PiiPattern
 from limpida.operators import names
 from samples import SALT
@@ -117,6 +117,35 @@ def test_many_hits_of_one_document(texts, options):
         assert redacted == "\ufeffà😀 [PII_EMAIL], " * n
 
 
+def test_allowed_spans_in_one_sweep(spark):
+    """Against every pair in plain Python, and in linear time."""
+    import random
+    import time
+
+    pick = random.Random(2)
+    kind = "struct<span_start:int,span_end:int,value:string>"
+    row = lambda n, top: [(a, a + pick.randint(1, 9), str(a)) for a in (pick.randint(0, top) for _ in range(n))]
+    cases = [(row(pick.randint(0, 40), 200), row(pick.randint(0, 12), 200)) for _ in range(200)]
+    sql = F.expr(spans.without_overlap("h", "a", kind))
+    df = spark.createDataFrame([(n, *c) for n, c in enumerate(cases)], f"n INT, h array<{kind}>, a array<{kind}>")
+    for r in df.select("n", sql.alias("k")).collect():
+        hits, allowed = cases[r.n]
+        want = [h for h in hits if not any(a[0] < h[1] and h[0] < a[1] for a in allowed)]
+        assert sorted(tuple(k) for k in r.k) == sorted(want)
+
+    def seconds(n):
+        big = spark.range(8).selectExpr(
+            f"transform(sequence(1, {n}), i -> named_struct('span_start', i * 20, 'span_end', i * 20 + 5, 'value', 'x')) AS h",
+            f"transform(sequence(1, {n}), i -> named_struct('span_start', i * 20 + 7, 'span_end', i * 20 + 9, 'value', 'x')) AS a",
+        )
+        began = time.monotonic()
+        assert big.select(F.sum(F.size(sql))).first()[0] == 8 * n
+        return time.monotonic() - began
+
+    seconds(4000)
+    assert seconds(16_000) < 4 * 2.3 * max(0.2, min(seconds(4000) for _ in range(3)))
+
+
 def test_place_of_names_in_a_long_text(texts):
     text = "".join(f"w{i}, " for i in range(255)) + "Ada e Ada " * 300
     found = rows(texts([text]).withColumn("f", names.literal_finder(["ada"], [])(F.col("t"))), "f")[0][0]
