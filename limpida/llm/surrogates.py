@@ -14,10 +14,16 @@ replaced in the same text too, whatever they stand for there.
 Two entities must not get the same surrogate, and no surrogate may be another entity of the corpus. Both
 are checked over the table of distinct entities: of those that want the same surrogate one gets it, the
 others try again with the next attempt, until none is left. Only entities, never texts, take part.
-The replacements then go to the rows that need them, by id.
+The replacements then go to the rows that need them, by a digest of the text: what a text holds depends on the
+text alone, so rows without id and repeated rows are like all others, and equal texts are looked up once.
 
-Defined results: null text stays null; texts without entities stay as they are. Rows without id
-or with repeated ids are treated like all others. Equal entities in different spelling (blanks and marks
+Phone numbers start with + or 0 or a bracket, or have three, three and four digits with one separator; dates
+are none. IBANs pass their check (mod 97), and so do their surrogates. Mail domains are permuted by key within
+their form, so two domains never become one. Where a range is full, addresses widen to other private ranges and
+to IPv6; an entity that finds nothing in ``MOST_ATTEMPTS`` rounds is an error, with a count.
+
+Defined results: null text stays null; texts without entities stay as they are, very long ones are searched whole. Of entities
+that want one surrogate the least gets it. Equal entities in different spelling (blanks and marks
 in numbers, capitals in mail addresses) are one entity. An empty table gives an empty result.
 """
 
@@ -68,11 +74,15 @@ ENTITY = re.compile(
     |(?<!\w)(?P<title>{_TITLE})\.?\x20+(?P<name>{_NAME}(?:\x20{_NAME}){{0,2}})""",
     re.X,
 )
+_DATE = re.compile(r"(?:\d{4}([./-])\d{1,2}\1\d{1,2}|\d{1,2}([./-])\d{1,2}\2(?:\d{4}|\d\d))")
+_PHONE = re.compile(r"[+0(].*|\d{3}([\x20./-])\d{3}\1\d{4}", re.S)
 _MAY_HOLD = re.compile(rf"[0-9@]|\b(?:{_TITLE})\b")
 KINDS = ("email", "iban", "ip", "ssn", "card", "phone", "name")
 _DIGITS = "0123456789"
 _WORD = re.compile(rf"(?<!\w){_NAME}(?!\w)")
 _RUN = re.compile(rf"(?<!\w){_NAME}(?:\x20{_NAME})+(?!\w)")
+#: Rounds after which an entity without surrogate is an error.
+MOST_ATTEMPTS = 60
 #: Names of a caller's table, which go to all workers.
 MOST_NAMES = 20_000
 NAMES = {name.casefold(): gender for (_, gender), names in GIVEN.items() for name in names}
@@ -97,7 +107,9 @@ def _titled(text: str) -> Iterator[tuple[int, int, str, str, str]]:
         else:
             value = m[kind]
             digits = re.sub(r"\D", "", value)
-            if kind == "phone" and not 8 <= len(digits) <= 15 or kind == "card" and not 13 <= len(digits) <= 19:
+            if kind == "phone" and (not 8 <= len(digits) <= 15 or not _PHONE.fullmatch(value) or _DATE.fullmatch(value)):
+                continue
+            if kind == "card" and not 13 <= len(digits) <= 19 or kind == "iban" and mod97(value) != 1:
                 continue
             canon = value.lower() if kind == "email" else value if kind == "ip" else re.sub(r"\W", "", value)
             yield m.start(), m.end(), kind, canon, kind
@@ -154,6 +166,12 @@ def luhn(digits: str) -> int:
     return total % 10
 
 
+def mod97(iban: str) -> int:
+    """The check of an IBAN, blanks and all; 1 if it passes."""
+    plain = re.sub(r"\W", "", iban)
+    return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97
+
+
 class _Draw:
     """Keyed pseudo-random numbers for one entity and attempt."""
 
@@ -181,16 +199,48 @@ class _Draw:
         return "".join(out)
 
 
+def _permuted(key: bytes, text: str) -> str:
+    """Another text of the same form, letters for letters and digits for digits; no two texts give the same.
+
+    Rounds add to one half of the characters a number drawn from the other half, each of which can be undone.
+    """
+    at = [n for n, c in enumerate(text) if c in _DIGITS or "a" <= c <= "z"]
+    sizes = [10 if text[n] in _DIGITS else 26 for n in at]
+    values = [int(text[n]) if text[n] in _DIGITS else ord(text[n]) - 97 for n in at]
+    form = "".join("9" if c in _DIGITS else "a" if "a" <= c <= "z" else c for c in text)
+    middle = (len(at) + 1) // 2
+    for turn in range(6):
+        part, rest = (range(middle), values[middle:]) if turn % 2 else (range(middle, len(at)), values[:middle])
+        if len(at) == 1:
+            part, rest = range(1), []
+        draw = _Draw(key, "domain", form, turn, rest)
+        for n in part:
+            values[n] = (values[n] + draw.below(sizes[n])) % sizes[n]
+    out = list(text)
+    for n, size, value in zip(at, sizes, values, strict=True):
+        out[n] = _DIGITS[value] if size == 10 else chr(97 + value)
+    return "".join(out)
+
+
+def _address(draw: _Draw, attempt: int) -> str:
+    """An address of the private ranges; later attempts take others, and at last IPv6 ones."""
+    if attempt < 4:
+        return f"10.{draw.below(256)}.{draw.below(256)}.{draw.below(256)}"
+    if attempt < 8:
+        first = [f"172.{16 + draw.below(16)}.{draw.below(256)}", f"192.168.{draw.below(256)}", f"100.{64 + draw.below(64)}.{draw.below(256)}"]
+        return f"{first[draw.below(3)]}.{draw.below(256)}"
+    return f"fd{draw.below(256):02x}:" + ":".join(f"{draw.below(1 << 16):x}" for _ in range(7))
+
+
 def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
     """The surrogate that an entity asks for; later attempts draw from wider ranges where the first are narrow."""
     draw = _Draw(key, kind, entity, attempt)
     if kind == "email":
         local, _, domain = entity.partition("@")
         made = draw.like(local) + (f"{draw.below(10 ** min(9, attempt))}" if attempt > 2 else "")
-        of_domain = _Draw(key, "domain", domain, 0)
-        return f"{made}@{of_domain.like(domain.rpartition('.')[0])}.{domain.rpartition('.')[2]}"
+        return f"{made}@{_permuted(key, domain.rpartition('.')[0])}.{domain.rpartition('.')[2]}"
     if kind == "ip":
-        return f"10.{draw.below(256)}.{draw.below(256)}.{draw.below(256)}"
+        return _address(draw, attempt)
     if kind == "card":
         made = entity[0] + draw.like(entity[1:])
         if not luhn(entity):
@@ -200,7 +250,8 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
         keep = max(0, len(entity) - 10)  # the country's part
         return entity[:keep] + draw.like(entity[keep:])
     if kind == "iban":
-        return entity[:2] + draw.like(entity[2:])
+        made = draw.like(entity[4:])
+        return f"{entity[:2]}{98 - mod97(entity[:2] + '00' + made):02d}{made}"
     if kind == "ssn":
         return draw.like(entity)
     script = _script(entity)
@@ -229,10 +280,10 @@ def shaped(text: str, made: str, kind: str) -> str:
 def _detect(names: dict[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = {(i, kind, canon) for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) if text for _, _, kind, canon, _ in entities(text, names)}
-            rows = sorted(found, key=lambda x: (x[0] is None, x[0] or 0, x[1:]))
+            texts = zip(batch.column("of").to_pylist(), batch.column("text").to_pylist(), strict=True)
+            rows = sorted({(of, kind, canon) for of, text in texts if text for _, _, kind, canon, _ in entities(text, names)})
             columns = list(zip(*rows, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())], ["doc_id", "kind", "entity"])
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())], ["of", "kind", "entity"])
 
     return run
 
@@ -265,6 +316,9 @@ def assign(found: DataFrame, key: bytes, ask: Callable[[bytes, int], Callable] =
         done = chosen if done is None else done.union(chosen)
         waiting = stored(waiting.join(chosen, ["kind", "entity"], "left_anti"), "waiting")
         attempt += 1
+        if attempt == MOST_ATTEMPTS and not waiting.isEmpty():
+            left = {r["space"]: r["count"] for r in waiting.groupBy(_space().alias("space")).count().collect()}
+            raise ValueError(f"entities without a free surrogate after {attempt} rounds: {left}")
     return done.select("kind", "entity", "surrogate")
 
 
@@ -322,13 +376,10 @@ def replace_entities(docs: DataFrame, key: bytes, given_names: DataFrame | None
     ``given_names``: a table (name, gender: m, f or empty) of at most ``MOST_NAMES`` rows beside ``GIVEN``.
     """
     names = _dictionary(given_names)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = stored(docs.mapInArrow(_detect(names), "doc_id long, kind string, entity string"), "entities")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.unhex(F.sha2("text", 256)).alias("of"))
+    found = stored(docs.select("of", "text").mapInArrow(_detect(names), "of binary, kind string, entity string"), "entities")
     resolved = stored(_resolved(found.select("kind", "entity").distinct()), "distinct-entities")
     assigned = assign(resolved.select(F.col("settled").alias("kind"), "entity").distinct(), key)
     assigned = resolved.join(assigned.withColumnRenamed("kind", "settled"), ["settled", "entity"]).select("kind", "entity", "surrogate")
-    known = (
-        found.distinct().join(assigned, ["kind", "entity"])
-        .groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("kind", "entity", "surrogate")).alias("known"))
-    )
-    return docs.join(known, F.col("doc_id").eqNullSafe(F.col("of")), "left").select("doc_id", "text", "known").mapInArrow(_apply(names), RESULT)
+    known = found.distinct().join(assigned, ["kind", "entity"]).groupBy("of").agg(F.collect_list(F.struct("kind", "entity", "surrogate")).alias("known"))
+    return docs.join(known, "of", "left").select("doc_id", "text", "known").mapInArrow(_apply(names), RESULT)

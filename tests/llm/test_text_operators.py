@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pytest
 import tiktoken
 from plain_texts import awkward_texts, sha, shingles, words
 
@@ -126,6 +127,54 @@ def test_surrogates_stay_distinct(spark):
     assert not {(r.kind, r.surrogate) for r in made} & {(r.kind, r.entity) for r in made}
 
 
+def test_surrogates_leave_dates_and_numbers(docs_of):
+    plain = ["on 2024-05-12 and 12.05.2024, 01/02/2024", "100-200 300-400 and 10 000 20 000", "51.50 12.30 44", "AB12 CDEF GHIJ KLMN", "DE89 3704 0044 0532 0130 01"]
+    calls = ["call 0551 234 567", "call 415-555-2671", "call (02) 1234 5678", "pay DE89 3704 0044 0532 0130 00 or DE89370400440532013000"]
+    rows = {r.doc_id: r for r in surrogates.replace_entities(docs_of(plain + calls), b"k").collect()}
+    assert [rows[n].text for n in range(5)] == plain
+    assert [(rows[n].n_phone, rows[n].n_iban) for n in range(5, 9)] == [(1, 0)] * 3 + [(0, 2)]
+    spaced, tight = rows[8].text[4:].split(" or ")
+    assert spaced.replace(" ", "") == tight != "DE89370400440532013000" and surrogates.mod97(spaced) == 1 and spaced[4] == " "
+
+
+def test_surrogates_of_rows_without_id_or_with_one_id(docs_of):
+    from pyspark.sql import functions as F
+
+    texts = [f"mail u{n}@firm{n % 40}.example and 10.9.{n // 200}.{n % 200}" for n in range(600)] + ["", None, "clean"] * 3
+    whole = [r.text for r in surrogates.replace_entities(docs_of(texts), b"k").orderBy("doc_id").collect()]
+    for id_ in ("CAST(NULL AS LONG)", "7L"):
+        docs = docs_of(texts).withColumn("doc_id", F.expr(id_))
+        rows = surrogates.replace_entities(docs.union(docs), b"k").collect()
+        assert sorted(r.text or "-" for r in rows) == sorted(t or "-" for t in whole * 2)
+    # Against plain Python: what was found is gone, all else stays, and one to one.
+    pairs = {}
+    for old, new in zip(texts[:600], whole, strict=False):
+        mail, at = old.split()[1], new.split()[1]
+        pairs.setdefault("mail", {})[mail] = at
+        pairs.setdefault("domain", {}).setdefault(mail.split("@")[1], set()).add(at.split("@")[1])
+        pairs.setdefault("ip", {})[old.split()[-1]] = new.split()[-1]
+        assert (new.split()[0], new.split()[2]) == ("mail", "and") and mail not in new
+    for kind in ("mail", "ip"):
+        assert len(set(pairs[kind].values())) == 600 and not set(pairs[kind]) & set(pairs[kind].values())
+    assert all(len(v) == 1 for v in pairs["domain"].values()) and len(set.union(*pairs["domain"].values())) == 40
+
+
+def test_surrogates_end_when_ranges_are_full(spark, monkeypatch):
+    assert len({surrogates._permuted(b"k", f"{a}{b}.x") for a in "abcdefghij" for b in range(10)}) == 100
+    assert surrogates._address(surrogates._Draw(b"k", 1), 9).startswith("fd")
+    monkeypatch.setattr(surrogates, "MOST_ATTEMPTS", 3)
+    found = spark.createDataFrame([("ssn", str(n)) for n in range(10)] + [("ip", "1.1.1.1")], "kind STRING, entity STRING")
+    with pytest.raises(ValueError, match="without a free surrogate.*ssn"):
+        surrogates.assign(found, b"k")
+
+
+def test_surrogates_of_very_long_and_no_texts(docs_of):
+    long = "word " * 200_000 + "mail a@firm.example"
+    row = surrogates.replace_entities(docs_of([long]), b"k").first()
+    assert row.n_email == 1 and "a@firm.example" not in row.text and row.text.startswith(long[:900_000])
+    assert surrogates.replace_entities(docs_of(["x"]).where("false"), b"k").isEmpty()
+
+
 def test_bpe_equals_the_library(docs_of):
     path, pattern = vocabulary()
     ranks = byte_bpe.load_ranks(path)
