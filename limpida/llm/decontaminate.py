@@ -9,13 +9,14 @@ A document only meets items of which it has shingles enough. Candidates are veri
 number of shared shingles, compared as text. All of it is DataFrame functions.
 
 The items' keys are broadcast if a count proves them small, and joined by shuffle otherwise.
-Documents stream past them; only hits are shuffled. A passage that a third of all documents contain
+Documents stream past them; only hits are shuffled. What was hit is written, told by a digest of the text, and meets
+the texts again by a broadcast where a count proves it small, else by a shuffle. A passage that a third of all documents contain
 makes one hit per document, which is the result itself.
 
 Defined results: words ``[^\\x20\\x09-\\x0D]+`` in lower case (A-Z); a text of one to four words has its whole
 sequence as one shingle; null, empty and blank texts have none, and neither contain nor are contained
-in anything. Items with equal texts are all reported. Rows that repeat an id are verified each. An
-empty table gives an empty result. Other columns are left alone.
+in anything. Very long texts are searched whole. Items with equal texts are all reported. What a document holds depends
+on its text alone: rows without id and rows that repeat one are verified each. An empty table gives an empty result. Other columns are left alone.
 """
 
 from __future__ import annotations
@@ -27,13 +28,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from limpida.functions.spans import once
+from limpida.llm.tables import stored
 
 SHINGLE = 5
 #: Containment as parts of 100.
 AT_LEAST = 75
 MOST_KEYS = 16
-#: Keys (16 bytes each) up to which they are broadcast.
+#: Keys (16 bytes each) up to which they are broadcast, and hits (of 40 bytes).
 BROADCAST_KEYS = 1_000_000
+BROADCAST_HITS = 500_000
 
 
 def word_array(text: Column) -> Column:
@@ -73,20 +76,29 @@ def item_keys(items: DataFrame) -> DataFrame:
     return hashed.where(n > 0).select("item_id", needed.alias("needed"), F.explode(keys).alias("key"))
 
 
+def _digest() -> Column:
+    return F.unhex(F.sha2("text", 256))
+
+
 def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id and the items that share a key with it."""
+    """Digests of texts (__of) and the items that share a key with them, as a written table."""
     keys = item_keys(items)
     if keys.count() <= BROADCAST_KEYS:
         keys = F.broadcast(keys)
-    hashed = docs.select("doc_id", shingle_hashes(F.col("text")).alias("h"))
-    hits = hashed.select("doc_id", F.size("h").alias("n"), F.explode("h").alias("key")).join(keys, "key").where(F.col("n") >= F.col("needed"))
-    return hits.groupBy("doc_id").agg(F.collect_set("item_id").alias("__items"))
+    hashed = docs.select(_digest().alias("__of"), shingle_hashes(F.col("text")).alias("h"))
+    hits = hashed.select("__of", F.size("h").alias("n"), F.explode("h").alias("key")).join(keys, "key").where(F.col("n") >= F.col("needed"))
+    found = stored(hits.groupBy("__of").agg(F.collect_set("item_id").alias("__items")), "hits")
+    number = found.agg(F.sum(F.size("__items"))).first()[0] or 0
+    return F.broadcast(found) if number <= BROADCAST_HITS else found
 
 
 def contained_items(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Rows of doc_id, item_id, n_item_shingles, n_shared, containment."""
-    found = candidates(docs, items).withColumnRenamed("doc_id", "__doc")
-    texts = docs.select("doc_id", "text").join(found, F.col("doc_id").eqNullSafe(F.col("__doc")))
+    texts = docs.select("doc_id", "text", _digest().alias("__of")).join(candidates(docs, items), "__of")
+    return _verified(texts.select("doc_id", "text", "__items"), items)
+
+
+def _verified(texts: DataFrame, items: DataFrame) -> DataFrame:
     of_docs = texts.select("doc_id", "__items", shingle_texts(F.col("text")).alias("__in_doc"))
     of_docs = of_docs.select("doc_id", F.explode("__items").alias("item_id"), "__in_doc")
     of_items = items.select("item_id", shingle_texts(F.col("text")).alias("s")).select("item_id", F.array_distinct("s").alias("__in_item"))
@@ -102,5 +114,8 @@ def contained_items(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows in which no item was found, with all their columns."""
-    bad = contained_items(docs, items).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")
+    hit = docs.select("text", _digest().alias("__of")).join(candidates(docs, items), "__of")
+    bad = stored(_verified(hit.select(F.col("__of").alias("doc_id"), "text", "__items"), items).select(F.col("doc_id").alias("__bad")).distinct(), "contaminated")
+    if bad.count() <= BROADCAST_HITS:
+        bad = F.broadcast(bad)
+    return docs.join(bad, _digest() == F.col("__bad"), "left_anti")

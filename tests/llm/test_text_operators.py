@@ -11,6 +11,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from plain_texts import awkward_texts, sha, shingles, words
 
 from limpida.llm import byte_bpe, decontaminate, language_id, quality, secret_scan, suffix_tree, surrogates
@@ -79,6 +80,14 @@ def test_decontamination(spark, docs_of):
             if b and 100 * len(a & b) >= 75 * len(b):
                 want[i, j] = (len(b), len(a & b))
     assert got == want and len(want) > 4
+    for most in (10**6, 0):
+        decontaminate.BROADCAST_HITS = most
+        rows = decontaminate.contained_items(docs_of(TEXTS).withColumn("doc_id", F.expr("IF(doc_id % 3 = 0, NULL, 5)")), table).collect()
+        assert sorted(r.item_id for r in rows) == sorted(j for _, j in want) and len(rows) == len(want)
+        kept = decontaminate.drop_contaminated(docs_of(TEXTS).withColumn("doc_id", F.expr("CAST(NULL AS LONG)")), table)
+        assert kept.count() == len(TEXTS) - len({i for i, _ in want}) and kept.columns == docs_of(TEXTS).columns
+    decontaminate.BROADCAST_HITS = 500_000
+    assert decontaminate.contained_items(docs_of(["x"]).where("false"), table).isEmpty()
     kept = decontaminate.drop_contaminated(docs_of(TEXTS), table)
     assert {r.doc_id for r in kept.collect()} == set(range(len(TEXTS))) - {i for i, _ in want}
     assert decontaminate.contained_items(docs_of(TEXTS), table.where("false")).isEmpty()
@@ -138,8 +147,6 @@ def test_surrogates_leave_dates_and_numbers(docs_of):
 
 
 def test_surrogates_of_rows_without_id_or_with_one_id(docs_of):
-    from pyspark.sql import functions as F
-
     texts = [f"mail u{n}@firm{n % 40}.example and 10.9.{n // 200}.{n % 200}" for n in range(600)] + ["", None, "clean"] * 3
     whole = [r.text for r in surrogates.replace_entities(docs_of(texts), b"k").orderBy("doc_id").collect()]
     for id_ in ("CAST(NULL AS LONG)", "7L"):
