@@ -12,15 +12,16 @@ confirmed on the full shingle sets.
    it shares most buckets with: one link per class, confirmed on full texts. That settles nearly all.
 3. Buckets whose members are still in different components are compared in blocks of bounded size, by
    sketches, in whole arrays; a large bucket is split into pairs of blocks, so no group is gathered in
-   one task. Members with a similar partner meet again in their blocks with their texts; there pairs
-   are confirmed on full sets, and only links that connect two components are handed on.
+   one task. Members of its largest component are settled: they meet the other members, not each other.
+   Members with a similar partner meet again in their blocks with their texts; there pairs are
+   confirmed on full sets, and only links that connect two components are handed on.
 
 With 32 bands of 4 a pair at similarity 0.75 is missed with probability 5e-6, and less above; the
 sketch bound lies five standard deviations below 0.75.
 
 Defined results: words ``[^\\x20\\x09-\\x0D]+`` in lower case (A-Z); a text of one to four words has its whole
 sequence as one shingle; null, empty and blank texts have none and are linked with nothing. Links:
-100 * intersection >= 75 * union. Rows that repeat an id are one node. A row without id is linked with
+100 * intersection >= 75 * union. Very long texts count whole: their shingles are hashes in one array. Rows that repeat an id are one node. A row without id is linked with
 nothing and kept. An empty table gives an empty result.
 """
 
@@ -193,20 +194,34 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _apart(docs: DataFrame, members: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Confirmed links (a, b) between members of a bucket that are in different components yet."""
-    known = members.join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-    apart = known.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).where("x <> y")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    placed = (
-        known.join(apart.select("bucket", blocks.alias("blocks")), "bucket")
-        .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        .join(nodes.select("id", "n", "sketch"), "id")
+def _dealt(known: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The members of each bucket that has more than one component, once for each pair of blocks they are compared in.
+
+    Members of the largest component are settled among themselves: their blocks meet those of the other members
+    only. So with u others a bucket of m members gives about u * (2 * m - u) / BLOCK + m rows.
+    """
+    apart = known.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
+    of = known.join(apart, "bucket").groupBy("bucket", "component").agg(F.count("*").alias("own"))
+    main = F.max(F.struct("own", (-F.col("component")).alias("component"))).alias("main")
+    of = of.groupBy("bucket").agg(F.sum("own").alias("m"), main).select(
+        "bucket",
+        (-F.col("main.component")).alias("main"),
+        F.ceil((F.col("m") - F.col("main.own")) / BLOCK).cast("int").alias("others"),
+        F.ceil(F.col("main.own") / BLOCK).cast("int").alias("settled"),
     )
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = placed.select("*", other).select(
+    is_other = F.col("component") != F.col("main")
+    own = F.when(is_other, F.pmod(F.xxhash64("id"), "others")).otherwise(F.col("others") + F.pmod(F.xxhash64("id"), "settled"))
+    last = F.col("others") + F.when(is_other, F.col("settled")).otherwise(0) - 1
+    placed = known.join(of, "bucket").withColumns({"block": own.cast("int"), "last": last}).join(nodes.select("id", "n", "sketch"), "id")
+    return placed.select("*", F.explode(F.sequence(F.lit(0), "last")).alias("other")).select(
         "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "n", "sketch"
     )
+
+
+def _apart(docs: DataFrame, members: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Confirmed links (a, b) between members of a bucket that are in different components yet."""
+    known = members.join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    dealt = _dealt(known, nodes)
     met = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     paired = stored(met.mapInArrow(_with_partner, dealt.schema), "paired")
     texts = docs.select(F.col("doc_id").alias("id"), "text")

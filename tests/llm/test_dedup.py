@@ -1,5 +1,7 @@
 """Exact, near and substring dedup against plain Python."""
 
+import random
+
 import pytest
 from plain_texts import awkward_texts, sha, shingles, words
 
@@ -55,6 +57,34 @@ def test_near_dedup(docs_of, texts, monkeypatch, block):
     assert near_dedup.drop_near_duplicates(docs_of(texts)).count() == sum(find(i) == i for i in range(len(texts)))
 
 
+def test_near_dedup_of_buckets_of_many_classes(spark):
+    """Links across a bucket are those that comparing all members gives; settled members are not dealt to each other."""
+    from pyspark.sql import functions as F
+
+    pick = random.Random(9)
+    base = [f"b{n}" for n in range(60)]
+    texts = [" ".join([*base[:30], f"x{i}", *base[30:]]) for i in range(40)]
+    texts += [" ".join(pick.choice(base) for _ in range(60)) for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    signed = docs.mapInArrow(near_dedup._signatures, near_dedup.SIGNATURE)
+    nodes = signed.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch")
+    members = nodes.select(F.lit(7).cast("long").alias("bucket"), "id")
+    labels = spark.createDataFrame([(i, 0) for i in range(1, 37)] + [(39, 38)], "id long, component long")
+    found = {(r.a, r.b) for r in near_dedup._apart(docs, members, nodes, labels).collect()}
+    component = {i: 0 for i in range(37)} | {37: 37, 38: 38, 39: 38}
+    assert all(shingles(texts[a]) & shingles(texts[b]) and component[a] != component[b] for a, b in found)
+    joined = near_dedup.components(spark.createDataFrame(sorted({(i, 0) for i in range(1, 37)} | {(39, 38)} | found), "a long, b long"))
+    assert {r.id: r.component for r in joined.collect()} == dict.fromkeys(range(1, 40), 0)
+
+    m, others = 5000, 10
+    known = spark.range(m).select(F.lit(7).cast("long").alias("bucket"), "id", F.greatest(F.lit(0), F.col("id") - (m - others - 1)).alias("component"))
+    nodes = spark.range(m).select("id", F.lit(9).cast("long").alias("n"), F.array(F.lit(0).cast("long")).alias("sketch"))
+    blocks = -(-(m - others) // near_dedup.BLOCK)
+    assert near_dedup._dealt(known, nodes).count() == (m - others) + others * (1 + blocks)
+    all_apart = known.withColumn("component", F.col("id"))
+    assert near_dedup._dealt(all_apart, nodes).count() <= m * (m // near_dedup.BLOCK + 2)
+
+
 @pytest.mark.parametrize("hot", [1000, 2])
 def test_substring_dedup(docs_of, texts, monkeypatch, hot):
     monkeypatch.setattr(substring_dedup, "HOT_LEAST", hot)
