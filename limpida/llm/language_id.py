@@ -9,11 +9,15 @@ for the false positives that the filter's fill predicts; the highest corrected c
 
 N-gram counts are partial per task and summed by (language, n-gram); frequent n-grams of one
 language are thinned that way before the shuffle. The table sent to all workers has ``POSITIONS``
-masks, a fixed size.
+masks, a fixed size; where ``lang`` has more than ``GROUP`` values, groups of them take turns and each row
+carries the best language so far, so memory does not grow with the values of a dirty column. More than
+``MOST_LANGUAGES`` values are an error, found by a bounded read.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0. A text in which no
 n-gram is known gets the language with most learning text, score 0. Ties go to the language that
 sorts first. Without any learning text all is ``und``. Repeated rows weigh as often as they come.
+A row without id is never held out. Very long texts are counted whole, in one array of their bytes. An empty
+table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,6 +39,10 @@ POSITIONS = 1 << 21
 HASHES = 3
 UNKNOWN = "und"
 _PER_WORD = 63
+#: Languages whose filters are sent together, 16 MB for each 63; further languages take further passes over the texts.
+GROUP = 2 * _PER_WORD
+#: Values of ``lang`` above which learning stops with an error.
+MOST_LANGUAGES = 20_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -97,9 +105,8 @@ def _set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Model:
     """Languages in order, the masks by word and position, and each language's false-positive rate."""
 
-    def __init__(self, languages: list[str], shares: list[int], masks: np.ndarray) -> None:
+    def __init__(self, languages: list[str], masks: np.ndarray) -> None:
         self.languages, self.masks = languages, masks
-        self.most = languages[int(np.argmax(shares))] if languages else UNKNOWN
         fill = [np.count_nonzero(masks[b // _PER_WORD] >> (b % _PER_WORD) & 1) / POSITIONS for b in range(len(languages))]
         self.false = np.array(fill) ** HASHES
 
@@ -116,56 +123,88 @@ class Model:
                 out[:, b] = total[end] - total[begin]
         return out
 
-    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
-        score = np.zeros(len(texts))
-        if not self.languages:
-            return [UNKNOWN] * len(texts), score
+    def best(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each text the best language, its corrected count and the second highest."""
         grams, offsets = _grams(texts)
         begin, end = _inside(offsets)
         n = (end - begin)[:, None]
         true = np.maximum(0, (self.hits(grams, begin, end) - n * self.false) / np.maximum(1e-9, 1 - self.false))
-        best = true.argmax(1)
-        top = true.max(1)
-        second = np.sort(true, 1)[:, -2] if true.shape[1] > 1 else np.zeros(len(top))
-        np.divide(top, top + second, out=score, where=top > 0)
-        names = [self.languages[b] if t > 0 else self.most for b, t in zip(best, top, strict=True)]
-        for i, text in enumerate(texts.to_pylist()):
-            if text is None or not any(map(str.isalpha, text)):
-                names[i], score[i] = UNKNOWN, 0.0
-        return names, score
-
-
-def learn(docs: DataFrame) -> Model:
-    """The filters of all rows with text and language."""
+        second = np.sort(true, 1)[:, -2] if true.shape[1] > 1 else np.zeros(len(true))
+        return np.array(self.languages, object)[true.argmax(1)], true.max(1), second
+
+
+def learn(docs: DataFrame) -> tuple[list[Model], str]:
+    """The filters of all rows with text and language, by groups of languages, and the language with most text."""
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "text")
     counts = stored(rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "language-grams")
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total")).orderBy("lang").collect()
-    if not totals:
-        return Model([], [], np.zeros((0, POSITIONS), np.int64))
-    bits = docs.sparkSession.createDataFrame([(r.lang, b, r.total) for b, r in enumerate(totals)], "lang string, bit long, total long")
-    frequent = counts.join(F.broadcast(bits), "lang").where(F.col("n") >= F.col("total") * MIN_SHARE)
-    places = (
-        frequent.select("gram", "bit").mapInArrow(_set_bits, "place long, word long, mask long")
-        .groupBy("place", "word").agg(F.bit_or("mask").alias("mask")).toPandas()
-    )
-    masks = np.zeros(((len(totals) - 1) // _PER_WORD + 1, POSITIONS), np.int64)
-    masks[places["word"].to_numpy(), places["place"].to_numpy()] = places["mask"].to_numpy()
-    return Model([r.lang for r in totals], [r.total for r in totals], masks)
-
-
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score; only the text is looked at."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total")).limit(MOST_LANGUAGES + 1).collect()
+    if len(totals) > MOST_LANGUAGES:
+        raise ValueError(f"lang has more than {MOST_LANGUAGES} values: clean the column, or raise MOST_LANGUAGES")
+    totals.sort(key=lambda r: r.lang.encode())
+    models = []
+    for lo in range(0, len(totals), GROUP):
+        part = totals[lo : lo + GROUP]
+        bits = docs.sparkSession.createDataFrame([(r.lang, b, r.total) for b, r in enumerate(part)], "lang string, bit long, total long")
+        frequent = counts.join(F.broadcast(bits), "lang").where(F.col("n") >= F.col("total") * MIN_SHARE)
+        places = (
+            frequent.select("gram", "bit").mapInArrow(_set_bits, "place long, word long, mask long")
+            .groupBy("place", "word").agg(F.bit_or("mask").alias("mask")).toPandas()
+        )
+        masks = np.zeros(((len(part) - 1) // _PER_WORD + 1, POSITIONS), np.int64)
+        masks[places["word"].to_numpy(), places["place"].to_numpy()] = places["mask"].to_numpy()
+        models.append(Model([r.lang for r in part], masks))
+    return models, max(totals, key=lambda r: r.total).lang if totals else UNKNOWN
+
+
+_SO_FAR = "doc_id long, text string, best string, top double, second double"
+
+
+def _better(shared):
+    """Rows with the best language so far, after one more group of languages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
-            names, score = shared.value.predict(batch.column("text"))
+            names, top, second = shared.value.best(batch.column("text"))
+            best, first, next_ = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("best", "top", "second"))
+            higher = top > first
+            best = np.where(higher, names, best)
+            next_ = np.where(higher, np.maximum(second, first), np.maximum(next_, top))
+            columns = [pa.array(best, pa.string()), pa.array(np.maximum(top, first)), pa.array(next_)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), *columns], ["doc_id", "text", "best", "top", "second"])
+
+    return run
+
+
+def _decided(most: str, known: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            top, second = (batch.column(c).to_numpy() for c in ("top", "second"))
+            score = np.zeros(len(top))
+            np.divide(top, top + second, out=score, where=top > 0)
+            names = [most if b is None else b for b in batch.column("best").to_pylist()]
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                if not known or text is None or not any(map(str.isalpha, text)):
+                    names[i], score[i] = UNKNOWN, 0.0
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return run
+
+
+def predict(docs: DataFrame, models: list[Model], most: str) -> DataFrame:
+    """doc_id, lang_pred, score; only the text is looked at. Each group of languages is one pass over the texts."""
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(None).cast("string").alias("best"), F.lit(0.0).alias("top"), F.lit(0.0).alias("second")
+    )
+    decided, scored = _decided(most, bool(models)), "doc_id long, lang_pred string, score double"
+    for model in models[:-1]:
+        rows = stored(rows.mapInArrow(_better(docs.sparkSession.sparkContext.broadcast(model)), _SO_FAR), "languages")
+    if not models:
+        return rows.mapInArrow(decided, scored)
+    last = _better(docs.sparkSession.sparkContext.broadcast(models[-1]))
+    return rows.mapInArrow(lambda batches: decided(last(batches)), scored)
 
 
 def language_id(docs: DataFrame) -> DataFrame:
     """Learns from the rows that are not held out and predicts all."""
-    model = learn(docs.where(~F.coalesce(held_out(F.col("doc_id")), F.lit(False))))
-    return predict(docs, model).select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
+    models, most = learn(docs.where(~F.coalesce(held_out(F.col("doc_id")), F.lit(False))))
+    return predict(docs, models, most).select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -270,3 +270,48 @@ def test_language(docs_of):
     assert [rows[i].lang_pred for i in (60, 61, 62)] == ["und"] * 3 and rows[63].lang_pred in pools
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i, r in rows.items())
     assert {r.lang_pred for r in language_id.language_id(docs_of(texts)).collect()} == {"und"}
+
+
+def _by_sets(texts, langs):
+    """Languages by exact sets of n-grams, counted text by text."""
+
+    def grams(text):
+        data = (text or "").encode().lower()
+        return [data[k : k + 5] for k in range(len(data) - 4)]
+
+    learned, size = {}, {}
+    for i, t in enumerate(texts):
+        if t is not None and langs.get(i) is not None and zlib.crc32(str(i).encode()) % 3 != 1:
+            learned.setdefault(langs[i], set()).update(grams(t))
+            size[langs[i]] = size.get(langs[i], 0) + len(grams(t))
+    order = sorted(x for x in learned if size[x])
+    for t in texts:
+        if t is None or not any(map(str.isalpha, t)):
+            yield "und", 0.0
+            continue
+        hits = [sum(g in learned[x] for g in grams(t)) for x in order]
+        top, second = sorted(hits)[-1], sorted(hits)[-2]
+        yield (order[hits.index(top)], top / (top + second)) if top else (min(order, key=lambda x: (-size[x], x)), 0.0)
+
+
+@pytest.mark.parametrize("many", [3, 150])
+def test_language_equals_exact_sets(docs_of, many):
+    pick = random.Random(many)
+    vocabulary = [["".join(pick.choice("abcdefghij") for _ in range(7)) for _ in range(12)] for _ in range(many)]
+    langs = {i: f"l{i % many:03}" for i in range(4 * many)}
+    texts = [" ".join(pick.choice(vocabulary[i % many]) for _ in range(30)) for i in range(4 * many)]
+    texts += [None, "", "1 2 3", "zzzzzzzzzz", "ab", texts[0] * 400, texts[1] + " " + texts[2]]
+    rows = {r.doc_id: r for r in language_id.language_id(docs_of(texts, langs)).collect()}
+    for i, (lang, score) in enumerate(_by_sets(texts, langs)):
+        assert rows[i].lang_pred == lang and rows[i].score == pytest.approx(score, abs=0.02), i
+
+
+def test_language_with_odd_ids_and_dirty_values(spark, docs_of, monkeypatch):
+    rows = [(None if i % 3 == 0 else 5 if i % 3 == 1 else i, f"plain words of language {chr(97 + i % 2) * 6}", "ab"[i % 2]) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = language_id.language_id(docs)
+    assert out.count() == 60 and out.where("doc_id IS NULL AND held_out").isEmpty()
+    assert language_id.language_id(docs.where("false")).isEmpty()
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 1)
+    with pytest.raises(ValueError, match="more than 1 values"):
+        language_id.language_id(docs)
