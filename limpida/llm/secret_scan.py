@@ -12,7 +12,8 @@ and Spark splits it where it is skewed.
 
 Defined results: null text counts as empty; a row without candidates has zero counts and the digest
 of the empty string. A null owner or repository counts as one value of its own. Repeated rows are
-rows of their own and the same repository. Spans are code points, end exclusive, of the whole match.
+rows of their own and the same repository. Spans are code points, end exclusive, of the whole match;
+ties in start go by kind. Very long texts are scanned whole, as one row. An empty table gives an empty result.
 """
 
 from __future__ import annotations

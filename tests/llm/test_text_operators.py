@@ -259,6 +259,73 @@ def test_secrets_copied_inside_one_owner(docs_of):
     assert {(r.n_copied, r.n_live) for r in secret_scan.scan_secrets(docs_of(few)).where("doc_id IN (0, 3, 6)").collect()} == {(0, 1)}
 
 
+def _plain_spans(text):
+    """The three base kinds, read character by character: (start, kind, end, value)."""
+    value_of = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+
+    def run(at, allowed):
+        end = at
+        while end < len(text) and text[end] in allowed:
+            end += 1
+        return end
+
+    def assigned(at):
+        for word in ("password", "passwd", "secret", "token", "apikey", "api_key"):
+            if "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text[at : at + len(word)]) == word:
+                i = at + len(word)
+                i = run(i + (text[i : i + 1] in ("'", '"')), " ")
+                if text[i : i + 1] in (":", "="):
+                    i = run(i + 1, " ")
+                    i += text[i : i + 1] in ("'", '"')
+                    return i, run(i, value_of)
+        return at, at
+
+    out, at = [], 0
+    while at < len(text):
+        lo, hi = assigned(at)
+        if hi > lo >= at + 6 and hi - lo >= 12:
+            out.append((at, 0, hi, text[lo:hi]))
+        at = hi if hi > lo else at + 1
+    for kind, head, allowed, least in ((1, "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 18), (2, "", set("0123456789abcdef"), 16)):
+        at = 0
+        while at < len(text):
+            body = at + len(head)
+            hi = run(body, allowed) if text.startswith(head, at) else at
+            if hi > body or (not head and hi > at):
+                out += [(at, kind, hi, text[at:hi])] if hi - at >= least else []
+                at = hi
+            else:
+                at += 1
+    return sorted(out)
+
+
+def test_secrets_equal_a_plain_version(docs_of):
+    pick = random.Random(11)
+    bits = ["password", "PassWD", "secret", "toKen", "api_key", "APIKEY", '"', "'", " ", "  ", ":", "=", "\n", "é", "😀", "AKIA", "ABCDEFGHIJ", "0123456789abcdef",
+            "deadbeef", "xyz", "Zz9-longer_value.1", "short", "ſecret", "==", "_", ".", "qX7vRk2LmP9sTz4WbN8c"]
+    texts = ["".join(pick.choice(bits) for _ in range(pick.randint(0, 25))) for _ in range(3000)]
+    for t in texts:
+        assert secret_scan.base_spans(t) == _plain_spans(t), t
+    texts = [*texts[:300], "x " * 400_000 + 'token: "abcdefghijklmnop"', None]
+    owners, repositories = {}, {}
+    for i, t in enumerate(texts):
+        for _, _, _, value in secret_scan.base_spans(t or "") + secret_scan.generic_spans(t or "", secret_scan.base_spans(t or "")):
+            owners.setdefault(value, set()).add(i % 3)
+            repositories.setdefault(value, set()).add(i)
+    rows = {r.doc_id: r for r in secret_scan.scan_secrets(docs_of(texts)).collect()}
+    assert len(rows) == len(texts) and secret_scan.scan_secrets(docs_of(["x"]).where("false")).isEmpty()
+    for i, t in enumerate(texts):
+        base = _plain_spans(t or "")
+        every = sorted(base + secret_scan.generic_spans(t or "", base))
+        copied = [len(owners[v]) >= secret_scan.EXAMPLE_OWNERS or len(repositories[v]) >= secret_scan.EXAMPLE_REPOSITORIES for *_, v in every]
+        live = [not c and secret_scan.entropy(s[3]) >= secret_scan.LIVE_ENTROPY for c, s in zip(copied, every, strict=True)]
+        spans = secret_scan.label(s for s, x in zip(every, live, strict=True) if s[1] < 3 or x)
+        got = rows[i]
+        assert (got.spans, got.n_live, got.n_copied) == (spans, sum(live), sum(copied)), t
+        assert (got.n_assign, got.n_access, got.n_hex) == tuple(sum(s[1] == k for s in base) for k in range(3))
+        assert got.base_sha256 == sha(secret_scan.label(base))
+
+
 def test_language(docs_of):
     pick = random.Random(2)
     pools = {"en": "the river and the hills were quiet that evening while people walked home".split(),
