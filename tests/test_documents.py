@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from limpida import CleaningOptions, PiiMode
 from limpida.operators import compare, dedup, masking, names, reports, validate
 from limpida.plans import documents as docs
+from limpida.session import stored
 from limpida.sources import messages as src, sinks
 from limpida.streaming import jobs
 from samples import SALT
@@ -203,11 +204,38 @@ def test_spikes_of_a_stream(spark, tmp_path):
     assert arrive(11, 7) == [("2026-02-11 10:00:00", "mail", 7, 3)]
 
 
-def test_first_per_key_survives_a_hot_key(spark):
-    df = spark.range(30_000).selectExpr("IF(id % 3 = 0, 'hot', CAST(id AS STRING)) AS k", "30000 - id AS o", "id AS v", "map('a', id) AS m")
+@pytest.mark.parametrize("most", [dedup.BROADCAST_VALUES, 10])
+def test_first_per_key_survives_a_hot_key(spark, monkeypatch, most):
+    monkeypatch.setattr(dedup, "BROADCAST_VALUES", most)
+    df = spark.range(30_000).selectExpr("IF(id % 3 = 0, 'hot', CAST(id DIV 2 AS STRING)) AS k", "30000 - id AS o", "id AS v", "map('a', id) AS m")
+    kept = {r.k: r.v for r in dedup.keep_first(df, ["k"], ["o"]).collect()}
+    want = {}
+    for i in range(30_000):
+        want["hot" if i % 3 == 0 else str(i // 2)] = i
+    assert kept == want
+
+
+def test_first_per_key_is_narrow(spark, tmp_path, monkeypatch):
+    """Null keys, null orders and ties; whole rows are never sorted, aggregated or exchanged."""
+    rows = [(None, 2, "a"), (None, 1, "b"), ("x", None, "c"), ("x", 1, "d"), ("y", 5, "e"), ("z", 7, "f"), ("z", 7, "f")]
+    spark.createDataFrame(rows, "k STRING, o INT, text STRING").write.parquet(f"{tmp_path}/rows")
+    plans = []
+
+    def written(table, name):
+        plans.append(table._jdf.queryExecution().executedPlan().toString())
+        return stored(table, name)
+
+    monkeypatch.setattr(dedup, "stored", written)
+    df = spark.read.parquet(f"{tmp_path}/rows")
     kept = dedup.keep_first(df, ["k"], ["o"])
-    assert kept.count() == 20_001 and kept.filter("k = 'hot'").head().v == 29_997
-    assert "SortMergeJoin" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(None, 1, "b"), ("x", None, "c"), ("y", 5, "e"), ("z", 7, "f")], key=str)
+    assert kept.columns == df.columns
+    plans.append(kept._jdf.queryExecution().executedPlan().toString())
+    assert not any("SortAggregate" in p for p in plans)
+    for plan in plans:
+        assert not any("Exchange" in line and "text" in line for line in plan.splitlines())
+    assert "WindowGroupLimit" in plans[2]
+    assert dedup.keep_first(df.where("false"), ["k"], ["o"]).isEmpty()
 
 
 def test_compare(spark):
