@@ -15,6 +15,9 @@ earlier in the same document. All is judged on the input.
 3. Each shard, of bounded size, becomes a suffix automaton over words whose states know their earliest
    occurrence. The shard's runs are streamed through it for matching statistics: wherever the match is
    ``LENGTH`` words long and the state's earliest occurrence is before the own one, the window repeats.
+   An anchor that is not hot, but whose runs alone hold more than ``MOST_WORDS``, makes no shard: its windows are handed on
+   one by one and dealt anew by all their words, of which the earliest stays. So a shard has ``SHARD_WORDS`` +
+   ``MOST_WORDS`` words at most, however large the corpus.
 4. The repeated windows return to their documents, which are kept in a table bucketed by row, so texts
    are dealt out once for both steps.
 
@@ -35,7 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from limpida.llm.tables import stored
@@ -51,6 +54,8 @@ HOT_LEAST = 1000
 #: Anchors, or run words, that a task gathers before it works them off.
 GATHER = 2_000_000
 SHARD_WORDS = 40_000
+#: Words of one anchor's runs above which no automaton is built over them.
+MOST_WORDS = 200_000
 _LAST = (1 << 63) - 1
 
 
@@ -83,10 +88,6 @@ def window_anchors(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nda
     return doc[row], row - first[doc[row]], count, runs[at[begin]]
 
 
-def _rows(docs, starts, counts) -> pa.Array:
-    return pa.array(starts.astype(np.int64) << 8 | counts)
-
-
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per distinct anchor of a task's documents, and further rows for the others it stands for."""
     held: list[tuple] = []
@@ -259,56 +260,93 @@ class SuffixAutomaton:
         return out
 
 
-def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key to repeated windows: row, windows (start << 8 | number)."""
-    shard: list[tuple] = []
-    rows: list[int] = []
-    windows: list[int] = []
-
-    def work() -> None:
-        automaton = SuffixAutomaton()
-        split = [(r[5].split(b" "), r[1], r[2], r[3]) for r in shard]
-        for item in split:
-            automaton.add(*item)
-        automaton.finish()
-        for words, doc, row, start in split:
-            begun = before = -2
-            for at in automaton.repeats(words, doc, row, start):
-                if at != before + 1:
-                    if begun >= 0:
-                        rows.append(row)
-                        windows.append(begun << 8 | before - begun + 1)
-                    begun = at
-                before = at
-            if begun >= 0:
-                rows.append(row)
-                windows.append(begun << 8 | before - begun + 1)
-        shard.clear()
-
-    def hand_on() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(windows, pa.int64())], ["row", "windows"])
-        rows.clear()
-        windows.clear()
-        return out
+SEARCHED = "row long, windows long, doc long, text binary"
+_SEARCHED = pa.schema([("row", pa.int64()), ("windows", pa.int64()), ("doc", pa.int64()), ("text", pa.binary())])
+
+
+def _decide(shard: list[tuple], rows: list[int], windows: list[int]) -> None:
+    """The repeated windows of a shard's runs, told by its automaton."""
+    automaton = SuffixAutomaton()
+    split = [(r[5].split(b" "), r[1], r[2], r[3]) for r in shard]
+    for item in split:
+        automaton.add(*item)
+    automaton.finish()
+    for words, doc, row, start in split:
+        begun = before = -2
+        for at in automaton.repeats(words, doc, row, start):
+            if at != before + 1:
+                if begun >= 0:
+                    rows.append(row)
+                    windows.append(begun << 8 | before - begun + 1)
+                begun = at
+            before = at
+        if begun >= 0:
+            rows.append(row)
+            windows.append(begun << 8 | before - begun + 1)
+
 
-    held, last = 0, None
-    for batch in batches:
-        for record in zip(*(batch.column(f.name).to_pylist() for f in _RUNS), strict=True):
-            if record[5] is None:
-                rows.append(record[2])
-                windows.append(record[3] << 8 | record[4])
-                continue
-            if held >= SHARD_WORDS and record[0] != last:
-                work()
-                held = 0
-            shard.append(record)
-            held += LENGTH + record[4] - 1
-            last = record[0]
-        if len(rows) > 50_000:
-            yield hand_on()
-    if shard:
-        work()
-    yield hand_on()
+def _single(record: tuple) -> Iterator[tuple]:
+    """The windows of a run, one by one: row, window, document, words."""
+    words = record[5].split(b" ")
+    for at in range(record[4]):
+        yield record[2], (record[3] + at) << 8 | 1, record[1], b" ".join(words[at : at + LENGTH])
+
+
+def _search(shard_words: int, most_words: int):
+    """Rows sorted by key to repeated windows (row, start << 8 | number), and to windows of anchors too large for
+    a shard, still undecided, with their document and words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Runs of earlier keys and those of the present key; the words they hold.
+        shard, own = [], []
+        held = mine = 0
+        last, too_many = None, False
+        rows: list[int] = []
+        windows: list[int] = []
+        undecided: list[tuple] = []
+
+        def hand_on() -> Iterator[pa.RecordBatch]:
+            if rows:
+                none = [pa.nulls(len(rows), f.type) for f in (_SEARCHED.field("doc"), _SEARCHED.field("text"))]
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(windows, pa.int64()), *none], schema=_SEARCHED)
+            if undecided:
+                columns = zip(zip(*undecided, strict=True), _SEARCHED, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in columns], schema=_SEARCHED)
+            rows.clear()
+            windows.clear()
+            undecided.clear()
+
+        for batch in batches:
+            for record in zip(*(batch.column(f.name).to_pylist() for f in _RUNS), strict=True):
+                if record[5] is None:
+                    rows.append(record[2])
+                    windows.append(record[3] << 8 | record[4])
+                    continue
+                if record[0] != last:
+                    shard += own
+                    held += mine
+                    own, mine, last, too_many = [], 0, record[0], False
+                    if held >= shard_words:
+                        _decide(shard, rows, windows)
+                        shard, held = [], 0
+                if too_many:
+                    undecided += _single(record)
+                else:
+                    own.append(record)
+                    mine += LENGTH + record[4] - 1
+                    if mine > most_words:
+                        for one in own:
+                            undecided += _single(one)
+                        own, mine, too_many = [], 0, True
+                if len(rows) + len(undecided) > 50_000:
+                    yield from hand_on()
+            if len(rows) + len(undecided) > 50_000:
+                yield from hand_on()
+        if shard or own:
+            _decide(shard + own, rows, windows)
+        yield from hand_on()
+
+    return run
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,7 +401,13 @@ def remove_repeats(docs: DataFrame, fixed_order: bool = False) -> DataFrame:
         .mapInArrow(_runs(hot), RUNS)
     )
     met = runs.repartition("key").sortWithinPartitions("key")
-    gone = stored(met.mapInArrow(_search, "row long, windows long"), "repeats")
+    searched = stored(met.mapInArrow(_search(SHARD_WORDS, MOST_WORDS), SEARCHED), "repeats")
+    # Windows of an anchor too large for a shard: all but the earliest of equal words repeat.
+    place = F.row_number().over(Window.partitionBy("text").orderBy("doc", "row", "windows"))
+    later = searched.where("text IS NOT NULL").withColumn("place", place).where("place > 1")
+    gone = searched.where("text IS NULL").select("row", "windows").union(later.select("row", "windows"))
     gone = gone.groupBy("row").agg(F.collect_list("windows").alias("gone"))
     joined = texts.select("row", "doc_id", "text").join(gone, "row", "left").select("doc_id", "text", "gone")
+    # The plans above hold the table's files and buckets; the catalogue keeps no entry of it.
+    spark.sql(f"DROP TABLE {name}")
     return joined.mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")

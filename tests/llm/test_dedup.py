@@ -85,10 +85,7 @@ def test_near_dedup_of_buckets_of_many_classes(spark):
     assert near_dedup._dealt(all_apart, nodes).count() <= m * (m // near_dedup.BLOCK + 2)
 
 
-@pytest.mark.parametrize("hot", [1000, 2])
-def test_substring_dedup(docs_of, texts, monkeypatch, hot):
-    monkeypatch.setattr(substring_dedup, "HOT_LEAST", hot)
-    monkeypatch.setattr(substring_dedup, "SHARD_WORDS", 200)
+def check_substrings(docs_of, texts):
     rows = {r.doc_id: r for r in substring_dedup.remove_repeats(docs_of(texts)).collect()}
     seen = set()
     for i, t in enumerate(texts):
@@ -102,6 +99,55 @@ def test_substring_dedup(docs_of, texts, monkeypatch, hot):
         assert (rows[i].n_words, rows[i].n_removed, rows[i].kept_sha256) == (len(w), sum(gone), sha(kept))
 
 
+@pytest.mark.parametrize(("hot", "most"), [(1000, 200_000), (2, 200_000), (1000, 60)])
+def test_substring_dedup(spark, docs_of, texts, monkeypatch, hot, most):
+    monkeypatch.setattr(substring_dedup, "HOT_LEAST", hot)
+    monkeypatch.setattr(substring_dedup, "SHARD_WORDS", 200)
+    monkeypatch.setattr(substring_dedup, "MOST_WORDS", most)
+    check_substrings(docs_of, texts)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("repeats_")]
+
+
+@pytest.mark.parametrize(("hot", "most"), [(1000, 200_000), (1000, 100), (5, 100)])
+def test_substring_dedup_with_an_anchor_in_a_third_of_all_rows(docs_of, monkeypatch, hot, most):
+    """A run of few words stands in every third text, in other surroundings and in some equal ones."""
+    monkeypatch.setattr(substring_dedup, "HOT_LEAST", hot)
+    monkeypatch.setattr(substring_dedup, "SHARD_WORDS", 100)
+    monkeypatch.setattr(substring_dedup, "MOST_WORDS", most)
+    pick = random.Random(5)
+    common = "all of us know this one common phrase".split()
+    texts = []
+    for i in range(150):
+        around = [f"w{pick.randint(0, 400)}" for _ in range(40)]
+        if i % 3 == 0:
+            around = [*around[:20], *common, *around[20:]] if i % 9 else ["same"] * 16 + common + [f"t{i % 2}"] * 16
+        texts.append(" ".join(around))
+    check_substrings(docs_of, texts)
+
+
+@pytest.mark.parametrize("most", [0, 100, 10**6])
+def test_shards_are_bounded(monkeypatch, most):
+    """Whatever one anchor holds, no automaton gets more than the bound, and no window is lost."""
+    import pyarrow as pa
+
+    seen = []
+    decide = substring_dedup._decide
+    monkeypatch.setattr(substring_dedup, "_decide", lambda shard, *to: (seen.append(sum(len(r[5].split()) for r in shard)), decide(shard, *to)))
+    run = b" ".join(b"w%d" % n for n in range(22))
+    records = [(key, doc, doc, 0, 3, run) for key, times in ((1, 2), (2, 500), (3, 1)) for doc in range(times)]
+    batches = [substring_dedup._batch(records[lo : lo + 90]) for lo in range(0, len(records), 90)]
+    out = pa.Table.from_batches(substring_dedup._search(50, most)(iter(batches))).to_pylist()
+    decided = sum(r["windows"] & 255 for r in out if r["text"] is None)
+    undecided = [r for r in out if r["text"] is not None]
+    assert max(seen, default=0) <= 50 + most + 22
+    if most == 10**6:
+        assert decided == 3 + 499 * 3 and not undecided
+    if most == 100:
+        assert decided == 3 and len(undecided) == 500 * 3 and len({r["text"] for r in undecided}) == 3
+    if most == 0:
+        assert not decided and len(undecided) == 503 * 3
+
+
 def test_empty_tables(docs_of):
     none = docs_of(["x"]).where("false")
     assert exact_dedup.exact_duplicates(none).isEmpty() and near_dedup.near_duplicates(none).isEmpty()
