@@ -265,9 +265,18 @@ _SEARCHED = pa.schema([("row", pa.int64()), ("windows", pa.int64()), ("doc", pa.
 
 
 def _decide(shard: list[tuple], rows: list[int], windows: list[int]) -> None:
-    """The repeated windows of a shard's runs, told by its automaton."""
+    """The repeated windows of a shard's runs, told by its automaton.
+
+    Runs without a window whose hash comes twice in the shard stay out: different hashes are different words.
+    """
+    words = split_words(pa.array([r[5] for r in shard], pa.large_binary()).cast(pa.large_string()))
+    hashes = run_hashes(word_hashes(words), LENGTH)
+    run = words.doc()[: len(hashes)]
+    inside = np.arange(len(hashes)) + LENGTH <= words.first[1:][run]
+    _, at, times = np.unique(hashes[inside], return_inverse=True, return_counts=True)
+    met = np.unique(run[inside][times[at] > 1]).tolist()
     automaton = SuffixAutomaton()
-    split = [(r[5].split(b" "), r[1], r[2], r[3]) for r in shard]
+    split = [(r[5].split(b" "), r[1], r[2], r[3]) for r in map(shard.__getitem__, met)]
     for item in split:
         automaton.add(*item)
     automaton.finish()
