@@ -153,7 +153,8 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 def _similar(group: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
     """Rows of block i, each with the rows of block j in other components with a similar sketch."""
     ids, comp, size, own = (group.column(c).to_numpy() for c in ("id", "component", "n", "block"))
-    sketch = group.column("sketch").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+    # Unsigned: of a signed word numpy counts the bits of its absolute value.
+    sketch = group.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
     y = np.flatnonzero(own == group.column("j")[0].as_py())
     for at in np.flatnonzero(own == group.column("i")[0].as_py()):
         other = y[(comp[y] != comp[at]) & (100 * np.minimum(size[y], size[at]) >= AT_LEAST * np.maximum(size[y], size[at]))]

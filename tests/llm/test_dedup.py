@@ -85,6 +85,21 @@ def test_near_dedup_of_buckets_of_many_classes(spark):
     assert near_dedup._dealt(all_apart, nodes).count() <= m * (m // near_dedup.BLOCK + 2)
 
 
+def test_sketches_that_differ_in_a_sign_bit():
+    """One differing bit is one, also where it is the highest of its word."""
+    import pyarrow as pa
+
+    columns = {"id": [1, 2], "component": [1, 2], "n": [9, 9], "block": [0, 0], "i": [0, 0], "j": [0, 0]}
+    for bit in (0, 62, 63):
+        flipped = (1 << bit) - (1 << 64 if bit == 63 else 0)
+        sketches = pa.array([[0] * 16, [flipped] * 16], pa.list_(pa.int64()))
+        group = pa.table({**columns, "sketch": sketches})
+        assert [(int(at), near.tolist()) for at, near in near_dedup._similar(group)] == [(0, [1]), (1, [0])]
+    words = [-1 - (1 << 40)] * 9 + [5] * 7
+    apart = pa.table({**columns, "sketch": pa.array([[0] * 16, words], pa.list_(pa.int64()))})
+    assert not list(near_dedup._similar(apart))
+
+
 def check_substrings(docs_of, texts):
     rows = {r.doc_id: r for r in substring_dedup.remove_repeats(docs_of(texts)).collect()}
     seen = set()
