@@ -80,6 +80,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream, be it one file or a folder of files.
+
+    The last letter stands in brackets: only of a path with a wildcard do streams read a single file.
+    """
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
 def mail(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """The derived mail columns; those not asked for are never computed."""
     chosen = columns or tuple(COLUMNS)

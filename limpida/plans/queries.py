@@ -1392,9 +1392,7 @@ def missing_findings(spark, sf):
 
 
 def _event_stream(spark, sf) -> DataFrame:
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    return mt.table_stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _events(spark, sf) -> DataFrame:
@@ -1494,8 +1492,7 @@ def stream_documents_with_names(spark, sf):
 
 @query("stream_documents", f"{_DOCUMENTS_SQL} SELECT message_id, body_hash, n_pii FROM flat")
 def stream_documents(spark, sf):
-    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    rows = mt.table_stream(spark, sf, "documents")
     path = scratch_dir(spark, "clean")
     run = jobs.clean_stream(
         mt.messages_of(rows), OPTIONS, path, scratch_dir(spark, "clean-state"), availableNow=True

@@ -5,7 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from limpida.functions import body, headers as hd, mime
+from limpida.plans import mail_tables as mt
 from limpida.sources import messages as src
+from limpida.streaming import jobs
 
 MIXED = (
     b"Message-ID: <m1@x>\r\nFrom: =?utf-8?B?TWFyw61h?= <m@x.it>\r\nTo: a@x.it,\r\n\tb@x.it\r\n"
@@ -99,3 +101,19 @@ def test_requests(spark):
     assert first.from_addr == "b@x" and bytes(first.raw_bytes) == MIXED and first.size == 4
     assert second.headers == {} and second.raw_bytes is None and second.to_addrs == ["unknown@unknown.com"]
     assert third.subject == "s" and third.uid == "api-request"
+
+
+def test_table_stream_reads_a_file_and_a_folder(spark, tmp_path):
+    for parts in (1, 3):
+        base = tmp_path / f"sf{parts}"
+        rows = spark.range(10).selectExpr("id AS doc_id", "CAST(id AS STRING) AS text").repartition(parts)
+        rows.write.parquet(str(base / "documents.parquet"))
+        if parts == 1:
+            (one,) = (base / "documents.parquet").glob("part-*")
+            content = one.read_bytes()
+            base = tmp_path / "single"
+            base.mkdir()
+            (base / "documents.parquet").write_bytes(content)
+        stream = mt.table_stream(spark, str(base), "documents")
+        found = jobs.run_to_table(stream, f"{base}/out", f"{base}/state")
+        assert sorted(r.doc_id for r in found.collect()) == list(range(10))
