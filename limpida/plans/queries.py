@@ -1481,9 +1481,7 @@ def stream_distinct(spark, sf):
     FROM documents""",
 )
 def stream_documents_with_names(spark, sf):
-    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
-    dictionary, m = _named(spark, sf, rows)
+    dictionary, m = _named(spark, sf, mt.table_stream(spark, sf, "documents"))
     versions, path, state = (scratch_dir(spark, name) for name in ("names", "clean", "clean-state"))
     jobs.write_names(dictionary, versions, 1)
     jobs.clean_stream_with_names(m, OPTIONS, versions, path, state, availableNow=True).awaitTermination()
