@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from email.header import decode_header
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,9 +38,10 @@ def _decode(value: str | None) -> str | None:
         return value
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _decode_values(values: pd.Series) -> pd.Series:
-    return values.map(lambda row: [_decode(v) for v in row], na_action="ignore")
+@F.udf(T.ArrayType(T.StringType()), useArrow=False)
+def _decode_values(values):
+    """A plain function of rows: while it runs a hundred whole messages wait, not an Arrow batch of them."""
+    return None if values is None else [_decode(v) for v in values]
 
 
 _decode_values = _decode_values.asNondeterministic()  # see ``text.with_nfc``

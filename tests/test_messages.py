@@ -117,3 +117,10 @@ def test_table_stream_reads_a_file_and_a_folder(spark, tmp_path):
         stream = mt.table_stream(spark, str(base), "documents")
         found = jobs.run_to_table(stream, f"{base}/out", f"{base}/state")
         assert sorted(r.doc_id for r in found.collect()) == list(range(10))
+
+
+def test_messages_come_to_python_in_small_batches(spark):
+    raws = spark.createDataFrame([(bytearray(MIXED),)], "raw BINARY")
+    for df in (raws.select(mime.parse_message("raw")), hd.with_header_map(raws, hd.header_block(F.col("raw")), "h")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
