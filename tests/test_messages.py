@@ -1,5 +1,6 @@
 import base64
 import json
+from email.headerregistry import HeaderRegistry
 
 import pytest
 from pyspark.sql import functions as F
@@ -124,3 +125,17 @@ def test_messages_come_to_python_in_small_batches(spark):
     for df in (raws.select(mime.parse_message("raw")), hd.with_header_map(raws, hd.header_block(F.col("raw")), "h")):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+
+
+def test_part_types_are_parsed_once(monkeypatch):
+    parsed = []
+    monkeypatch.setattr(mime, "_parse_header", lambda name, value: parsed.append(name) or HeaderRegistry()(name, value))
+    mime._known_header.cache_clear()
+    found = [mime._leaves(MIXED) for _ in range(3)]
+    assert found[0] == found[1] == found[2] and len(found[0]["parts"]) == 5 and len(parsed) < 15
+    long = b"Content-Type: text/plain; name=" + b"a" * 500 + b"\r\n\r\nx"
+    known = mime._known_header.cache_info().currsize
+    assert mime._leaves(long)["parts"][0][3] == "x" and mime._known_header.cache_info().currsize == known
+    broken = b"Content-Type: text/plain; a*1*\r\n\r\nx"
+    assert [mime._leaves(broken)["status"] for _ in range(2)] == ["failed"] * 2
+    mime._known_header.cache_clear()
