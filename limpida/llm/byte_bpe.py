@@ -5,7 +5,8 @@ A token sequence is the BPE encoding of its bytes exactly if each two neighbours
 tokens. Together they are a transducer whose state is (last whole token, trie node of the token
 begun), with several states alive until more bytes decide. It is determinised while it runs: a
 deterministic state is a set of such pairs, each with the tokens not emitted yet, and a token goes
-out as soon as all alive pairs agree on it. Each step taken is remembered, in tables of bounded size.
+out as soon as all alive pairs agree on it. Each step taken is remembered, in tables of bounded size: a
+state as packed bytes, read again only for a step not taken before, and a step as one number.
 
 Decoding goes through an incremental UTF-8 state machine that holds back a character's first bytes
 until the rest has come, so ids can be decoded in pieces of any size.
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,11 +28,16 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-#: Deterministic states, and whole pieces of text, that a worker remembers before it begins anew.
-MAX_STATES = 300_000
-MAX_PIECES = 800_000
+#: Deterministic states that a worker remembers before it begins anew.
+MAX_STATES = 150_000
+#: Whole pieces of text that it remembers in each of two generations: what the older holds and is asked for
+#: moves to the newer one, which takes the older's place when it is full.
+MAX_PIECES = 150_000
 
 _NEVER = 1 << 60
+#: A step is its state, with the number of what it emits above these bits.
+_STATE_BITS = 32
+_STATE = (1 << _STATE_BITS) - 1
 
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -47,7 +54,7 @@ class Transducer:
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.step_of: dict[int, int] = {}
         self.token_at = [-1]
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.edges: dict[int, tuple[list, list]] = {}
         for token, rank in ranks.items():
             if len(token) == 1 or self._merged(token) == [rank]:
@@ -63,16 +70,41 @@ class Transducer:
         self._forget()
 
     def _forget(self) -> None:
-        self.states: list[tuple] = []
-        self.number: dict[tuple, int] = {}
-        self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self.start = self._state(((-1, 0, ()),))
+        self.states: list[bytes] = []
+        self.number: dict[bytes, int] = {}
+        self.steps: dict[int, int] = {}
+        self.said: list[tuple[int, ...]] = [()]
+        self.said_number: dict[tuple[int, ...], int] = {(): 0}
+        self.start = self._state([(-1, 0, ())])
+
+    def _state(self, pairs: list[tuple[int, int, tuple[int, ...]]], agreed: int = 0) -> int:
+        """The number of a state, whose pairs hold tokens beyond the first ``agreed``."""
+        flat: list[int] = []
+        for last, node, held in pairs:
+            flat += (last, node, len(held) - agreed, *held[agreed:])
+        return self._number(array("i", flat).tobytes())
+
+    def _number(self, packed: bytes) -> int:
+        number = self.number.get(packed)
+        if number is None:
+            number = self.number[packed] = len(self.states)
+            self.states.append(packed)
+        return number
+
+    def _pairs(self, state: int) -> list[tuple[int, int, tuple[int, ...]]]:
+        flat = tuple(array("i", self.states[state]))
+        at, out = 0, []
+        while at < len(flat):
+            end = at + 3 + flat[at + 2]
+            out.append((flat[at], flat[at + 1], flat[at + 3 : end]))
+            at = end
+        return out
 
-    def _state(self, pairs: tuple) -> int:
-        if pairs not in self.number:
-            self.number[pairs] = len(self.states)
-            self.states.append(pairs)
-        return self.number[pairs]
+    def _emitted(self, tokens: tuple[int, ...]) -> int:
+        if tokens not in self.said_number:
+            self.said_number[tokens] = len(self.said)
+            self.said.append(tokens)
+        return self.said_number[tokens]
 
     def _merged(self, data: bytes, lefts: list | None = None, rights: list | None = None) -> list[int]:
         """Merging by rank, for the compilation: the lowest rank first, ties from the left.
@@ -110,10 +142,10 @@ class Transducer:
         meet if both are there at once, and merge if that comes before each is merged inside its token.
         Equal ranks go from the left: a's own merge before the crossing one, that before b's.
         """
-        key = (a, b)
+        key = a << 32 | b
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) > 10 * MAX_STATES:
+            if len(self.pairs) > 3 * MAX_STATES:
                 self.pairs.clear()
             known, since_a, ranks = True, -1, self.ranks
             for last, until_a in self._edges(a)[1]:
@@ -128,8 +160,8 @@ class Transducer:
             self.pairs[key] = known
         return known
 
-    def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """The next deterministic state, and the tokens that are certain now.
+    def _step(self, state: int, byte: int) -> int:
+        """The next deterministic state, and the number of the tokens that are certain now above its bits.
 
         Pairs stand in the order in which their begun tokens start, so equal sets are equal tuples. The
         bytes so far have one encoding, so at most one pair completes a token that may follow its last.
@@ -137,7 +169,7 @@ class Transducer:
         alive = []
         whole = None
         get, token_at = self.step_of.get, self.token_at
-        for last, node, held in self.states[state]:
+        for last, node, held in self._pairs(state):
             to = get(node << 8 | byte)
             if to is None:
                 continue
@@ -156,9 +188,7 @@ class Transducer:
                 agreed = min(agreed, len(held))
                 while held[:agreed] != first[:agreed]:
                     agreed -= 1
-        if not agreed:
-            return self._state(tuple(alive)), ()
-        return self._state(tuple([(a, b, held[agreed:]) for a, b, held in alive])), first[:agreed]
+        return self._emitted(first[:agreed]) << _STATE_BITS | self._state(alive, agreed)
 
     def encode(self, data: bytes) -> list[int]:
         """The ids of one piece of text."""
@@ -170,15 +200,15 @@ class Transducer:
             step = self.steps.get(key)
             if step is None:
                 if len(self.states) > 2 * MAX_STATES:  # within one very long piece
-                    pairs = self.states[state]
+                    packed = self.states[state]
                     self._forget()
-                    state = self._state(pairs)
+                    state = self._number(packed)
                     key = state << 8 | byte
                 step = self.steps[key] = self._step(state, byte)
-            state = step[0]
-            if step[1]:
-                out.extend(step[1])
-        for _, node, held in self.states[state]:
+            state = step & _STATE
+            if step > _STATE:
+                out.extend(self.said[step >> _STATE_BITS])
+        for _, node, held in self._pairs(state):
             if node == 0:
                 out.extend(held)
         return out
@@ -217,22 +247,23 @@ class Codec:
         self.transducer = Transducer(ranks)
         self.split = regex.compile(pattern).findall
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
 
     def _piece(self, piece: str) -> bytes:
         if len(self.known) >= MAX_PIECES:
-            self.known.clear()
-        ids = np.array(self.transducer.encode(piece.encode()), "<u4").tobytes()
+            self.known, self.older = {}, self.known
+        ids = self.older.get(piece) or np.array(self.transducer.encode(piece.encode()), "<u4").tobytes()
         if len(piece) < 64:
             self.known[piece] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        known, coded = self.known.get, self._piece
-        return b"".join([known(p) or coded(p) for p in self.split(text)])
+        coded = self._piece
+        return b"".join([self.known.get(p) or coded(p) for p in self.split(text)])
 
     def decode(self, ids: Iterable[int], piece: int = 4096) -> Iterator[bytes]:
         """Bytes of whole characters, piece by piece."""

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import sys
 import zlib
 from collections import Counter
 
@@ -202,6 +203,22 @@ def test_bpe_equals_the_library(docs_of):
         assert b"".join(codec.decode(ids, piece=1)) == t.encode()
 
 
+def test_bpe_remembers_in_little_memory(monkeypatch):
+    path, pattern = vocabulary()
+    ranks, pick = byte_bpe.load_ranks(path), random.Random(5)
+    texts = ["".join(pick.choice("aeiounrst") for _ in range(9)) for _ in range(3000)]
+    wide, narrow = byte_bpe.Codec(ranks, pattern), byte_bpe.Codec(ranks, pattern)
+    coded = [wide.encode(t) for t in texts]
+    steps = wide.transducer
+    held = sum(sys.getsizeof(x) for x in (*steps.states, *steps.steps.values()))
+    assert len(steps.states) > 1000 and held < 150 * len(steps.states) + 40 * len(steps.steps)
+    monkeypatch.setattr(byte_bpe, "MAX_PIECES", 40)
+    monkeypatch.setattr(byte_bpe, "MAX_STATES", 100)
+    for t, ids in zip(texts, coded, strict=True):
+        assert narrow.encode(t) == ids and narrow.encode(texts[0]) == coded[0]
+        assert len(narrow.known) + len(narrow.older) <= 80 and texts[0] in narrow.known | narrow.older
+
+
 def test_quality(spark, docs_of):
     pick = random.Random(1)
     plain = lambda: " ".join(pick.choice("some quiet words about rivers and hills in early spring light".split()) for _ in range(40)) + "."
