@@ -196,13 +196,18 @@ def _unescape_native(markup: Column) -> Column:
 
 def _native_nodes(markup: Column) -> Column:
     """Text nodes by splitting at tags, or null where splitting may differ from parsing."""
+
+    def of_pieces(pieces: Column) -> Column:
+        irregular = F.exists(pieces, lambda p: F.contains(p, F.lit("<")) | p.rlike(_DECODES_AGAIN))
+        nodes = F.filter(F.transform(pieces, strip), lambda p: p != "")
+        return F.when(~irregular, F.array_join(nodes, "\n"))
+
+    # Without ``let`` links would be rewritten three times and tags split at twice.
     linked = F.regexp_replace(markup, _LINK, "<a>$2 ($1)</a>")
-    pieces = F.split(linked, _SEPARATOR, -1)
-    irregular = F.exists(
-        pieces, lambda p: F.contains(p, F.lit("<")) | p.rlike(_DECODES_AGAIN)
-    ) | linked.rlike(_OPEN_LINK)
-    nodes = F.filter(F.transform(pieces, strip), lambda p: p != "")
-    return F.when(~irregular, F.array_join(nodes, "\n"))
+    return let(
+        linked,
+        lambda m: F.when(~m.rlike(_OPEN_LINK), let(F.split(m, _SEPARATOR, -1), of_pieces)),
+    )
 
 
 def native_text(markup: Column) -> Column:

@@ -9,22 +9,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from limpida.functions.dialect import SPACE_CHARS, java_regex
+from limpida.functions.dialect import java_regex
+from limpida.functions.spans import let
 
 TRUNCATION_MARKER = "\n\n[TEXT TRUNCATED FOR MEMORY SAFETY]"  # fixed value
 
 _BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+_BLANKS_IN_LINE = _BLANKS.replace("\n", "")
+# Found by its line end (one is put behind the last line), so that the matcher passes over all other characters quickly.
+_BLANK_BEFORE_LINE_END = rf"\n(?<=[{_BLANKS_IN_LINE}]\n)"
 _SUBJECT_PREFIXES = java_regex(r"^(?:(?:re|fw|fwd|r|i):\s*)+", ignore_case=True)
 
 # Code points that never change under NFC, whatever stands next to them: combining
 # class 0, no decomposition to undo, no composition with the character before.
 # Everything outside these ranges sends the text to the Python stage.
 _NFC_INERT = (
-    r"\x00-\u02ff\u0370-\u0373\u0375-\u0377\u037a-\u037d\u0388-\u0482\u1e00-\u1e99"
+    r"\u0370-\u0373\u0375-\u0377\u037a-\u037d\u0388-\u0482\u1e00-\u1e99"
     r"\u2002-\u20cf\u2190-\u2328\u232b-\u2adb\u3001-\u3029\u3030-\u3098\u309b-\u30ff"
     r"\u4e00-\u9fff\uac00-\ud7a3\x{1f300}-\x{1faff}"
 )
-_MAY_CHANGE_UNDER_NFC = rf"[^{_NFC_INERT}]|[\u2126\u212a\u212b]"
+# The first class is one range, so that the matcher looks closer at few characters only.
+_MAY_CHANGE_UNDER_NFC = rf"[[^\x00-\u02ff]&&[^{_NFC_INERT}]]"
+_OTHER_SPACE = r"[\p{Zs}&&[^ ]]"
+_HAS_OTHER_SPACE = rf"[^\x00-\x9f](?<={_OTHER_SPACE})"
 
 
 def is_ascii(text: Column) -> Column:
@@ -65,9 +72,8 @@ def with_nfc(df: DataFrame, text: str, out: str) -> DataFrame:
 
 def plain_spaces(text: Column) -> Column:
     """Every Unicode space separator becomes an ordinary space."""
-    return F.when(is_ascii(text), text).otherwise(
-        F.regexp_replace(text, r"[\p{Zs}&&[^ ]]", " ")
-    )
+    plain = is_ascii(text) | (F.is_valid_utf8(text) & ~text.rlike(_HAS_OTHER_SPACE))
+    return F.when(plain, text).otherwise(F.regexp_replace(text, _OTHER_SPACE, " "))
 
 
 def squeeze_blanks(text: Column) -> Column:
@@ -75,11 +81,20 @@ def squeeze_blanks(text: Column) -> Column:
 
     Spaces are squeezed first: blanks at line ends vanish either way.
     """
+
+    def trimmed_lines(t: Column) -> Column:
+        lines = F.transform(F.split(t, "\n", -1), lambda line: F.rtrim(line, F.lit(_BLANKS)))
+        broken = ~F.is_valid_utf8(t)  # splitting puts stand-ins for broken bytes
+        blank = F.concat(t, F.lit("\n")).rlike(_BLANK_BEFORE_LINE_END)
+        return F.when(broken | blank, F.array_join(lines, "\n")).otherwise(t)
+
+    def fewer_newlines(t: Column) -> Column:
+        return F.when(F.contains(t, F.lit("\n\n\n")), F.regexp_replace(t, r"\n{3,}", "\n\n")).otherwise(t)
+
     single_spaced = F.when(
         F.contains(text, F.lit("  ")), F.regexp_replace(text, " {2,}", " ")
     ).otherwise(text)
-    lines = F.transform(F.split(single_spaced, "\n", -1), lambda line: F.rtrim(line, F.lit(_BLANKS)))
-    return F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n")
+    return let(let(single_spaced, trimmed_lines), fewer_newlines)
 
 
 def strip(text: Column) -> Column:
@@ -88,7 +103,7 @@ def strip(text: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return ~text.rlike(f"(?U)[^{SPACE_CHARS}]")
+    return F.ltrim(text, F.lit(_BLANKS)) == ""
 
 
 def tidy(text: Column) -> Column:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
-from limpida.functions import text as tx
+from limpida.functions import body, html, text as tx
 from limpida.functions.patterns import REMOVAL_PATTERNS
 from limpida.operators import canonical
 
@@ -90,3 +90,13 @@ def test_blanks(texts):
     values = brute.random_texts(200, 3) + ["Line 1\n\n\n\n\nLine 2", "a \t\x1c\n b", "\u2003x\u2028"]
     got = rows(texts(values).withColumn("c", tx.tidy(F.col("t"))), "c")
     assert [c for (c,) in got] == [brute.tidy(v) for v in values]
+
+
+def test_costly_steps_stand_once_in_the_plan(spark):
+    df = spark.createDataFrame([("a <p>b</p>", "c")], "a STRING, b STRING")
+
+    def times(column, step):
+        return str(df.select(column.alias("x"))._jdf.queryExecution().optimizedPlan()).count(step + "(")
+
+    assert times(html.native_text(F.col("a")), "regexp_replace") == times(html.native_text(F.col("a")), "split") == 1
+    assert times(body.merge_bodies(F.col("a"), F.col("b")), "array_distinct") == 1
