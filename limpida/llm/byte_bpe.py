@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 #: Deterministic states that a worker remembers before it begins anew.
-MAX_STATES = 150_000
+MAX_STATES = 300_000
 #: Whole pieces of text that it remembers in each of two generations: what the older holds and is asked for
 #: moves to the newer one, which takes the older's place when it is full.
 MAX_PIECES = 150_000
@@ -145,7 +145,7 @@ class Transducer:
         key = a << 32 | b
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) > 3 * MAX_STATES:
+            if len(self.pairs) > 2 * MAX_STATES:
                 self.pairs.clear()
             known, since_a, ranks = True, -1, self.ranks
             for last, until_a in self._edges(a)[1]:
