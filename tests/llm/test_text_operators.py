@@ -399,3 +399,64 @@ def test_language_with_odd_ids_and_dirty_values(spark, docs_of, monkeypatch):
     monkeypatch.setattr(language_id, "MOST_LANGUAGES", 1)
     with pytest.raises(ValueError, match="more than 1 values"):
         language_id.language_id(docs)
+
+
+@pytest.mark.parametrize("hot", [3, 40])
+def test_suffix_tree_deals_hot_contexts(docs_of, monkeypatch, hot):
+    monkeypatch.setattr(suffix_tree, "HOT_TIMES", hot)
+    monkeypatch.setattr(suffix_tree, "BUCKET", 300)
+    test_suffix_tree_counts_all_contexts(docs_of)
+
+
+def test_suffix_tree_stores_no_counts_of_contexts(docs_of, monkeypatch):
+    """What is written between the passes is the tree and what may be extended, not every count."""
+    pick, written = random.Random(4), []
+    texts = [" ".join(f"w{min(pick.randint(0, 40), pick.randint(0, 40))}" for _ in range(60)) for _ in range(200)]
+    stored = suffix_tree.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        written.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(suffix_tree, "stored", counted)
+    assert suffix_tree.score_texts(docs_of(texts)).count() == 200
+    assert 0 < sum(n for name, n in written if name == "contexts") < 12_000
+
+
+def test_suffix_tree_leaves_only_hopeless_contexts_unextended():
+    """No part of the places of a context that is not extended passes the test of a retained one."""
+    from itertools import combinations_with_replacement, product
+
+    for kinds in range(1, 5):
+        for counts in combinations_with_replacement(range(1, 8), kinds):
+            times = sum(counts)
+            if suffix_tree._extendable(np.array([times]), np.array([kinds]), np.array([max(counts)]))[0]:
+                continue
+            for part in product(*(range(c + 1) for c in counts)):
+                n, k = sum(part), sum(x > 0 for x in part)
+                if n >= suffix_tree.MIN_TIMES:
+                    assert sum(x * math.log(x / n / (c / times)) for x, c in zip(part, counts, strict=True) if x) <= suffix_tree.COST * k
+    # Of tokens that came once each, a part of n among N gains n * ln(N / n).
+    for times in range(2, 40):
+        if not suffix_tree._extendable(np.array([times]), np.array([times]), np.array([1]))[0]:
+            assert all(math.log(times / n) <= suffix_tree.COST for n in range(2, times + 1))
+    assert suffix_tree._extendable(np.array([6, 15]), np.array([2, 15]), np.array([2, 1])).all()
+
+
+def test_suffix_tree_merges_parts_as_they_come(monkeypatch):
+    pick = random.Random(6)
+    texts = [" ".join(pick.choice("abcdef") for _ in range(40)) for _ in range(30)]
+    batches = [pa.RecordBatch.from_pydict({"text": texts[lo : lo + 5]}) for lo in range(0, 30, 5)]
+    hot = np.array([suffix_tree._SEED]), np.array([30 * 41])
+
+    def tree(gather):
+        monkeypatch.setattr(suffix_tree, "GATHER", gather)
+        rows = pa.Table.from_batches(suffix_tree._count_next((1, 2), {}, hot, 4)(iter(batches)))
+        parts = rows.num_rows
+        rows = pa.Table.from_batches(suffix_tree._by_parent(hot, 4)(iter(rows.sort_by("bucket").combine_chunks().to_batches())))
+        rows = pa.Table.from_batches(suffix_tree._by_context(iter(rows.sort_by("bucket").combine_chunks().to_batches())))
+        return parts, sorted(zip(*(rows.column(c).to_pylist() for c in ("kind", "key", "x", "y")), strict=True), key=str)
+
+    (few, whole), (many, dealt) = tree(10**6), tree(50)
+    assert few < many and whole == dealt and len(whole) > 10
