@@ -32,10 +32,12 @@ unknown. An empty table gives an empty result. Other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from limpida.llm.tables import stored
@@ -51,11 +53,13 @@ COST = 2.0
 BITS_EACH = 16
 LEAST_BITS, MOST_BITS = 12, 27
 #: Occurrences from which the next tokens of a context are dealt to several tasks.
-HOT_TIMES = 4_000_000
-#: Learning tokens for each bucket of counts; places that a task gathers before it hands on their counts.
-BUCKET, GATHER = 1_000_000, 3_000_000
-#: Rows whose tokens are looked up together.
-BLOCK = 4096
+HOT_TIMES = 500_000
+#: Learning tokens for each bucket; places that a task gathers before it hands on what it has.
+BUCKET, GATHER = 500_000, 1_000_000
+#: Lengths of contexts at which those that go on are handed to another pass over the texts, which deals them by context.
+CUTS = (3, LONGEST)
+#: Rows (4096 at most: their numbers have 12 bits), and tokens, from which a block of texts is closed, whose words are looked up together.
+BLOCK, BLOCK_TOKENS = 4096, 1_000_000
 _END = np.uint64(0x656E64)
 _SEED = np.uint64(2)
 
@@ -172,12 +176,12 @@ def _parts(bucket: np.ndarray, group: np.ndarray, *columns: np.ndarray) -> Itera
         yield _rows(_PART, of[[a for a, _ in some]].tolist(), [b - a for a, b in some], parts[lo : lo + 64], order[:0], order[:0], None)
 
 
-def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A place of each distinct key and the sum of n over it."""
+def _summed(key: np.ndarray, n: np.ndarray, keys: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct key (or the keys) and the sum of n over it."""
     order = np.argsort(key)
     key = key[order]
     edges = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else order
-    return order[edges], np.add.reduceat(n[order], edges) if len(key) else n
+    return key[edges] if keys else order[edges], np.add.reduceat(n[order], edges) if len(key) else n
 
 
 def _totals(key: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -333,171 +337,494 @@ def learn_tree(learning: DataFrame, n_train: int) -> tuple[DataFrame, dict]:
     return tree, open_
 
 
-def _wanted(open_: dict, retained):
-    """Each block's distinct keys: contexts that may be retained, and their pairs with next tokens."""
+_RUN = "kind int, bucket long, part binary, block long, depth int, key long, x long, y double, doc_ids array<long>"
+_TYPES = {"kind": pa.int32(), "bucket": pa.int64(), "part": pa.binary(), "block": pa.int64(), "depth": pa.int32(), "key": pa.int64(), "x": pa.int64(), "y": pa.float64(), "doc_ids": pa.list_(pa.int64())}
+_WORDS, _TEXTS, _SUMS, _FREQUENT = range(4)
+_CONTEXT, _SAME, _PLACES, _SCORES, _EXTENDED = range(4, 9)
+
+
+def _made(kind: int, n: int, **columns) -> pa.RecordBatch:
+    """n rows of one kind: columns not given are null."""
+    given = {"kind": np.full(n, kind, np.int32)} | columns
+    return pa.RecordBatch.from_arrays([pa.array(given[c], t) if c in given else pa.nulls(n, t) for c, t in _TYPES.items()], list(_TYPES))
+
+
+def _packed(*columns: np.ndarray) -> bytes:
+    """Integer columns of any lengths, each as the planes of the bytes it needs above its least value."""
+    head, planes = [], []
+    for c in columns:
+        c = c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64, copy=False)
+        low = c.min() if len(c) else np.int64(0)
+        above = np.ascontiguousarray((c - low).view(np.uint64))
+        width = (int(above.max()).bit_length() + 7) // 8 if len(c) else 0
+        head += [len(c), int(low), width]
+        planes += [above.view(np.uint8)[i::8].tobytes() for i in range(width)]
+    raw = b"".join([np.array([len(columns), *head], np.int64).tobytes(), *planes])
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked(part: bytes) -> list[np.ndarray]:
+    raw = pa.decompress(pa.py_buffer(part)[8:], int.from_bytes(part[:8], "little"), codec="zstd")
+    data = np.frombuffer(raw, np.uint8)
+    (columns,) = data[:8].view(np.int64)
+    at, out = 8 + 24 * columns, []
+    for n, low, width in data[8:at].view(np.int64).reshape(-1, 3).tolist():
+        narrow = low >= 0 and low + (1 << 8 * width) <= 1 << 32
+        size = 4 if narrow else 8
+        c = np.zeros(n, np.uint32 if narrow else np.uint64)
+        for i in range(width):
+            c.view(np.uint8)[i::size] = data[at : at + n]
+            at += n
+        c += c.dtype.type(low % (1 << 64))
+        out.append(c if narrow else c.view(np.int64))
+    return out
+
+
+def _joined(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+    return [np.concatenate(c) if len(c) > 1 else c[0] for c in zip(*parts, strict=True)]
+
+
+def _dealt(kind: int, bucket: np.ndarray, order: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A packed row for each bucket, its share of the columns in the given order."""
+    if not len(bucket):
+        return
+    small = bucket[order].astype(np.uint16) if bucket.max() < 1 << 16 else bucket[order]
+    order = order[np.argsort(small, kind="stable")]
+    of = bucket[order]
+    cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+    for lo in range(0, len(cuts) - 1, 64):
+        spans = list(zip(cuts[lo : lo + 64], cuts[lo + 1 : lo + 65], strict=False))
+        yield _made(kind, len(spans), bucket=of[[a for a, _ in spans]].astype(np.int64), part=[_packed(*(c[order[a:b]] for c in columns)) for a, b in spans])
+
+
+def _order(major: np.ndarray, minor: np.ndarray) -> np.ndarray:
+    if not len(major) or int(major.max()) >> 31 or int(minor.max()) >> 32:
+        return np.lexsort((minor, major))
+    return np.argsort((major.astype(np.int64) << 32) | minor.astype(np.int64))
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Whether each place begins a run of equal values."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return new
+
+
+def _encode(word_buckets: int):
+    """Texts as numbers of the words of their block, commonest first from 1 (0: the end), and these words, dealt by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = {k: b.value for k, b in open_.items()}
-        block, parts = None, []
+        from pyspark import TaskContext
+
+        block, held, parts = TaskContext.get().partitionId() << 24, 0, []
 
         def hand_on() -> Iterator[pa.RecordBatch]:
-            keys = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+            nonlocal block
+            if not parts:
+                return
+            hashes = np.concatenate([t for t, *_ in parts])
+            sizes = np.concatenate([s for _, s, *_ in parts])
+            learned = np.concatenate([x for _, _, x, _ in parts])
+            ids = [x for p in parts for x in p[3].to_pylist()]
             parts.clear()
-            for lo in range(0, len(keys), 200_000):
-                k = keys[lo : lo + 200_000].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), block)), pa.array(k)], ["block", "key"])
+            is_word = np.ones(len(hashes), bool)
+            is_word[np.cumsum(sizes) - 1] = False
+            words, at = np.unique(hashes[is_word], return_inverse=True)
+            times = np.bincount(at, minlength=len(words))
+            n = np.bincount(at, np.repeat(learned, sizes)[is_word], len(words)).astype(np.int64)
+            order = np.argsort(-times, kind="stable")
+            number = np.empty(len(words), np.int64)
+            number[order] = np.arange(1, len(words) + 1)
+            coded = np.zeros(len(hashes), np.int64)
+            coded[is_word] = number[at]
+            yield _made(_TEXTS, 1, bucket=[block % word_buckets], block=[block], part=[_packed(coded, sizes, learned)], doc_ids=[ids])
+            yield _made(_SUMS, 1, bucket=[block % word_buckets], block=[block], x=[int(learned.sum())])
+            of = (words[order] % np.uint64(word_buckets)).astype(np.int64)
+            for batch in _dealt(_WORDS, of, np.arange(len(of)), words[order], np.arange(1, len(of) + 1), n[order], times[order]):
+                yield batch.set_column(list(_TYPES).index("block"), "block", pa.array(np.full(batch.num_rows, block)))
+            block += 1
 
         for batch in chunks(batches, "text"):
-            of = batch.column("block").to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                if of[lo] != block:
+            for lo in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(lo, BLOCK)
+                if held + part.num_rows > BLOCK or sum(len(t) for t, *_ in parts) > BLOCK_TOKENS:
                     yield from hand_on()
-                    block = of[lo]
-                tokens, bounds = _tokens(batch.column("text").slice(lo, hi - lo))
-                for at, context in _contexts(tokens, bounds, bits, max(bits, default=0) and LONGEST or 1):
-                    may = _marked(context, retained.value)
-                    context = context[may]
-                    parts.append(np.unique(np.concatenate([context, _pair(context, tokens[at[may]])])))
+                    held = 0
+                tokens, bounds = _tokens(part.column("text"))
+                learned = ~part.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+                parts.append((tokens, np.diff(bounds), learned.astype(np.int64), part.column("doc_id")))
+                held += part.num_rows
         yield from hand_on()
 
     return run
 
 
-def _in_tree(tokens: np.ndarray, bounds: np.ndarray, base: np.ndarray, open_: dict, retained: np.ndarray, tree: tuple) -> np.ndarray:
-    """Each token's probability in its longest retained context, given its base probability."""
-    keys, x, y = tree
-    out = base.copy()
-    for at, context in _contexts(tokens, bounds, open_, max(open_, default=0) and LONGEST or 1):
-        may = _marked(context, retained)
-        at, context = at[may], context[may]
-        held, where = _among(context, keys)
-        at, where, context = at[held], where[held], context[held]
-        if not len(at):
-            continue
-        known, pair = _among(_pair(context, tokens[at]), keys)
-        out[at] = (np.where(known, x[pair], 0) + y[where] * base[at]) / (x[where] + y[where])
-    return out
+def _number(word_buckets: int, hot_times: int):
+    """Numbers for the words of each bucket, commonest first, sent back with their counts to the blocks."""
+
+    def numbered(bucket: int, parts: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        blocks = [b for b, _ in parts]
+        columns = [_unpacked(p) for _, p in parts]
+        word, local, n, times = _joined(columns)
+        words, at = np.unique(word.astype(np.uint64), return_inverse=True)
+        n = np.bincount(at, n, len(words)).astype(np.int64)
+        times = np.bincount(at, times, len(words)).astype(np.int64)
+        number = np.empty(len(words), np.int64)
+        number[np.argsort(-times, kind="stable")] = 1 + bucket + word_buckets * np.arange(len(words))
+        yield _made(_SUMS, 1, block=[bucket], x=[int(n.sum())], y=[float((n > 0).sum())])
+        often = times > hot_times
+        yield _made(_FREQUENT, int(often.sum()), block=np.full(often.sum(), bucket), key=number[often], x=times[often])
+        ends = np.cumsum([len(c[0]) for c in columns]).tolist()
+        for lo in range(0, len(blocks), 64):
+            some = range(lo, min(lo + 64, len(blocks)))
+            spans = [slice(ends[i] - len(columns[i][0]), ends[i]) for i in some]
+            yield _made(_WORDS, len(some), block=[blocks[i] for i in some], part=[_packed(local[s], number[at[s]], n[at[s]]) for s in spans])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, parts = None, []
+        for batch in batches:
+            is_words = batch.column("kind").to_numpy() == _WORDS
+            if not is_words.all():
+                yield batch.filter(pa.array(~is_words))
+            for i in np.flatnonzero(is_words).tolist():
+                of = batch.column("bucket")[i].as_py()
+                if of != bucket and parts:
+                    yield from numbered(bucket, parts)
+                    parts = []
+                bucket = of
+                parts.append((batch.column("block")[i].as_py(), batch.column("part")[i].as_py()))
+        if parts:
+            yield from numbered(bucket, parts)
+
+    return run
 
-def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each block's distinct tokens with their number in learning texts."""
-    block, parts = None, []
-
-    def hand_on() -> Iterator[pa.RecordBatch]:
-        if not parts:
-            return
-        words, at = np.unique(np.concatenate([w for w, _ in parts]), return_inverse=True)
-        n = np.bincount(at, np.concatenate([n for _, n in parts]), len(words)).astype(np.int64)
-        parts.clear()
-        for lo in range(0, len(words), 200_000):
-            w = words[lo : lo + 200_000].view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), block)), pa.array(w), pa.array(n[lo : lo + 200_000])], ["block", "word", "n"])
-
-    for whole in batches:
-        for batch in chunks(iter([whole]), "text"):
-            of = batch.column("block").to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                if of[lo] != block:
-                    yield from hand_on()
-                    block = of[lo]
-                words = split_words(batch.column("text").slice(lo, hi - lo), lower=True)
-                hashes = word_hashes(words)
-                learned = ~batch.column("held_out").slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(bool)
-                found, at = np.unique(hashes, return_inverse=True)
-                parts.append((found, np.bincount(at, learned[words.doc()], len(found))))
-    yield from hand_on()
+
+def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts of each block with the numbers and learning counts of its words; sorted by block and kind."""
+    parts = []
+    for batch in batches:
+        kinds = batch.column("kind").to_numpy()
+        if (rest := kinds > _TEXTS).any():
+            yield batch.filter(pa.array(rest))
+        for i in np.flatnonzero(~rest).tolist():
+            part = _unpacked(batch.column("part")[i].as_py())
+            if kinds[i] == _WORDS:
+                parts.append(part)
+                continue
+            number, n = (np.zeros(1 + sum(len(p[0]) for p in parts), np.int64) for _ in range(2))
+            for local, numbers, counts in parts:
+                number[local], n[local] = numbers, counts
+            parts = []
+            yield _made(_TEXTS, 1, block=[batch.column("block")[i].as_py()], part=[_packed(*part, number, n)], doc_ids=batch.column("doc_ids").slice(i, 1))
+
+
+def _texts(batches: Iterator[pa.RecordBatch], n_ends: int) -> Iterator[tuple]:
+    """Of each block: number, doc_ids, word numbers and learning counts of all tokens, sizes of texts, whether they are learned."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            coded, sizes, learned, number, n = _unpacked(batch.column("part")[i].as_py())
+            n[0] = n_ends
+            yield batch.column("block")[i].as_py(), batch.column("doc_ids")[i].values, number[coded], n[coded], sizes.astype(np.int64), learned.astype(np.int64)
 
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+_BASE = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double"
+
 
+def _base(n_train: int, n_distinct: int, n_ends: int):
+    """A row for each text, without what contexts add."""
 
-def _scorer(open_: dict, retained, n_train: int, n_distinct: int, n_ends: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, parts, known = None, {0: [], 1: []}, {}
-        bits = {k: b.value for k, b in open_.items()}
-        for whole in batches:
-            for batch in chunks(iter([whole]), "text"):
-                of, kind = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
-                cuts = [0, *(np.flatnonzero((np.diff(of) != 0) | (np.diff(kind) != 0)) + 1).tolist(), len(of)]
-                for lo, hi in zip(cuts, cuts[1:], strict=False):
-                    part = batch.slice(lo, hi - lo)
-                    if of[lo] != block:
-                        block, parts, known = of[lo], {0: [], 1: []}, {}
-                    if kind[lo] < 2:
-                        parts[kind[lo]].append([part.column(c).fill_null(0).to_numpy() for c in ("key", "x", "y")])
-                        continue
-                    for k in (0, 1):
-                        if k not in known:
-                            known[k] = tuple(np.concatenate([p[c] for p in parts[k]]) if parts[k] else np.zeros(0, np.int64) for c in range(3))
-                            parts[k] = []
-                            if k == 1:
-                                keys, x, y = known[k]
-                                order = np.argsort(keys.view(np.uint64), kind="stable")
-                                known[k] = keys.view(np.uint64)[order], np.append(x[order], 0), np.append(y[order], 0)
-                    yield score(part, known[0][0], known[0][1], bits, known[1])
-
-    def score(part: pa.RecordBatch, known: np.ndarray, counts: np.ndarray, bits: dict, tree: tuple) -> pa.RecordBatch:
-        tokens, bounds = _tokens(part.column("text"))
-        docs = len(bounds) - 1
-        is_word = np.ones(len(tokens), bool)
-        is_word[bounds[1:] - 1] = False
-        found, at = _among(tokens[is_word].view(np.int64), known)
-        if not found.all():
-            raise ValueError("the rows came in another order than before; pass fixed_order=False")
-        count = np.full(len(tokens), n_ends, np.int64)
-        count[is_word] = counts[at] if len(counts) else 0
-        frequency = (count + 1) / (n_train + n_distinct + 1)
-        scored = np.log10(_in_tree(tokens, bounds, frequency, bits, retained.value, tree))
-
-        def sums(x: np.ndarray) -> np.ndarray:
-            return np.add.reduceat(x, bounds[:-1]) if docs else x[:0]
-
-        return pa.RecordBatch.from_arrays(
-            [
-                part.column("doc_id"),
-                part.column("held_out"),
-                pa.array(np.diff(bounds).astype(np.int64)),
-                pa.array(sums((count > 0).astype(np.int64))),
-                pa.array(np.full(docs, n_train, np.int64)),
-                pa.array(sums(np.log10(frequency))),
-                pa.array(sums(scored)),
-            ],
-            [f.split()[0] for f in RESULT.split(", ")],
-        )
+        for block, ids, _, count, sizes, learned in _texts(batches, n_ends):
+            first = np.cumsum(sizes) - sizes
+            base = np.add.reduceat(np.log10((count + 1) / (n_train + n_distinct + 1)), first)
+            known = np.add.reduceat((count > 0).astype(np.int64), first)
+            rows = (block << 12) + np.arange(len(sizes))
+            yield pa.RecordBatch.from_arrays([pa.array(rows), ids, pa.array(learned == 0), pa.array(sizes), pa.array(known), pa.array(base)], [f.split()[0] for f in _BASE.split(", ")])
 
     return run
 
 
-def score_texts(docs: DataFrame, fixed_order: bool = False) -> DataFrame:
-    """Every row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+def _followed(number: np.ndarray, sizes: np.ndarray, depth: int, open_) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places at which an open context of the given length ends, their hashes, and the start of each token's text."""
+    start = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    at, chain = np.arange(len(number)), np.full(len(number), _SEED)
+    for k in range(1, depth + 1):
+        inside = at - k >= start[at]
+        at = at[inside]
+        chain = mix(chain[inside], number[at - k].astype(np.uint64))
+    if depth:
+        going = _marked(chain, open_.value)
+        at, chain = at[going], chain[going]
+    return at, chain, start
+
+
+def _shares(chain: np.ndarray, word: np.ndarray, hot: tuple, buckets: int) -> np.ndarray:
+    """The bucket of each place: of its context, or where that is hot one of several by the word before it."""
+    is_hot, which = _among(chain, hot[0])
+    out = chain % np.uint64(buckets)
+    if is_hot.any():
+        some = hot[1][which[is_hot]].astype(np.uint64)
+        out[is_hot] = (out[is_hot] + mix(chain[is_hot], word[is_hot].astype(np.uint64)) % some) % np.uint64(buckets)
+    return out.astype(np.int64)
+
+
+def _extensions(depth: int, open_, hot: tuple):
+    """How often contexts one word longer than hot ones occur."""
 
-    ``fixed_order``: ``docs`` is a plain scan of files, whose rows get the same numbers each time they are
-    read; other tables are written once first.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, number, _, sizes, _ in _texts(batches, 0):
+            at, chain, start = _followed(number, sizes, depth, open_)
+            some = _among(chain, hot[0])[0] & (at - depth - 1 >= start[at])
+            longer, times = np.unique(mix(chain[some], number[at[some] - depth - 1].astype(np.uint64)), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(longer.view(np.int64)), pa.array(times)], ["key", "x"])
+
+    return run
+
+
+def _place(depth: int, last: int, open_, hot: tuple, longer: np.ndarray, buckets: int, n_ends: int):
+    """All places that follow an open context, with the words before it, dealt by context.
+
+    A word ends what is sent where no context with it can be retained or extended. Of places whose next longer context is
+    hot only the numbers go, for they are met again once that context is judged.
     """
+    some = MIN_TIMES * np.exp(COST / MIN_TIMES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list = []
+
+        def hand_on() -> Iterator[pa.RecordBatch]:
+            if not parts:
+                return
+            chain, token, count, row, *words = _joined(parts)
+            parts.clear()
+            word = words[0] if words else np.zeros(len(chain), np.int64)
+            order = np.lexsort((token, chain)) if depth else _order(word, token)
+            yield from _dealt(_PLACES, _shares(chain, word, hot, buckets), order, chain, token, count, row, *words)
+
+        for block, _, number, count, sizes, learned in _texts(batches, n_ends):
+            at, chain, start = _followed(number, sizes, depth, open_)
+            words, alive = [], np.ones(len(at), bool)
+            for k in range(depth + 1, last + 1):
+                alive &= at - k >= start[at]
+                before = np.maximum(at - k, 0)
+                words.append(np.where(alive & (count[before] >= MIN_TIMES), number[before], 0))
+                alive &= count[before] > some
+            if depth == 0:
+                met = words[0] > 0
+                at, chain, words = at[met], chain[met], [w[met] for w in words]
+            doc = np.repeat(np.arange(len(sizes)), sizes)[at]
+            row = (((block << 12) + doc) << 1) | learned[doc]
+            if words and len(longer):
+                again = _among(mix(chain, words[0].astype(np.uint64)), longer)[0] & (words[0] > 0)
+                h, w, t, c, yes = chain[again], words[0][again], number[at[again]], count[at[again]], learned[doc[again]]
+                key, one, of = np.unique(_pair(mix(h, w.astype(np.uint64)), t.astype(np.uint64)), return_index=True, return_inverse=True)
+                n, times = np.bincount(of, yes, len(key)).astype(np.int64), np.bincount(of, minlength=len(key))
+                h, w, t, c = h[one], w[one], t[one], c[one]
+                yield from _dealt(_SAME, _shares(h, w, hot, buckets), np.arange(len(h)), h, t, c, n, times, w)
+                at, chain, row, words = at[~again], chain[~again], row[~again], [x[~again] for x in words]
+            if sum(len(p[0]) for p in parts) + len(at) > GATHER:
+                yield from hand_on()
+            parts.append([chain, number[at], count[at], row, *words])
+        yield from hand_on()
+
+    return run
+
+
+def _descend(depth: int, chain, token, count, n, times, words: list, known: tuple | None, n_train: int, hand_over) -> tuple:
+    """Judges the longer contexts of each place, length by length, and passes those that go on to ``hand_over``.
+
+    Gives the places that are through, and for each place the count of its token in the longest retained context, that
+    context's occurrences and number of next tokens (0: none). ``known``: for open contexts with each next token the key of
+    both, the token's count after it, its occurrences, and the state so far; None for the empty context.
+    """
+    if known is None:
+        group, chain = np.zeros(len(token), np.int64), chain[:1]
+        before, total = count.astype(np.int64), np.full(len(token), n_train)
+        state = np.zeros((3, len(token)), np.int64)
+        through = np.ones(len(token), bool)
+    else:
+        through, at = _among(_pair(chain, token.astype(np.uint64)), known[0])
+        before, total, *state = (c[at] if len(c) else np.zeros(len(at), np.int64) for c in known[1:])
+        state = np.stack(state)
+        chain, group = np.unique(chain, return_inverse=True)
+    live = np.flatnonzero(through)
+    group = group[live]
+    for k, word in enumerate(words):
+        has = word[live] > 0
+        live, group = live[has], group[has]
+        if not len(live):
+            break
+        order = _order(group, word[live])
+        live, group = live[order], group[order]
+        new = _changes(group, word[live])
+        chain = mix(chain[group[new]], word[live[new]].astype(np.uint64))
+        group = np.cumsum(new) - 1
+        live = live[_order(group, token[live])]
+        pair = np.flatnonzero(_changes(group, token[live]))
+        one, of = live[pair], group[pair]
+        seen = np.add.reduceat(n[live], pair)
+        edges = np.flatnonzero(_changes(of))
+        sums = np.add.reduceat(seen, edges)
+        kinds = np.add.reduceat((seen > 0).astype(np.int64), edges)
+        some = seen > 0
+        gain = np.zeros(len(seen))
+        gain[some] = seen[some] * (np.log(seen[some] / sums[of[some]]) - np.log(before[one[some]] / total[one[some]]))
+        kept = (sums >= MIN_TIMES) & (np.add.reduceat(gain, edges) > COST * kinds)
+        going = _extendable(sums, kinds, np.maximum.reduceat(seen, edges))
+        which = np.repeat(np.arange(len(pair)), np.diff(np.append(pair, len(live))))
+        retained = kept[group]
+        state[:, live[retained]] = seen[which[retained]], sums[group[retained]], kinds[group[retained]]
+        before[live], total[live] = seen[which], sums[group]
+        if hand_over is not None and k == len(words) - 1:
+            on = hand_over(depth + k + 1, chain, going, np.bincount(group, times[live]).astype(np.int64), of, token[one], seen, sums[of], *state[:, one])
+            through[live[on[group]]] = False
+        live, group = live[going[group]], group[going[group]]
+    return through, state
+
+
+def _judge(depth: int, last: int, buckets: int, share: int, hot_times: int, n_train: int, n_distinct: int):
+    """What contexts add to the score of each text, and the open contexts with all that is known of them; sorted by bucket."""
+
+    def opened(all_go: bool, out: list):
+        def hand_over(length, chain, going, times, of, token, *columns):
+            on = np.ones(len(going), bool) if all_go else going
+            out.append(_made(_EXTENDED, int(on.sum()), depth=np.full(on.sum(), length, np.int32), key=chain[on].view(np.int64), x=times[on]))
+            hot = on & (times > hot_times)
+            plain = (on & ~hot)[of]
+            key = chain[of].view(np.int64)
+            columns = key, token, *columns
+            for batch in _dealt(_CONTEXT, (chain[of] % np.uint64(buckets)).astype(np.int64)[plain], np.arange(plain.sum()), *(c[plain] for c in columns)):
+                out.append(batch.set_column(4, "depth", pa.array(np.full(batch.num_rows, length, np.int32))).set_column(6, "x", pa.array(np.ones(batch.num_rows, np.int64))))
+            for g in np.flatnonzero(hot).tolist():
+                mine = slice(*np.searchsorted(of, [g, g + 1]).tolist())
+                copies = min(buckets, 1 + int(times[g]) // share)
+                out.append(_made(_CONTEXT, 1, bucket=[int(chain[g] % np.uint64(buckets))], part=[_packed(*(c[mine] for c in columns))], depth=[length], x=[copies]))
+            return on
+
+        return hand_over
+
+    def of_bucket(parts: dict, out: list) -> tuple | None:
+        known = None
+        if depth:
+            if not parts[_CONTEXT]:
+                return None
+            key, token, *columns = _joined(parts.pop(_CONTEXT))
+            pairs = _pair(key.astype(np.uint64), token.astype(np.uint64))
+            order = np.argsort(pairs)
+            known = pairs[order], *(c[order].astype(np.int64) for c in columns)
+        if parts[_SAME]:
+            chain, token, count, n, times, word = _joined(parts.pop(_SAME))
+            _descend(depth, chain.astype(np.uint64), token, count, n.astype(np.int64), times, [word], known, n_train, opened(True, out))
+        if not parts[_PLACES]:
+            return None
+        chain, token, count, row, *words = _joined(parts.pop(_PLACES))
+        through, state = _descend(depth, chain.astype(np.uint64), token, count, row & 1, np.ones(len(row), np.int8), words, known, n_train, None if last == LONGEST else opened(False, out))
+        better = through & (state[1] > 0)
+        seen, sums, kinds = state[:, better]
+        base = (count[better].astype(np.int64) + 1) / (n_train + n_distinct + 1)
+        return _summed(row[better] >> 1, np.log10((seen + kinds * base) / (sums + kinds)) - np.log10(base), keys=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        empty = lambda: {_CONTEXT: [], _SAME: [], _PLACES: []}
+        bucket, parts, scores, held = None, empty(), [], 0
+
+        def closed(at_end: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal parts, held
+            out: list = []
+            if (found := of_bucket(parts, out)) is not None:
+                scores.append(found)
+                held += len(found[0])
+            parts = empty()
+            yield from out
+            if scores and (at_end or held > GATHER):
+                row, y = _summed(*_joined(scores), keys=True)
+                yield _made(_SCORES, len(row), key=row, y=y)
+                scores.clear()
+                held = 0
+
+        for batch in batches:
+            kinds, of = batch.column("kind").to_numpy(), batch.column("bucket").to_numpy()
+            for i in range(batch.num_rows):
+                if of[i] != bucket and bucket is not None:
+                    yield from closed(False)
+                bucket = of[i]
+                parts[int(kinds[i])].append(_unpacked(batch.column("part")[i].as_py()))
+        yield from closed(True)
+
+    return run
+
+
+@contextmanager
+def _without_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written meanwhile go when it is written."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def score_texts(docs: DataFrame) -> DataFrame:
+    """Every row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id")).alias("held_out"))
-    docs = docs.withColumn("block", F.expr(f"monotonically_increasing_id() DIV {BLOCK}"))
-    docs = docs if fixed_order else stored(docs, "documents")
-    own = docs.select("block", "text", "held_out").mapInArrow(_vocabulary, "block long, word long, n long")
-    # A token has one row per block that has it.
-    summed = own.selectExpr(
-        "block", "word", "sum(n) OVER (PARTITION BY word) AS n", "block = min(block) OVER (PARTITION BY word) AS once"
+    word_buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    coded = docs.mapInArrow(_encode(word_buckets), _RUN).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_number(word_buckets, HOT_TIMES), _RUN)
+    coded = coded.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(_resolve, _RUN)
+    with _without_shuffles(spark):
+        coded = stored(coded, "texts")
+    sums = coded.where(F.col("kind") == _SUMS).agg(
+        F.coalesce(F.sum(F.when(F.col("y").isNull(), F.col("x"))), F.lit(0)).alias("ends"),
+        F.coalesce(F.sum(F.when(F.col("y").isNotNull(), F.col("x"))), F.lit(0)).alias("n"),
+        F.coalesce(F.sum("y"), F.lit(0)).cast("long").alias("distinct"),
+    ).first()
+    ends = sums.ends
+    n_train, n_distinct = sums.n + ends, sums.distinct + (ends > 0)
+    often = coded.where(F.col("kind") == _FREQUENT).select("key").toArrow().column("key").to_numpy()
+    longer = np.sort(mix(np.full(len(often), _SEED), often.view(np.uint64)))
+    texts = coded.where(F.col("kind") == _TEXTS).select("block", "part", "doc_ids")
+    buckets = 1 + n_train // BUCKET
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    runs: list[DataFrame] = []
+    for depth in range(LONGEST + 1):
+        hot, open_, known = (np.array([_SEED]), np.array([buckets])), None, None
+        if depth:
+            found = [r.where(F.col("depth") == depth) for r in runs]
+            if not found:
+                break
+            found = reduce(DataFrame.union, found)
+            opened = found.where(F.col("kind") == _EXTENDED).select(F.col("key").alias("context"), "x")
+            bits = _bits(opened.select("context"))
+            if not bits.any():
+                continue
+            open_ = spark.sparkContext.broadcast(bits)
+            rows = opened.where(F.col("x") > HOT_TIMES).toArrow()
+            keys, times = rows.column("context").to_numpy().view(np.uint64), rows.column("x").to_numpy()
+            order = np.argsort(keys)
+            hot = keys[order], np.minimum(buckets, 1 + times[order] // BUCKET)
+            longer = none[0]
+            if len(keys) and depth < LONGEST:
+                rows = texts.mapInArrow(_extensions(depth, open_, hot), "key long, x long").groupBy("key").agg(F.sum("x").alias("x")).where(F.col("x") > HOT_TIMES)
+                longer = np.sort(rows.toArrow().column("key").to_numpy().view(np.uint64))
+            copies = F.explode(F.sequence(F.lit(0), F.col("x") - 1))
+            known = found.where(F.col("kind") == _CONTEXT).select("kind", "bucket", "part", copies.alias("copy"))
+            known = known.select("kind", ((F.col("bucket") + F.col("copy")) % buckets).alias("bucket"), "part")
+        last = min(k for k in CUTS if k > depth or k == LONGEST)
+        places = texts.mapInArrow(_place(depth, last, open_, hot, longer, buckets, ends), _RUN).select("kind", "bucket", "part")
+        met = (places if known is None else places.union(known)).repartition("bucket").sortWithinPartitions("bucket")
+        judged = met.mapInArrow(_judge(depth, last, buckets, BUCKET, HOT_TIMES, n_train, n_distinct), _RUN)
+        with _without_shuffles(spark):
+            runs.append(stored(judged.select("kind", "bucket", "part", "depth", "key", "x", "y"), "contexts"))
+    added = reduce(DataFrame.union, runs).where(F.col("kind") == _SCORES).select(F.col("key").alias("row"), F.col("y").alias("added"))
+    base = texts.mapInArrow(_base(n_train, n_distinct, ends), _BASE)
+    null = {f.split()[0]: F.lit(None).cast(f.split()[1]) for f in _BASE.split(", ")}
+    rows = base.withColumn("added", F.lit(None).cast("double")).unionByName(added.select("row", *(c.alias(n) for n, c in null.items() if n != "row"), "added"))
+    of_text = rows.groupBy("row").agg(*(F.max(n).alias(n) for n in null if n != "row"), F.sum("added").alias("added"))
+    return of_text.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", (F.col("base_score") + F.coalesce("added", F.lit(0.0))).alias("score")
     )
-    tokens = stored(summed, "tokens")
-    learning = docs.where("NOT held_out")
-    ends = learning.count()
-    of = tokens.where("once").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("distinct")).first()
-    numbers = (of.n + ends, of.distinct + (ends > 0), ends)
-    tree, open_ = learn_tree(learning, numbers[0])
-    retained = spark.sparkContext.broadcast(_bits(tree.where("y IS NOT NULL").select(F.col("key").alias("context"))))
-    wanted = docs.select("block", "text").mapInArrow(_wanted(open_, retained), "block long, key long")
-    found = wanted.join(tree, "key")
-    null = F.lit(None)
-    none = [null.cast("long").alias("doc_id"), null.cast("boolean").alias("held_out"), null.cast("string").alias("text")]
-    words = tokens.select("block", F.lit(0).alias("kind"), F.col("word").alias("key"), F.col("n").alias("x"), null.cast("long").alias("y"), *none)
-    contexts = found.select("block", F.lit(1).alias("kind"), "key", "x", "y", *none)
-    texts = docs.select("block", F.lit(2).alias("kind"), *(null.cast("long").alias(c) for c in ("key", "x", "y")), "doc_id", "held_out", "text")
-    met = words.union(contexts).union(texts).repartition("block").sortWithinPartitions("block", "kind", "key")
-    return met.mapInArrow(_scorer(open_, retained, *numbers), RESULT)
