@@ -350,25 +350,34 @@ def _made(kind: int, n: int, **columns) -> pa.RecordBatch:
 
 
 def _packed(*columns: np.ndarray) -> bytes:
-    """Integer columns of any lengths, each as the planes of the bytes it needs above its least value."""
+    """Integer columns of any lengths, each as the planes of the bytes it needs above its least value; long runs once, with lengths."""
     head, planes = [], []
-    for c in columns:
+
+    def put(c: np.ndarray, is_runs: bool) -> None:
         c = c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64, copy=False)
         low = c.min() if len(c) else np.int64(0)
         above = np.ascontiguousarray((c - low).view(np.uint64))
         width = (int(above.max()).bit_length() + 7) // 8 if len(c) else 0
-        head += [len(c), int(low), width]
-        planes += [above.view(np.uint8)[i::8].tobytes() for i in range(width)]
-    raw = b"".join([np.array([len(columns), *head], np.int64).tobytes(), *planes])
+        at = np.flatnonzero(_changes(c)) if not is_runs else c[:0]
+        if not is_runs and len(at) * (width + 1) < len(c) * width:
+            put(c[at], True)
+            put(np.diff(np.append(at, len(c))), True)
+            return
+        head.extend([len(c), int(low), width, is_runs])
+        planes.extend(above.view(np.uint8)[i::8].tobytes() for i in range(width))
+
+    for c in columns:
+        put(c, False)
+    raw = b"".join([np.array([len(head) // 4, *head], np.int64).tobytes(), *planes])
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def _unpacked(part: bytes) -> list[np.ndarray]:
     raw = pa.decompress(pa.py_buffer(part)[8:], int.from_bytes(part[:8], "little"), codec="zstd")
     data = np.frombuffer(raw, np.uint8)
-    (columns,) = data[:8].view(np.int64)
-    at, out = 8 + 24 * columns, []
-    for n, low, width in data[8:at].view(np.int64).reshape(-1, 3).tolist():
+    (pieces,) = data[:8].view(np.int64)
+    at, out, values = 8 + 32 * pieces, [], None
+    for n, low, width, is_runs in data[8:at].view(np.int64).reshape(-1, 4).tolist():
         narrow = low >= 0 and low + (1 << 8 * width) <= 1 << 32
         size = 4 if narrow else 8
         c = np.zeros(n, np.uint32 if narrow else np.uint64)
@@ -376,7 +385,14 @@ def _unpacked(part: bytes) -> list[np.ndarray]:
             c.view(np.uint8)[i::size] = data[at : at + n]
             at += n
         c += c.dtype.type(low % (1 << 64))
-        out.append(c if narrow else c.view(np.int64))
+        c = c if narrow else c.view(np.int64)
+        if not is_runs:
+            out.append(c)
+        elif values is None:
+            values = c
+        else:
+            out.append(np.repeat(values, c))
+            values = None
     return out
 
 
@@ -571,15 +587,19 @@ def _shares(chain: np.ndarray, word: np.ndarray, hot: tuple, buckets: int) -> np
     return out.astype(np.int64)
 
 
-def _extensions(depth: int, open_, hot: tuple):
-    """How often contexts one word longer than hot ones occur."""
+def _extensions(depth: int, open_, hot: tuple, often: np.ndarray):
+    """How often contexts one word longer than hot ones occur; only those with a frequent word can be hot themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = []
         for _, _, number, _, sizes, _ in _texts(batches, 0):
             at, chain, start = _followed(number, sizes, depth, open_)
             some = _among(chain, hot[0])[0] & (at - depth - 1 >= start[at])
-            longer, times = np.unique(mix(chain[some], number[at[some] - depth - 1].astype(np.uint64)), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(longer.view(np.int64)), pa.array(times)], ["key", "x"])
+            chain, word = chain[some], number[at[some] - depth - 1].astype(np.uint64)
+            some = _among(word, often)[0]
+            found.append(np.unique(mix(chain[some], word[some]), return_counts=True))
+        longer, times = _summed(*_joined(found), keys=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(longer.view(np.int64)), pa.array(times)], ["key", "x"])
 
     return run
 
@@ -786,7 +806,8 @@ def score_texts(docs: DataFrame) -> DataFrame:
     ends = sums.ends
     n_train, n_distinct = sums.n + ends, sums.distinct + (ends > 0)
     often = coded.where(F.col("kind") == _FREQUENT).select("key").toArrow().column("key").to_numpy()
-    longer = np.sort(mix(np.full(len(often), _SEED), often.view(np.uint64)))
+    often = np.sort(often.view(np.uint64))
+    longer = np.sort(mix(np.full(len(often), _SEED), often))
     texts = coded.where(F.col("kind") == _TEXTS).select("block", "part", "doc_ids")
     buckets = 1 + n_train // BUCKET
     none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -809,7 +830,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
             hot = keys[order], np.minimum(buckets, 1 + times[order] // BUCKET)
             longer = none[0]
             if len(keys) and depth < LONGEST:
-                rows = texts.mapInArrow(_extensions(depth, open_, hot), "key long, x long").groupBy("key").agg(F.sum("x").alias("x")).where(F.col("x") > HOT_TIMES)
+                rows = texts.mapInArrow(_extensions(depth, open_, hot, often), "key long, x long").groupBy("key").agg(F.sum("x").alias("x")).where(F.col("x") > HOT_TIMES)
                 longer = np.sort(rows.toArrow().column("key").to_numpy().view(np.uint64))
             copies = F.explode(F.sequence(F.lit(0), F.col("x") - 1))
             known = found.where(F.col("kind") == _CONTEXT).select("kind", "bucket", "part", copies.alias("copy"))
