@@ -21,8 +21,9 @@ sum, with the places at which a text begins, is the distribution of the parent:
 exchange; so no bucket has to hold more than the vocabulary of a context besides its share. Inside the steps of several lengths hot parents
 are not known yet; contexts of four words and more that occur so often are repeated passages with few different neighbours.
 
-The tree and the token frequencies may be too many to send anywhere: each block of ``BLOCK`` rows contributes
-its distinct tokens, contexts and pairs of both once, they meet the counts by key, and return to the block.
+That is ``learn_tree``, which gives the tree as a table. ``score_texts`` needs no such table: the same contexts are judged by the
+same test where their places meet. Texts are read once, into word numbers of their block; each place goes, with the words before it up
+to the next of ``CUTS``, to the bucket of its context, and open contexts are handed over with all that is known of them.
 
 Defined results: null, empty and blank texts have the end as their only token. A row without id is
 never held out. Repeated rows count as often as they come. Without any learning text all tokens are

@@ -460,3 +460,19 @@ def test_suffix_tree_merges_parts_as_they_come(monkeypatch):
 
     (few, whole), (many, dealt) = tree(10**6), tree(50)
     assert few < many and whole == dealt and len(whole) > 10
+
+
+def test_suffix_tree_sends_each_place_once_packed():
+    """Places are dealt over the buckets, with the words before them; one number for each, not the keys of all contexts."""
+    pick = random.Random(2)
+    number = np.array([pick.randint(1, 300) for _ in range(20_000)])
+    coded, sizes = np.append(number, 0), np.array([20_001])
+    part = suffix_tree._packed(coded, sizes, np.array([1]), np.arange(301), np.full(301, 50))
+    batch = suffix_tree._made(suffix_tree._TEXTS, 1, block=[0], part=[part], doc_ids=[[7]])
+    whole = np.array([suffix_tree._SEED]), np.array([5])
+    rows = pa.Table.from_batches(suffix_tree._place(0, 3, None, whole, np.zeros(0, np.uint64), 5, 1)(iter([batch])))
+    places = [suffix_tree._unpacked(p) for p in rows.column("part").to_pylist()]
+    assert sorted(rows.column("bucket").to_pylist()) == [0, 1, 2, 3, 4] and sum(len(p[1]) for p in places) == 20_000
+    assert sum(len(p) for p in rows.column("part").to_pylist()) < 8 * 20_000
+    met = sorted(zip(*(np.concatenate([p[c] for p in places]).tolist() for c in (1, 4, 5, 6)), strict=True))
+    assert met == sorted((int(coded[i]), *(int(coded[i - k]) if i >= k else 0 for k in (1, 2, 3))) for i in range(1, 20_001))
