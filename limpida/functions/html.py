@@ -8,6 +8,7 @@ does not know. All other texts go through Arrow to the standard library's parser
 
 from __future__ import annotations
 
+import sys
 from html import unescape
 from html.parser import HTMLParser
 
@@ -157,6 +158,12 @@ class _TextNodes(HTMLParser):
 
     handle_decl = handle_pi = handle_comment
 
+    def parse_html_declaration(self, i: int) -> int:
+        try:
+            return super().parse_html_declaration(i)
+        except AssertionError:  # a section of no known kind: browsers read it as a comment
+            return self.parse_bogus_comment(i)
+
     def unknown_decl(self, data: str) -> None:
         self._flush()
         if data.upper().startswith("CDATA["):
@@ -170,13 +177,31 @@ class _TextNodes(HTMLParser):
         return "\n".join(self.nodes)
 
 
-def _parse(markup: str) -> str:
+def _text_of(markup: str) -> str:
+    parser = _TextNodes()
+    parser.feed(unescape(markup))
+    return parser.finish()
+
+
+def _parse(markup: str) -> str | None:
+    """The text, '' where there is none; null if the markup cannot be read."""
+    try:
+        return _text_of(markup)
+    except ValueError:  # a character number of more digits than ``int`` takes by default
+        return _parse_long_numbers(markup)
+    except Exception:
+        return None
+
+
+def _parse_long_numbers(markup: str) -> str | None:
+    digits = sys.get_int_max_str_digits()
+    sys.set_int_max_str_digits(0)
     try:
-        parser = _TextNodes()
-        parser.feed(unescape(markup))
-        return parser.finish()
-    except Exception:  # a text that cannot be read has no content
-        return ""
+        return _text_of(markup)
+    except Exception:
+        return None
+    finally:
+        sys.set_int_max_str_digits(digits)
 
 
 @F.pandas_udf(T.StringType())
@@ -223,12 +248,12 @@ def native_text(markup: Column) -> Column:
 
 
 def with_html_text(df: DataFrame, markup: str, out: str) -> DataFrame:
-    """Add the text of an HTML body; blank or missing markup gives ''."""
+    """Add the text of an HTML body; blank or missing markup gives '', markup that cannot be read null."""
     native, parsed, raw = "__html_native", "__html_parsed", F.col(markup)
     return (
         df.withColumn(native, native_text(raw))
         .withColumn(parsed, _parse_batch(F.when(F.isnull(native), F.make_valid_utf8(raw))))
-        .withColumn(out, F.coalesce(native, parsed, F.lit("")))
+        .withColumn(out, F.coalesce(native, parsed, F.when(raw.isNull(), "")))
         .drop(native, parsed)
         .withColumn(out, strip(squeeze_blanks(F.col(out))))
     )

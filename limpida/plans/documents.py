@@ -22,6 +22,7 @@ ERROR_MARK = "[ERROR]"  # fixed value
 #: Stands in for a header field in which names could not be looked for.
 WITHHELD = "[PII_UNCHECKED]"
 NAMES_FAILED = "pii: name detection failed"
+HTML_FAILED = "parse: html"
 #: How errors of failed stages begin; their rows are withheld.
 STAGES = ("pii:", "parse:")
 
@@ -66,10 +67,19 @@ def with_bodies(messages: DataFrame) -> DataFrame:
 
 
 def with_merged_body(messages: DataFrame) -> DataFrame:
-    """Add ``merged_body`` from ``plain_body`` and ``html_body``."""
+    """Add ``merged_body`` from ``plain_body`` and ``html_body``.
+
+    Where the HTML cannot be read ``parse_error`` says so, ``body_source`` is 'fallback' and the plain body is all there is.
+    """
     df = messages.withColumn("__html_text", F.lit(""))
     if "body_html" in messages.columns or "raw_bytes" in messages.columns:
         df = html.with_html_text(messages, "html_body", "__html_text")
+        df = df.withColumn("__unread", once(F.isnull("__html_text"))).withColumns(
+            {
+                "parse_error": F.coalesce("parse_error", F.when(F.col("__unread"), F.lit(HTML_FAILED))),
+                "body_source": F.when(F.col("__unread"), "fallback").otherwise(F.col("body_source")),
+            }
+        ).drop("__unread")
     return df.withColumn(
         "merged_body", body.merge_bodies(F.col("plain_body"), F.col("__html_text"))
     ).drop("__html_text", "plain_body", "html_body")
@@ -162,7 +172,7 @@ def build_documents(
     of any size, which is joined (the only case with a shuffle).
 
     Messages that fail validation become error documents (``status`` = 'rejected') and skip the other
-    stages; those whose raw bytes cannot be parsed, or on which the finder fails in the body or a
+    stages; those whose raw bytes or HTML cannot be parsed, or on which the finder fails in the body or a
     header, are withheld ('quarantined'). ``pii_status`` is 'failed' where names could not be looked
     for, 'off' where the mode says so, else 'ok'. With ``safe``, messages that lose a stage are kept at
     a lower ``processing_level`` instead: without names, without canonical text, or with no body at

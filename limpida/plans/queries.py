@@ -582,7 +582,7 @@ def mail_html_text(spark, sf):
 )
 def merged_bodies(spark, sf):
     df = docs.with_merged_body(docs.with_bodies(mt.messages(spark, sf)))
-    return df.select("doc_id", "merged_body")
+    return df.select("doc_id", F.when(F.isnull("parse_error"), F.col("merged_body")).alias("merged_body"))
 
 
 _COMMON = "'the of and in is that de la le les un der die und den el los que'"

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from limpida import CleaningOptions, PiiMode
+from limpida.functions import html
 from limpida.operators import compare, dedup, masking, names, reports, validate
 from limpida.plans import documents as docs
 from limpida.session import stored
@@ -155,6 +156,18 @@ def test_message_files_are_parsed_once(spark, options):
     assert plan.count("ArrowEvalPython [parse_message") == 1
 
 
+def test_html_that_cannot_be_read_is_quarantined(messages, options, monkeypatch):
+    monkeypatch.setattr(html, "_parse_batch", F.udf(lambda markup: None, "string").asNondeterministic())
+    mixed = messages.withColumn("body_html", F.when(F.col("uid") == "1", "uno < due").otherwise(F.col("body_html")))
+    rows = by_uid(docs.build_documents(mixed, options))
+    assert (rows["1"].status, rows["1"].error, rows["1"].body_source) == ("quarantined", "parse: html", "fallback")
+    assert rows["1"].body_text_canonical == "[PREPROCESSING ERROR: parse: html]"
+    assert rows["6"].status == "ok" and rows["6"].body_text_canonical == "ciao [PII_EMAIL]\n\nuno due tre & quattro"
+    safe = by_uid(docs.build_documents(mixed, options, safe=True))["1"]
+    assert (safe.status, safe.body_source, safe.body_text_canonical) == ("ok", "fallback", "ciao [PII_EMAIL]")
+    assert docs.with_merged_body(docs.with_bodies(mixed)).where("parse_error = 'parse: html'").count() == 1
+
+
 def test_write_read_and_quarantine(spark, messages, options, tmp_path):
     sinks.write_documents(docs.build_documents(messages, options), str(tmp_path / "d"))
     assert sinks.read_documents(spark, str(tmp_path / "d")).count() == 3

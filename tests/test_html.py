@@ -58,3 +58,30 @@ def test_native_way_equals_the_parser_wherever_it_is_taken(texts):
             native += 1
             assert text == html._parse(value), repr(value)
     assert native > 700
+
+
+def test_markup_the_parser_stumbled_over_gives_its_text(texts):
+    long = "1" * 5000
+    cases = [
+        ("<p>one</p><![x>two", "one\ntwo"),
+        ("one<![<b>two</b>", "one\ntwo"),
+        ("one<![ if !IE]>two<![endif]>", "one\ntwo"),
+        (f"n &#{long}; m", "n � m"),
+        (f"n &amp;#{long}; m", "n � m"),
+        ("n &#" + "0" * 5000 + "65; m", "n A m"),
+        (f'<a href="u&amp;#{long};">t</a>', "t (u�)"),
+        (f"<![x>&#{long}; m", "� m"),
+    ]
+    assert [c for c, _ in converted(texts, [c[0] for c in cases])] == [c[1] for c in cases]
+
+
+def test_markup_that_cannot_be_read_is_not_empty(texts, monkeypatch):
+    failing = F.udf(lambda markup: None, "string").asNondeterministic()
+    monkeypatch.setattr(html, "_parse_batch", failing)
+    assert [c for c, _ in converted(texts, ["a < b", "<p>a</p>", "", " ", None])] == [None, "a", "", "", ""]
+
+    def stumble(parser, data):
+        raise KeyError(data)
+
+    monkeypatch.setattr(html._TextNodes, "handle_data", stumble)
+    assert html._parse("a < b") is None and html._parse("<p>") == ""
