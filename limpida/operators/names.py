@@ -23,10 +23,15 @@ FOUND_TYPE = "array<struct<label:string,span_start:int,span_end:int,value:string
 MAX_LITERAL_NAMES = 20_000
 #: A phrase with more than one part in so many of all phrases is salted.
 HOT_PARTS = 1000
-#: Words whose lengths are added up at once, see ``_cut_up``.
+#: Runs or words whose lengths are added up at once, see ``_cut_up``.
 BLOCK = 256
+#: Words of a run up to which copying it costs less than picking words.
+SHORT = 16
+#: First words of phrases by which a dictionary is cut down, if there are no more: 4 MB of hashes.
+MOST_FIRSTS = 500_000
 
-_WORD = r"[\p{L}\p{N}_]+"
+#: Words with single spaces between. Possessive repeats keep the matcher off the stack.
+_RUN = r"[\p{L}\p{N}_]++(?: [\p{L}\p{N}_]++)*+"
 
 Finder = Callable[[Column], Column]
 
@@ -36,22 +41,19 @@ def _starts_with_capital(word: Column) -> Column:
     return first != F.lower(first)
 
 
-def _phrases(words: Column, gaps: Column, lengths: Sequence[int]) -> Column:
-    """Phrases of ``lengths`` words, in lower case, that start with a capital.
+def _phrases(runs: Column, lengths: Sequence[int], made: Callable[[Column], Column]) -> Column:
+    """Phrases of ``lengths`` words that start with a capital: where they are, and what ``made`` gives of them in lower case.
 
-    Words with single spaces between form runs; a phrase lies inside one. So a long name costs
-    something only where a run is as long. Gap ``i`` is the one before word ``i``.
+    A phrase lies inside a run, so a long name costs something only where a run is as long, and a run
+    without capitals is not split.
     """
-    size = F.size(words)
-    numbers = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
-    starts = F.filter(numbers, lambda i: (i == 0) | (F.get(gaps, i) != " "))
     counts = F.array(*(F.lit(n) for n in lengths))
 
-    def of_run(first: Column, end: Column) -> Column:
-        def at(low: Column) -> Column:
+    def of_run(run: Column) -> Column:
+        def at(words: Column, low: Column) -> Column:
             capitals = F.filter(
                 F.sequence(F.lit(0), F.size(low) - 1),
-                lambda i: _starts_with_capital(F.get(words, first + i)),
+                lambda i: _starts_with_capital(F.get(words, i)),
             )
             return F.flatten(
                 F.transform(
@@ -59,38 +61,40 @@ def _phrases(words: Column, gaps: Column, lengths: Sequence[int]) -> Column:
                     lambda i: F.transform(
                         F.filter(counts, lambda n: i + n <= F.size(low)),
                         lambda n: F.struct(
-                            (first + i).alias("word_no"),
+                            run["run_no"].alias("run_no"),
+                            i.alias("word_no"),
                             n.alias("n_words"),
-                            F.array_join(F.slice(low, i + 1, n), " ").alias("phrase"),
+                            made(F.when(F.size(low) <= SHORT, F.array_join(F.slice(low, i + 1, n), " ")).otherwise(_joined(low, i, n))).alias("made"),
                         ),
                     ),
                 )
             )
 
-        return spans.let(F.transform(F.slice(words, first + 1, end - first), F.lower), at)
+        words = F.split(run["run"], " ", -1)
+        return spans.let(words, lambda w: spans.let(F.transform(w, F.lower), lambda low: at(w, low)))
 
-    def of_runs(first: Column) -> Column:
-        ends = F.array_append(F.slice(first, 2, F.greatest(F.size(first), F.lit(1))), size)
-        runs = F.zip_with(first, ends, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-        return F.flatten(F.transform(F.filter(runs, lambda r: r["a"].isNotNull()), lambda r: of_run(r["a"], r["b"])))
+    numbered = F.transform(runs, lambda r, i: F.struct(i.alias("run_no"), r.alias("run")))
+    return F.flatten(F.transform(F.filter(numbered, lambda r: r["run"] != F.lower(r["run"])), of_run))
 
-    return spans.let(starts, of_runs)
+
+def _joined(words: Column, at: Column, n: Column, made: Callable[[Column], Column] = lambda w: w) -> Column:
+    """The ``n`` words from ``at``. ``slice`` would copy the whole run for each phrase."""
+    return F.array_join(F.transform(F.sequence(at, at + n - 1), lambda i: made(F.get(words, i))), " ")
 
 
 def _place(cut: Column, hit: Column) -> Column:
-    """Span and surface text of a phrase: the length of the blocks before its own, then of the
-    words and gaps inside it."""
-    words, gaps, at = cut["words"], cut["gaps"], hit["word_no"]
-    block = F.floor(at / BLOCK).cast("int")
-    inside = F.when(at > block * BLOCK, F.sequence(block * BLOCK, at - 1)).otherwise(
-        F.array().cast("array<int>")
-    )
+    """Span and surface text of a phrase: the length of the blocks before its own, then of the runs and
+    gaps inside it, and the same again for the words of its run."""
+    runs, gaps, of, at = cut["runs"], cut["gaps"], hit["run_no"], hit["word_no"]
+    words, starts = F.get(cut["words"], of), F.get(cut["word_starts"], of)
     before = (
-        F.get(cut["starts"], block) + _total_length(words, gaps, inside) + F.length(F.get(gaps, at))
-    )
-    value = F.array_join(
-        F.transform(F.sequence(at, at + hit["n_words"] - 1), lambda i: F.get(words, i)), " "
+        F.get(cut["starts"], _block(of))
+        + _total_length(runs, gaps, _inside(of))
+        + F.length(F.get(gaps, of))
+        + F.get(starts, _block(at))
+        + _total_length(words, None, _inside(at))
     )
+    value = _joined(words, at, hit["n_words"])
     return F.struct(
         hit["label"].alias("label"),
         before.alias("span_start"),
@@ -99,46 +103,65 @@ def _place(cut: Column, hit: Column) -> Column:
     )
 
 
-def _total_length(words: Column, gaps: Column, numbers: Column) -> Column:
-    """Characters of the words with these numbers and the gaps before them."""
-    return F.aggregate(
-        numbers,
-        F.lit(0),
-        lambda n, i: n + F.length(F.get(gaps, i)) + F.length(F.get(words, i)),
-    )
+def _block(at: Column) -> Column:
+    return F.floor(at / BLOCK).cast("int")
 
 
-def _cut_up(text: Column) -> Column:
-    """Words, the gaps around them, and where every block of ``BLOCK`` words starts."""
+def _inside(at: Column) -> Column:
+    """The numbers before ``at`` in its block."""
+    first = _block(at) * BLOCK
+    return F.when(at > first, F.sequence(first, at - 1)).otherwise(F.array().cast("array<int>"))
 
-    def starts(words: Column, gaps: Column) -> Column:
-        def block(no: Column) -> Column:
-            last = F.least((no + 1) * BLOCK, F.size(words)) - 1
-            return _total_length(words, gaps, F.sequence(no * BLOCK, last))
 
-        numbers = F.sequence(F.lit(0), F.floor((F.size(words) - 1) / BLOCK).cast("int"))
-        return F.when(
-            F.size(words) > 0,
-            F.aggregate(
-                F.transform(numbers, block),
-                F.array(F.lit(0)),
-                lambda found, n: F.array_append(found, F.element_at(found, -1) + n),
-            ),
-        )
+def _total_length(pieces: Column, gaps: Column | None, numbers: Column) -> Column:
+    """Characters of the pieces with these numbers and the gaps before them, or a space after each."""
+    gap = (lambda i: F.length(F.get(gaps, i))) if gaps is not None else lambda i: F.lit(1)
+    return F.aggregate(numbers, F.lit(0), lambda n, i: n + gap(i) + F.length(F.get(pieces, i)))
+
+
+def _starts(pieces: Column, gaps: Column | None) -> Column:
+    """Where every block of ``BLOCK`` pieces starts."""
 
-    parts = F.struct(
-        spans.matches(text, _WORD).alias("words"), spans.gaps(text, _WORD).alias("gaps")
+    def block(no: Column) -> Column:
+        last = F.least((no + 1) * BLOCK, F.size(pieces)) - 1
+        return _total_length(pieces, gaps, F.sequence(no * BLOCK, last))
+
+    whole = F.floor(F.size(pieces) / BLOCK).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), whole - 1), block)
+    summed = F.aggregate(
+        blocks, F.array(F.lit(0)), lambda found, n: F.array_append(found, F.element_at(found, -1) + n)
     )
+    return F.when(whole > 0, summed).otherwise(F.array(F.lit(0)))
+
+
+def _runs(text: Column) -> Column:
+    """Runs, words with single spaces between, and the gaps around them."""
+    return F.struct(spans.matches(text, _RUN).alias("runs"), spans.gaps(text, _RUN).alias("gaps"))
+
+
+def _cut_up(cut: Column) -> Column:
+    """Runs with their gaps and words, and where every block of runs and, in each run, of words starts."""
+    split = F.transform(cut["runs"], lambda r: F.split(r, " ", -1))
     return spans.let(
-        parts,
-        lambda p: F.struct(
-            p["words"].alias("words"),
-            p["gaps"].alias("gaps"),
-            starts(p["words"], p["gaps"]).alias("starts"),
+        F.struct(cut["runs"].alias("runs"), cut["gaps"].alias("gaps"), split.alias("words")),
+        lambda c: F.struct(
+            *(c[n].alias(n) for n in ("runs", "gaps", "words")),
+            _starts(c["runs"], c["gaps"]).alias("starts"),
+            F.transform(c["words"], lambda w: _starts(w, None)).alias("word_starts"),
         ),
     )
 
 
+def _placed(text: Column, hits: Callable[[Column], Column], chosen: Callable[[Column, Column], Column]) -> Column:
+    """Places of the hits ``hits`` gives of the runs; a text without hits is cut no further."""
+
+    def of(x: Column) -> Column:
+        there = spans.let(_cut_up(x["cut"]), lambda cut: F.transform(chosen(cut, x["hits"]), lambda h: _place(cut, h)))
+        return F.when(F.size(x["hits"]) > 0, there).otherwise(F.array().cast(FOUND_TYPE))
+
+    return spans.let(_runs(text), lambda cut: spans.let(F.struct(cut.alias("cut"), hits(cut["runs"]).alias("hits")), of))
+
+
 def literal_finder(names: Sequence[str], organisations: Sequence[str]) -> Finder:
     """Finder for a dictionary small enough to be part of the plan (a hash set per task)."""
     people, firms = list(names), list(organisations)
@@ -153,21 +176,13 @@ def literal_finder(names: Sequence[str], organisations: Sequence[str]) -> Finder
         return result
 
     def find(text: Column) -> Column:
-        def hits(cut: Column) -> Column:
-            labelled = F.transform(
-                _phrases(cut["words"], cut["gaps"], lengths),
-                lambda p: F.struct(
-                    p["word_no"].alias("word_no"),
-                    p["n_words"].alias("n_words"),
-                    label(p["phrase"]).alias("label"),
-                ),
-            )
+        def hits(runs: Column) -> Column:
             return F.transform(
-                F.filter(labelled, lambda p: p["label"].isNotNull()),
-                lambda p: _place(cut, p),
+                F.filter(_phrases(runs, lengths, label), lambda p: p["made"].isNotNull()),
+                lambda p: F.struct(*(p[n].alias(n) for n in ("run_no", "word_no", "n_words")), p["made"].alias("label")),
             )
 
-        return spans.let(_cut_up(text), hits)
+        return _placed(text, hits, lambda cut, found: found)
 
     return find
 
@@ -216,68 +231,76 @@ def find_by_join(df: DataFrame, key: str, texts: dict[str, str], dictionary: Dat
 
     ``texts`` maps output columns to text columns; ``key`` is unique per row. A phrase goes to
     the join as a hash, whatever its length, and texts move once, for the join back, where each
-    name is compared with its place in the text. Phrases are counted first: those that make up
-    more than 1 / ``HOT_PARTS`` of all, at most that many, are dealt out by as many salts as their
-    share asks for, so that no name piles up in one task.
+    name is compared with its place in the text. Only names that begin with a word of the texts are
+    grouped and joined, where these words are few (``MOST_FIRSTS``, proven by a bounded read). Phrases are counted
+    first: those that make up more than 1 / ``HOT_PARTS`` of all, at most that many, are dealt out by as many
+    salts as their share asks for, so that no name piles up in one task.
     """
-    entries = (
-        dictionary.groupBy(F.lower("name").alias("name"))
-        .agg(F.min("label").alias("label"))  # NAME before ORG
-        .where("name <> ''")
-        .select("name", "label", F.size(F.split("name", " ")).alias("n_words"), F.xxhash64("name").alias("hash"))
-    )
-    lengths = sorted(r["n_words"] for r in entries.select("n_words").distinct().collect()) or [1]
+    named = dictionary.where("name <> ''")
+    n_words = F.length("name") - F.length(F.replace("name", F.lit(" "), F.lit(""))) + 1
+    # Single words are always there: with them begin the names that can be met.
+    lengths = sorted({1, *(r[0] for r in named.select(n_words).distinct().collect())})
 
     def phrases_of(out: str, column: str) -> Column:
-        found = spans.let(
-            _cut_up(F.coalesce(F.col(f"`{column}`"), F.lit(""))),
-            lambda cut: _phrases(cut["words"], cut["gaps"], lengths),
-        )
+        runs = spans.matches(F.coalesce(F.col(f"`{column}`"), F.lit("")), _RUN)
         return F.transform(
-            found,
+            _phrases(runs, lengths, F.xxhash64),
             lambda p: F.struct(
                 F.lit(out).alias("field"),
+                p["run_no"].alias("run_no"),
                 p["word_no"].alias("word_no"),
-                F.xxhash64(p["phrase"]).alias("hash"),
+                (p["n_words"] == 1).alias("is_word"),
+                p["made"].alias("hash"),
             ),
         )
 
-    each = F.explode(F.concat(*(phrases_of(out, column) for out, column in texts.items()))).alias("p")
-    phrases = stored(df.select(F.col(key).alias("__key"), each).select("__key", "p.*"), "phrases")
+    # ``once``: else Spark finds all phrases a second time, to see whether there are any.
+    each = df.select(F.col(key).alias("__key"), spans.once(F.concat(*(phrases_of(*t) for t in texts.items()))).alias("p"))
+    phrases = stored(each.select("__key", F.explode("p").alias("p")).select("__key", "p.*"), "phrases")
+    named = named.select(F.lower("name").alias("name"), "label")
+    firsts = phrases.where("is_word").select(F.col("hash").alias("first")).distinct().limit(MOST_FIRSTS + 1).toArrow()
+    if firsts.num_rows <= MOST_FIRSTS:
+        first = F.xxhash64(F.substring_index("name", " ", 1))
+        few = F.broadcast(df.sparkSession.createDataFrame(firsts))
+        named = named.withColumn("first", first).join(few, "first", "left_semi").drop("first")
     counted = phrases.groupBy("hash").agg(F.count("*").alias("times"))
+    entries = (
+        named.groupBy("name")
+        .agg(F.min("label").alias("label"))  # NAME before ORG
+        .select("name", "label", F.size(F.split("name", " ")).alias("n_words"), F.xxhash64("name").alias("hash"))
+    )
     known = stored(entries.join(counted, "hash"), "known-names")
     share = F.col("times") * HOT_PARTS / F.lit(max(1, phrases.count()))
     hot = F.broadcast(known.where(share > 1).select("hash", F.ceil(share).cast("int").alias("salts")).distinct())
     salts = F.coalesce("salts", F.lit(1))
     found = (
-        phrases.join(hot, "hash", "left")
-        .withColumn("salt", F.pmod(F.xxhash64("__key", "word_no"), salts).cast("int"))
+        phrases.drop("is_word")
+        .join(hot, "hash", "left")
+        .withColumn("salt", F.pmod(F.xxhash64("__key", "run_no", "word_no"), salts).cast("int"))
         .join(
             known.join(hot, "hash", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts"),
             ["hash", "salt"],
         )
         .groupBy("__key")
-        .agg(F.collect_list(F.struct("field", "word_no", "n_words", "label", "name")).alias("__names"))
+        .agg(F.collect_list(F.struct("field", "run_no", "word_no", "n_words", "label", "name")).alias("__names"))
     )
     joined = df.join(found, df[key] == found["__key"], "left").drop("__key")
-    none = F.array().cast("array<struct<field:string,word_no:int,n_words:int,label:string,name:string>>")
+    none = F.array().cast("array<struct<field:string,run_no:int,word_no:int,n_words:int,label:string,name:string>>")
     columns = {}
     for out, column in texts.items():
         own = F.filter(F.coalesce(F.col("__names"), none), _belongs_to(out))
-        columns[out] = spans.let(
-            F.struct(_cut_up(F.coalesce(F.col(f"`{column}`"), F.lit(""))).alias("cut"), own.alias("own")),
-            lambda x: F.transform(
-                F.array_sort(F.filter(x["own"], lambda h: _is_there(x["cut"], h))),
-                lambda h: _place(x["cut"], h),
-            ),
-        )
+        columns[out] = _placed(F.coalesce(F.col(f"`{column}`"), F.lit("")), lambda _, own=own: own, _there)
     return joined.withColumns(columns).drop("__names")
 
 
+def _there(cut: Column, hits: Column) -> Column:
+    return F.array_sort(F.filter(hits, lambda h: _is_there(cut, h)))
+
+
 def _is_there(cut: Column, hit: Column) -> Column:
     """Whether the words of a place are the name, and not only of one hash."""
-    here = F.slice(cut["words"], hit["word_no"] + 1, hit["n_words"])
-    return F.array_join(F.transform(here, F.lower), " ") == hit["name"]
+    words = F.get(cut["words"], hit["run_no"])
+    return _joined(words, hit["word_no"], hit["n_words"], F.lower) == hit["name"]
 
 
 Triples = Sequence[tuple[str, int, int]]

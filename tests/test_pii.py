@@ -210,3 +210,44 @@ def test_name_confidence(texts, options):
     df = df.withColumn("f", found(F.col("t")))
     hits = rows(df.withColumn("h", F.expr(pii.name_hits_sql("f", options))), "h")[0][0]
     assert [(h.value, round(h.confidence, 4)) for h in hits] == [("Marte", 0.75), ("Ferdinando Bartolomeo", 0.9)]
+
+
+def test_only_names_that_can_be_met_are_joined(spark, texts, monkeypatch):
+    """Names are cut down by the first words of the texts, where these are few; found are the same either way."""
+    other = spark.range(2_000).selectExpr("concat('Cliente', id, ' rossi') AS name", "'NAME' AS label")
+    given = [("Maria  Rosa", "NAME"), ("ada", "ORG"), ("ADA", "NAME"), ("ΟΔΟΣ Αθηνά", "NAME"), ("İda B", "NAME"), (None, "NAME"), ("e Maria", "NAME")]
+    dictionary = other.union(spark.createDataFrame(given, "name STRING, label STRING"))
+    values = ["Cliente7 Rossi, Ada e Maria", "ada. ΟΔΟΣ Αθηνά", "İDA B x", "Maria  Rosa", "Cliente7. Rossi", ""]
+    read, tables = [], names.stored
+
+    def noted(df, name):
+        out = tables(df, name)
+        read.append((name, df._jdf.queryExecution().optimizedPlan().toString()))
+        return out
+
+    monkeypatch.setattr(names, "stored", noted)
+    got = []
+    for most in (names.MOST_FIRSTS, 0):
+        monkeypatch.setattr(names, "MOST_FIRSTS", most)
+        got.append([[(h.label, h.value) for h in r[0]] for r in rows(names.find_by_join(texts(values), "n", {"f": "t"}, dictionary), "f")])
+    want = [[("NAME", "Cliente7 Rossi"), ("NAME", "Ada")], [("NAME", "ΟΔΟΣ Αθηνά")], [("NAME", "İDA B")], [], [], []]
+    assert got == [want, want]
+    assert [("LeftSemi" in plan) for name, plan in read if name == "known-names"] == [True, False]
+
+
+def test_long_runs_and_many_hits_are_placed(texts):
+    """Blocks of runs and of words end inside; runs of many words and texts of many runs take linear time."""
+    import time
+
+    def seconds(n):
+        text = "".join(f"W{i}, à😀 Ada e. " for i in range(n)) + "Ada e " * n + "fine Ada"
+        began = time.monotonic()
+        found = rows(texts([text]).withColumn("f", names.literal_finder(["ada", "ada e"], [])(F.col("t"))), "f")[0][0]
+        took = time.monotonic() - began
+        assert len(found) == 4 * n + 1 and all(text[h.span_start : h.span_end] == h.value for h in found)
+        return took
+
+    for n in (1, 128, 256, 300):
+        seconds(n)
+    seconds(3000)
+    assert seconds(12_000) < 4 * 2.3 * max(0.3, min(seconds(3000) for _ in range(2)))
