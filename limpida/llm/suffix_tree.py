@@ -706,8 +706,8 @@ def _descend(depth: int, chain, token, count, n, times, words: list, known: tupl
     return through, state
 
 
-def _judge(depth: int, last: int, buckets: int, share: int, hot_times: int, n_train: int, n_distinct: int):
-    """What contexts add to the score of each text, and the open contexts with all that is known of them; sorted by bucket."""
+def _judge(depth: int, last: int, buckets: int, share: int, hot_times: int, n_train: int, n_distinct: int, word_buckets: int):
+    """What contexts add to the score of each text, packed and dealt by its block, and the open contexts with all that is known of them; sorted by bucket."""
 
     def opened(all_go: bool, out: list):
         def hand_over(length, chain, going, times, of, token, *columns):
@@ -762,7 +762,9 @@ def _judge(depth: int, last: int, buckets: int, share: int, hot_times: int, n_tr
             yield from out
             if scores and (at_end or held > GATHER):
                 row, y = _summed(*_joined(scores), keys=True)
-                yield _made(_SCORES, len(row), key=row, y=y)
+                block = (row >> 12).astype(np.uint64)
+                of = (mix(np.full(len(row), _SEED), block) % np.uint64(word_buckets)).astype(np.int64)
+                yield from _dealt(_SCORES, of, np.arange(len(row)), row, y.view(np.int64))
                 scores.clear()
                 held = 0
 
@@ -778,6 +780,32 @@ def _judge(depth: int, last: int, buckets: int, share: int, hot_times: int, n_tr
     return run
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What all contexts add to the score of each text, from packed shares sorted by bucket."""
+    bucket, parts, held, most = None, [], 0, GATHER
+
+    def summed() -> pa.RecordBatch:
+        row, y = _summed(*_joined(parts), keys=True)
+        return pa.RecordBatch.from_arrays([pa.array(row), pa.array(y)], ["row", "added"])
+
+    for batch in batches:
+        for i in range(batch.num_rows):
+            of = batch.column("bucket")[i].as_py()
+            if of != bucket and parts:
+                yield summed()
+                parts, held, most = [], 0, GATHER
+            bucket = of
+            row, y = (c.astype(np.int64, copy=False) for c in _unpacked(batch.column("part")[i].as_py()))
+            parts.append((row, y.view(np.float64)))
+            held += len(row)
+            if held > most:
+                parts = [_summed(*_joined(parts), keys=True)]
+                held = len(parts[0][0])
+                most = 2 * held + GATHER
+    if parts:
+        yield summed()
+
+
 @contextmanager
 def _without_shuffles(spark: SparkSession) -> Iterator[None]:
     """Shuffle files of what is written meanwhile go when it is written."""
@@ -839,10 +867,11 @@ def score_texts(docs: DataFrame) -> DataFrame:
         last = min(k for k in CUTS if k > depth or k == LONGEST)
         places = texts.mapInArrow(_place(depth, last, open_, hot, longer, buckets, ends), _RUN).select("kind", "bucket", "part")
         met = (places if known is None else places.union(known)).repartition("bucket").sortWithinPartitions("bucket")
-        judged = met.mapInArrow(_judge(depth, last, buckets, BUCKET, HOT_TIMES, n_train, n_distinct), _RUN)
+        judged = met.mapInArrow(_judge(depth, last, buckets, BUCKET, HOT_TIMES, n_train, n_distinct, word_buckets), _RUN)
         with _without_shuffles(spark):
             runs.append(stored(judged.select("kind", "bucket", "part", "depth", "key", "x", "y"), "contexts"))
-    added = reduce(DataFrame.union, runs).where(F.col("kind") == _SCORES).select(F.col("key").alias("row"), F.col("y").alias("added"))
+    added = reduce(DataFrame.union, runs).where(F.col("kind") == _SCORES).select("bucket", "part")
+    added = added.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_added, "row long, added double")
     base = texts.mapInArrow(_base(n_train, n_distinct, ends), _BASE)
     null = {f.split()[0]: F.lit(None).cast(f.split()[1]) for f in _BASE.split(", ")}
     rows = base.withColumn("added", F.lit(None).cast("double")).unionByName(added.select("row", *(c.alias(n) for n, c in null.items() if n != "row"), "added"))

@@ -476,3 +476,35 @@ def test_suffix_tree_sends_each_place_once_packed():
     assert sum(len(p) for p in rows.column("part").to_pylist()) < 8 * 20_000
     met = sorted(zip(*(np.concatenate([p[c] for p in places]).tolist() for c in (1, 4, 5, 6)), strict=True))
     assert met == sorted((int(coded[i]), *(int(coded[i - k]) if i >= k else 0 for k in (1, 2, 3))) for i in range(1, 20_001))
+
+
+def test_suffix_tree_packs_what_contexts_add(docs_of, monkeypatch):
+    """Scores leave a task as a packed row for each share of the blocks, not as a row for each text."""
+    kept, stored = [], suffix_tree.stored
+
+    def noted(df, name):
+        kept.append(stored(df, name))
+        return kept[-1]
+
+    monkeypatch.setattr(suffix_tree, "stored", noted)
+    pick = random.Random(8)
+    texts = ["one two three " * pick.randint(2, 5) + pick.choice("abc") for _ in range(1500)]
+    assert suffix_tree.score_texts(docs_of(texts)).where("score > base_score").count() > 1000
+    assert 0 < sum(t.where(f"kind = {suffix_tree._SCORES}").count() for t in kept) < 300
+
+
+def test_suffix_tree_adds_up_packed_scores(monkeypatch):
+    pick = np.random.default_rng(4)
+    share = lambda n: (np.sort(pick.choice(9000, n, replace=False)) + (5 << 36), pick.normal(size=n))
+    shares = [(b, *share(pick.integers(1, 60))) for b in (0, 0, 0, 0, 2, 2, 7) for _ in range(5)]
+    parts = [suffix_tree._packed(row, y.view(np.int64)) for _, row, y in shares]
+    batches = [suffix_tree._made(suffix_tree._SCORES, 5, bucket=[b for b, *_ in shares[lo : lo + 5]], part=parts[lo : lo + 5]) for lo in range(0, len(parts), 5)]
+    want = {}
+    for b, row, y in shares:
+        for r, v in zip(row.tolist(), y.tolist(), strict=True):
+            want[b, r] = want.get((b, r), 0.0) + v
+    for gather in (10**6, 40):
+        monkeypatch.setattr(suffix_tree, "GATHER", gather)
+        rows = pa.Table.from_batches(suffix_tree._added(iter(batches)))
+        assert sorted(rows.column("row").to_pylist()) == sorted(r for _, r in want)
+        assert math.isclose(sum(rows.column("added").to_pylist()), sum(want.values()))
