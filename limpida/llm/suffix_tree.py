@@ -761,10 +761,7 @@ def _judge(depth: int, last: int, buckets: int, share: int, hot_times: int, n_tr
             parts = empty()
             yield from out
             if scores and (at_end or held > GATHER):
-                row, y = _summed(*_joined(scores), keys=True)
-                block = (row >> 12).astype(np.uint64)
-                of = (mix(np.full(len(row), _SEED), block) % np.uint64(word_buckets)).astype(np.int64)
-                yield from _dealt(_SCORES, of, np.arange(len(row)), row, y.view(np.int64))
+                yield from _scores(*_summed(*_joined(scores), keys=True), word_buckets)
                 scores.clear()
                 held = 0
 
@@ -780,6 +777,40 @@ def _judge(depth: int, last: int, buckets: int, share: int, hot_times: int, n_tr
     return run
 
 
+def _scores(row: np.ndarray, y: np.ndarray, word_buckets: int) -> Iterator[pa.RecordBatch]:
+    """What is added to the scores of texts, a packed row for each share of the blocks."""
+    block = (row >> 12).astype(np.uint64)
+    of = (mix(np.full(len(row), _SEED), block) % np.uint64(word_buckets)).astype(np.int64)
+    yield from _dealt(_SCORES, of, np.arange(len(row)), row, y.view(np.int64))
+
+
+def _packed_scores(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
+    row, y = (c.astype(np.int64, copy=False) for c in _unpacked(batch.column("part")[i].as_py()))
+    return row, y.view(np.float64)
+
+
+def _gathered(word_buckets: int):
+    """Packed scores of many tasks as those of one, before they are sent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held, most = [], 0, GATHER
+        for batch in batches:
+            for i in range(batch.num_rows):
+                parts.append(_packed_scores(batch, i))
+                held += len(parts[-1][0])
+                if held > most:
+                    parts = [_summed(*_joined(parts), keys=True)]
+                    held = len(parts[0][0])
+                    if held > GATHER:
+                        yield from _scores(*parts[0], word_buckets)
+                        parts, held = [], 0
+                    most = held + GATHER
+        if parts:
+            yield from _scores(*_summed(*_joined(parts), keys=True), word_buckets)
+
+    return run
+
+
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What all contexts add to the score of each text, from packed shares sorted by bucket."""
     bucket, parts, held, most = None, [], 0, GATHER
@@ -795,9 +826,8 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield summed()
                 parts, held, most = [], 0, GATHER
             bucket = of
-            row, y = (c.astype(np.int64, copy=False) for c in _unpacked(batch.column("part")[i].as_py()))
-            parts.append((row, y.view(np.float64)))
-            held += len(row)
+            parts.append(_packed_scores(batch, i))
+            held += len(parts[-1][0])
             if held > most:
                 parts = [_summed(*_joined(parts), keys=True)]
                 held = len(parts[0][0])
@@ -871,7 +901,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
         with _without_shuffles(spark):
             runs.append(stored(judged.select("kind", "bucket", "part", "depth", "key", "x", "y"), "contexts"))
     added = reduce(DataFrame.union, runs).where(F.col("kind") == _SCORES).select("bucket", "part")
-    added = added.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_added, "row long, added double")
+    added = added.mapInArrow(_gathered(word_buckets), _RUN).select("bucket", "part").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_added, "row long, added double")
     base = texts.mapInArrow(_base(n_train, n_distinct, ends), _BASE)
     null = {f.split()[0]: F.lit(None).cast(f.split()[1]) for f in _BASE.split(", ")}
     rows = base.withColumn("added", F.lit(None).cast("double")).unionByName(added.select("row", *(c.alias(n) for n, c in null.items() if n != "row"), "added"))

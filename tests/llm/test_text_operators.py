@@ -508,3 +508,7 @@ def test_suffix_tree_adds_up_packed_scores(monkeypatch):
         rows = pa.Table.from_batches(suffix_tree._added(iter(batches)))
         assert sorted(rows.column("row").to_pylist()) == sorted(r for _, r in want)
         assert math.isclose(sum(rows.column("added").to_pylist()), sum(want.values()))
+        again = pa.Table.from_batches(suffix_tree._gathered(3)(iter(batches))).sort_by("bucket").combine_chunks()
+        rows = pa.Table.from_batches(suffix_tree._added(iter(again.to_batches())))
+        assert sorted(rows.column("row").to_pylist()) == sorted({r for _, r in want})
+        assert math.isclose(sum(rows.column("added").to_pylist()), sum(want.values()))
